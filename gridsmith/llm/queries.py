@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.llm import bpe, sharding
+from gridsmith.llm import bpe, decontam, quality, sharding
 from gridsmith.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -24,9 +24,21 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules)
+
+
+def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op8_byte_shards": op8_byte_shards,
+    "op9_decision_list": op9_decision_list,
+    "op10_simhash_decontamination": op10_simhash_decontamination,
 }
 
 #: None of the ten can be told whole in DuckDB's SQL: each holds a trained model, a
