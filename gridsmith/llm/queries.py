@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.llm import bpe, decontam, jaccard, pii, quality, sharding
+from gridsmith.llm import bpe, decontam, jaccard, licenses, pii, quality, sharding, toxicity
 from gridsmith.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,18 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    labels = table(spark, sf_dir, "labels").filter(part != 0)
+    out = toxicity.fit_score(table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"), pii.train(spark))
 
@@ -45,6 +57,8 @@ def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_nearest_toxicity": op3_nearest_toxicity,
+    "op4_license_scan": op4_license_scan,
     "op7_boosted_pii": op7_boosted_pii,
     "op8_byte_shards": op8_byte_shards,
     "op9_decision_list": op9_decision_list,
