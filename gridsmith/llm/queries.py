@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.llm import bpe, decontam, jaccard, langid, licenses, pii, quality, sharding, toxicity
+from gridsmith.llm import bpe, decontam, jaccard, langid, licenses, pii, quality, sharding, substrings, toxicity
 from gridsmith.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +35,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, licenses.fit(docs))
 
 
+def op5_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.passages(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_nearest_toxicity": op3_nearest_toxicity,
     "op4_license_scan": op4_license_scan,
+    "op5_chained_passages": op5_chained_passages,
     "op6_byte_gru": op6_byte_gru,
     "op7_boosted_pii": op7_boosted_pii,
     "op8_byte_shards": op8_byte_shards,
