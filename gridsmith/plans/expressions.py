@@ -142,7 +142,7 @@ def g5(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.clean_string(c("text"), 60).alias("s"))
 
 
-@query("g6_normalize_url", None)
+@query("g6_normalize_url")
 def g6(t: Tables) -> DataFrame:
     return t.pages.select("page_id", urls.normalize(c("url")).alias("u"))
 
@@ -169,7 +169,7 @@ def g10(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", urls.year_template(F.concat(F.lit("/d/"), y, F.lit("/a.pdf")), y).alias("u"))
 
 
-@query("g11_path_patterns", None)
+@query("g11_path_patterns")
 def g11(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.explode(urls.path_patterns(c("url"))).alias("pattern"))
 
@@ -212,11 +212,11 @@ def g20(t: Tables) -> DataFrame:
     return t.events.filter("event_type = 'error'").select("user_id", "event_id", text.client_ip(F.concat(F.lit("1.1.1.1, 10.0.0."), c("user_id"))).alias("ip"))
 
 
-@query("m12_json_reply", "SELECT event_id, json_extract_string(props, '$.page') AS page FROM events")
+@query("m12_json_reply", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def m12(t: Tables) -> DataFrame:
     reply = F.concat(F.lit("```json\n"), c("props"), F.lit("\n```"))
     bare = F.trim(F.regexp_replace(reply, r"(?s)^\s*```(json)?|```\s*$", ""))
-    return t.events.select("event_id", F.get_json_object(bare, "$.page").alias("page"))
+    return t.events.select("event_id", F.get_json_object(bare, "$.k").alias("k"))
 
 
 @query("f3_contains_escaped", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'an')")
@@ -281,6 +281,6 @@ def f25(t: Tables) -> DataFrame:
     return t.documents.filter(c("text").contains("555") & F.exists(F.array(F.lit("th"), F.lit("ei")), lambda k: F.contains(low, k))).select("doc_id")
 
 
-@query("f27_subsequence", "SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), 'p.*a.*r.*1')")
+@query("f27_subsequence", "SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), 'r.*d.*g.*t')")
 def f27(t: Tables) -> DataFrame:
-    return t.part.filter(text.subsequence(c("p_name"), "par1")).select("p_partkey")
+    return t.part.filter(text.subsequence(c("p_name"), "rdgt")).select("p_partkey")
