@@ -142,7 +142,10 @@ def g5(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.clean_string(c("text"), 60).alias("s"))
 
 
-@query("g6_normalize_url")
+_SIMPLE = "regexp_replace(regexp_replace(url, '#.*$', ''), '[?&](utm_[a-z]+|ref)=[^&]*', '', 'g')"
+
+
+@query("g6_normalize_url", f"SELECT page_id, regexp_replace(lower(regexp_extract({_SIMPLE}, '^[a-z]+://[^/?]*', 0)) || regexp_extract({_SIMPLE}, '^[a-z]+://[^/?]*(.*)$', 1), '^(https?://[^/]*)$', '\\1/') AS u FROM pages")
 def g6(t: Tables) -> DataFrame:
     return t.pages.select("page_id", urls.normalize(c("url")).alias("u"))
 

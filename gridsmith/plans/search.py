@@ -14,7 +14,19 @@ from gridsmith.session import Tables
 c = F.col
 
 
-@query("x1_hybrid_search")
+def _grams(x: str) -> str:
+    """The trigrams of a text of one or two plain words, in SQL."""
+    word = lambda w: f"[substr('  ' || {w} || ' ', i, 3) FOR i IN range(1, length({w}) + 2)]"
+    a, b = (f"split_part(lower({x}), ' ', {k})" for k in (1, 2))
+    return f"list_distinct(list_concat({word(a)}, CASE WHEN {b} = '' THEN [] ELSE {word(b)} END))"
+
+
+_X1 = f"""WITH g AS (SELECT p_partkey, p_name, p_brand, {_grams('p_name')} AS a, {_grams("'red'")} AS b FROM part),
+s AS (SELECT *, CAST(len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b) - len(list_intersect(a, b))) AS sim, contains(lower(p_name), 'red') AS n, contains(lower(p_brand), 'red') AS r FROM g)
+SELECT p_partkey, round(sim + CASE WHEN n THEN 2.0 ELSE 0 END + CASE WHEN r THEN 0.5 ELSE 0 END, 6) AS relevance FROM s WHERE n OR r OR sim > 0.08 ORDER BY relevance DESC, p_partkey LIMIT 50"""
+
+
+@query("x1_hybrid_search", _X1)
 def x1(t: Tables) -> DataFrame:
     return search.hybrid(t.part, "p_name", "p_brand", "red").select("p_partkey", "relevance").orderBy(c("relevance").desc(), "p_partkey").limit(50)
 
