@@ -100,8 +100,8 @@ def windows_from_text(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.select(key, "year", "order", "no", levels.normalize(F.col("r.label")).alias("level"), F.col("r.region").alias("region"))
     first = rows.groupBy(key, "year", "level").agg(F.min_by(F.struct("order", "region"), "no").alias("f")).select(key, "year", "level", "f.order", "f.region")
     starts, ends = (F.regexp_extract_all("region", F.lit(_SPAN), F.lit(i)) for i in (1, 2))
-    spans = first.select(key, "year", "level", "order", F.posexplode(F.arrays_zip(starts.alias("start"), ends.alias("end"))).alias("k", "w"))
-    return spans.filter(F.col("k") < F.size("order")).select(key, "year", "level", F.element_at("order", F.col("k") + 1).alias("season"), "w.start", "w.end")
+    spans = first.select(key, "year", "level", "order", F.posexplode(F.arrays_zip(starts.alias("start"), ends.alias("end"))).alias("_kth", "w"))
+    return spans.filter(F.col("_kth") < F.size("order")).select(key, "year", "level", F.element_at("order", F.col("_kth") + 1).alias("season"), "w.start", "w.end")
 
 
 def windows_from_cells(cells: DataFrame, key: str) -> DataFrame:
