@@ -27,6 +27,7 @@ ids have no class (null) and are never linked. Extra columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from math import comb
@@ -285,7 +286,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, that of the smallest id, with all its columns; of
     repeated rows of one id, one. Rows without an id stay."""
-    gone = classes(docs, similarity, id_col, text_col).filter("doc_id != class_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    name = f"_gone_{uuid.uuid4().hex}"  # no column of docs has it
+    gone = classes(docs, similarity, id_col, text_col).filter("doc_id != class_id").select(F.col("doc_id").alias(name))
+    kept = docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
     twice = kept.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count()
     return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull())) if twice else kept

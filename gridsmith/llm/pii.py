@@ -290,7 +290,8 @@ def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with every span in the text replaced by its kind in brackets; null texts
     stay null. Overlapping spans become one, named for the first."""
-    got = spans(docs, model, text_col)
+    row = F.struct(*[F.col(f"`{n}`") for n in docs.columns])  # set apart, so that no name clashes
+    got = spans(docs.select(row.alias("row"), F.col(text_col).cast("string").alias("_text")), model, "_text")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
@@ -303,5 +304,5 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"), F.col("_t").alias("rest"))
     done = F.aggregate("_spans", first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), acc["rest"]))
-    text = F.when(F.size("_spans") > 0, done).otherwise(F.col(text_col).cast("string"))
-    return got.withColumn(text_col, F.when(F.col(text_col).isNotNull(), text)).select(docs.columns)
+    text = F.when(F.col("_text").isNotNull(), F.when(F.size("_spans") > 0, done).otherwise(F.col("_text")))
+    return got.select(*[text.alias(n) if n == text_col else F.col("row")[n].alias(n) for n in docs.columns])
