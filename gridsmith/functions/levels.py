@@ -44,9 +44,11 @@ def normalize(c: Column) -> Column:
     """The level a text names, or null."""
     s = _clean(c)
     sides = F.split(s, "/")
-    left, right = _part(F.get(sides, F.lit(0))), _part(F.get(sides, F.lit(1)))
+    # one copy of the rules for the whole and both sides
+    got = F.transform(F.array(s, F.get(sides, F.lit(0)), F.get(sides, F.lit(1))), lambda x: _part(x))
+    left, right = got[1], got[2]
     two = F.when((F.size(sides) == 2) & (F.length(left) <= 3) & (F.length(right) <= 3), F.concat_ws("/", left, right))
-    return F.when(F.length(s) > 0, F.coalesce(_part(s), two))
+    return F.when(F.length(s) > 0, F.coalesce(got[0], two))
 
 
 def expected(points: Column) -> Column:
