@@ -287,3 +287,23 @@ def f25(t: Tables) -> DataFrame:
 @query("f27_subsequence", "SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), 'r.*d.*g.*t')")
 def f27(t: Tables) -> DataFrame:
     return t.part.filter(text.subsequence(c("p_name"), "rdgt")).select("p_partkey")
+
+
+@query("g4_literal_replaces", "SELECT s_suppkey, replace(replace(lower(s_name), 'supplier#', ''), '000', ' ') AS n FROM supplier")
+def g4(t: Tables) -> DataFrame:
+    n = F.lower("s_name")
+    for a, b in (("supplier#", ""), ("000", " ")):
+        n = F.replace(n, F.lit(a), F.lit(b))
+    return t.supplier.select("s_suppkey", n.alias("n"))
+
+
+@query("t5_pdf_time_value", f"SELECT event_id, CASE WHEN event_type = 'error' THEN '-' ELSE {_HM} || '-24:00' END AS w FROM events")
+def t5(t: Tables) -> DataFrame:
+    s = F.when(c("event_type") == "error", "entfällt").otherwise(F.concat(F.date_format("ts", "H:mm"), F.lit(" bis 24:00 Uhr")))
+    return t.events.select("event_id", times.time_window(s).alias("w"))
+
+
+@query("t6_normalized_ranges", f"SELECT event_id, {_HM} || ':00' AS a, '18:00:00' AS b, 2 AS n FROM events WHERE event_type = 'signup'")
+def t6(t: Tables) -> DataFrame:
+    r = times.time_ranges(F.concat(F.date_format("ts", "H:mm"), F.lit("-9:00, 18:00 20:00")))
+    return t.events.filter("event_type = 'signup'").withColumn("r", r).select("event_id", c("r")[0]["start"].alias("a"), c("r")[1]["start"].alias("b"), F.size("r").alias("n"))

@@ -274,3 +274,12 @@ def k9(t: Tables) -> DataFrame:
     path = folder(t)
     files.write_html_years(t.orders.select(c("o_orderstatus").alias("slug"), F.year("o_orderdate").alias("year"), F.concat(F.lit("<p>"), c("o_orderkey"), F.lit("</p>")).alias("html")), path)
     return t.spark.read.text(path).groupBy("slug", "year").agg(F.count("*").alias("n"))
+
+
+@query("s1_s2_xml_glob", "SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS s FROM customer")
+def s1(t: Tables) -> DataFrame:
+    """Elements of one tag in all files of a glob."""
+    path = folder(t)
+    t.customer.select("c_custkey").repartition(3).write.format("xml").option("rowTag", "Kunde").option("rootTag", "Kunden").save(f"{path}/k_1.xml")
+    rows = registry_xml.scan(t.spark, f"{path}/k_*.xml", "Kunde", ["c_custkey"])
+    return rows.agg(F.count("*").alias("n"), F.sum(c("c_custkey").cast("long")).alias("s"))

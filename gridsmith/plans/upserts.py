@@ -192,3 +192,18 @@ def x6(t: Tables) -> DataFrame:
 def x7(t: Tables) -> DataFrame:
     v = t.lineitem.groupBy("l_orderkey").agg(F.count_if(c("l_quantity") > 45).alias("errors"), F.count("*").alias("n"))
     return v.groupBy(F.when(c("errors") > 0, "flagged").otherwise("pending").alias("status")).agg(F.count("*").alias("files"), F.sum("n").alias("records"))
+
+
+@query(
+    "x11_seed_pipeline",
+    """WITH e AS (SELECT c_custkey AS k, lower(c_name) AS name, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_mktsegment <> 'FURNITURE'),
+    a AS (SELECT k, name, coalesce(n, 0) AS n FROM e UNION ALL SELECT user_id, 'user', count(*) FROM events WHERE user_id NOT IN (SELECT k FROM e) GROUP BY 1, 2)
+    SELECT a.k, a.name, CASE WHEN s_suppkey IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM a LEFT JOIN supplier ON s_suppkey = a.k AND s_acctbal > 0""",
+)
+def x11(t: Tables) -> DataFrame:
+    """Names, enrichment, merge with statistics-only rows, and the upsert's action of each."""
+    names = t.customer.filter("c_mktsegment != 'FURNITURE'").select(c("c_custkey").alias("k"), F.lower("c_name").alias("name"))
+    found = names.join(t.orders.groupBy(c("o_custkey").alias("k")).agg(F.count("*").alias("n")), "k", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rest = t.events.groupBy(c("user_id").alias("k")).agg(F.count("*").alias("n")).join(names.select("k"), "k", "left_anti").select("k", F.lit("user").alias("name"), "n")
+    stored = t.supplier.filter("s_acctbal > 0").select(c("s_suppkey").alias("k"), c("s_name").alias("name"))
+    return upsert(stored, found.unionByName(rest).select("k", "name"), ["k"], ["name"]).filter("action in ('inserted', 'updated')")
