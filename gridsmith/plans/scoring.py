@@ -169,7 +169,7 @@ def m2(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.length(html.cleaned(c("html"))).alias("n"))
 
 
-@query("m3_tables_with_years")
+@query("m3_tables_with_years", "SELECT page_id, '2025' AS year, CAST(page_id AS VARCHAR) AS value FROM pages")
 def m3(t: Tables) -> DataFrame:
     made = F.concat(F.lit("<h2>Preise 2025</h2><table><tr><td>HS</td><td>"), c("page_id"), F.lit("</td></tr></table>"), c("html"))
     found = t.pages.select("page_id", F.explode(html.tables(made)).alias("t"))
