@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gridsmith.llm.common import id_text, slices, text_buffer
 
-HIDDEN, SPAN, LANES = 8, 64, 2048
+HIDDEN, SPAN, LANES = 8, 64, 1024
 PER_LABEL, WINDOWS, WINDOW, STEPS, BATCH = 300, 6, 48, 260, 192
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -53,23 +53,36 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
 
 
 def states(net: Net, d: int, seq: np.ndarray) -> np.ndarray:
-    """Hidden states (time, lane, HIDDEN) of direction d for bytes (time, lane)."""
-    h = np.zeros((seq.shape[1], HIDDEN), np.float32)
-    out = np.empty((*seq.shape, HIDDEN), np.float32)
-    u, c = net.u[d], net.c[d]
+    """Hidden states (time, lane, HIDDEN) of direction d for bytes (time, lane). Gates
+    are taken as (1 + tanh(v / 2)) / 2, the halves going into the weights, and each has
+    arrays of its own, so that every operation runs over contiguous memory."""
+    k = HIDDEN
+    part = lambda w, i, by: np.ascontiguousarray(w[:, i * k : (i + 1) * k] * np.float32(by))
+    (xz, uz), (xr, ur), (xn, un) = ((part(net.x[d], i, 0.5 if i < 2 else 1), part(net.u[d], i, 0.5)) for i in range(3))
+    c, half = net.c[d] * np.float32(0.5), np.float32(0.5)
+    h = np.zeros((seq.shape[1], k), np.float32)
+    out = np.empty((*seq.shape, k), np.float32)
+    z, r, n, s = (np.empty_like(h) for _ in range(4))
     for t in range(len(seq)) if d == 0 else range(len(seq) - 1, -1, -1):
-        a = net.x[d].take(seq[t], axis=0)
-        s = h @ u
-        zr = a[:, : 2 * HIDDEN]
-        zr += s[:, : 2 * HIDDEN]
-        zr = _sigmoid(zr)
-        n = s[:, 2 * HIDDEN :]
-        n += c
-        n *= zr[:, HIDDEN:]
-        n += a[:, 2 * HIDDEN :]
+        at = seq[t]
+        xz.take(at, axis=0, out=z, mode="clip")
+        xr.take(at, axis=0, out=r, mode="clip")
+        xn.take(at, axis=0, out=n, mode="clip")
+        z += np.matmul(h, uz, out=s)
+        np.tanh(z, out=z)
+        r += np.matmul(h, ur, out=s)
+        np.tanh(r, out=r)
+        r += 1
+        np.matmul(h, un, out=s)
+        s += c
+        s *= r
+        n += s
         np.tanh(n, out=n)
-        h = n + zr[:, :HIDDEN] * (h - n)
-        out[t] = h
+        z += 1
+        z *= half
+        h = np.subtract(h, n, out=out[t])
+        h *= z
+        h += n
     return out
 
 
