@@ -176,3 +176,20 @@ def test_unit_columns(spark):
     m = spark.createDataFrame([(i, 1 if i < 3 else 2) for i in range(4)], "doc_id long, comp long")
     assert {r.comp for r in jaccard._units(m).select("comp").distinct().collect()} == {1}
     assert jaccard._units(m).filter(F.col("x") != F.col("y")).count() == 0
+
+
+def test_hot_seeds_are_salted(spark, monkeypatch):
+    """A passage of very many texts: parts have first holders of their own, joined with the first of all."""
+    r = random.Random(4)
+    word = lambda: f"v{r.randint(0, 10**7)}"
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join([word() for _ in range(20)] + passage + [word() for _ in range(20)])) for i in range(80)] + [(100 + i, " ".join(word() for _ in range(90))) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(substrings, "LEAST_HOT", 20)
+    monkeypatch.setattr(substrings, "HOT", 400)
+    got = substrings.passages(df).collect()
+    sources = {x.source_id for x in got if x.doc_id != x.source_id}
+    assert 1 < len(sources) <= substrings.SALTS
+    assert {x.doc_id for x in got} == set(range(1, 80)) and all(x.n_words == 60 and x.source_id < x.doc_id for x in got)
+    to = {x.doc_id: x.source_id for x in got}
+    assert all(to[s] == 0 for s in sources - {0}), "each part's first holder is linked to the first of all"
