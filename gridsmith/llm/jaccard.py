@@ -258,9 +258,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     texts = id_text(docs, id_col, text_col)
     known = texts.filter("doc_id is not null")
     made = materialize(sketches(known), "join-sketches")
-    reps = made.groupBy("p", "q").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies"))
-    whose = made.select("doc_id", "p", "q").join(reps, ["p", "q"])
-    one = materialize(made.join(reps.select("p", "q", F.col("rep_id").alias("doc_id")), ["p", "q", "doc_id"], "left_semi").dropDuplicates(["doc_id", "p", "q"]), "join-classes")
+    # only copies are joined with their representative, which is a table of its own, so
+    # that a large group of copies is a skewed join that can be split
+    reps = materialize(made.groupBy("p", "q").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies")).filter("n_copies > 1"), "join-reps")
+    whose = materialize(made.select("doc_id", "p", "q").join(reps, ["p", "q"], "left").select("doc_id", "p", "q", F.coalesce("rep_id", "doc_id").alias("rep_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")), "join-copies")
+    marked = made.join(reps.drop("n_copies"), ["p", "q"], "left")
+    single = marked.filter("rep_id is null").drop("rep_id")
+    one = materialize(single.unionByName(marked.filter("doc_id = rep_id").drop("rep_id").dropDuplicates(["doc_id", "p", "q"])), "join-classes")
 
     banded = one.select("doc_id", F.explode("bands").alias("band"))
     low = banded.groupBy("band").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1").select("band", "b")
