@@ -39,3 +39,20 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 25
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name, table", [("c9_tariffs_from_text", "part"), ("c12_windows_from_text", "events"), ("g14_flags_and_lists", "lineitem"), ("s11_parquet_seed", "customer"), ("n9_coordinate_snap", "customer"), ("x8_search_waterfall", "orders"), ("k7_import_merge", "orders")])
+def test_whole_tables(spark, con, name, table):
+    """Every row has its result, beyond the ids of the query of the subset."""
+    key = {"part": "p_partkey", "events": "event_id", "lineitem": "l_orderkey", "customer": "c_custkey", "orders": "o_orderkey"}[table]
+    got = QUERIES[name + "_whole"](spark, SF)
+    mine = "k" if name == "k7_import_merge" else key
+    assert {r[0] for r in got.select(mine).collect()} == {r[0] for r in con.execute(f"SELECT {key} FROM {table}").fetchall()}
+
+
+def test_windows_of_the_pages_own_html(spark, tmp_path):
+    """Tables that a page holds itself, each by itself."""
+    rows = lambda a: f"<table><tr><th>Ebene</th><th>Winter</th><th>Sommer</th></tr><tr><td>{a}</td><td>08:00 - 12:00</td><td>-</td></tr></table>"
+    spark.createDataFrame([(1, "u", rows("Mittelspannung") + rows("Hochspannung")), (2, "v", "<p>none</p>"), (3, "w", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["m6_html_windows_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.no, r.level, r.season) for r in got) == [(1, 0, "MS", "winter"), (1, 1, "HS", "winter")]
