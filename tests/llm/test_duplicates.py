@@ -112,6 +112,23 @@ def test_passages(spark, odd, nothing):
     assert substrings.passages(odd).count() == 0 and substrings.passages(nothing).count() == 0
 
 
+def test_passages_whose_parts_stand_earlier(spark, monkeypatch):
+    """Two texts share 60 words, of which earlier texts hold parts that are no passages; one seed stands in another place too."""
+    r = random.Random(6)
+    word = lambda: f"v{r.randint(0, 10**7)}"
+    some = lambda n: [word() for _ in range(n)]
+    p, q = some(60), some(60)
+    rows = [(1, some(30) + p[:34] + some(30)), (2, some(30) + p[28:] + some(30)), (10, some(20) + p[40:48] + some(20) + p + some(25)), (20, some(35) + p + some(15))]
+    rows += [(3 + k, some(20) + q[12 * k : 12 * k + 20] + some(20)) for k in range(5)] + [(30 + k, some(20 + k) + q + some(20)) for k in range(6)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    want = {(20, 10, 35, 95)} | {(30 + k, 30, 20 + k, 80 + k) for k in range(1, 6)}
+    assert {(x.doc_id, x.source_id, x.start_word, x.end_word) for x in substrings.passages(df).collect()} == want
+    monkeypatch.setattr(substrings, "LEAST_HOT", 4)
+    monkeypatch.setattr(substrings, "HOT", 400)
+    got = substrings.passages(df).collect()
+    assert {(x.doc_id, x.start_word, x.end_word) for x in got} == {(i, a, b) for i, _, a, b in want}, "of salted seeds too"
+
+
 def test_passages_cover_repeated_windows(docs):
     rows = sorted((r.doc_id, tokens(r.text)) for r in docs.collect())
     first, want = {}, set()
