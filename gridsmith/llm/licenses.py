@@ -1,12 +1,12 @@
 """License scans by a positional rare-token index.
 
-Templates (notices and names of public licences) are indexed by word: each word's
-postings are (template, position). For a file the LOOKUP rarest of its licence words
-are looked up, rarity being the inverse document frequency counted over all files.
-Each posting at each place of such a word gives an alignment (template, place minus
-position); alignments that VOTES looked-up places share, or all of a template that
-has fewer, are candidates, and a candidate holds if the template's mandatory key
-phrases stand in the file where the alignment puts them, give or take SLACK words.
+Templates (notices and names of public licences) are indexed by the rarest word of
+their mandatory key phrases, rarity being the inverse document frequency counted over
+all files. In a file that holds all words of a template's key phrases, each place of
+that word where its phrase stands gives alignments of the template, SLACK words to
+either side; an alignment holds if every key phrase stands where it puts it, give or
+take SLACK words, and VOTES words of the template are in place. No alignment that
+holds is left out, whatever other templates a file has.
 A template that stands in a file is in the result with the share of its words that
 are where they should be.
 
@@ -59,7 +59,7 @@ TEMPLATES = [
     ("cc-by-name", "creative commons attribution 4 0 international license", ["creative commons attribution"]),
     ("proprietary", "all rights reserved no part of this publication may be reproduced", ["all rights reserved"]),
 ]
-LOOKUP, VOTES, SLACK = 6, 2, 2
+VOTES, SLACK = 2, 2
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<template:string,first_word:long,share:double>>"
 
 
@@ -71,7 +71,8 @@ def _hashes(phrase: str) -> np.ndarray:
 class Index:
     templates: list[tuple[str, np.ndarray, list[tuple[int, np.ndarray]]]]
     vocabulary: np.ndarray  # sorted word hashes
-    postings: list[list[tuple[int, int]]]
+    needs: np.ndarray  # by template and word: whether a key phrase has it
+    anchors: list[list[tuple[int, int, int]]]  # by template: word, key phrase and place in it
     idf: np.ndarray
     base: list[tuple[str, np.ndarray]] = field(default_factory=list)
 
@@ -88,11 +89,11 @@ def build(templates: list[tuple[str, str, list[str]]] = TEMPLATES, base: dict[st
             places.append((at, k))
         made.append((label, h, places))
     vocabulary = np.unique(np.concatenate([h for _, h, _ in made]))
-    postings: list[list[tuple[int, int]]] = [[] for _ in vocabulary]
-    for t, (_, h, _) in enumerate(made):
-        for q, x in enumerate(np.searchsorted(vocabulary, h)):
-            postings[x].append((t, q))
-    return Index(made, vocabulary, postings, np.ones(len(vocabulary)), [(label, _hashes(p)) for p, label in base.items()])
+    anchors = [[(int(x), nth, j) for nth, (_, k) in enumerate(places) for j, x in enumerate(np.searchsorted(vocabulary, k))] for _, _, places in made]
+    needs = np.zeros((len(made), len(vocabulary)), bool)
+    for t, words_ in enumerate(anchors):
+        needs[t, [x for x, _, _ in words_]] = True
+    return Index(made, vocabulary, needs, anchors, np.ones(len(vocabulary)), [(label, _hashes(p)) for p, label in base.items()])
 
 
 def _known(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -120,29 +121,31 @@ def _stands(h: np.ndarray, phrase: np.ndarray) -> np.ndarray:
 def scan_text(h: np.ndarray, known: np.ndarray, index: Index) -> list[tuple[str, int, float]]:
     """(template, first word, share of its words in place) of each template found."""
     places = np.flatnonzero(known >= 0)
-    if not len(places):
-        return []
-    terms = np.unique(known[places])
-    rare = terms[np.lexsort((terms, -index.idf[terms]))][:LOOKUP]
-    votes: dict[tuple[int, int], set[int]] = {}
-    for p in places[np.isin(known[places], rare)].tolist():
-        for t, q in index.postings[known[p]]:
-            votes.setdefault((t, p - q), set()).add(q)
-    best: dict[int, tuple[int, float]] = {}
-    for (t, offset), who in votes.items():
-        _, wording, keys = index.templates[t]
-        if len(who) < VOTES:
-            continue
-        ok = True
+    present = np.zeros(len(index.vocabulary), bool)
+    present[known[places]] = True
+    out = []
+    for t in np.flatnonzero(~(index.needs & ~present).any(1)).tolist():
+        label, wording, keys = index.templates[t]
+        rare, nth, j = min(index.anchors[t], key=lambda x: -index.idf[x[0]])
+        at, key = keys[nth]
+        start = places[known[places] == rare] - j
+        start = start[(start >= 0) & (start + len(key) <= len(h))]
+        for k in range(len(key)):
+            start = start[h[start + k] == key[k]]
+        offset = np.unique(start[:, None] - at + np.arange(-SLACK, SLACK + 1))
         for at, key in keys:
-            lo, hi = max(0, offset + at - SLACK), min(len(h), offset + at + SLACK + len(key))
-            ok = ok and len(_stands(h[lo:hi], key)) > 0
-        if ok:
-            lo = np.arange(max(0, -offset), min(len(wording), len(h) - offset))
-            share = float((h[lo + offset] == wording[lo]).sum() / len(wording))
-            if share > best.get(t, (0, 0.0))[1]:
-                best[t] = (max(0, offset), share)
-    return [(index.templates[t][0], p, s) for t, (p, s) in best.items()]
+            stands = _stands(h, key)
+            next_ = np.append(stands, len(h) + len(wording) + SLACK)[np.searchsorted(stands, offset + at - SLACK)]
+            offset = offset[next_ <= offset + at + SLACK]
+        n = np.zeros(len(offset), np.int64)
+        for q, x in enumerate(wording):
+            place = offset + q
+            inside = (place >= 0) & (place < len(h))
+            n[inside] += h[place[inside]] == x
+        if len(n) and n.max() >= VOTES:
+            best = int(n.argmax())
+            out.append((label, max(0, int(offset[best])), float(n[best] / len(wording))))
+    return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None) -> Index:

@@ -105,6 +105,20 @@ def test_license_templates(spark):
     assert got == {0: "mit-text", 1: "cc-by,cc-by-sa-4.0", 2: "", 3: "gpl,gpl-3.0"}
 
 
+def test_files_of_several_licenses(spark):
+    """Every template's notice is found beside all others, also in a long file."""
+    bsd3 = next(w for label, w, _ in licenses.TEMPLATES if label == "bsd-3-clause")
+    every = [w for _, w, _ in licenses.TEMPLATES]
+    texts = ["Released under the MIT License. Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0.", f"{bsd3}. Released under the MIT License.", ". ".join(every), " and the software is of any person. ".join(["other words " * 2000, *every, "more " * 2000]), "all rights reserved " * 20_000]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    df = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    index = licenses.fit(docs.union(df))
+    got = {r.doc_id: {m.template: m.share for m in r.matches} for r in licenses.scan(df, index).collect()}
+    assert set(got[-1]) == {"mit-name", "apache-2.0", "cc-by-nc-4.0"} and set(got[-2]) == {"bsd-3-clause", "mit-name"}
+    assert set(got[-3]) == set(got[-4]) == {label for label, _, _ in licenses.TEMPLATES} and min(got[-3].values()) == min(got[-4].values()) == 1
+    assert set(got[-5]) == {"proprietary"}
+
+
 def test_languages(spark, odd, nothing):
     from gridsmith.llm.queries import op6_byte_gru
 
