@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Every window of a text as long as an item (in words) is a candidate for it.  A
+Every window of a text as long as an item (in words) is a candidate for it; a text
+shorter than the item is one window as a whole.  A
 window's fingerprint has 64 bits: the signs of the weighted sum of its shingles'
 random vectors.  Windows that hold no shingle of any item have similarity zero to
 all of them, so only those that hold one are fingerprinted.  Fingerprints are
@@ -141,14 +142,15 @@ def _matches(h: np.ndarray, grams: np.ndarray, places: np.ndarray, shingle: np.n
     of = items.owner[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(items.owned[shingle], many)]
     lengths, at_place = items.lengths[of], np.repeat(places, many)
     for length in np.unique(lengths).tolist():
-        if length > n or length < SHINGLE:
+        if min(length, n) < SHINGLE:
             continue
         which, index = by_length[length]
         hits = np.unique(at_place[lengths == length])
-        k = max(1, length - SHINGLE + 1)
+        size = min(length, n)  # of the windows
+        k = size - SHINGLE + 1
         # windows that hold a hit: runs of starts
-        cover = np.zeros(n - length + 2, np.int64)
-        lo, hi = np.maximum(hits - k + 1, 0), np.minimum(hits, n - length)
+        cover = np.zeros(n - size + 2, np.int64)
+        lo, hi = np.maximum(hits - k + 1, 0), np.minimum(hits, n - size)
         ok = lo <= hi
         np.add.at(cover, lo[ok], 1)
         np.add.at(cover, hi[ok] + 1, -1)
@@ -172,7 +174,7 @@ def _matches(h: np.ndarray, grams: np.ndarray, places: np.ndarray, shingle: np.n
                 theirs = items.weights[np.searchsorted(items.known, items.shingles[i])].astype(np.float32).astype(float).sum()
                 similar = float(both / max(weight.sum() + theirs - both, 1e-12))
                 if similar >= at_least and similar > out.get(i, (0, 0, 0, 0, 0.0))[4] + 1e-6:
-                    out[i] = (i, start, length, int(np.bitwise_count(prints[x] ^ items.prints[i])), similar)
+                    out[i] = (i, start, size, int(np.bitwise_count(prints[x] ^ items.prints[i])), similar)
     return list(out.values())
 
 

@@ -179,6 +179,15 @@ def test_near_and_short_items(spark, odd, nothing):
     assert decontam.clean(odd, bench).count() == odd.count()
 
 
+def test_items_cut_at_either_end(spark):
+    """A text that is an item less its last or first words is a window as a whole."""
+    words = [f"k{i}" for i in range(55)]
+    docs = spark.createDataFrame([(1, " ".join(words[:50])), (2, " ".join(words[5:])), (3, " ".join(words[:30])), (4, " ".join(words[:4])), (5, " ".join(words[:5]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.first_word, r.n_words) for r in decontam.matches(docs, bench).collect()} == {(1, 7, 0, 50), (2, 7, 0, 50)}
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {3, 4, 5}
+
+
 def test_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
     for size in (20, 300):
