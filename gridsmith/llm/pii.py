@@ -46,7 +46,7 @@ MORE = {
     "phone": (r"(?<![0-9+(])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])", DIGIT),
     "id": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", DIGIT),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", DIGIT),
-    "secret": (r"(?<![A-Za-z0-9_+/=.@-])[A-Za-z0-9_+/-]{16,}+(?![A-Za-z0-9.@])", DIGIT),
+    "secret": (r"(?<![A-Za-z0-9_+/.@-])[A-Za-z0-9_+/-]{16,}+(?![A-Za-z0-9@]|\.[A-Za-z0-9_+/@-])", DIGIT),
 }
 BEFORE = 24
 

@@ -189,6 +189,13 @@ def test_method_adds_spans(spark, model):
     assert got == {0: 'token = "[SECRET]"', 1: "call [PHONE] now", 2: "ssn [ID]", 3: texts[3], 4: None}
 
 
+def test_secrets_after_a_sign_and_before_a_full_stop(spark, model):
+    texts = ["secret=abcdef0123456789abcd1", "API_KEY=ghp_a1B2c3D4e5F6g7H8i9J0k1L2 set", "token is ghp_a1B2c3D4e5F6g7H8i9J0k1L2. Then", "the token is ghp_a1B2c3D4e5F6g7H8i9J0k1L2.", "see a1b2c3d4e5f6g7h8i9j0.example.org"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(df, model).collect()}
+    assert got == {0: "secret=[SECRET]", 1: "API_KEY=[SECRET] set", 2: "token is [SECRET]. Then", 3: "the token is [SECRET].", 4: texts[4]}
+
+
 def test_odd_rows(odd, nothing, model):
     assert pii.find(odd, model).count() == odd.count() and pii.find(nothing, model).count() == 0
     out = pii.redact(odd, model)
