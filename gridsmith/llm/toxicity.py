@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max index.
 
 A text's terms are its words and their beginnings of PREFIX letters.  The features
-are the TERMS terms most associated with the label among the examples (chi-square,
+are all terms associated with the label among the examples (chi-square over LEAST,
 in EXAMPLES labelled rows at most); their document frequencies are counted over all
 texts.  An example is its unit TF-IDF vector.
 
@@ -35,7 +35,7 @@ from gridsmith.llm.common import id_text, materialize, slices
 
 #: Labelled rows that examples are chosen from and that features are ranked on.
 EXAMPLES = 9_000
-TERMS, NEIGHBOURS, BLOCK, PREFIX, PRIOR, DISTANCE = 160, 15, 32, 5, 0.5, 0.05
+LEAST, NEIGHBOURS, BLOCK, PREFIX, PRIOR, DISTANCE = 15, 15, 32, 5, 0.5, 0.05
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -44,8 +44,8 @@ def terms_of(text: str) -> list[str]:
     return found + [w[:PREFIX] + "*" for w in found if len(w) > PREFIX]
 
 
-def choose_terms(texts: list[str], toxic: np.ndarray, most: int = TERMS) -> list[str]:
-    """The terms held by toxic texts most beyond chance: the largest chi-square of presence."""
+def choose_terms(texts: list[str], toxic: np.ndarray) -> list[str]:
+    """The terms held by toxic texts most beyond chance, by chi-square of presence."""
     seen, bad = Counter(), Counter()
     for t, y in zip(texts, toxic.tolist(), strict=True):
         s = set(terms_of(t))
@@ -59,7 +59,7 @@ def choose_terms(texts: list[str], toxic: np.ndarray, most: int = TERMS) -> list
         if b >= 4 and b / k > 2 * p:
             expect = k * p
             scored.append((-((b - expect) ** 2) / (expect * (1 - p) * max(1 - k / n, 1e-9)), w))
-    return [w for s, w in sorted(scored)[:most] if s < -15]
+    return [w for s, w in sorted(scored) if s < -LEAST]
 
 
 @dataclass
@@ -176,7 +176,7 @@ def fit_score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_c
     terms = choose_terms(one.text.tolist(), toxic) if len(one) and toxic.any() and not toxic.all() else []
     held = materialize(sparse(docs, terms, id_col, text_col), "toxic-terms")
     total = held.count()
-    df = {r.t: r["count"] for r in held.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}  # TERMS rows at most
+    df = {r.t: r["count"] for r in held.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}  # a row a term of EXAMPLES examples
     idf = np.log1p(total / np.maximum([df.get(i, 0) for i in range(len(terms))], 1)) if terms else np.zeros(0)
     number = {w: i for i, w in enumerate(terms)}
     x = np.zeros((len(one), len(terms)))

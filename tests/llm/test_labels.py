@@ -71,6 +71,13 @@ def test_nearest_equals_brute_force():
             assert m.ids[at].tolist() == [i for _, i in want] and np.allclose(cos, [-s for s, _ in want])
 
 
+def test_every_associated_term_is_kept():
+    """More associated terms than any fixed number, and none that both classes hold."""
+    many = [" ".join(f"{w}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)) for w in ("t", "c") for _ in range(20)] + ["plain"] * 200
+    kept = toxicity.choose_terms(many, np.array([True] * 20 + [False] * 220))
+    assert len(kept) == 300 and all(w.startswith("t") for w in kept)
+
+
 def test_toxicity_held_out(spark, odd, nothing):
     from gridsmith.llm.queries import op3_nearest_toxicity
 
