@@ -161,18 +161,20 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids (32 bits each, little-endian) and
-    of the bytes they decode to: encoding and decoding in one pass, so that the ids
-    themselves are not moved."""
+    """doc_id, n_tokens and the SHA-256 of the ids (32 bits each, little-endian), of the
+    bytes they decode to and of the tokens' first characters, then their end characters
+    (likewise): encoding and decoding in one pass, so that the ids themselves are not moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         for batch in (s for b in batches for s in slices(b)):
-            ids = c.encode(batch.column(1).to_pylist())
+            texts = batch.column(1).to_pylist()
+            ids = c.encode(texts)
+            places = [np.concatenate(c.char_offsets(i, t.encode())) for i, t in zip(ids, texts, strict=True)]
             sha = lambda x: hashlib.sha256(x).hexdigest()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(x.astype("<u4").tobytes()) for x in ids], pa.string()), pa.array([sha(c.decode_bytes(x)) for x in ids], pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(x.astype("<u4").tobytes()) for x in ids], pa.string()), pa.array([sha(c.decode_bytes(x)) for x in ids], pa.string()), pa.array([sha(x.astype("<u4").tobytes()) for x in places], pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256"],
             )
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string")

@@ -53,6 +53,12 @@ def test_encode_equals_rank_coder(ranks):
     assert c.decode(ids[:1]) in ("�", "日")
 
 
+def test_round_trip_has_offsets(odd):
+    both = bpe.encode(odd, PATH, P.PATTERN).collect(), bpe.round_trip(odd, PATH, P.PATTERN).collect()
+    want = sorted(hashlib.sha256(np.array(r.token_starts + r.token_ends, "<u4").tobytes()).hexdigest() for r in both[0])
+    assert sorted(r.offsets_sha256 for r in both[1]) == want and len(set(want)) > 2
+
+
 def test_round_trip(docs, odd, nothing, ranks):
     got = {r.doc_id: r for r in bpe.round_trip(docs, PATH, P.PATTERN).collect()}
     for r in docs.collect():
