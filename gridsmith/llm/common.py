@@ -226,6 +226,29 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of many groups of rows with equal keys each, none of which is cut, of batches
+    sorted by long keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for k, c in zip(keys, cols, strict=True):
+            new[1:] |= c[1:] != c[:-1]
+            new[0] |= bool(held) and held[-1].column(batch.schema.get_field_index(k))[-1].as_py() != c[0]
+        cut = np.flatnonzero(new)
+        if not len(cut):
+            held.append(batch)
+            continue
+        if done := [*held, *([batch.slice(0, int(cut[-1]))] if cut[-1] else [])]:
+            yield pa.Table.from_batches(done)
+        held = [batch.slice(int(cut[-1]))]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 # ------------------------------------------------------------------ components
 
 

@@ -112,44 +112,81 @@ def test_passages(spark, odd, nothing):
     assert substrings.passages(odd).count() == 0 and substrings.passages(nothing).count() == 0
 
 
-def test_passages_whose_parts_stand_earlier(spark, monkeypatch):
-    """Two texts share 60 words, of which earlier texts hold parts that are no passages; one seed stands in another place too."""
+def test_passages_whose_parts_stand_elsewhere(spark):
+    """Pairs of texts share passages whose parts stand in texts before and between them; one
+    part stands in another place of its text too."""
     r = random.Random(6)
     word = lambda: f"v{r.randint(0, 10**7)}"
     some = lambda n: [word() for _ in range(n)]
-    p, q = some(60), some(60)
-    rows = [(1, some(30) + p[:34] + some(30)), (2, some(30) + p[28:] + some(30)), (10, some(20) + p[40:48] + some(20) + p + some(25)), (20, some(35) + p + some(15))]
-    rows += [(3 + k, some(20) + q[12 * k : 12 * k + 20] + some(20)) for k in range(5)] + [(30 + k, some(20 + k) + q + some(20)) for k in range(6)]
-    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
-    want = {(20, 10, 35, 95)} | {(30 + k, 30, 20 + k, 80 + k) for k in range(1, 6)}
-    assert {(x.doc_id, x.source_id, x.start_word, x.end_word) for x in substrings.passages(df).collect()} == want
-    monkeypatch.setattr(substrings, "LEAST_HOT", 4)
-    monkeypatch.setattr(substrings, "HOT", 400)
-    got = substrings.passages(df).collect()
-    assert {(x.doc_id, x.start_word, x.end_word) for x in got} == {(i, a, b) for i, _, a, b in want}, "of salted seeds too"
+    rows, want = [], []
+    for case in range(60):
+        n = [60, 57, 80][case % 3]
+        p, at = some(n), 100 * case
+        parts = [[p[: n // 2 + 4], p[n // 2 - 2 :]], [p[k : k + 20] for k in range(0, n, 12)], [p[:48], p[-48:]]][case // 3 % 3]
+        rows += [(at + k, some(30) + x + some(30)) for k, x in enumerate(parts)]
+        rows.append((at + 20, some(20) + parts[0][:8] + some(20) + p + some(25)))
+        rows += [(at + 30 + k, some(20) + x + some(10)) for k, x in enumerate(parts)]
+        rows.append((at + 50, some(35) + p + some(15)))
+        want.append((at + 50, at + 20, 35, 35 + n))
+    got = substrings.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.source_id, x.start_word, x.end_word) for x in got) == want
+
+
+def test_source_does_not_depend_on_partitions(spark):
+    """Holders of one passage dealt over many ranges or few: the same links."""
+    r = random.Random(4)
+    word = lambda: f"v{r.randint(0, 10**7)}"
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join([word() for _ in range(20)] + passage + [word() for _ in range(20)])) for i in range(80)] + [(100 + i, " ".join(word() for _ in range(90))) for i in range(5)]
+    rows += [(200, " ".join(passage + ["mid"] * 70 + passage))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        seen = []
+        for n in ("1", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append(sorted(map(tuple, substrings.passages(df).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+    assert {(x[0], x[3]) for x in seen[0] if x[0] < 100} >= {(i, 0) for i in range(1, 80)}
+    assert {x[1] for x in seen[0] if x[0] == 200 and x[3] == 0} == {0, 130}, "both places"
 
 
 def test_passages_cover_repeated_windows(docs):
+    """Every 50 words that stand in an earlier text too, by brute force, lie in a passage."""
+    n = substrings.LEAST
     rows = sorted((r.doc_id, tokens(r.text)) for r in docs.collect())
     first, want = {}, set()
     for i, w in rows:
-        for k in range(len(w) - 59):
-            g = tuple(w[k : k + 60])
-            if len(set(g)) > 30 and first.setdefault(g, i) != i:
+        for k in range(len(w) - n + 1):
+            g = tuple(w[k : k + n])
+            if len(set(g)) > n // 2 and first.setdefault(g, i) != i:
                 want.add((i, k))
     spans = collections.defaultdict(list)
     for x in substrings.passages(docs).collect():
         spans[x.doc_id].append((x.start_word, x.end_word))
-    assert want and all(any(a <= k and k + 60 <= b for a, b in spans[i]) for i, k in want)
+    assert want and all(any(a <= k and k + n <= b for a, b in spans[i]) for i, k in want)
 
 
 def test_chains_take_the_best_order():
     runs = np.array([[0, 20, 0, 20], [25, 45, 27, 47], [30, 35, 5, 10], [60, 90, 62, 92]])
     assert substrings.chains(runs)[0] == [0, 1, 3]
-    tree = substrings.Fenwick(5)
-    tree.put(2, (1.0, 7))
-    tree.put(4, (3.0, 8))
-    assert (tree.upto(1)[1], tree.upto(3), tree.upto(5)) == (-1, (1.0, 7), (3.0, 8))
+    runs = np.array([[0, 1000, 0, 1000], [1080, 1090, 1080, 1090], [1095, 1130, 1096, 1131]])
+    assert sorted(substrings.chains(runs)) == [[0], [1, 2]], "the best before is out of reach, a nearer one is not"
+
+
+def test_fenwick_equals_brute_force():
+    r = random.Random(3)
+    tree, put = substrings.Fenwick(20), []
+    for time in range(400):
+        i, score = r.randint(1, 20), round(r.uniform(0, 50), 3)
+        tree.put(i, score, time, time)
+        put.append((i, score, time))
+        low = r.randint(1, 20)
+        high, since = r.randint(low - 1, 20), time - 25
+        want = max(((s, t) for i, s, t in put if low <= i <= high and t >= since), default=(-1e18, -1))
+        assert tree.best(low, high, since) == want
 
 
 def test_decontamination_equals_brute_force(spark, docs):
@@ -202,20 +239,3 @@ def test_unit_columns(spark):
     m = spark.createDataFrame([(i, 1 if i < 3 else 2) for i in range(4)], "doc_id long, comp long")
     assert {r.comp for r in jaccard._units(m).select("comp").distinct().collect()} == {1}
     assert jaccard._units(m).filter(F.col("x") != F.col("y")).count() == 0
-
-
-def test_hot_seeds_are_salted(spark, monkeypatch):
-    """A passage of very many texts: parts have first holders of their own, joined with the first of all."""
-    r = random.Random(4)
-    word = lambda: f"v{r.randint(0, 10**7)}"
-    passage = [word() for _ in range(60)]
-    rows = [(i, " ".join([word() for _ in range(20)] + passage + [word() for _ in range(20)])) for i in range(80)] + [(100 + i, " ".join(word() for _ in range(90))) for i in range(5)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(substrings, "LEAST_HOT", 20)
-    monkeypatch.setattr(substrings, "HOT", 400)
-    got = substrings.passages(df).collect()
-    sources = {x.source_id for x in got if x.doc_id != x.source_id}
-    assert 1 < len(sources) <= substrings.SALTS
-    assert {x.doc_id for x in got} == set(range(1, 80)) and all(x.n_words == 60 and x.source_id < x.doc_id for x in got)
-    to = {x.doc_id: x.source_id for x in got}
-    assert all(to[s] == 0 for s in sources - {0}), "each part's first holder is linked to the first of all"
