@@ -2,15 +2,16 @@
 
 Every window of a text as long as an item (in words) is a candidate for it; a text
 shorter than the item is one window as a whole.  A
-window's fingerprint has 64 bits: the signs of the weighted sum of its shingles'
+window's fingerprint has 64 bits: the signs of the sum of its shingles'
 random vectors.  Windows that hold no shingle of any item have similarity zero to
 all of them, so only those that hold one are fingerprinted.  Fingerprints are
 matched with those of items of that length by multi-index hashing: the 64 bits are
 four blocks of 16, and two fingerprints within RADIUS bits differ by RADIUS // 4
-bits at most in one block, so looking up each block's neighbourhood finds every
-item within the radius.  Pairs within it are then verified exactly: weighted
-Jaccard similarity of the two shingle sets, each shingle weighing
-log(1 + documents / documents that hold it), counted over all documents.
+bits at most in one block, so a window none of whose blocks is that near to an
+item's is within the radius of none; the others are compared with the items.  Pairs
+within it are then verified exactly: weighted Jaccard similarity of the two shingle sets.
+A shingle of the item weighs log(1 + documents / documents that hold it), counted over
+all documents; one that the item lacks weighs as much as the item's do on average.
 
 Items are taken in blocks of ITEMS, so that what each task holds is bounded; a
 benchmark of any size is a loop over its blocks.
@@ -80,56 +81,40 @@ def _sign_bits(sums: np.ndarray) -> np.ndarray:
 def _finish(items: Items, holders: dict[int, int], documents: int) -> Items:
     held = np.array([holders.get(int(k), 0) for k in items.known.view(np.int64)], float)
     items.weights = np.log1p(max(documents, 1) / np.maximum(held, 1))
-    weight = dict(zip(items.known.tolist(), items.weights.tolist(), strict=True))
     for i, s in enumerate(items.shingles):
         if len(s):
-            items.prints[i] = _sign_bits((_bits(s) * np.array([weight[x] for x in s.tolist()], np.float32)[:, None]).sum(0))
+            items.prints[i] = _sign_bits(_bits(s).sum(0))
     return items
 
 
-def _near(value: np.ndarray, most: int) -> list[np.ndarray]:
-    """Each value of BITS bits with all that differ from it by `most` bits or fewer."""
-    from itertools import combinations
-
-    flips = [0, *(sum(1 << b for b in c) for k in range(1, most + 1) for c in combinations(range(BITS), k))]
-    return [value ^ np.uint64(f) for f in flips]
-
-
 class Index:
-    """Multi-index over the fingerprints of the items of one length."""
+    """Multi-index over the fingerprints of the items of one length: for each block of bits
+    a table of all values within the block's radius of some item's."""
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS) -> None:
         self.prints, self.radius = prints, radius
-        self.order, self.keys = [], []
+        self.near = np.zeros((BLOCKS, 1 << BITS), bool)
+        values = np.arange(1 << BITS)
         for b in range(BLOCKS):
-            block = self.block(prints, b)
-            order = np.argsort(block, kind="stable")
-            self.order.append(order)
-            self.keys.append(block[order])
+            self.near[b, self.block(prints, b)] = True
+            for _ in range(radius // BLOCKS):
+                self.near[b] |= np.any([self.near[b, values ^ (1 << k)] for k in range(BITS)], axis=0)
 
     @staticmethod
     def block(prints: np.ndarray, b: int) -> np.ndarray:
-        return (prints >> np.uint64(b * BITS)) & np.uint64((1 << BITS) - 1)
+        return ((prints >> np.uint64(b * BITS)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (number of the fingerprint, number of the item) within the radius."""
-        size, found = len(self.prints), []
-        for b in range(BLOCKS):
-            keys, mine = self.keys[b], self.block(prints, b)
-            if size <= 64:  # fewer items than neighbours: compare the blocks themselves
-                x, y = np.nonzero(np.bitwise_count(mine[:, None] ^ keys[None]) <= self.radius // BLOCKS)
-                found.append(x * size + self.order[b][y])
-                continue
-            for near in _near(mine, self.radius // BLOCKS):
-                lo, hi = np.searchsorted(keys, near), np.searchsorted(keys, near, "right")
-                many = hi - lo
-                x = np.repeat(np.arange(len(prints)), many)
-                y = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-                found.append(x * size + self.order[b][y])
-        got = np.unique(np.concatenate(found))
-        x, y = got // size, got % size
-        ok = np.bitwise_count(prints[x] ^ self.prints[y]) <= self.radius
-        return x[ok], y[ok]
+        """All pairs (number of the fingerprint, number of the item) within the radius. A
+        fingerprint that has no block in its table has no item within it."""
+        asked = np.flatnonzero(np.any([self.near[b, self.block(prints, b)] for b in range(BLOCKS)], axis=0))
+        found = [np.zeros((2, 0), np.int64)]
+        step = max(1, (1 << 20) // max(len(self.prints), 1))
+        for a in range(0, len(asked), step):
+            mine = asked[a : a + step]
+            x, y = np.nonzero(np.bitwise_count(prints[mine][:, None] ^ self.prints[None]) <= self.radius)
+            found.append(np.stack([mine[x], y]))
+        return tuple(np.concatenate(found, axis=1))
 
 
 def _matches(h: np.ndarray, grams: np.ndarray, places: np.ndarray, shingle: np.ndarray, items: Items, by_length: dict, at_least: float) -> list[tuple]:
@@ -157,22 +142,17 @@ def _matches(h: np.ndarray, grams: np.ndarray, places: np.ndarray, shingle: np.n
         starts = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
         if not len(starts):
             continue
-        # shingles outside every item weigh as if one document held them
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
             a, b = part[0], part[-1] + k
             g = grams[a:b]
-            where = np.minimum(np.searchsorted(items.known, g), len(items.known) - 1)
-            w = np.where(items.known[where] == g, items.weights[where], items.weights.max()).astype(np.float32)
-            sums = np.concatenate([np.zeros((1, 64), np.float32), np.cumsum(_bits(g) * w[:, None], 0, dtype=np.float32)])
-            prints = _sign_bits(np.round(sums[k:] - sums[:-k], 3))
+            sums = np.concatenate([np.zeros((1, 64), np.float32), np.cumsum(_bits(g), 0, dtype=np.float32)])
+            prints = _sign_bits(sums[k:] - sums[:-k])
             for x, j in zip(*index.within(prints), strict=True):
                 i, start = int(which[j]), int(part[x])
-                mine, at = np.unique(grams[start : start + k], return_index=True)
-                weight = w[start - a + at].astype(float)
-                common = np.isin(mine, items.shingles[i])
-                both = weight[common].sum()
-                theirs = items.weights[np.searchsorted(items.known, items.shingles[i])].astype(np.float32).astype(float).sum()
-                similar = float(both / max(weight.sum() + theirs - both, 1e-12))
+                theirs = items.weights[np.searchsorted(items.known, items.shingles[i])]
+                common = np.isin(items.shingles[i], grams[start : start + k], assume_unique=False)
+                others = len(np.unique(grams[start : start + k])) - int(common.sum())
+                similar = float(theirs[common].sum() / (theirs.sum() + others * theirs.mean()))
                 if similar >= at_least and similar > out.get(i, (0, 0, 0, 0, 0.0))[4] + 1e-6:
                     out[i] = (i, start, size, int(np.bitwise_count(prints[x] ^ items.prints[i])), similar)
     return list(out.values())

@@ -232,6 +232,7 @@ def test_index_finds_all_within_radius():
         asked = np.array([p ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 13), replace=False))) for p in prints[:20]])
         x, y = decontam.Index(prints, 12).within(asked)
         want = {(i, j) for i in range(20) for j in range(size) if bin(int(asked[i]) ^ int(prints[j])).count("1") <= 12}
+        assert decontam.Index(prints[:0], 12).within(asked)[0].size == 0
         assert set(zip(x.tolist(), y.tolist(), strict=True)) == want
 
 
@@ -239,3 +240,35 @@ def test_unit_columns(spark):
     m = spark.createDataFrame([(i, 1 if i < 3 else 2) for i in range(4)], "doc_id long, comp long")
     assert {r.comp for r in jaccard._units(m).select("comp").distinct().collect()} == {1}
     assert jaccard._units(m).filter(F.col("x") != F.col("y")).count() == 0
+
+
+def test_weighted_similarity_equals_brute_force(spark, docs, monkeypatch):
+    """Items and texts with changed words: the best window's similarity by definition, and the
+    same in several blocks of items."""
+    r = random.Random(12)
+    word = lambda: f"b{r.randint(0, 10**6)}"
+    items = [(i, [word() for _ in range(r.choice([30, 30, 41]))]) for i in range(12)]
+    rows = []
+    for i in range(90):
+        w = list(items[i % 12][1])
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = word()
+        rows.append((i, [word() for _ in range(r.randint(0, 30))] + w + [word() for _ in range(r.randint(0, 9))]))
+    held = collections.Counter(g for _, w in rows for g in shingles(w))
+    weight = lambda g: np.log1p(len(rows) / max(held[g], 1))
+    want = {}
+    for d, w in rows:
+        for i, t in items:
+            own, best = shingles(t), 0.0
+            total, mean = sum(map(weight, own)), sum(map(weight, own)) / len(own)
+            for k in range(len(w) - len(t) + 1):
+                mine = shingles(w[k : k + len(t)])
+                best = max(best, sum(weight(g) for g in own & mine) / (total + mean * len(mine - own)))
+            if best >= 0.8:
+                want[d, i] = round(best, 5)
+    texts = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): round(x.similarity, 5) for x in decontam.matches(texts, bench).collect()}
+    assert want and got == want
+    monkeypatch.setattr(decontam, "ITEMS", 5)
+    assert {(x.doc_id, x.item_id): round(x.similarity, 5) for x in decontam.matches(texts, bench).collect()} == want
