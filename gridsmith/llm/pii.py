@@ -48,7 +48,7 @@ MORE = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", DIGIT),
     "secret": (r"(?<![A-Za-z0-9_+/.@-])[A-Za-z0-9_+/-]{16,}+(?![A-Za-z0-9@]|\.[A-Za-z0-9_+/@-])", DIGIT),
 }
-BEFORE = 24
+BEFORE, PART = 24, 256
 
 
 def _need(text: Column, what: str) -> Column:
@@ -61,16 +61,41 @@ def _matches(text: Column, pattern: str, need: str) -> Column:
 
 
 def _placed(text: Column, matches: Column, pattern: str, kind: str) -> Column:
-    """Array of (start, end, kind, m) of the matches: what lies between them, split
-    off by the same pattern, gives their places."""
-    empty = F.array().cast("array<struct<start:int,end:int,kind:int,m:string>>")
+    """Array of (start, end, kind, m, b) of the matches, b being the BEFORE characters before:
+    what lies between them, split off by the same pattern, gives their places."""
+    empty = F.array().cast("array<struct<start:int,end:int,kind:int,m:string,b:string>>")
     k = F.lit(KINDS.index(kind))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), k.alias("kind"), x["m"].alias("m")))).alias("out"),
-    )
-    gaps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(matches)), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    return F.when(F.size(matches) > 0, F.aggregate(gaps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]).otherwise(empty)
+    last = lambda *parts: F.right(F.concat(*parts), F.lit(BEFORE))
+
+    def step(acc: Column, x: Column) -> Column:
+        start, before = acc["at"] + x["gap"], last(acc["tail"], x["tail"])
+        end = start + F.length(x["m"])
+        span = F.struct(start.alias("start"), end.alias("end"), k.alias("kind"), x["m"].alias("m"), before.alias("b"))
+        return F.struct(end.alias("at"), last(before, x["m"]).alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    gaps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(matches)), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), last(gap).alias("tail"), m.alias("m")))
+    # each part by itself, then the parts one after the other: an array grows by parts, not by
+    # spans. What stands before a part is in the BEFORE matches before it and their gaps.
+    parts = lambda g: F.transform(_starts(g), lambda i: F.struct(F.slice(g, i + 1, PART).alias("items"), F.array_join(F.transform(F.slice(g, F.greatest(i - BEFORE, F.lit(0)) + 1, F.least(i, F.lit(BEFORE))), lambda x: F.concat(x["tail"], x["m"])), "").alias("tail")))
+    local = F.transform(_let(gaps, parts), lambda part: F.aggregate(part["items"], F.struct(F.lit(0).alias("at"), last(part["tail"]).alias("tail"), empty.alias("out")), step))
+    shift = lambda spans_, by: F.transform(spans_, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["kind"].alias("kind"), s["m"].alias("m"), s["b"].alias("b")))
+    join = lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], shift(x["out"], acc["at"])).alias("out"))
+    return F.when(F.size(matches) > 0, F.aggregate(local, F.struct(F.lit(0).alias("at"), empty.alias("out")), join)["out"]).otherwise(empty)
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f's own lambdas use it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _starts(items: Column) -> Column:
+    """Where the parts of PART items of an array begin. Items must be a lambda's variable."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / PART).cast("int")), lambda k: k * PART)
+
+
+def _parts(items: Column) -> Column:
+    """The parts: what is quadratic in a part is linear in a text."""
+    return F.transform(_starts(items), lambda i: F.slice(items, i + 1, PART))
 
 
 def _digits(m: Column) -> Column:
@@ -263,15 +288,17 @@ def spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     found = _found(docs, text_col)
 
     def scored(s: Column) -> Column:
-        before = F.substring(F.col("_t"), F.greatest(s["start"] - BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(BEFORE)))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.struct(*(v.alias(n) for n, v in _features(s["m"], before, s["kind"]).items())).alias("f"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.struct(*(v.alias(n) for n, v in _features(s["m"], s["b"], s["kind"]).items())).alias("f"))
 
     least = F.create_map(*[F.lit(x) for kv in model.thresholds.items() for x in kv])
-    clear = lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    found = found.withColumn("_more", F.transform(F.filter(F.col("_more"), clear), scored))
-    accepted = F.filter(F.col("_more"), lambda s: _score(model, {n: s["f"][n] for n in NAMES}) >= least[s["kind"]])
     bare = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     found = found.withColumn("_base", F.array_sort(F.transform("_base", bare)))
+    bounds = lambda part: F.struct(F.array_min(F.transform(part, lambda b: b["start"])).alias("low"), F.array_max(F.transform(part, lambda b: b["end"])).alias("high"), part.alias("spans"))
+    meet = lambda s, a, b: (a < s["end"]) & (s["start"] < b)
+    clear = lambda near: lambda s: ~F.exists(near, lambda part: F.coalesce(meet(s, part["low"], part["high"]), F.lit(False)) & F.exists(part["spans"], lambda b: meet(s, b["start"], b["end"])))
+    left = _let(F.transform(_let(F.col("_base"), _parts), bounds), lambda near: F.filter(F.col("_more"), clear(near)))
+    found = found.withColumn("_more", F.when(F.size("_more") > 0, F.transform(left, scored)))
+    accepted = F.filter(F.col("_more"), lambda s: _score(model, {n: s["f"][n] for n in NAMES}) >= least[s["kind"]])
     return found.withColumn("_spans", F.when(F.size("_more") > 0, F.array_sort(F.concat("_base", F.transform(accepted, bare)))).otherwise(F.col("_base")))
 
 
@@ -302,7 +329,16 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             F.when(s["end"] > acc["at"], F.substring(acc["rest"], s["end"] - acc["at"] + 1, F.length(acc["rest"]))).otherwise(acc["rest"]).alias("rest"),
         )
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"), F.col("_t").alias("rest"))
-    done = F.aggregate("_spans", first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), acc["rest"]))
+    none = F.array().cast("array<string>")
+
+    def leap(acc: Column, part: Column) -> Column:
+        """A part of the spans, within the text up to its last end."""
+        top = F.greatest(acc["at"], F.array_max(F.transform(part, lambda s: s["end"])))
+        head = F.substring(acc["rest"], F.lit(1), top - acc["at"])
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out"), head.alias("rest")), step)
+        return F.struct(top.alias("at"), F.concat(acc["out"], F.array(F.array_join(inner["out"], ""))).alias("out"), F.substring(acc["rest"], top - acc["at"] + 1, F.length(acc["rest"])).alias("rest"))
+
+    first = F.struct(F.lit(0).alias("at"), none.alias("out"), F.col("_t").alias("rest"))
+    done = F.aggregate(_let(F.col("_spans"), _parts), first, leap, lambda acc: F.concat(F.array_join(acc["out"], ""), acc["rest"]))
     text = F.when(F.col("_text").isNotNull(), F.when(F.size("_spans") > 0, done).otherwise(F.col("_text")))
     return got.select(*[text.alias(n) if n == text_col else F.col("row")[n].alias(n) for n in docs.columns])
