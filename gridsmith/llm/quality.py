@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gridsmith.llm.common import NON_SPACE, id_text, ngrams, slices, words
 
@@ -258,21 +259,15 @@ def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
 
 
 def keep(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """The rows that the list keeps, with all their columns: one pass, nothing moved."""
-    names = docs.columns
+    """The rows that the list keeps, with all their columns: counted in one pass, then judged
+    by the list's conditional expression; nothing is moved."""
+    row = F.struct(*[F.col(f"`{n}`") for n in docs.columns])  # set apart, so that no name clashes
+    packed = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = names.index(text_col)
-        for batch in batches:
-            texts = pa.RecordBatch.from_arrays([batch.column(k)], names=["text"])
-            at = 0
-            for part in slices(texts):
-                found = count_texts(part.column(0))
-                x = np.stack([found[a] / (1.0 if b is None else np.maximum(found[b], 1)) for _, a, b in FEATURES], 1)
-                ok = ~((found["n_words"] < 10) | (100 * found["n_repeat_words"] > 20 * found["n_words"]))
-                for rule in rules:
-                    ok &= ~_covers(rule, x)
-                yield batch.slice(at, part.num_rows).filter(pa.array(ok))
-                at += part.num_rows
-
-    return docs.mapInArrow(run, docs.schema)
+        for batch in (s for b in batches for s in slices(b)):
+            found = count_texts(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], names=["row", *COUNTS])
+
+    schema = StructType([packed.schema["row"], *(StructField(c, LongType()) for c in COUNTS)])
+    return packed.mapInArrow(run, schema).filter(~base_failed() & verdict(rules)).select(*(F.col("row")[n].alias(n) for n in docs.columns))
