@@ -18,12 +18,12 @@ rows give equal rows. Extra columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ from gridsmith.llm.common import id_text, slices, text_buffer
 
 HIDDEN, SPAN, LANES = 8, 64, 1024
 PER_LABEL, WINDOWS, WINDOW, STEPS, BATCH = 300, 6, 48, 260, 192
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
