@@ -16,7 +16,7 @@ gives no rows. Columns other than key and text are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsmith.llm.common import materialize, partitions
@@ -24,8 +24,12 @@ from gridsmith.llm.common import materialize, partitions
 
 def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row."""
+    return _placed(docs, F.monotonically_increasing_id(), shards, id_col, text_col).drop("_at")
+
+
+def _placed(docs: DataFrame, at: Column, shards: int, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("_at"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), at.alias("_at"))
     order = ["doc_id", "text_crc32", "size", "_at"]
     spark = docs.sparkSession
     dealt = materialize(rows.repartitionByRange(partitions(spark), *order).withColumn("_part", F.spark_partition_id()), "shard-rows")
@@ -41,15 +45,18 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
             "doc_id",
             "size",
             "text_crc32",
+            "_at",
             F.least(F.lit(shards - 1), F.expr(f"cast((cast(2 * end - size as decimal(38,0)) * {shards}) div (2 * all_bytes) as int)")).alias("shard"),
             (F.col("n0") + F.col("k") - 1).alias("at"),
         )
     )
     first = placed.groupBy("shard").agg(F.min("at").alias("first"))  # one row for each shard
-    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("at") - F.col("first")).cast("long").alias("slot"))
+    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "_at", "shard", (F.col("at") - F.col("first")).cast("long").alias("slot"))
 
 
 def write(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write all columns of the rows, each shard in a folder of its own. Ids must be unique."""
-    where = assign(docs, shards, id_col, text_col).select(F.col("doc_id").alias(id_col), F.col("shard").alias("_shard"))
-    docs.join(where, id_col).write.partitionBy("_shard").parquet(path)
+    """Write all columns of every row, each shard in a folder _shard=N of its own. Null and
+    repeated ids are kept: rows are numbered in a table, and joined by number."""
+    numbered = materialize(docs.withColumn("_number", F.monotonically_increasing_id()), "numbered-rows")
+    where = _placed(numbered, F.col("_number"), shards, id_col, text_col).select(F.col("_at").alias("_number"), F.col("shard").alias("_shard"))
+    numbered.join(where, "_number").drop("_number").write.partitionBy("_shard").parquet(path)
