@@ -171,7 +171,7 @@ def fit_score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_c
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     rows = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # two numbers for each example
-    one = rows.mapInArrow(_shorten, "doc_id long, text string, y int").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * examples).toPandas()
+    one = rows.mapInArrow(_shorten, "doc_id long, text string, many array<int>, y int").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * examples).toPandas()
     toxic = one.y.to_numpy() == 1
     terms = choose_terms(one.text.tolist(), toxic) if len(one) and toxic.any() and not toxic.all() else []
     held = materialize(sparse(docs, terms, id_col, text_col), "toxic-terms")
@@ -180,10 +180,11 @@ def fit_score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_c
     idf = np.log1p(total / np.maximum([df.get(i, 0) for i in range(len(terms))], 1)) if terms else np.zeros(0)
     number = {w: i for i, w in enumerate(terms)}
     x = np.zeros((len(one), len(terms)))
-    for i, t in enumerate(one.text):
-        for w, n in Counter(terms_of(t)).items():
-            if w in number:
-                x[i, number[w]] = n
+    for i, (t, many) in enumerate(zip(one.text, one.many, strict=True)):
+        for w, n in zip(t.split(), many, strict=True):
+            for term in terms_of(w):
+                if term in number:
+                    x[i, number[term]] += n
     third = np.arange(len(one)) % 3 == 2
     any_ = x.sum(1) > 0
     ids, y = one.doc_id.to_numpy(), toxic.astype(float)
@@ -215,7 +216,7 @@ def fit_score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_c
 
 
 def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each example's text as its distinct lower-case words with their repeats, in order."""
+    """Each example's text as its distinct lower-case words, in order, and their counts."""
     for batch in batches:
-        texts = [" ".join(_WORD.findall(t.lower())) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], names=["doc_id", "text", "y"])
+        held = [Counter(_WORD.findall(t.lower())) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(c) for c in held], pa.string()), pa.array([list(c.values()) for c in held], pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "text", "many", "y"])
