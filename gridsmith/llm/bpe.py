@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 
 from gridsmith.llm.common import id_text, slices
 
-#: Distinct pieces that a worker remembers.
-CACHE = 300_000
+#: Distinct pieces that a worker remembers, and characters that they may have together.
+CACHE, CACHE_CHARS = 300_000, 16 << 20
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, token_starts array<int>, token_ends array<int>"
 
 
@@ -87,6 +87,7 @@ class Coder:
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.cut = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.known_chars = 0
         size = max(ranks.values()) + 1
         self.bytes_of = [b""] * size
         for token, i in ranks.items():
@@ -98,9 +99,10 @@ class Coder:
         for text in texts:
             pieces = self.cut(text)
             if fresh := list(set(pieces).difference(self.known)):
-                if len(self.known) + len(fresh) > CACHE:
-                    self.known = {}
+                if len(self.known) + len(fresh) > CACHE or self.known_chars > CACHE_CHARS:
+                    self.known, self.known_chars = {}, 0
                     fresh = list(set(pieces))
+                self.known_chars += sum(map(len, fresh))
                 for piece, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
                     self.known[piece] = np.array(e.ids, "<u4").tobytes()
             out.append(np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4"))

@@ -94,3 +94,13 @@ def test_shards_of_odd_rows(odd, nothing):
     assert {r.size for r in rows if r.doc_id == 3} == {1}
     for s in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_written_shards_hold_every_row(spark, odd, tmp_path):
+    sharding.write(odd, f"{tmp_path}/out", 3)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(got.columns) == sorted([*odd.columns, "_shard"])
+    key = lambda r: (r.doc_id or -1, r.text or "", r.lang or "")
+    assert sorted(map(key, got.collect())) == sorted(map(key, odd.collect()))
+    want = {(r.shard, r["count"]) for r in sharding.assign(odd, 3).groupBy("shard").count().collect()}
+    assert {(r["_shard"], r["count"]) for r in got.groupBy("_shard").count().collect()} == want

@@ -213,3 +213,33 @@ def test_odd_rows(odd, nothing, model):
 def test_find_is_native(odd, model):
     plan = pii.find(odd.select("doc_id", "text"), model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_many_spans_of_one_text(spark, model):
+    """Spans of several parts of PART: placed and redacted as in one."""
+    lines = [f"{i:03d}-12-{i:04d} a{i}@b.org 10.0.{i % 256}.1" for i in range(700)]
+    text = "ß " + "; ".join(lines)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii.find(df, model).first()
+    assert (got.n_email, got.n_ip) == (700, 700) and got.base_sha256 == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest()
+    out, at = [], 0
+    for s in got.spans.split(","):
+        kind, a, b = s.split(":")
+        out += [text[at : int(a)], f"[{kind.upper()}]"]
+        at = int(b)
+    assert pii.redact(df, model).first().text == "".join(out) + text[at:]
+
+
+def test_marks_are_no_letters(spark):
+    """Numbers and signs that are no letters by Unicode: nothing to tell a language by."""
+    df = spark.createDataFrame([(1, "² ½ ①"), (2, "Ⅷ 12 ☃"), (3, "ß"), (4, "語")], "doc_id long, text string")
+    net = langid.fit(spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate([("the cat sat", "en"), ("die katze saß", "de")] * 5)], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, net).collect()}
+    assert (got[1], got[2]) == ("und", "und") and "und" not in (got[3], got[4])
+
+
+def test_keep_and_redact_of_nothing(odd, nothing, model):
+    assert quality.keep(nothing, []).count() == 0 and quality.keep(nothing, []).columns == nothing.columns
+    assert pii.redact(nothing, model).count() == 0
+    kept = quality.keep(odd, [])
+    assert kept.schema == odd.schema and sorted(r.doc_id or -1 for r in kept.collect()) == sorted(r.doc_id or -1 for r in quality.judge(odd, []).filter("kept").collect())
