@@ -24,8 +24,9 @@ read whole. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -94,11 +95,13 @@ class Index:
     def __init__(self, prints: np.ndarray, radius: int = RADIUS) -> None:
         self.prints, self.radius = prints, radius
         self.near = np.zeros((BLOCKS, 1 << BITS), bool)
-        values = np.arange(1 << BITS)
         for b in range(BLOCKS):
-            self.near[b, self.block(prints, b)] = True
+            near = self.near[b]
+            near[self.block(prints, b)] = True
             for _ in range(radius // BLOCKS):
-                self.near[b] |= np.any([self.near[b, values ^ (1 << k)] for k in range(BITS)], axis=0)
+                before = near.copy()
+                for k in range(BITS):  # the values that differ in bit k
+                    near |= before.reshape(-1, 2, 1 << k)[:, ::-1].reshape(-1)
 
     @staticmethod
     def block(prints: np.ndarray, b: int) -> np.ndarray:
@@ -117,7 +120,7 @@ class Index:
         return tuple(np.concatenate(found, axis=1))
 
 
-def _matches(h: np.ndarray, grams: np.ndarray, places: np.ndarray, shingle: np.ndarray, items: Items, by_length: dict, at_least: float) -> list[tuple]:
+def _matches(h: np.ndarray, grams: np.ndarray, places: np.ndarray, shingle: np.ndarray, items: Items, by_length: Callable[[int], tuple[np.ndarray, Index]], at_least: float) -> list[tuple]:
     """Rows (item, first word, words, differing bits, similarity) for one text: the best
     window of each item. places: of its shingles that some item holds, whose numbers
     among the known are `shingle`."""
@@ -129,7 +132,7 @@ def _matches(h: np.ndarray, grams: np.ndarray, places: np.ndarray, shingle: np.n
     for length in np.unique(lengths).tolist():
         if min(length, n) < SHINGLE:
             continue
-        which, index = by_length[length]
+        which, index = by_length(length)
         hits = np.unique(at_place[lengths == length])
         size = min(length, n)  # of the windows
         k = size - SHINGLE + 1
@@ -239,10 +242,12 @@ def _block(texts: DataFrame, items: Items, similarity: float, schema: str) -> Da
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = ready.value
-        by_length = {}
-        for n in sorted({int(x) for x in it.lengths if x >= SHINGLE}):
+
+        @cache
+        def by_length(n: int) -> tuple[np.ndarray, Index]:
             which = np.flatnonzero(it.lengths == n)
-            by_length[n] = (which, Index(it.prints[which]))
+            return which, Index(it.prints[which])
+
         for batch in (s for b in batches for s in slices(b)):
             h, first = words(batch.column(1))
             rows, of = [], []
