@@ -55,28 +55,19 @@ def n8(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_orderkey").agg(F.bround(100.0 * F.count_if(c("l_returnflag") == "N") / F.count("*")).cast("int").alias("v"))
 
 
-@query("n9_coordinate_snap", "SELECT c_custkey, CAST(CAST(CAST(c_acctbal AS DECIMAL(18,2)) / 64 AS DECIMAL(18,6)) AS DOUBLE) AS v FROM customer WHERE c_custkey % 64 = 0")
-def n9(t: Tables, where: str = "c_custkey % 64 = 0") -> DataFrame:
-    return t.customer.filter(where).select("c_custkey", (c("c_acctbal").cast("decimal(18,2)") / 64).cast("decimal(18,6)").cast("double").alias("v"))
+@query("n9_coordinate_snap", "SELECT c_custkey, CAST(CAST(CAST(c_acctbal AS DECIMAL(18,2)) / 64 AS DECIMAL(18,6)) AS DOUBLE) AS v FROM customer")
+def n9(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", (c("c_acctbal").cast("decimal(18,2)") / 64).cast("decimal(18,6)").cast("double").alias("v"))
 
 
-query("n9_coordinate_snap_whole", "SELECT c_custkey, CAST(CAST(CAST(c_acctbal AS DECIMAL(18,2)) / 64 AS DECIMAL(18,6)) AS DOUBLE) AS v FROM customer")(lambda t: n9(t, "true"))
+@query("n10_safe_decimal", "SELECT p_partkey, CASE WHEN p_size % 5 = 2 THEN CAST(p_size + 0.25 AS DOUBLE) END AS v FROM part")
+def n10(t: Tables) -> DataFrame:
+    return _german(t).select("p_partkey", c("s").try_cast("decimal(18,4)").cast("double").alias("v"))
 
 
-@query("n10_safe_decimal", f"SELECT p_partkey, CASE WHEN p_size % 5 = 2 THEN CAST(p_size + 0.25 AS DOUBLE) END AS v FROM part WHERE p_size % 5 >= 1")
-def n10(t: Tables, where: str = "p_size % 5 >= 1") -> DataFrame:
-    return _german(t).filter(where).select("p_partkey", c("s").try_cast("decimal(18,4)").cast("double").alias("v"))
-
-
-query("n10_safe_decimal_whole", "SELECT p_partkey, CASE WHEN p_size % 5 = 2 THEN CAST(p_size + 0.25 AS DOUBLE) END AS v FROM part")(lambda t: n10(t, "true"))
-
-
-@query("n11_bytes_text", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN CAST(n_chars AS VARCHAR) || ' B' ELSE 'KB' END AS v FROM documents WHERE n_chars < 1024")
-def n11(t: Tables, where: str = "n_chars < 1024") -> DataFrame:
-    return t.documents.filter(where).select("doc_id", numbers.bytes_text(c("n_chars")).alias("v"))
-
-
-query("n11_bytes_text_whole", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN CAST(n_chars AS VARCHAR) || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', round(n_chars / 1024, 1)) ELSE printf('%.1f MB', round(n_chars / 1048576, 1)) END AS v FROM documents")(lambda t: n11(t, "true"))
+@query("n11_bytes_text", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN CAST(n_chars AS VARCHAR) || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', round(n_chars / 1024, 1)) ELSE printf('%.1f MB', round(n_chars / 1048576, 1)) END AS v FROM documents")
+def n11(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", numbers.bytes_text(c("n_chars")).alias("v"))
 
 
 @query("t1_safe_date", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders")
@@ -191,13 +182,10 @@ def g12(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5("text").alias("m"), F.sha2("text", 256).alias("s"), text.short_hash(c("text")).alias("h"))
 
 
-@query("g14_flags_and_lists", "SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS yes, 2 AS n FROM lineitem WHERE l_orderkey < 4000")
-def g14(t: Tables, where: str = "l_orderkey < 4000") -> DataFrame:
+@query("g14_flags_and_lists", "SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS yes, 2 AS n FROM lineitem")
+def g14(t: Tables) -> DataFrame:
     parts = text.listed(F.concat(c("l_returnflag"), F.lit("; ;"), c("l_linestatus")), ";")
-    return t.lineitem.filter(where).select("l_orderkey", "l_linenumber", text.yes(F.when(c("l_returnflag") == "R", " Ja ").otherwise("Nein")).alias("yes"), F.size(parts).alias("n"))
-
-
-query("g14_flags_and_lists_whole", "SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS yes, 2 AS n FROM lineitem")(lambda t: g14(t, "true"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", text.yes(F.when(c("l_returnflag") == "R", " Ja ").otherwise("Nein")).alias("yes"), F.size(parts).alias("n"))
 
 
 _LEVEL = "CASE c_nationkey % 8 WHEN 0 THEN 'Hochspannung' WHEN 1 THEN '110 kV / 20 kV' WHEN 2 THEN 'Umspannung 20/0,4kV' WHEN 3 THEN 'Mittelspannung (MSP)' WHEN 4 THEN '400 V' WHEN 5 THEN 'Umspannung Hoch - / Mittelspannung' WHEN 6 THEN 'Entnahme in MS ab 2025' ELSE c_name END"
@@ -205,10 +193,7 @@ _LEVEL = "CASE c_nationkey % 8 WHEN 0 THEN 'Hochspannung' WHEN 1 THEN '110 kV /
 
 @query("g15_level_normalization", "SELECT c_custkey, CASE c_nationkey % 8 WHEN 0 THEN 'HS' WHEN 1 THEN 'HS/MS' WHEN 2 THEN 'MS/NS' WHEN 3 THEN 'MS' WHEN 4 THEN 'NS' WHEN 5 THEN 'HS/MS' WHEN 6 THEN 'MS' END AS level FROM customer")
 def g15(t: Tables) -> DataFrame:
-    rows = t.customer.select("c_custkey", F.expr(_LEVEL).alias("label"))
-    # labels repeat: each distinct one is normalised once
-    known = rows.select("label").distinct().withColumn("level", levels.normalize(c("label")))
-    return rows.join(known, "label").select("c_custkey", "level")
+    return t.customer.select("c_custkey", levels.normalize(F.expr(_LEVEL)).alias("level"))
 
 
 @query("g16_file_names", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'netzentgelte' ELSE 'hlzf' END AS kind, 2021 AS y FROM orders")

@@ -96,16 +96,13 @@ def s10(t: Tables) -> DataFrame:
     return files.names_csv(t.spark, path)
 
 
-@query("s11_parquet_seed", "SELECT c_custkey, nullif(c_acctbal, c_acctbal) AS c_acctbal FROM customer WHERE c_custkey < 100")
-def s11(t: Tables, where: str = "c_custkey < 100") -> DataFrame:
+@query("s11_parquet_seed", "SELECT c_custkey, nullif(c_acctbal, c_acctbal) AS c_acctbal FROM customer")
+def s11(t: Tables) -> DataFrame:
     path = folder(t)
-    t.customer.filter(where).select("c_custkey", F.lit(float("nan")).alias("c_acctbal")).write.parquet(path)
+    t.customer.select("c_custkey", F.lit(float("nan")).alias("c_acctbal")).write.parquet(path)
     return files.seed(t.spark, [path + "-missing", path])
 
 
-query("s11_parquet_seed_whole", "SELECT c_custkey, nullif(c_acctbal, c_acctbal) AS c_acctbal FROM customer")(lambda t: s11(t, "true"))
-
-
 @query("s12_json_stats", "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation")
 def s12(t: Tables) -> DataFrame:
     path = folder(t)
@@ -186,61 +183,46 @@ def s24(t: Tables) -> DataFrame:
 _TEXT = "concat('Preisblatt\nHochspannungsnetz 26,88 8,58 230,39 0,44\nMittelspannung ', p_size, ',5 2,5 3,5 4,5\n')"
 
 
-@query("c9_tariffs_from_text", "SELECT p_partkey, 'HS' AS level, 26.88 AS a, 0.44 AS d FROM part WHERE p_partkey < 300 UNION ALL SELECT p_partkey, 'MS', p_size + 0.5, 4.5 FROM part WHERE p_partkey < 300")
-def c9(t: Tables, where: str = "p_partkey < 300") -> DataFrame:
-    rows = t.part.filter(where).select("p_partkey", F.expr(_TEXT).alias("text"))
+@query("c9_tariffs_from_text", "SELECT p_partkey, 'HS' AS level, 26.88 AS a, 0.44 AS d FROM part UNION ALL SELECT p_partkey, 'MS', p_size + 0.5, 4.5 FROM part")
+def c9(t: Tables) -> DataFrame:
+    rows = t.part.select("p_partkey", F.expr(_TEXT).alias("text"))
     return extraction.tariffs_from_text(rows, "p_partkey", "text").select("p_partkey", "level", c("leistung_unter_2500h").alias("a"), c("arbeit").alias("d"))
 
 
-query("c9_tariffs_from_text_whole", "SELECT p_partkey, 'HS' AS level, 26.88 AS a, 0.44 AS d FROM part UNION ALL SELECT p_partkey, 'MS', p_size + 0.5, 4.5 FROM part")(lambda t: c9(t, "true"))
-
-
-@query("c9_tariff_sections", "SELECT p_partkey, 'MS' AS level, p_size + 0.5 AS a, p_size + 1.5 AS e FROM part WHERE p_partkey < 300 UNION ALL SELECT p_partkey, 'NS', NULL, 9.5 FROM part WHERE p_partkey < 300")
-def c9_sections(t: Tables, where: str = "p_partkey < 300") -> DataFrame:
+@query("c9_tariff_sections", "SELECT p_partkey, 'MS' AS level, p_size + 0.5 AS a, p_size + 1.5 AS e FROM part UNION ALL SELECT p_partkey, 'NS', NULL, 9.5 FROM part")
+def c9_sections(t: Tables) -> DataFrame:
     text = F.concat(F.lit("bis zu 2.500 Stunden\nMittelspannung (MSP) "), c("p_size"), F.lit(",5 EUR/kW 1,1 Ct/kWh\nüber 2.500 Stunden\nMittelspannung (MSP) "), c("p_size") + 1, F.lit(",5 EUR/kW\nNiederspannung (NSP) 9,5 EUR/kW\n"))
-    rows = t.part.filter(where).select("p_partkey", text.alias("text"))
+    rows = t.part.select("p_partkey", text.alias("text"))
     return extraction.tariffs_from_text(rows, "p_partkey", "text").select("p_partkey", "level", c("leistung_unter_2500h").alias("a"), c("leistung").alias("e"))
 
 
-query("c9_tariff_sections_whole", "SELECT p_partkey, 'MS' AS level, p_size + 0.5 AS a, p_size + 1.5 AS e FROM part UNION ALL SELECT p_partkey, 'NS', NULL, 9.5 FROM part")(lambda t: c9_sections(t, "true"))
-
-
-@query("c10_tariffs_from_cells", "SELECT p_partkey, 'MS' AS level, p_size + 0.5 AS a, 7.5 AS e FROM part WHERE p_partkey < 300 UNION ALL SELECT p_partkey, 'HS/MS', NULL, 42.5 FROM part WHERE p_partkey < 300")
-def c10(t: Tables, where: str = "p_partkey < 300") -> DataFrame:
+@query("c10_tariffs_from_cells", "SELECT p_partkey, 'MS' AS level, p_size + 0.5 AS a, 7.5 AS e FROM part UNION ALL SELECT p_partkey, 'HS/MS', NULL, 42.5 FROM part")
+def c10(t: Tables) -> DataFrame:
     row = lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x])
     table = F.array(row("", "< 2.500 h", ""), row("1", "Mittelspannung", F.concat(c("p_size"), F.lit(",5")), "1,5"), row("", "≥ 2.500 h", ""), row("1", "Mittelspannung", "7,5", "8,5"), row("2", "Umspannung", "42,5", "5,5"), row("", "110 kV / 20 kV", ""))
-    cells = t.part.filter(where).select("p_partkey", F.posexplode(table).alias("row", "cells"))
+    cells = t.part.select("p_partkey", F.posexplode(table).alias("row", "cells"))
     return extraction.tariffs_from_cells(cells, "p_partkey").select("p_partkey", "level", c("leistung_unter_2500h").alias("a"), c("leistung").alias("e"))
 
 
-query("c10_tariffs_from_cells_whole", "SELECT p_partkey, 'MS' AS level, p_size + 0.5 AS a, 7.5 AS e FROM part UNION ALL SELECT p_partkey, 'HS/MS', NULL, 42.5 FROM part")(lambda t: c10(t, "true"))
-
-
-@query("c11_windows_from_cells", "SELECT p_partkey, l AS level, s AS season, 1 AS n FROM part, (VALUES ('HS','winter'),('MS','winter'),('MS','herbst')) AS x(l, s) WHERE p_partkey < 300")
-def c11(t: Tables, where: str = "p_partkey < 300") -> DataFrame:
+@query("c11_windows_from_cells", "SELECT p_partkey, l AS level, s AS season, 1 AS n FROM part, (VALUES ('HS','winter'),('MS','winter'),('MS','herbst')) AS x(l, s)")
+def c11(t: Tables) -> DataFrame:
     row = lambda *x: F.array(*[F.lit(v) for v in x])
     table = F.array(row("Ebene", "Winter", "Frühling", "Sommer", "Herbst"), row("Hochspannung", "07:30-15:30", "entfällt", "", ""), row("Mittelspannung", "08:00-12:00", "", "", "16:00-18:00"))
-    cells = t.part.filter(where).select("p_partkey", F.posexplode(table).alias("row", "cells"))
+    cells = t.part.select("p_partkey", F.posexplode(table).alias("row", "cells"))
     return extraction.windows_from_cells(cells, "p_partkey").select("p_partkey", "level", "season", F.size("windows").alias("n"))
 
 
-query("c11_windows_from_cells_whole", "SELECT p_partkey, l AS level, s AS season, 1 AS n FROM part, (VALUES ('HS','winter'),('MS','winter'),('MS','herbst')) AS x(l, s)")(lambda t: c11(t, "true"))
-
-
-@query("c12_windows_from_text", "SELECT event_id, 'HS' AS level, 'winter' AS season, '07:30' AS s FROM events WHERE event_id < 300 UNION ALL SELECT event_id, 'MS', 'winter', '08:00' FROM events WHERE event_id < 300 UNION ALL SELECT event_id, 'MS', 'herbst', '16:00' FROM events WHERE event_id < 300")
-def c12(t: Tables, where: str = "event_id < 300") -> DataFrame:
+@query("c12_windows_from_text", "SELECT event_id, 'HS' AS level, 'winter' AS season, '07:30' AS s FROM events UNION ALL SELECT event_id, 'MS', 'winter', '08:00' FROM events UNION ALL SELECT event_id, 'MS', 'herbst', '16:00' FROM events")
+def c12(t: Tables) -> DataFrame:
     text = F.lit("Winter Herbst\nHochspannung 07:30 - 15:30\nMittelspannung 08:00 - 12:00 16:00 - 18:00\n")
-    rows = t.events.filter(where).select("event_id", text.alias("t"))
+    rows = t.events.select("event_id", text.alias("t"))
     return extraction.windows_from_text(rows, "event_id", "t").select("event_id", "level", "season", c("start").alias("s"))
 
 
-query("c12_windows_from_text_whole", "SELECT event_id, 'HS' AS level, 'winter' AS season, '07:30' AS s FROM events UNION ALL SELECT event_id, 'MS', 'winter', '08:00' FROM events UNION ALL SELECT event_id, 'MS', 'herbst', '16:00' FROM events")(lambda t: c12(t, "true"))
-
-
 @query("m6_html_windows", "SELECT page_id, 'MS' AS level, 'winter' AS season FROM pages")
 def m6(t: Tables) -> DataFrame:
     made = F.lit("<h2>2025</h2><table><tr><th>Ebene</th><th>Winter</th><th>Sommer</th></tr><tr><td>Mittelspannung</td><td>08:00 - 12:00</td><td>-</td></tr></table>")
-    cells = t.pages.select("page_id", F.posexplode(html.tables(F.concat(made, F.substring("html", 1, 0)))[0]["rows"]).alias("row", "cells"))
+    cells = t.pages.select("page_id", F.posexplode(html.tables(F.concat(made, c("html")))[0]["rows"]).alias("row", "cells"))
     return extraction.windows_from_cells(cells, "page_id").select("page_id", "level", "season")
 
 

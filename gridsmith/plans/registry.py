@@ -28,11 +28,20 @@ def level_counts(cp: DataFrame) -> DataFrame:
     )
 
 
-def capacity(units: DataFrame) -> DataFrame:
-    """A3: capacity by source in thousands, exact decimals; missing sources are 0."""
-    amount = F.col("l_quantity").cast("decimal(18,4)")
-    mega = lambda flag: (F.coalesce(F.sum(F.when(F.col("l_returnflag") == flag, amount)), F.lit(0)) / 1000).cast("decimal(18,6)").cast("double")
-    return units.groupBy("n_nationkey").agg(*(mega(f).alias(n) for n, f in (("cap_solar", "A"), ("cap_wind", "N"), ("cap_storage", "R"))), (F.sum(amount) / 1000).cast("decimal(18,6)").cast("double").alias("cap_total"))
+def chained_units(t: Tables, only: str = "true") -> DataFrame:
+    """n_nationkey, flag, amount and n of the units that `only` keeps. Units are added up by
+    order and source before the hops, so fewer rows are shuffled to orders and customers."""
+    units = t.lineitem.filter(only).groupBy("l_orderkey", "l_returnflag").agg(F.sum(F.col("l_quantity").cast("decimal(18,4)")).alias("amount"), F.count("*").alias("n"))
+    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    return units.join(orders, "l_orderkey").join(t.customer.select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), "c_custkey")
+
+
+def capacity(units: DataFrame, count: bool = False) -> DataFrame:
+    """A3: capacity by source in thousands, exact decimals; missing sources are 0. With
+    count, the number of units too."""
+    mega = lambda flag: (F.coalesce(F.sum(F.when(F.col("l_returnflag") == flag, F.col("amount"))), F.lit(0)) / 1000).cast("decimal(18,6)").cast("double")
+    more = [F.sum("n").alias("n_units")] if count else []
+    return units.groupBy("n_nationkey").agg(*(mega(f).alias(n) for n, f in (("cap_solar", "A"), ("cap_wind", "N"), ("cap_storage", "R"))), (F.sum("amount") / 1000).cast("decimal(18,6)").cast("double").alias("cap_total"), *more)
 
 
 def registry_stats(t: Tables, quick: bool = False) -> DataFrame:
@@ -41,9 +50,7 @@ def registry_stats(t: Tables, quick: bool = False) -> DataFrame:
     names = [*(f"cp_{k}" for k in SEGMENTS), "cp_other", "cp_total"]
     parts, zero = [cps], names
     if not quick:
-        units = chain(t).filter("l_linestatus = 'O'")
-        counts = units.groupBy("n_nationkey").agg(F.count("*").alias("n_units"))
-        parts += [capacity(units), counts]
+        parts.append(capacity(chained_units(t, "l_linestatus = 'O'"), count=True))
         zero = [*names, "cap_solar", "cap_wind", "cap_storage", "cap_total", "n_units"]
     base = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     out = with_defaults(base, parts, "n_nationkey", zero)
@@ -87,7 +94,7 @@ def a1(t: Tables) -> DataFrame:
 
 @query("a3_capacity_by_source", f"SELECT c_nationkey AS n_nationkey, {_CAP} FROM {_CHAIN} GROUP BY 1")
 def a3(t: Tables) -> DataFrame:
-    return capacity(chain(t))
+    return capacity(chained_units(t))
 
 
 @query(

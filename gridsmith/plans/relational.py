@@ -317,13 +317,10 @@ def p3(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.array_join(a, ",").alias("sources"))
 
 
-@query("p4_struct_builder", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0 THEN l_tax + l_discount END AS other, CASE WHEN l_tax > 0 THEN l_quantity END AS solar FROM lineitem WHERE l_orderkey < 2000")
-def p4(t: Tables, where: str = "l_orderkey < 2000") -> DataFrame:
+@query("p4_struct_builder", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0 THEN l_tax + l_discount END AS other, CASE WHEN l_tax > 0 THEN l_quantity END AS solar FROM lineitem")
+def p4(t: Tables) -> DataFrame:
     s = F.when(F.col("l_tax") > 0, F.struct((F.col("l_tax") + F.col("l_discount")).alias("other"), F.col("l_quantity").alias("solar")))
-    return t.lineitem.filter(where).withColumn("s", s).select("l_orderkey", "l_linenumber", "s.other", "s.solar")
-
-
-query("p4_struct_builder_whole", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0 THEN l_tax + l_discount END AS other, CASE WHEN l_tax > 0 THEN l_quantity END AS solar FROM lineitem")(lambda t: p4(t, "true"))
+    return t.lineitem.withColumn("s", s).select("l_orderkey", "l_linenumber", "s.other", "s.solar")
 
 
 @query("p5_bucket_rollup", "SELECT c_nationkey, count(*) FILTER (WHERE c_mktsegment IN ('HOUSEHOLD','FURNITURE')) AS ns, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS ms, count(*) FILTER (WHERE c_mktsegment IN ('MACHINERY','AUTOMOBILE')) AS hs FROM customer GROUP BY 1")
@@ -349,12 +346,9 @@ def p8(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg(F.least(F.bround(F.count("*") * 100.0 / 50), F.lit(100)).cast("int").alias("score"))
 
 
-@query("p9_creation_fields", "SELECT o_orderkey, coalesce(nullif(o_orderpriority, '5-LOW'), c_mktsegment) AS field FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey < 5000")
-def p9(t: Tables, where: str = "o_orderkey < 5000") -> DataFrame:
-    return t.orders.filter(where).join(t.customer, F.col("c_custkey") == F.col("o_custkey"), "left").select("o_orderkey", F.coalesce(F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")), F.col("c_mktsegment")).alias("field"))
-
-
-query("p9_creation_fields_whole", "SELECT o_orderkey, coalesce(nullif(o_orderpriority, '5-LOW'), c_mktsegment) AS field FROM orders LEFT JOIN customer ON c_custkey = o_custkey")(lambda t: p9(t, "true"))
+@query("p9_creation_fields", "SELECT o_orderkey, coalesce(nullif(o_orderpriority, '5-LOW'), c_mktsegment) AS field FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def p9(t: Tables) -> DataFrame:
+    return t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"), "left").select("o_orderkey", F.coalesce(F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")), F.col("c_mktsegment")).alias("field"))
 
 
 @query("p10_patch_fields", "SELECT c_custkey, coalesce(x.b, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, CAST(min(o_totalprice) AS DOUBLE) AS b FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) x ON o_custkey = c_custkey")
@@ -374,10 +368,7 @@ def p1(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("id"), F.lower("c_name").alias("slug"), (F.col("c_acctbal").cast("decimal(10,2)") > 0).alias("active"))
 
 
-@query("x14_fan_out", "SELECT l_orderkey, l_returnflag AS kind, count(*) AS n FROM lineitem WHERE l_orderkey < 3000 AND l_returnflag <> 'N' GROUP BY 1, 2")
-def x14(t: Tables, where: str = "l_orderkey < 3000") -> DataFrame:
-    best = t.lineitem.filter(where).groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n")).groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "n"))).alias("m"))
+@query("x14_fan_out", "SELECT l_orderkey, l_returnflag AS kind, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2")
+def x14(t: Tables) -> DataFrame:
+    best = t.lineitem.groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n")).groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "n"))).alias("m"))
     return best.select("l_orderkey", F.explode("m").alias("kind", "n")).filter("kind != 'N'")
-
-
-query("x14_fan_out_whole", "SELECT l_orderkey, l_returnflag AS kind, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2")(lambda t: x14(t, "true"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.catalogs import IMPORTANCE_FALLBACK, IMPORTANCE_P90, IMPORTANCE_WEIGHTS
-from gridsmith.functions import html, levels, urls
+from gridsmith.catalogs import DATA_PATTERNS, IMPORTANCE_FALLBACK, IMPORTANCE_P90, IMPORTANCE_WEIGHTS, NEGATIVE_WORDS, POSITIVE_WORDS, REQUIRED_WORDS
+from gridsmith.functions import html, levels, urls, verification
 from gridsmith.functions.numbers import log_share
 from gridsmith.operators.ranking import pick
 from gridsmith.registry import query
@@ -109,18 +109,49 @@ def c4(t: Tables) -> DataFrame:
     return t.pages.withColumn("s", urls.discovery_score(c("url"), F.lit(""), ["the", "and"], 76)).select("page_id", "s.score", "s.has_year")
 
 
-@query("c5_content_verification", "WITH s AS (SELECT doc_id, CAST(contains(lower(text), 'th') AS INTEGER) + CAST(contains(lower(text), 'ei') AS INTEGER) AS groups, CAST(contains(lower(text), 'license') AS INTEGER) AS neg, CAST(contains(text, '555') AS INTEGER) AS pos FROM documents) SELECT doc_id, CAST(greatest(0, least(100, groups * 40 + pos * 10 - neg * 25)) AS INTEGER) AS confidence, groups * 40 + pos * 10 - neg * 25 >= 40 AS verified FROM s")
+#: What documents of these kinds say, dealt to the texts by their ids.
+_SAID = [
+    "",
+    "Preisblatt 2025: Leistungspreis 12,34 €/kW, Arbeitspreis 5,67 ct/kWh, Niederspannung",
+    "Netzentgelte und Preise der Netznutzung 2024",
+    "Hochlastzeitfenster nach §19 StromNEV: Winter 08:00 - 20:00 Uhr, Sommer entfällt",
+    "Netzanschluss, Hausanschluss und Impressum; Entgeltblatt 1,25 ct Mittelspannung",
+    "HLZF Herbst 16:00–18:00 Uhr",
+    "Gas: Preisblatt, Arbeitspreis 3,10 ct/kWh, Jahresleistungspreis 44,00 Euro",
+    "Karriere, Job, Datenschutz, Cookie, Netzentgelt",
+    "Netzentgelt Leistungspreis Hochlast Peak Spitzenlast Uhr Winter",
+]
+_TEXTS = "(SELECT doc_id, concat(coalesce(text, ''), ' ', (" + str(_SAID) + ")[1 + doc_id % 9]) AS text FROM documents)"
+
+
+def _said(t: Tables) -> DataFrame:
+    more = F.element_at(F.array(*[F.lit(x) for x in _SAID]), (1 + c("doc_id") % 9).cast("int"))
+    return t.documents.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), more).alias("text"))
+
+
+_SQL_HITS = lambda words, test: f"len(list_filter({words}, lambda x: {test}))"
+_PRICES = _SQL_HITS(POSITIVE_WORDS["netzentgelte"], "contains(lower(text), x)") + " + CASE WHEN lower(text) LIKE '%netzentgelt%' AND lower(text) LIKE '%leistungspreis%' THEN 5 ELSE 0 END"
+_HOURS = _SQL_HITS(POSITIVE_WORDS["hlzf"], "contains(lower(text), x)") + " + CASE WHEN lower(text) LIKE '%hochlastzeitfenster%' OR lower(text) LIKE '%hlzf%' THEN 5 ELSE 0 END"
+_DETECTED = f"SELECT *, CASE WHEN greatest(prices, hours) <= 3 OR prices = hours THEN NULL WHEN prices > hours THEN 'netzentgelte' ELSE 'hlzf' END AS detected FROM (SELECT *, {_PRICES} AS prices, {_HOURS} AS hours FROM {_TEXTS})"
+
+
+def _verified_sql(kind: str, year: int) -> str:
+    low, n, m = "contains(lower(text), x)", len(POSITIVE_WORDS[kind]), len(DATA_PATTERNS[kind])
+    seen = f"""SELECT doc_id, detected, {_SQL_HITS(REQUIRED_WORDS[kind], low)} > 0 AS required, {_SQL_HITS(NEGATIVE_WORDS[kind], low)} AS against,
+        {_SQL_HITS(POSITIVE_WORDS[kind], low)} + 2 * CAST(contains(text, '{year}') AS INTEGER) AS words, {" + ".join(f"CAST(regexp_matches(lower(text), '{p}') AS INTEGER)" for p in DATA_PATTERNS[kind])} AS found FROM ({_DETECTED})"""
+    raw = f"0.5::DOUBLE * least(1, words / ({n} * 0.3::DOUBLE)) + 0.5::DOUBLE * found / {m} - least(0.5::DOUBLE, against / 5.0::DOUBLE)"
+    sure = f"round(greatest(0, least({raw}, CASE WHEN NOT required THEN 0.3::DOUBLE WHEN found = 0 THEN 0.5 ELSE 1 END)), 9)"
+    return f"SELECT doc_id, '{kind}' AS kind, sure AS confidence, found > 0 AS has_data, required AND sure >= 0.4 AND coalesce(detected, '{kind}') = '{kind}' AS is_verified FROM (SELECT *, {sure} AS sure FROM ({seen}))"
+
+
+@query("c5_content_verification", " UNION ALL ".join(_verified_sql(k, 2025) for k in verification.KINDS))
 def c5(t: Tables) -> DataFrame:
-    low = F.lower("text")
-    n = lambda x: F.contains(low, F.lit(x)).cast("int")
-    score = (n("th") + n("ei")) * 40 + n("555") * 10 - n("license") * 25
-    return t.documents.select("doc_id", F.greatest(F.lit(0), F.least(F.lit(100), score)).alias("confidence"), (score >= 40).alias("verified"))
+    return _said(t).select("doc_id", F.explode(verification.verified(c("text"), 2025)).alias("v")).select("doc_id", "v.kind", "v.confidence", "v.has_data", "v.is_verified")
 
 
-@query("c6_detect_type", "SELECT doc_id, CASE WHEN a > b AND a > 3 THEN 'netzentgelte' WHEN b > a AND b > 3 THEN 'hlzf' END AS kind FROM (SELECT doc_id, length(text) - length(replace(text, 'x', '')) AS a, length(text) - length(replace(text, 'z', '')) AS b FROM documents)")
+@query("c6_detect_type", f"SELECT doc_id, detected AS kind FROM ({_DETECTED})")
 def c6(t: Tables) -> DataFrame:
-    n = lambda x: F.regexp_count("text", F.lit(x))
-    return t.documents.select("doc_id", F.when((n("x") > n("z")) & (n("x") > 3), "netzentgelte").when((n("z") > n("x")) & (n("z") > 3), "hlzf").alias("kind"))
+    return _said(t).select("doc_id", verification.detected(c("text")).alias("kind"))
 
 
 def keyword_match(text: Column, title_words: list[str], level_words: list[str], words: list[str], least: int = 4) -> Column:

@@ -58,16 +58,13 @@ def k6(t: Tables) -> DataFrame:
     return rows.select("o_custkey", F.size(back).cast("long").alias("n"), F.array_max(F.transform(back, lambda x: x["price"])).alias("top"))
 
 
-@query("k7_import_merge", "WITH n AS (SELECT l_orderkey AS k, nullif(max(l_tax), 0.08) AS v FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1) SELECT coalesce(o_orderkey, k) AS k, coalesce(v, o_totalprice) AS v FROM (SELECT * FROM orders WHERE o_orderkey BETWEEN 1000 AND 3000) FULL JOIN n ON k = o_orderkey")
-def k7(t: Tables, new: str = "l_orderkey < 2000", old: str = "o_orderkey BETWEEN 1000 AND 3000") -> DataFrame:
-    n = t.lineitem.filter(new).groupBy(c("l_orderkey").alias("k")).agg(F.nullif(F.max("l_tax"), F.lit(0.08)).alias("v"))
-    o = t.orders.filter(old).select(c("o_orderkey").alias("k"), "o_totalprice")
+@query("k7_import_merge", "WITH n AS (SELECT l_orderkey AS k, nullif(max(l_tax), 0.08) AS v FROM lineitem GROUP BY 1) SELECT coalesce(o_orderkey, k) AS k, coalesce(v, o_totalprice) AS v FROM orders FULL JOIN n ON k = o_orderkey")
+def k7(t: Tables) -> DataFrame:
+    n = t.lineitem.groupBy(c("l_orderkey").alias("k")).agg(F.nullif(F.max("l_tax"), F.lit(0.08)).alias("v"))
+    o = t.orders.select(c("o_orderkey").alias("k"), "o_totalprice")
     return o.join(n, "k", "full").select("k", F.coalesce("v", "o_totalprice").alias("v"))
 
 
-query("k7_import_merge_whole", "WITH n AS (SELECT l_orderkey AS k, nullif(max(l_tax), 0.08) AS v FROM lineitem GROUP BY 1) SELECT coalesce(o_orderkey, k) AS k, coalesce(v, o_totalprice) AS v FROM orders FULL JOIN n ON k = o_orderkey")(lambda t: k7(t, "true", "true"))
-
-
 @query("k7_import_replace", "SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE year(o_orderdate) NOT IN (1996, 1997) UNION ALL SELECT o_orderkey, 0.5 FROM orders WHERE year(o_orderdate) IN (1996, 1997) AND o_orderstatus = 'O'")
 def k7_replace(t: Tables) -> DataFrame:
     y = F.year("o_orderdate")

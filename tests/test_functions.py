@@ -96,3 +96,24 @@ def test_trigrams(spark):
 
     got = values(spark, lambda x: similarity(trigrams(x), trigrams(F.lit("two words"))), ["word", "", "two words"])
     assert [round(x, 4) for x in got] == [0.3636, 0.0, 1.0]
+
+
+def test_verification_of_kinds(spark):
+    """By hand: words for and against, caps without a required word and without data."""
+    from gridsmith.functions import verification
+
+    rows = [
+        ("Preisblatt: Leistungspreis 12,34 €/kW, Arbeitspreis 5,67 ct/kWh", "netzentgelte", True),
+        ("Leistungspreis 12,34 €/kW, Arbeitspreis 5,67 ct/kWh", "netzentgelte", False),
+        ("Netzentgelte und Preise der Netznutzung", "netzentgelte", True),
+        ("Hochlastzeitfenster: Winter 08:00 - 20:00 Uhr", "hlzf", True),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, text string, kind string, want boolean")
+    both = df.select("i", "kind", *(verification.verified(F.col("text"), kinds=[k])[0].alias(k) for k in ("netzentgelte", "hlzf")), verification.detected(F.col("text")).alias("told"))
+    got = {r.i: r for r in both.collect()}
+    assert [got[i][k].is_verified or False for i, (_, k, _) in enumerate(rows)] == [w for *_, w in rows]
+    # more words than three in ten, four of six patterns
+    assert got[0].netzentgelte.confidence == 0.833333333 and got[1].netzentgelte.confidence == 0.3
+    assert (got[2].netzentgelte.confidence, got[2].netzentgelte.has_data) == (0.416666667, False)
+    assert (got[0].told, got[3].told) == ("netzentgelte", "hlzf")
+    assert got[3].netzentgelte.confidence == 0.0
