@@ -119,17 +119,17 @@ YEAR_PATTERNS = [r"/(\d{4})/", r"-(\d{4})\.", r"_(\d{4})_", r"[?&]year=(\d{4})",
 DOCUMENT_ENDINGS = [".pdf", ".pdfx", ".xlsx", ".xls", ".docx", ".doc", ".zip"]
 
 #: Words of which a document of a kind must hold one.
-REQUIRED_WORDS = {
+WORDS_NEEDED = {
     "netzentgelte": ["netzentgelt", "netznutzungsentgelt", "entgeltblatt", "preisblatt"],
     "hlzf": ["hochlastzeitfenster", "hlzf", "hochlast"],
 }
 #: Words that speak for a kind.
-POSITIVE_WORDS = {
+WORDS_FOR = {
     "netzentgelte": ["leistungspreis", "arbeitspreis", "ct/kwh", "€/kw", "eur/kw", "netznutzung", "netzentgelt", "entgelt", "preisblatt", "netzzugang", "preise", "tarifblatt", "entgeltblatt", "jahresleistungspreis", "leistungsentgelt", "arbeitsentgelt"],
     "hlzf": ["hochlastzeitfenster", "hochlast", "zeitfenster", "hlzf", "§19", "stromnev", "spitzenlast", "peak", "hochlastzeit", "winter", "sommer", "herbst", "frühling", "fruehling", "entfällt", "entfaellt", "uhr"],
 }
 #: Words that speak against a kind.
-NEGATIVE_WORDS = {
+WORDS_AGAINST = {
     "netzentgelte": ["hochlastzeitfenster", "hlzf", "zeitfenster", "hausanschluss", "netzanschluss", "anschlussantrag", "einspeiser", "einspeisevergütung", "photovoltaik", "stromzähler", "zählerstand", "ablesekarte", "störungsmeldung", "störung melden", "stellenangebot", "karriere", "job", "kontaktformular", "anfahrt", "impressum", "datenschutz", "cookie", "agb", "elektromobilität", "ladesäule", "wallbox", "bauherren", "neubau", "baustrom"],
     "hlzf": ["hausanschluss", "netzanschluss", "anschlussantrag", "stellenangebot", "karriere", "job", "kontaktformular", "impressum", "datenschutz"],
     "all": ["gas"],
@@ -140,5 +140,5 @@ DATA_PATTERNS = {
     "hlzf": [r"\d{1,2}:\d{2}\s*[-–]\s*\d{1,2}:\d{2}", r"(winter|sommer|herbst|fr[üu]hling)", r"entf[äa]llt"],
 }
 #: The kind "all" has the words and patterns of both, but words of its own against it.
-for _held in (REQUIRED_WORDS, POSITIVE_WORDS, DATA_PATTERNS):
+for _held in (WORDS_NEEDED, WORDS_FOR, DATA_PATTERNS):
     _held["all"] = [*_held["netzentgelte"], *_held["hlzf"]]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridsmith.catalogs import DATA_PATTERNS, NEGATIVE_WORDS, POSITIVE_WORDS, REQUIRED_WORDS
+from gridsmith.catalogs import DATA_PATTERNS, WORDS_AGAINST, WORDS_FOR, WORDS_NEEDED
 
 KINDS = ["netzentgelte", "hlzf", "all"]
 
@@ -30,7 +30,7 @@ def _counts(text: Column, year: int | None) -> Column:
 
     def count(low: Column) -> Column:
         has = lambda w: F.contains(low, F.lit(w))
-        hits = [_hits(low, held[k]).alias(f"{name}_{k}") for name, held in (("need", REQUIRED_WORDS), ("for", POSITIVE_WORDS), ("against", NEGATIVE_WORDS)) for k in held if k in own or name == "against"]
+        hits = [_hits(low, held[k]).alias(f"{name}_{k}") for name, held in (("need", WORDS_NEEDED), ("for", WORDS_FOR), ("against", WORDS_AGAINST)) for k in held if k in own or name == "against"]
         found = [sum((low.rlike(p).cast("int") for p in DATA_PATTERNS[k]), F.lit(0)).alias(f"data_{k}") for k in own]
         plain = [F.when(has("netzentgelt") & has("leistungspreis"), 5).otherwise(0).alias("plain_netzentgelte"), F.when(has("hochlastzeitfenster") | has("hlzf"), 5).otherwise(0).alias("plain_hlzf")]
         return F.struct(*hits, *found, *plain)
@@ -48,7 +48,7 @@ def _judged(x: Column, kind: str) -> Column:
     n = x["n"]
     of = lambda name: n[f"{name}_netzentgelte"] + n[f"{name}_hlzf"] if kind == "all" else n[f"{name}_{kind}"]
     found, against = of("data"), F.least(F.lit(0.5), n[f"against_{kind}"] * 2 * 0.1)
-    raw = F.least(F.lit(1.0), (of("for") + x["year"]) / (len(POSITIVE_WORDS[kind]) * 0.3)) * 0.5 + found / len(DATA_PATTERNS[kind]) * 0.5 - against
+    raw = F.least(F.lit(1.0), (of("for") + x["year"]) / (len(WORDS_FOR[kind]) * 0.3)) * 0.5 + found / len(DATA_PATTERNS[kind]) * 0.5 - against
     most = F.when(of("need") == 0, 0.3).when(found == 0, 0.5).otherwise(1.0)
     confidence = F.round(F.greatest(F.lit(0.0), F.least(raw, most)), 9)
     told = _detected(n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.catalogs import DATA_PATTERNS, IMPORTANCE_FALLBACK, IMPORTANCE_P90, IMPORTANCE_WEIGHTS, NEGATIVE_WORDS, POSITIVE_WORDS, REQUIRED_WORDS
+from gridsmith.catalogs import DATA_PATTERNS, IMPORTANCE_FALLBACK, IMPORTANCE_P90, IMPORTANCE_WEIGHTS, WORDS_AGAINST, WORDS_FOR, WORDS_NEEDED
 from gridsmith.functions import html, levels, urls, verification
 from gridsmith.functions.numbers import log_share
 from gridsmith.operators.ranking import pick
@@ -130,15 +130,15 @@ def _said(t: Tables) -> DataFrame:
 
 
 _SQL_HITS = lambda words, test: f"len(list_filter({words}, lambda x: {test}))"
-_PRICES = _SQL_HITS(POSITIVE_WORDS["netzentgelte"], "contains(lower(text), x)") + " + CASE WHEN lower(text) LIKE '%netzentgelt%' AND lower(text) LIKE '%leistungspreis%' THEN 5 ELSE 0 END"
-_HOURS = _SQL_HITS(POSITIVE_WORDS["hlzf"], "contains(lower(text), x)") + " + CASE WHEN lower(text) LIKE '%hochlastzeitfenster%' OR lower(text) LIKE '%hlzf%' THEN 5 ELSE 0 END"
+_PRICES = _SQL_HITS(WORDS_FOR["netzentgelte"], "contains(lower(text), x)") + " + CASE WHEN lower(text) LIKE '%netzentgelt%' AND lower(text) LIKE '%leistungspreis%' THEN 5 ELSE 0 END"
+_HOURS = _SQL_HITS(WORDS_FOR["hlzf"], "contains(lower(text), x)") + " + CASE WHEN lower(text) LIKE '%hochlastzeitfenster%' OR lower(text) LIKE '%hlzf%' THEN 5 ELSE 0 END"
 _DETECTED = f"SELECT *, CASE WHEN greatest(prices, hours) <= 3 OR prices = hours THEN NULL WHEN prices > hours THEN 'netzentgelte' ELSE 'hlzf' END AS detected FROM (SELECT *, {_PRICES} AS prices, {_HOURS} AS hours FROM {_TEXTS})"
 
 
 def _verified_sql(kind: str, year: int) -> str:
-    low, n, m = "contains(lower(text), x)", len(POSITIVE_WORDS[kind]), len(DATA_PATTERNS[kind])
-    seen = f"""SELECT doc_id, detected, {_SQL_HITS(REQUIRED_WORDS[kind], low)} > 0 AS required, {_SQL_HITS(NEGATIVE_WORDS[kind], low)} AS against,
-        {_SQL_HITS(POSITIVE_WORDS[kind], low)} + 2 * CAST(contains(text, '{year}') AS INTEGER) AS words, {" + ".join(f"CAST(regexp_matches(lower(text), '{p}') AS INTEGER)" for p in DATA_PATTERNS[kind])} AS found FROM ({_DETECTED})"""
+    low, n, m = "contains(lower(text), x)", len(WORDS_FOR[kind]), len(DATA_PATTERNS[kind])
+    seen = f"""SELECT doc_id, detected, {_SQL_HITS(WORDS_NEEDED[kind], low)} > 0 AS required, {_SQL_HITS(WORDS_AGAINST[kind], low)} AS against,
+        {_SQL_HITS(WORDS_FOR[kind], low)} + 2 * CAST(contains(text, '{year}') AS INTEGER) AS words, {" + ".join(f"CAST(regexp_matches(lower(text), '{p}') AS INTEGER)" for p in DATA_PATTERNS[kind])} AS found FROM ({_DETECTED})"""
     raw = f"0.5::DOUBLE * least(1, words / ({n} * 0.3::DOUBLE)) + 0.5::DOUBLE * found / {m} - least(0.5::DOUBLE, against / 5.0::DOUBLE)"
     sure = f"round(greatest(0, least({raw}, CASE WHEN NOT required THEN 0.3::DOUBLE WHEN found = 0 THEN 0.5 ELSE 1 END)), 9)"
     return f"SELECT doc_id, '{kind}' AS kind, sure AS confidence, found > 0 AS has_data, required AND sure >= 0.4 AND coalesce(detected, '{kind}') = '{kind}' AS is_verified FROM (SELECT *, {sure} AS sure FROM ({seen}))"
