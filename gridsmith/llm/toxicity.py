@@ -97,19 +97,21 @@ def nearest(m: Model, which: np.ndarray, weights: np.ndarray, k: int = NEIGHBOUR
     bound = m.bounds[:, which] @ weights
     order = np.argsort(-bound, kind="stable")
     best_at, best = np.zeros(0, np.int64), np.zeros(0)
-    done = 0
+    done, size, slot = 0, 8, np.full(len(order), -1)
     while done < len(order) and bound[order[done]] > 0:
         if len(best) >= k and bound[order[done]] < best[k - 1] - 1e-12:
             break
-        take = order[done : done + 8]
+        take = order[done : done + size]
         take = take[bound[take] > 0]
-        done += len(take)
+        done, size = done + len(take), 2 * size
+        slot[take] = np.arange(len(take))
         score = np.zeros(len(take) * BLOCK)
         for t, w in zip(which.tolist(), weights.tolist(), strict=True):
             at, x = m.postings[t]
-            lo, hi = np.searchsorted(at, take * BLOCK), np.searchsorted(at, (take + 1) * BLOCK)
-            for n, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
-                score[n * BLOCK + at[a:b] - take[n] * BLOCK] += w * x[a:b]
+            n = slot[at // BLOCK]
+            on = np.flatnonzero(n >= 0)
+            score[n[on] * BLOCK + at[on] % BLOCK] += w * x[on]
+        slot[take] = -1
         hit = np.flatnonzero(score > 0)
         best_at = np.concatenate([best_at, take[hit // BLOCK] * BLOCK + hit % BLOCK])
         best = np.round(np.concatenate([best, score[hit]]), 12)
