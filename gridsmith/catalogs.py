@@ -142,3 +142,24 @@ DATA_PATTERNS = {
 #: The kind "all" has the words and patterns of both, but words of its own against it.
 for _held in (WORDS_NEEDED, WORDS_FOR, DATA_PATTERNS):
     _held["all"] = [*_held["netzentgelte"], *_held["hlzf"]]
+
+#: Words that make a page of a longer document relevant.
+PAGE_WORDS = ["netzentgelt", "entgelt", "preisblatt", "leistungspreis", "arbeitspreis", "hochlastzeitfenster", "hochlastzeit", "hochlast", "netznutzung", "mittelspannung", "niederspannung", "hochspannung", "umspannung"]
+
+#: Words of pages and of tables that hold data of a kind.
+EMBEDDED_WORDS = {
+    "hlzf": {"page": ["hochlast", "zeitfenster", "hlzf", "winter", "sommer"], "table": ["uhr", "winter", "sommer", "01.11", "31.03", "umspannung", "spannung"]},
+    "netzentgelte": {"page": ["netzentgelt", "preisblatt", "entgelt", "tarif", "arbeitspreis", "leistungspreis"], "table": ["ct/kwh", "eur/kw", "niederspannung", "mittelspannung", "hochspannung", "netzebene"]},
+}
+
+#: Points of a page with data, of each word, and of the year asked for.
+EMBEDDED_POINTS = {"hlzf": {"table": 50, "word": 7, "year": 25}, "netzentgelte": {"table": 15, "word": 3, "year": 25}}
+
+#: Words of addresses with their points, by kind; a group counts once.
+ADDRESS_POINTS = {
+    "netzentgelte": [(["netzentgelt", "preisblatt", "entgelt", "tarif"], 15), (["leistungspreis", "arbeitspreis"], 10), (["hochlast", "hlzf", "zeitfenster", "regelung"], -20)],
+    "hlzf": [(["hochlast", "hlzf", "zeitfenster"], 20), (["regelung"], 5)],
+}
+
+#: Words of addresses that are about time windows for certain.
+WINDOW_ADDRESSES = ["hlzf", "hochlast", "zeitfenster"]

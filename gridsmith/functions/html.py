@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridsmith.catalogs import EMBEDDED_POINTS, EMBEDDED_WORDS
+
 _DROP = "script|style|nav|footer|header"
 
 
@@ -140,6 +142,97 @@ def tables(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
+_PLACED = T.StructType(
+    [
+        T.StructField("text", T.StringType()),
+        T.StructField("tables", T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "outer_start", "outer_end")]))),
+        T.StructField("headings", T.ArrayType(T.StringType())),
+    ]
+)
+
+
+class _Places(HTMLParser):
+    """The text of a page, and where in it tables and the elements around them stand."""
+
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+    SILENT = {"script", "style", "template"}
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.text: list[str] = []
+        self.n = 0
+        self.open: list[tuple[str, int, list[list[int]]]] = []
+        self.tables: list[list[int]] = []
+        self.headings: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in self.VOID:
+            self.open.append((tag, self.n, []))
+
+    def handle_endtag(self, tag: str) -> None:
+        if any(t == tag for t, _, _ in self.open):
+            while self._end() != tag:
+                pass
+
+    def handle_data(self, data: str) -> None:
+        if not self.open or self.open[-1][0] not in self.SILENT:
+            self.text.append(data)
+            self.n += len(data)
+
+    def _end(self) -> str:
+        tag, start, inner = self.open.pop()
+        for place in inner:
+            place[2:] = [start, self.n]
+        if tag == "table":
+            place = [start, self.n, 0, -1]
+            self.tables.append(place)
+            if self.open:
+                self.open[-1][2].append(place)
+        elif tag in ("h2", "h3", "h4"):
+            self.headings.append("".join(self.text)[start:])
+        return tag
+
+    def placed(self, html: str) -> tuple[str, list[tuple[int, ...]], list[str]]:
+        self.feed(html)
+        self.close()
+        while self.open:
+            self._end()
+        ends = ((a, b, c, self.n if d < 0 else d) for a, b, c, d in self.tables)
+        return "".join(self.text), sorted(ends), self.headings
+
+
+@F.pandas_udf(_PLACED)
+def placed(html: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """A page's text, the places of its tables in it, and its lesser headings."""
+    for batch in html:
+        yield pd.DataFrame([_Places().placed(h or "") for h in batch], columns=["text", "tables", "headings"])
+
+
+def _plausible(years: Column) -> Column:
+    return F.filter(F.transform(years, lambda y: y.try_cast("int")), lambda y: y.between(2020, 2030))
+
+
+def embedded(page: Column, kind: str, year: int | None = None) -> Column:
+    """M7: what a page that `placed` has read holds of a kind: struct of words, tables, has_data
+    (a table with two words of the kind), years (2020 to 2030, about tables and in headings),
+    confidence (0 to 1) and points for the page's rank. Pages without tables have no confidence."""
+    words, points = EMBEDDED_WORDS[kind], EMBEDDED_POINTS[kind]
+    low = F.lower(page["text"])
+    held = lambda text, name: F.filter(F.array(*[F.lit(w) for w in words[name]]), lambda w: F.contains(text, w))
+    cut = lambda a, b: F.substring(page["text"], a + 1, b - a)
+    found = held(low, "page")
+    has = F.exists(page["tables"], lambda t: F.size(held(F.lower(cut(t["start"], t["end"])), "table")) >= 2)
+    about = F.flatten(F.transform(page["tables"], lambda t: F.regexp_extract_all(cut(t["outer_start"], t["outer_end"]), F.lit("([0-9]{4})"), F.lit(1))))
+    firsts = [r"(?iu)gültig ab 01\.01\.([0-9]{4})", "([0-9]{4})", *(["(?i)ab ([0-9]{4})"] if kind == "hlzf" else [])]
+    told = F.flatten(F.transform(page["headings"], lambda h: F.array(*[F.regexp_extract(h, p, 1) for p in firsts])))
+    some = F.size(page["tables"]) > 0
+    years = F.when(some, F.array_sort(F.array_distinct(_plausible(F.concat(about, told))))).otherwise(F.array().cast("array<int>"))
+    wanted = F.array_contains(years, F.lit(year)) if year else F.lit(False)
+    sure = F.when(has, 0.4).otherwise(0.0) + F.least(F.size(found) * 0.1, F.lit(0.3)) + F.when(wanted, 0.3).when(F.size(years) > 0, 0.1).otherwise(0.0)
+    rank = F.when(has, points["table"]).otherwise(0) + F.size(found) * points["word"] + F.when(wanted, points["year"]).otherwise(0)
+    return F.struct(found.alias("words"), F.size(page["tables"]).alias("tables"), has.alias("has_data"), years.alias("years"), F.when(some, F.round(sure, 9)).otherwise(0.0).alias("confidence"), rank.cast("double").alias("points"))
+
+
 class _Cleaner(HTMLParser):
     """Tags and text without the unwanted, attributes but safe links dropped."""
 

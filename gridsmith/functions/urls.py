@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridsmith.catalogs import DOCUMENT_ENDINGS, NEGATIVE_WORDS, TOKEN_URLS, TRACKING, YEAR_PATTERNS
+from gridsmith.catalogs import ADDRESS_POINTS, DOCUMENT_ENDINGS, NEGATIVE_WORDS, TOKEN_URLS, TRACKING, YEAR_PATTERNS
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -128,3 +128,13 @@ def crawl_score(url: Column, depth: Column, text: Column, words: list[str], targ
     off = F.when(any_([u.contains(p) for p in irrelevant]), -50).otherwise(0)
     told = F.when(F.coalesce(text.contains(str(target)), F.lit(False)), 25).otherwise(0)
     return (document - depth * 2 + words_ + year_bonus(url, target, now) + told + off + negative(url, text)).cast("double")
+
+
+def kind_points(url: Column, kind: str) -> Column:
+    """Points of an address for a kind of document; none for the kind "all". A price sheet
+    that says nothing of peak load loses ten for time windows."""
+    u = F.lower(url)
+    said = lambda words: F.greatest(*[u.contains(w) for w in words], F.lit(False))
+    points = _sum([F.when(said(words), n).otherwise(0) for words, n in ADDRESS_POINTS.get(kind, [])])
+    prices_only = u.contains("preisblatt") & ~u.contains("hochlast")
+    return (points - F.when(prices_only, 10).otherwise(0) if kind == "hlzf" else points).cast("double")

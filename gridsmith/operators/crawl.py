@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridsmith.session import shared_folder
+
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, so that rounds don't pile up lineage."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridsmith-")
-    path = f"{base}/crawl/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/crawl/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

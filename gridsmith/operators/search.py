@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridsmith.functions import levels
+from gridsmith.operators.joins import band
+
 
 def trigrams(c: Column) -> Column:
     """Distinct trigrams of the words of a text, each word padded by two blanks before
@@ -82,3 +85,43 @@ def resolve(names: DataFrame, known: DataFrame, key: str, name: str, kid: str, k
     accepted = ok.filter((F.col("r") >= F.when(F.length("n") >= 12, 0.8).otherwise(0.9)) | F.col("_k").startswith(F.col("n"))).select(key, kid, F.lit("fuzzy").alias("outcome"))
     found = exact.filter(F.col(kid).isNotNull()).select(key, kid, F.lit("exact").alias("outcome")).union(accepted)
     return names.select(key).join(found, key, "left").withColumn("outcome", F.coalesce("outcome", F.lit("missing")))
+
+
+def waterfall(asked: DataFrame, locations: DataFrame, answers: DataFrame, width: float = 0.0001) -> DataFrame:
+    """(ask, operator, outcome) of addresses (ask, key): the operator of the stored location
+    with that key (cached); else that of a stored location within `width` of the answered
+    coordinates (near); else the answered operator, one for electricity first (skeleton).
+    Without coordinates or operator the outcome is missing.
+
+    locations: key, lat, lon, operator; answers: ask, lat, lon, operator, electricity, of any
+    number of operators for an address. Each step asks only what the one before left."""
+    held = locations.filter("key is not null").groupBy("key").agg(F.min("operator").alias("operator"))
+    looked = asked.join(held, "key", "left")
+    left = looked.filter("operator is null").select("ask")
+    best = answers.join(left, "ask", "left_semi").groupBy("ask").agg(F.min(F.when(F.col("operator").isNotNull(), F.struct((~F.coalesce("electricity", F.lit(False))).alias("other"), F.col("operator")))).alias("b"), F.min(F.struct("lat", "lon")).alias("at"))
+    placed = best.select("ask", F.col("at.lat").alias("x"), F.col("at.lon").alias("y"), F.col("b.operator").alias("told"))
+    # each place meets each stored place once, however many addresses and locations are there
+    spots = locations.groupBy("lat", "lon").agg(F.min("operator").alias("near"))
+    hits = band(placed.select("x", "y").distinct(), spots, "x", "y", "lat", "lon", width)
+    near = placed.join(hits.groupBy("x", "y").agg(F.min("near").alias("near")), ["x", "y"], "left")
+    found = looked.join(near.select("ask", "told", "near"), "ask", "left")
+    outcome = F.when(F.col("operator").isNotNull(), "cached").when(F.col("near").isNotNull(), "near").when(F.col("told").isNotNull(), "skeleton").otherwise("missing")
+    return found.select("ask", F.coalesce("operator", "near", "told").alias("operator"), outcome.alias("outcome"))
+
+
+def response(operators: DataFrame, prices: DataFrame, hours: DataFrame) -> DataFrame:
+    """For each of (id, name, points) its facts as arrays (year, level, value), their
+    completeness against the levels its connection points let one expect, and a message where
+    there is none. Facts are (id, year, level, value), one for a year and level, so that an
+    operator's arrays are small."""
+
+    def nested(facts: DataFrame, name: str) -> DataFrame:
+        return facts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("year", "level", "value"))).alias(name))
+
+    kind = "array<struct<year:int,level:string,value:double>>"
+    some = lambda n: F.coalesce(F.col(n).cast(kind), F.array().cast(kind))
+    both = operators.join(nested(prices, "prices"), "id", "left").join(nested(hours, "hours"), "id", "left").withColumn("prices", some("prices")).withColumn("hours", some("hours"))
+    of = lambda n: F.array_distinct(F.transform(n, lambda f: f["level"]))
+    has = (F.size("prices") > 0) | (F.size("hours") > 0)
+    note = F.when(~has, F.concat(F.col("name"), F.lit(" is registered; no data yet.")))
+    return both.select("id", has.alias("has_data"), "prices", "hours", levels.completeness(F.col("points"), of("prices"), of("hours")).alias("completeness"), note.alias("message"))

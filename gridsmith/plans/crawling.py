@@ -36,7 +36,8 @@ class RefusedError(ValueError):
 def guarded(t: Tables, sql: str, tables: list[str], key: str | None = None, value: object = None, rows: int = 1000) -> DataFrame:
     """One SELECT over views of the tables allowed, scoped by a key, of `rows` rows at
     most. The parsed plan is looked at, not the text: commands, other relations and
-    functions that reach outside are refused."""
+    functions that reach outside are refused. The views live in a session of their own."""
+    t = Tables(t.spark.newSession(), t.path)
     for name in tables:
         df = getattr(t, name)
         (df.filter(c(key) == F.lit(value)) if key and key in df.columns else df).createOrReplaceTempView(f"g_{name}")
@@ -47,7 +48,7 @@ def guarded(t: Tables, sql: str, tables: list[str], key: str | None = None, valu
     ctes = {x.lower() for x in re.findall(r"CTE \[([^\]]*)\]", plan) for x in x.split(", ")}
     if extra := names - {f"g_{n}" for n in tables} - ctes:
         raise RefusedError(f"not allowed: {', '.join(sorted(extra))}")
-    if re.search(r"(?i)\b(java_method|reflect|read_files|input_file_name)\b|InsertInto|CreateTable|Drop|Command", plan):
+    if re.search(r"(?i)\b(java_method|reflect|read_files|input_file_name)\b|UnresolvedTableValuedFunction|InsertInto|CreateTable|Drop|Command", plan):
         raise RefusedError("not allowed here")
     return t.spark.sql(sql).limit(rows)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from gridsmith.functions import html
 from gridsmith.operators import extraction
 from gridsmith.registry import query
-from gridsmith.session import Tables
+from gridsmith.session import Tables, shared_folder
 from gridsmith.sources import files, registry_xml
 
 c = F.col
@@ -19,8 +18,7 @@ c = F.col
 
 def folder(t: Tables) -> str:
     """A fresh folder below the one that all executors share; a temporary one where none is named."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridsmith-")
-    return f"{base}/made/{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/made/{uuid.uuid4().hex}"
 
 
 def _export(t: Tables) -> str:

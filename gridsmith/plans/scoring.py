@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.catalogs import DATA_PATTERNS, IMPORTANCE_FALLBACK, IMPORTANCE_P90, IMPORTANCE_WEIGHTS, WORDS_AGAINST, WORDS_FOR, WORDS_NEEDED
+from gridsmith.catalogs import ADDRESS_POINTS, DATA_PATTERNS, EMBEDDED_POINTS, EMBEDDED_WORDS, IMPORTANCE_FALLBACK, IMPORTANCE_P90, IMPORTANCE_WEIGHTS, PAGE_WORDS, WORDS_AGAINST, WORDS_FOR, WORDS_NEEDED
 from gridsmith.functions import html, levels, urls, verification
 from gridsmith.functions.numbers import log_share
-from gridsmith.operators.ranking import pick
+from gridsmith.operators import discovery
 from gridsmith.registry import query
 from gridsmith.session import Tables
 
@@ -98,10 +98,15 @@ def c2(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", urls.year_bonus(F.concat(F.lit("https://x.de/d/"), F.year("o_orderdate"), F.lit("/a.pdf")), 1996, 1999).alias("bonus"))
 
 
-@query("c3_type_adjust", "SELECT page_id, CASE WHEN lower(url) LIKE '%.pdf%' THEN 15 WHEN contains(lower(url), '/en/') THEN 10 ELSE -20 END AS adjust FROM pages")
+_ENDS = ["/preisblatt-strom.pdf", "/hochlast-regelung", "/tarif/arbeitspreis.html", "/Preisblatt-Hochlast.pdf", "/kontakt"]
+_SAYS = lambda words: " OR ".join(f"contains(lower(url), '{w}')" for w in words)
+_KIND_POINTS = lambda kind: " + ".join(f"CASE WHEN {_SAYS(words)} THEN {n} ELSE 0 END" for words, n in ADDRESS_POINTS[kind])
+
+
+@query("c3_type_adjust", f"SELECT page_id, CAST({_KIND_POINTS('netzentgelte')} AS DOUBLE) AS prices, CAST({_KIND_POINTS('hlzf')} - CASE WHEN contains(lower(url), 'preisblatt') AND NOT contains(lower(url), 'hochlast') THEN 10 ELSE 0 END AS DOUBLE) AS hours, CAST(0 AS DOUBLE) AS any_kind FROM (SELECT page_id, concat(url, ({_ENDS})[1 + page_id % 5]) AS url FROM pages)")
 def c3(t: Tables) -> DataFrame:
-    u = F.lower("url")
-    return t.pages.select("page_id", F.when(urls.file_type(c("url")) == "pdf", 15).when(u.contains("/en/"), 10).otherwise(-20).alias("adjust"))
+    url = F.concat(F.coalesce("url", F.lit("")), F.element_at(F.array(*[F.lit(x) for x in _ENDS]), (1 + c("page_id") % 5).cast("int")))
+    return t.pages.select("page_id", *[urls.kind_points(url, k).alias(n) for k, n in (("netzentgelte", "prices"), ("hlzf", "hours"), ("all", "any_kind"))])
 
 
 @query("c4_discovery_score", "SELECT page_id, CAST(CASE WHEN contains(lower(url), 'the') THEN 15 ELSE 0 END + CASE WHEN contains(lower(url), 'and') THEN 15 ELSE 0 END + CASE WHEN contains(url, '76') THEN 50 ELSE 0 END - CASE WHEN contains(lower(url), 'gas') THEN 100 ELSE 0 END AS DOUBLE) AS score, contains(url, '76') AS has_year FROM pages")
@@ -169,19 +174,29 @@ def c7(t: Tables) -> DataFrame:
     return t.documents.filter(keyword_match(c("text"), ["then", "ung"], ["er"], ["and", "ein"])).select("doc_id")
 
 
-@query("c8_classify_files", "WITH s AS (SELECT source, doc_id, lang, CASE WHEN contains(lower(text), 'license') THEN 'hlzf' WHEN contains(text, '555') THEN 'netz' END AS kind, n_chars FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source, kind ORDER BY n_chars DESC, doc_id) AS k FROM s WHERE kind IS NOT NULL) SELECT s.doc_id, CASE WHEN r.k = 1 THEN r.kind WHEN r.k > 1 THEN 'unused' ELSE 'irrelevant' END AS class FROM s LEFT JOIN r ON r.doc_id = s.doc_id")
+_C8 = """WITH f AS (SELECT source AS job, doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 'html' ELSE 'pdf' END AS format, CASE WHEN doc_id % 5 > 0 THEN 2023 + doc_id % 3 END AS y, doc_id % 4 AS np, doc_id // 4 % 3 AS nh, coalesce(contains(text, '555'), false) AS sp, coalesce(contains(lower(text), 'license'), false) AS sh FROM documents),
+k AS (SELECT job, path, format, 'netzentgelte' AS kind, CASE WHEN np >= 2 THEN np WHEN sp THEN 0 END AS n, nullif(y, 2024) AS y FROM f UNION ALL SELECT job, path, format, 'hlzf', CASE WHEN nh >= 2 THEN nh WHEN sh THEN 0 END, CASE WHEN nh <= 0 THEN nullif(y, 2024) END FROM f),
+w AS (SELECT * FROM k WHERE n IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job, kind, y ORDER BY n DESC, format = 'pdf' DESC, path) = 1),
+v AS (SELECT w.job, w.path, w.kind FROM w LEFT JOIN w o ON w.job = o.job AND w.y IS NOT DISTINCT FROM o.y AND w.path = o.path AND w.kind <> o.kind WHERE o.path IS NULL OR w.n > o.n OR (w.n = o.n AND w.kind = 'netzentgelte')),
+g AS (SELECT job, path, min(kind) AS kind FROM v GROUP BY 1, 2)
+SELECT f.path AS doc_id, coalesce(kind, CASE WHEN np <= 0 AND nh <= 0 AND NOT sp AND NOT sh THEN 'irrelevant' ELSE 'unclassified' END) AS class FROM f LEFT JOIN g ON f.job = g.job AND f.path = g.path"""
+
+
+@query("c8_classify_files", _C8)
 def c8(t: Tables) -> DataFrame:
-    kind = F.when(F.lower("text").contains("license"), "hlzf").when(c("text").contains("555"), "netz")
-    rows = t.documents.select("source", "doc_id", "n_chars", kind.alias("kind"))
-    best = pick(rows.filter("kind is not null"), ["source", "kind"], [c("n_chars").desc(), c("doc_id")]).select("doc_id", F.lit(True).alias("best"))
-    return rows.join(best, "doc_id", "left").select("doc_id", F.when(c("best"), c("kind")).when(c("kind").isNotNull(), "unused").otherwise("irrelevant").alias("class"))
+    k = c("doc_id")
+    said = lambda x: F.coalesce(x, F.lit(False))
+    files = t.documents.select(c("source").alias("job"), k.alias("path"), F.when(k % 3 == 0, "html").otherwise("pdf").alias("format"), F.when(k % 5 > 0, 2023 + k % 3).alias("year"), (k % 4).alias("n_prices"), (F.floor(k / 4) % 3).alias("n_hours"), said(c("text").contains("555")).alias("said_prices"), said(F.lower("text").contains("license")).alias("said_hours"))
+    return discovery.classified(files, 2024).select(c("path").alias("doc_id"), "class")
+
 
+_TURN = "concat(coalesce(text, ''), CASE WHEN conv_id % 3 = 0 THEN '' WHEN turn % 3 = 1 THEN ' Netzentgelte 2025' WHEN turn % 3 = 2 THEN ' UMSPANNUNG' ELSE '' END)"
 
-@query("c13_page_relevance", "WITH p AS (SELECT conv_id, turn, contains(lower(text), 'tion') AS hit FROM conversations), g AS (SELECT conv_id, bool_or(hit) AS any_hit FROM p GROUP BY 1) SELECT conv_id, turn FROM p JOIN g USING (conv_id) WHERE hit OR NOT any_hit")
+
+@query("c13_page_relevance", f"WITH p AS (SELECT conv_id, turn, {_SQL_HITS(PAGE_WORDS, f'contains(lower({_TURN}), x)')} > 0 AS hit FROM conversations), g AS (SELECT conv_id, count(*) >= 3 AND bool_or(hit) AS cut FROM p GROUP BY 1) SELECT conv_id, turn FROM p JOIN g USING (conv_id) WHERE hit OR NOT cut")
 def c13(t: Tables) -> DataFrame:
-    p = t.conversations.select("conv_id", "turn", F.lower("text").contains("tion").alias("hit"))
-    some = p.groupBy("conv_id").agg(F.bool_or("hit").alias("some"))
-    return p.join(some, "conv_id").filter("hit or not some").select("conv_id", "turn")
+    pages = t.conversations.select("conv_id", "turn", F.expr(_TURN).alias("text"))
+    return discovery.relevant_pages(pages, "conv_id", "text").select("conv_id", "turn")
 
 
 @query("c14_known_documents", "SELECT doc_id, CASE source WHEN 'src1' THEN 2023 WHEN 'src2' THEN 2024 END AS known_year FROM documents WHERE source IN ('src1','src2')")
@@ -213,9 +228,33 @@ def m5(t: Tables) -> DataFrame:
     return found.groupBy("page_id").agg(F.count(html.resolve(c("url"), c("l.href"))).alias("n"))
 
 
-@query("m7_embedded_data", "SELECT page_id, contains(html, '<article') AND contains(html, '|') AS embedded FROM pages")
+#: What pages with tables hold, dealt by their ids.
+_TABLED = [
+    "",
+    "<div><h2>Hochlastzeitfenster ab 2025</h2><table><tr><td>Winter</td><td>08:00 Uhr</td></tr></table></div>",
+    "<div><p>gültig ab 01.01.2024</p><table><tr><td>Mittelspannung</td><td>1,20 ct/kWh</td></tr></table></div>",
+    "<div>Preisblatt<table><tr><td>Sommer</td></tr></table></div><h3>Stand 2019</h3>",
+    "<div><table><tr><td>Umspannung 01.11. bis 31.03.</td></tr></table></div><h4>Preise ab 2026</h4>",
+    "<h2>Tarif 2025</h2>",
+]
+
+
+def _embedded_sql(kind: str, tables_with: str) -> str:
+    """The places of tables and years are known, for the pages themselves have neither."""
+    n, p = f"len(list_filter({EMBEDDED_WORDS[kind]['page']}, lambda x: contains(low, x)))", EMBEDDED_POINTS[kind]
+    text = "regexp_replace(regexp_replace(concat((" + str(_TABLED) + ")[1 + page_id % 6], coalesce(html, '')), '(?is)<(script|style)\\b.*?</(script|style)\\s*>|<!--.*?-->', '', 'g'), '(?s)<[^>]+>', '', 'g')"
+    return f"""SELECT page_id, '{kind}' AS kind, n AS words, CAST(k BETWEEN 1 AND 4 AS INTEGER) AS tables, has, coalesce(year, '') AS years,
+        round(CASE WHEN k NOT BETWEEN 1 AND 4 THEN 0 ELSE CASE WHEN has THEN 0.4 ELSE 0 END + least(n * 0.1, 0.3) + CASE WHEN k = 1 THEN 0.3 WHEN year IS NOT NULL THEN 0.1 ELSE 0 END END::DOUBLE, 9) AS confidence,
+        CAST(CASE WHEN has THEN {p['table']} ELSE 0 END + n * {p['word']} + CASE WHEN k = 1 THEN {p['year']} ELSE 0 END AS DOUBLE) AS points
+        FROM (SELECT *, {n} AS n, k IN {tables_with} AS has, CASE k WHEN 1 THEN '2025' WHEN 2 THEN '2024' WHEN 4 THEN '2026' END AS year FROM (SELECT page_id, page_id % 6 AS k, lower({text}) AS low FROM pages))"""
+
+
+@query("m7_embedded_data", _embedded_sql("hlzf", "(1, 4)") + " UNION ALL " + _embedded_sql("netzentgelte", "(2)"))
 def m7(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", (c("html").contains("<article") & c("html").contains("|")).alias("embedded"))
+    made = F.concat(F.element_at(F.array(*[F.lit(x) for x in _TABLED]), (1 + c("page_id") % 6).cast("int")), F.coalesce("html", F.lit("")))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), html.embedded(c("p"), k, 2025).alias("e")) for k in ("hlzf", "netzentgelte")])
+    e = t.pages.select("page_id", html.placed(made).alias("p")).select("page_id", F.explode(kinds).alias("x")).select("page_id", "x.kind", "x.e.*")
+    return e.select("page_id", "kind", F.size("words").alias("words"), "tables", c("has_data").alias("has"), F.array_join(c("years").cast("array<string>"), ",").alias("years"), "confidence", "points")
 
 
 @query("m10_protection", "SELECT page_id, contains(lower(html), 'just a moment') OR contains(lower(html), 'enable javascript') OR contains(lower(html), 'cf-browser-verification') OR contains(lower(html), 'checking your browser') OR contains(lower(html), 'ddos protection') AS p FROM pages")
@@ -262,21 +301,45 @@ def s17(t: Tables) -> DataFrame:
     return t.events.select("event_id", html.robots_verdict(status, F.when(k == 4, "Just a moment ...").otherwise("User-agent: *")).alias("verdict"))
 
 
-@query("x4_discovery_cascade", "WITH a AS (SELECT user_id AS u, 80 AS score, 0 AS src FROM events WHERE event_type = 'purchase' UNION ALL SELECT user_id, 60, 1 FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, 10, 2 FROM events), r AS (SELECT u, score, row_number() OVER (PARTITION BY u ORDER BY src) AS k FROM a) SELECT u, score FROM r WHERE k = 1 ORDER BY score DESC, u LIMIT 80")
+_X4 = """WITH e AS (SELECT user_id % 5 AS site, 'u' || CAST(event_id % 500 AS VARCHAR) AS url, event_type AS kind, event_id % 97 AS v FROM events),
+a AS (SELECT site, url, 80 AS score, 0 AS i FROM e WHERE kind = 'purchase' UNION ALL SELECT site, url, v, 1 FROM e WHERE kind = 'view' UNION ALL SELECT site, url, 60, 2 FROM e WHERE kind = 'click' UNION ALL SELECT site, url, v, 3 FROM e WHERE v > 20),
+f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY i, score DESC) = 1),
+k AS (SELECT f.*, n_nationkey AS n FROM f LEFT JOIN nation ON url = 'u' || CAST(n_nationkey AS VARCHAR))
+SELECT site, url, CAST(score - CASE WHEN n % 3 = 1 THEN 30 ELSE 0 END AS DOUBLE) AS score, CASE i WHEN 0 THEN 'profile' WHEN 1 THEN 'sitemap' WHEN 2 THEN 'pattern' ELSE 'crawl' END AS source FROM k WHERE n IS NULL OR n % 3 > 0 QUALIFY row_number() OVER (PARTITION BY site ORDER BY i, score DESC, url) <= 80"""
+
+
+@query("x4_discovery_cascade", _X4)
 def x4(t: Tables) -> DataFrame:
-    of = lambda cond, score, src: t.events.filter(cond).select(c("user_id").alias("u"), F.lit(score).alias("score"), F.lit(src).alias("src"))
-    all_ = of("event_type = 'purchase'", 80, 0).unionByName(of("event_type = 'click'", 60, 1)).unionByName(of("true", 10, 2))
-    return all_.groupBy("u").agg(F.min_by("score", "src").alias("score")).orderBy(c("score").desc(), "u").limit(80)
+    e = t.events.select((c("user_id") % 5).alias("site"), F.concat(F.lit("u"), c("event_id") % 500).alias("url"), c("event_type").alias("kind"), (c("event_id") % 97).alias("score"))
+    of = lambda cond, score=None: e.filter(cond) if score is None else e.filter(cond).withColumn("score", F.lit(score))
+    sources = [("profile", of("kind = 'purchase'", 80)), ("sitemap", of("kind = 'view'")), ("pattern", of("kind = 'click'", 60)), ("crawl", of("score > 20"))]
+    n = c("n_nationkey")
+    known = t.nation.select(F.concat(F.lit("u"), n).alias("url"), F.when(n % 3 == 0, "irrelevant").when(n % 3 == 1, "unclassified").otherwise("hlzf").alias("class"))
+    return discovery.cascade(sources, known)
 
 
-@query("x5_fallback_scan", "WITH top AS (SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 10), f AS (SELECT bool_or(p_size > 99) AS specific FROM top) SELECT p_partkey, p_size + 50 AS score FROM part, f WHERE NOT specific AND p_size > 30")
+_X5 = """WITH f AS (SELECT user_id AS site, event_id AS id, (CASE WHEN event_id % 11 = 0 THEN 'HLZF-' ELSE 'doc-' END) || CAST(event_id AS VARCHAR) AS url, CAST(event_id % 97 AS DOUBLE) AS score FROM events WHERE event_type = 'view'),
+t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY site ORDER BY score DESC, url) <= 10),
+b AS (SELECT site FROM t GROUP BY 1 HAVING NOT bool_or(contains(lower(url), 'hlzf'))),
+a AS (SELECT site, url, score FROM f UNION ALL SELECT user_id, 'page-' || CAST(event_id AS VARCHAR), event_id % 90 + 50 FROM events WHERE event_type = 'click' AND event_id % 90 > 30 AND user_id IN (SELECT site FROM b))
+SELECT site, url, score FROM a QUALIFY row_number() OVER (PARTITION BY site ORDER BY score DESC, url) <= 20"""
+
+
+@query("x5_fallback_scan", _X5)
 def x5(t: Tables) -> DataFrame:
-    top = t.part.select("p_partkey", "p_size").orderBy(c("p_size").desc(), "p_partkey").limit(10)
-    flag = top.agg(F.bool_or(c("p_size") > 99).alias("specific"))
-    return t.part.filter("p_size > 30").join(F.broadcast(flag)).filter("not specific").select("p_partkey", (c("p_size") + 50).alias("score"))
+    k = c("event_id")
+    rows = t.events.select(c("user_id").alias("site"), "event_id", "event_type")
+    found = rows.filter("event_type = 'view'").select("site", F.concat(F.when(k % 11 == 0, "HLZF-").otherwise("doc-"), k).alias("url"), (k % 97).alias("score"))
+    pages = rows.filter("event_type = 'click'").select("site", F.concat(F.lit("page-"), k).alias("url"), (k % 90).alias("points"))
+    return discovery.with_scan(found, pages)
+
+
+_X12 = """WITH n AS (SELECT conv_id, turn, coalesce(contains(text, 'qui'), false) AS hit, turn <= 1 AND row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 50 AS one FROM conversations WHERE turn <= 5),
+d AS (SELECT *, bool_or(one AND hit) OVER (PARTITION BY conv_id) AS done FROM n)
+SELECT conv_id, turn, CASE WHEN done THEN 1 ELSE 2 END AS crawl_pass FROM d WHERE CASE WHEN done THEN one ELSE NOT one END"""
 
 
-@query("x12_deepen", "WITH one AS (SELECT conv_id, count(*) AS n FROM conversations WHERE turn < 1 AND contains(text, 'qui') GROUP BY 1), two AS (SELECT conv_id, count(*) AS n FROM conversations WHERE turn < 4 GROUP BY 1) SELECT two.conv_id, coalesce(one.n, two.n) AS n FROM two LEFT JOIN one ON one.conv_id = two.conv_id")
+@query("x12_deepen", _X12)
 def x12(t: Tables) -> DataFrame:
-    n = t.conversations.groupBy("conv_id").agg(F.count_if((c("turn") < 1) & c("text").contains("qui")).alias("one"), F.count_if(c("turn") < 4).alias("two"))
-    return n.filter("two > 0").select("conv_id", F.when(c("one") > 0, c("one")).otherwise(c("two")).alias("n"))
+    pages = t.conversations.select(c("conv_id").alias("job"), c("turn").alias("url"), c("turn").alias("depth"), F.coalesce(c("text").contains("qui"), F.lit(False)).alias("classified"))
+    return discovery.deepened(pages, ((1, 50), (5, 150))).select(c("job").alias("conv_id"), c("url").alias("turn"), "crawl_pass")

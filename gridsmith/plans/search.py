@@ -76,20 +76,37 @@ def j15(t: Tables) -> DataFrame:
     return pick(t.customer, ["c_nationkey"], [F.when(c("c_name").contains("77"), 0).otherwise(1), c("c_custkey")]).select("c_nationkey", "c_custkey")
 
 
-@query("x8_search_waterfall", "SELECT o_orderkey, coalesce(s_nationkey, CASE WHEN c_acctbal > 0 THEN c_nationkey END, -1) AS operator, CASE WHEN s_nationkey IS NOT NULL THEN 'hash' WHEN c_acctbal > 0 THEN 'geo' ELSE 'skeleton' END AS source FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey LEFT JOIN customer ON c_custkey = o_custkey")
+_X8 = """WITH h AS (SELECT s_suppkey % 40 AS k, min(s_nationkey) AS op FROM supplier GROUP BY 1), g AS (SELECT s_suppkey % 20 AS k, min(s_nationkey) AS op FROM supplier GROUP BY 1),
+a AS (SELECT o_orderkey, h.op AS held, CASE WHEN o_custkey % 7 > 0 THEN g.op END AS near, CASE WHEN o_custkey % 7 = 0 THEN NULL WHEN o_custkey % 5 = 0 AND c_acctbal <= 0 THEN 99 ELSE c_nationkey END AS told FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN h ON h.k = o_custkey % 60 LEFT JOIN g ON g.k = o_custkey % 30)
+SELECT o_orderkey, coalesce(held, near, told) AS operator, CASE WHEN held IS NOT NULL THEN 'cached' WHEN near IS NOT NULL THEN 'near' WHEN told IS NOT NULL THEN 'skeleton' ELSE 'missing' END AS outcome FROM a"""
+
+
+@query("x8_search_waterfall", _X8)
 def x8(t: Tables) -> DataFrame:
-    a = t.orders.select("o_orderkey", "o_custkey")
-    h = t.supplier.select(c("s_suppkey").alias("o_custkey"), c("s_nationkey").alias("by_hash"))
-    g = t.customer.filter("c_acctbal > 0").select(c("c_custkey").alias("o_custkey"), c("c_nationkey").alias("by_geo"))
-    out = a.join(h, "o_custkey", "left").join(g, "o_custkey", "left")
-    return out.select("o_orderkey", F.coalesce("by_hash", "by_geo", F.lit(-1)).alias("operator"), F.when(c("by_hash").isNotNull(), "hash").when(c("by_geo").isNotNull(), "geo").otherwise("skeleton").alias("source"))
+    at = lambda k, off=0.0: (50 + k * 0.001 + off).alias("lat")
+    key = lambda street, k: address_key(F.concat(F.lit(street), k), F.lit("10115"))
+    a = t.orders.join(t.customer, c("c_custkey") == c("o_custkey")).select(c("o_orderkey").alias("ask"), c("o_custkey").alias("k"), "c_nationkey", "c_acctbal")
+    asked = a.select("ask", key("Hauptstraße ", c("k") % 60).alias("key"))
+    stored = t.supplier.select(key("Hauptstr. ", c("s_suppkey") % 40).alias("key"), at(c("s_suppkey") % 20), F.lit(10.0).alias("lon"), c("s_nationkey").alias("operator"))
+    told = F.array(F.struct(c("c_nationkey").alias("operator"), (c("c_acctbal") > 0).alias("electricity")), F.struct(F.when(c("k") % 5 == 0, 99).alias("operator"), (c("k") % 5 == 0).alias("electricity")))
+    answers = a.filter("k % 7 > 0").select("ask", at(c("k") % 30, 0.00003), F.lit(10.00002).alias("lon"), F.explode(told).alias("o")).select("ask", "lat", "lon", "o.*")
+    return search.waterfall(asked, stored, answers).select(c("ask").alias("o_orderkey"), "operator", "outcome")
+
+
+_X9 = """WITH f AS (SELECT DISTINCT o_custkey AS k, year(o_orderdate) AS y, (['NS', 'MS/NS', 'MS', 'HS', 'HS/MS'])[CAST(o_orderpriority[1] AS INTEGER)] AS level, o_orderstatus = 'F' AS price FROM orders),
+g AS (SELECT k, string_agg(CAST(y AS VARCHAR) || ':' || level, ',' ORDER BY y, level) FILTER (WHERE price) AS prices, count(*) FILTER (WHERE NOT price) AS n_hours, count(DISTINCT level) FILTER (WHERE price AND level IN ('NS', 'MS', 'MS/NS')) AS three, count(DISTINCT level) FILTER (WHERE price AND level = 'NS') AS one FROM f GROUP BY 1)
+SELECT c_custkey, k IS NOT NULL AS has_data, coalesce(prices, '') AS prices, CAST(coalesce(n_hours, 0) AS INTEGER) AS n_hours, CAST(CASE WHEN c_custkey % 11 = 0 THEN CASE WHEN k IS NULL THEN 0 ELSE 100 END WHEN c_custkey % 2 = 0 THEN round_even(coalesce(three, 0) * 100.0 / 3, 0) ELSE coalesce(one, 0) * 100 END AS INTEGER) AS score, CASE WHEN k IS NULL THEN c_name || ' is registered; no data yet.' END AS message FROM customer LEFT JOIN g ON k = c_custkey"""
 
 
-@query("x9_search_response", "SELECT c_custkey, count(o_orderkey) AS n_facts, count(DISTINCT year(o_orderdate)) AS n_years, CAST(round_even(100.0 * count(DISTINCT o_orderpriority) / 5, 0) AS INTEGER) AS completeness FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+@query("x9_search_response", _X9)
 def x9(t: Tables) -> DataFrame:
-    facts = t.orders.groupBy(c("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.count_distinct(F.year("o_orderdate")).alias("y"), F.count_distinct("o_orderpriority").alias("p"))
-    some = lambda x: F.coalesce(x, F.lit(0).cast("long"))
-    return t.customer.select("c_custkey").join(facts, "c_custkey", "left").select("c_custkey", some("n").alias("n_facts"), some("y").alias("n_years"), F.bround(100.0 * some("p") / 5).cast("int").alias("completeness"))
+    level = F.element_at(F.array(*[F.lit(x) for x in ("NS", "MS/NS", "MS", "HS", "HS/MS")]), F.substring("o_orderpriority", 1, 1).cast("int"))
+    facts = t.orders.groupBy(c("o_custkey").alias("id"), F.year("o_orderdate").alias("year"), level.alias("level"), (c("o_orderstatus") == "F").alias("price")).agg(F.max("o_totalprice").alias("value"))
+    k = c("c_custkey")
+    points = F.when(k % 11 != 0, F.create_map(F.lit("ns"), F.lit(5), F.lit("ms"), F.when(k % 2 == 0, 3).otherwise(0)))
+    out = search.response(t.customer.select(k.alias("id"), c("c_name").alias("name"), points.alias("points")), facts.filter("price"), facts.filter("not price"))
+    said = F.array_join(F.transform("prices", lambda f: F.concat(f["year"], F.lit(":"), f["level"])), ",")
+    return out.select(c("id").alias("c_custkey"), "has_data", said.alias("prices"), F.size("hours").alias("n_hours"), c("completeness.score").alias("score"), "message")
 
 
 @query("x16_bulk_enqueue", "SELECT CASE WHEN k % 5 = 0 THEN 'missing' ELSE 'exact' END AS outcome, count(*) AS n FROM (SELECT DISTINCT s_nationkey AS k FROM supplier) GROUP BY 1")

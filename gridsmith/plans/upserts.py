@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridsmith.operators import discovery
 from gridsmith.registry import query
 from gridsmith.session import Tables
 
@@ -181,17 +182,39 @@ def f24(t: Tables) -> DataFrame:
     return df if "added" in df.columns else df.withColumn("added", F.lit(None).cast("int"))
 
 
-@query("x6_extract_fallback", "WITH a AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1), b AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT b.k, CASE WHEN a.n >= 2 THEN a.n ELSE b.n END AS n, CASE WHEN a.n >= 2 THEN 'text' ELSE 'fallback' END AS source, NOT coalesce(a.n >= 2, false) AND b.n < 2 AS flagged FROM b LEFT JOIN a ON a.k = b.k")
+_X6 = """WITH a AS (SELECT l_orderkey AS k, count(*) AS n, count(*) FILTER (WHERE l_discount > 0.02) >= 2 AS sane FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1),
+b AS (SELECT l_orderkey AS k, count(*) AS n, count(*) FILTER (WHERE l_tax > 0.02) >= 2 AS sane FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN coalesce(a.sane, false) OR b.k IS NULL THEN 'patterns' ELSE 'fallback' END AS method, CASE WHEN coalesce(a.sane, false) OR b.k IS NULL THEN a.n ELSE b.n END AS n, NOT coalesce(a.sane, false) AND NOT coalesce(b.sane, false) AS flagged FROM a FULL JOIN b ON a.k = b.k"""
+
+
+@query("x6_extract_fallback", _X6)
 def x6(t: Tables) -> DataFrame:
-    n = t.lineitem.groupBy(c("l_orderkey").alias("k")).agg(F.count_if(c("l_returnflag") == "N").alias("a"), F.count("*").alias("b"))
-    good = c("a") >= 2
-    return n.select("k", F.when(good, c("a")).otherwise(c("b")).alias("n"), F.when(good, "text").otherwise("fallback").alias("source"), (~good & (c("b") < 2)).alias("flagged"))
+    rows = t.lineitem.select(c("l_orderkey").alias("file"), "l_returnflag", "l_discount", "l_tax")
+    own = rows.filter("l_returnflag = 'N'").withColumn("valid", c("l_discount") > 0.02)
+    other = rows.filter("file % 3 > 0").withColumn("valid", c("l_tax") > 0.02)
+    return discovery.chosen(own, other).withColumnRenamed("file", "k")
+
+
+_X7J = "SELECT o_orderkey AS job, lower(o_orderpriority[3:]) AS p, o_custkey % 4 = 0 AS via, count(l_orderkey) AS n, coalesce(bool_or(l_quantity > 49), false) AS e, coalesce(bool_or(l_discount > 0.09), false) AS w FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber > 1 GROUP BY 1, 2, 3"
+_X7 = f"""WITH j AS ({_X7J}), ok AS (SELECT * FROM j WHERE n > 0 AND NOT e),
+x AS (SELECT '/' || p || '/' AS pattern, 1 AS ok FROM ok UNION ALL SELECT '/' || p || '/{{year}}/', 1 FROM ok UNION ALL SELECT '/' || p || '/', 0 FROM j WHERE via AND (n = 0 OR e))
+SELECT pattern, count(*) FILTER (WHERE ok = 1) AS success, count(*) FILTER (WHERE ok = 0) AS fail FROM x GROUP BY 1"""
+
+
+def _jobs(t: Tables) -> DataFrame:
+    part = F.lower(F.substring("o_orderpriority", 3, 100))
+    jobs = t.orders.select(c("o_orderkey").alias("job"), F.concat(F.lit("https://x.de/"), part, F.lit("/2024/a.pdf")).alias("url"), F.when(c("o_custkey") % 4 == 0, F.concat(F.lit("/"), part, F.lit("/"))).alias("via"))
+    return discovery.finalized(jobs, t.lineitem.filter("l_linenumber > 1").select(c("l_orderkey").alias("job"), (c("l_quantity") > 49).alias("error"), (c("l_discount") > 0.09).alias("warning")))
+
+
+@query("x7_finalized_jobs", f"SELECT job, CASE WHEN e THEN 0 ELSE n END AS n, n > 0 AND NOT e AS saved, n > 0 AND NOT e AND w AS flagged FROM ({_X7J})")
+def x7_jobs(t: Tables) -> DataFrame:
+    return _jobs(t).select("job", "n", "saved", "flagged")
 
 
-@query("x7_validate_finalize_learn", "WITH v AS (SELECT l_orderkey AS k, count(*) FILTER (WHERE l_quantity > 45) AS errors, count(*) AS n FROM lineitem GROUP BY 1) SELECT CASE WHEN errors > 0 THEN 'flagged' ELSE 'pending' END AS status, count(*) AS files, CAST(sum(n) AS BIGINT) AS records FROM v GROUP BY 1")
+@query("x7_validate_finalize_learn", _X7)
 def x7(t: Tables) -> DataFrame:
-    v = t.lineitem.groupBy("l_orderkey").agg(F.count_if(c("l_quantity") > 45).alias("errors"), F.count("*").alias("n"))
-    return v.groupBy(F.when(c("errors") > 0, "flagged").otherwise("pending").alias("status")).agg(F.count("*").alias("files"), F.sum("n").alias("records"))
+    return discovery.learned(_jobs(t))
 
 
 @query(

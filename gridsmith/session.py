@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,6 +16,16 @@ def session(master: str | None = None, partitions: int | None = None, memory: st
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a session in
+    one process gets a temporary one; a cluster, whose machines don't share those, is refused."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="gridsmith-")
+
+
 class Tables:
     """Parquet tables of a folder by attribute: Tables(spark, path).orders."""
 

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridsmith.operators import crawl, extraction
+from gridsmith.functions import html, urls
+from gridsmith.operators import crawl, discovery, extraction, search
 from gridsmith.operators.joins import band
 from gridsmith.plans.crawling import RefusedError, guarded
 from gridsmith.plans.scoring import importance
@@ -107,3 +108,88 @@ def test_files(spark, tmp_path):
     assert {(r.slug, r.kind, r.year) for r in files.listing(spark, str(tmp_path / "d")).collect()} == {("netz-x", "hlzf", 2024), ("netz-x", "netzentgelte", 2025)}
     docs = files.documents(spark, str(tmp_path / "d")).collect()
     assert len(docs) == 1 and docs[0].format == "pdf"
+
+
+def _dicts(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_cascade_first_source_wins(spark):
+    at = lambda *rows: spark.createDataFrame(rows, "site long, url string, score double")
+    known = spark.createDataFrame([("c", "irrelevant"), ("d", "unclassified")], "url string, class string")
+    sources = [("profile", at((1, "a", 80.0))), ("crawl", at((1, "a", 99.0), (1, "c", 90.0), (1, "d", 70.0), (1, "e", 60.0), (1, "f", 65.0)))]
+    got = {(r.url, r.score, r.source) for r in discovery.cascade(sources, known, 3).collect()}
+    assert got == {("a", 80.0, "profile"), ("d", 40.0, "crawl"), ("f", 65.0, "crawl")}
+    assert discovery.cascade([("none", at().limit(0))], known.limit(0)).count() == 0
+
+
+def test_scan_only_where_no_windows_are_named(spark):
+    found = spark.createDataFrame([(1, "x/HLZF.pdf", 9.0), (2, "x/a.pdf", 9.0)], "site long, url string, score double")
+    pages = spark.createDataFrame([(1, "p", 40.0), (2, "p", 40.0), (2, "q", 30.0), (3, "p", 99.0)], "site long, url string, points double")
+    assert {(r.site, r.url, r.score) for r in discovery.with_scan(found, pages).collect()} == {(1, "x/HLZF.pdf", 9.0), (2, "x/a.pdf", 9.0), (2, "p", 90.0)}
+
+
+def test_second_pass_leaves_out_the_first(spark):
+    rows = [(1, "a", 1, True), (1, "b", 4, False), (2, "a", 1, False), (2, "b", 4, False), (2, "c", 6, True)]
+    got = discovery.deepened(spark.createDataFrame(rows, "job long, url string, depth int, classified boolean"))
+    assert {tuple(r) for r in got.collect()} == {(1, "a", 1), (2, "b", 2)}
+
+
+def test_classified_files(spark):
+    rows = [
+        (1, "a", "html", 2024, 5, 0, False, False),
+        (1, "b", "pdf", None, 5, 0, False, False),  # as many, but PDF
+        (1, "c", "pdf", 2023, 3, 0, False, False),  # another year
+        (1, "d", "pdf", 2024, 1, 0, False, False),
+        (1, "e", "pdf", 2024, 0, 0, False, False),
+        (2, "a", "pdf", 2024, 2, 4, False, False),  # both kinds, more windows
+        (3, "a", "pdf", 2024, 0, 0, True, True),  # both by words
+    ]
+    df = spark.createDataFrame(rows, "job long, path string, format string, year int, n_prices int, n_hours int, said_prices boolean, said_hours boolean")
+    got = {(r.job, r.path): r["class"] for r in discovery.classified(df, 2024).collect()}
+    assert got == {(1, "a"): "unclassified", (1, "b"): "netzentgelte", (1, "c"): "netzentgelte", (1, "d"): "unclassified", (1, "e"): "irrelevant", (2, "a"): "hlzf", (3, "a"): "netzentgelte"}
+
+
+def test_relevant_pages(spark):
+    rows = [(1, 0, "Entgelt"), (1, 1, "x"), (1, 2, None), (2, 0, "x"), (2, 1, "Preisblatt"), (3, 0, "x"), (3, 1, "x"), (3, 2, "x")]
+    got = discovery.relevant_pages(spark.createDataFrame(rows, "doc long, page int, text string"), "doc", "text")
+    assert {(r.doc, r.page) for r in got.collect()} == {(1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2)}
+
+
+def test_chosen_and_finalized(spark):
+    df = lambda rows, s: spark.createDataFrame(rows, s)
+    own = df([(1, True), (1, True), (2, True), (2, False), (3, True)], "file long, valid boolean")
+    other = df([(2, True), (2, True), (4, None)], "file long, valid boolean")
+    assert {tuple(r) for r in discovery.chosen(own, other).collect()} == {(1, "patterns", 2, False), (2, "fallback", 2, False), (3, "patterns", 1, True), (4, "fallback", 1, True)}
+    jobs = df([(1, "https://x.de/a/2024/f.pdf", None), (2, "https://x.de/a/g.pdf", "/a/"), (3, None, "/b/")], "job long, url string, via string")
+    done = discovery.finalized(jobs, df([(1, False, True), (2, True, False)], "job long, error boolean, warning boolean"))
+    assert {(r.job, r.n, r.saved, r.flagged) for r in done.collect()} == {(1, 1, True, True), (2, 0, False, False), (3, 0, False, False)}
+    assert {tuple(r) for r in discovery.learned(done).collect()} == {("/a/{year}/", 1, 0), ("/a/", 1, 1), ("/b/", 0, 1)}
+
+
+def test_waterfall_steps(spark):
+    asked = spark.createDataFrame([(1, "k"), (2, "x"), (3, None), (4, "y"), (5, "z")], "ask long, key string")
+    stored = spark.createDataFrame([("k", 1.0, 1.0, 10), ("k", 1.0, 1.0, 11), (None, 2.0, 2.0, 20)], "key string, lat double, lon double, operator int")
+    told = spark.createDataFrame([(1, 9.0, 9.0, 90, True), (2, 2.00005, 2.0, 30, True), (3, 2.0002, 2.0, 31, False), (3, 2.0002, 2.0, 32, True), (4, 5.0, 5.0, None, None)], "ask long, lat double, lon double, operator int, electricity boolean")
+    got = {tuple(r) for r in search.waterfall(asked, stored, told).collect()}
+    assert got == {(1, 10, "cached"), (2, 20, "near"), (3, 32, "skeleton"), (4, None, "missing"), (5, None, "missing")}
+
+
+def test_embedded_data(spark):
+    pages = [
+        "<p>Hochlast<div>ab 2025<table><tr><td>Winter<td>8 Uhr</table></div>",
+        "<h3>gültig ab 01.01.2024</h3><table><tr><td><table><tr><td>ct/kWh Netzebene</td></tr></table>",
+        "<script>winter sommer</script><b>2025</b>",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, h string").withColumn("p", html.placed("h"))
+    got = [r.e for r in df.select("i", html.embedded(F.col("p"), "hlzf", 2025).alias("e")).orderBy("i").collect()]
+    assert [(e.words, e.tables, e.has_data, e.years, e.confidence, e.points) for e in got] == [(["hochlast", "winter"], 1, True, [2025], 0.9, 89.0), ([], 2, False, [2024], 0.1, 0.0), ([], 0, False, [], 0.0, 0.0), ([], 0, False, [], 0.0, 0.0)]
+    prices = df.filter("i = 1").select(html.embedded(F.col("p"), "netzentgelte").alias("e")).first().e
+    assert (prices.has_data, prices.confidence, prices.points) == (True, 0.5, 15.0)
+
+
+def test_kind_points(spark):
+    df = spark.createDataFrame([("x/Preisblatt.pdf",), ("x/hochlast-regelung",), (None,)], "u string")
+    got = df.select(*[urls.kind_points(F.col("u"), k).alias(k) for k in ("netzentgelte", "hlzf", "all")]).collect()
+    assert [tuple(r) for r in got[:2]] == [(15.0, -10.0, 0.0), (-20.0, 25.0, 0.0)]
