@@ -172,7 +172,15 @@ def g10(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", urls.year_template(F.concat(F.lit("/d/"), y, F.lit("/a.pdf")), y).alias("u"))
 
 
-@query("g11_path_patterns")
+_G11 = """WITH p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+d AS (SELECT page_id, CASE WHEN contains(list_last(string_split(path, '/')), '.') THEN regexp_replace(path, '[^/]*$', '') ELSE path END AS path FROM p),
+w AS (SELECT page_id, regexp_replace(path, '/20[0-9]{2}/', '/{year}/', 'g') AS whole, list_filter(string_split(path, '/'), lambda x: x <> '' AND NOT regexp_matches(x, '^20[0-9]{2}$')) AS segments FROM d),
+b AS (SELECT *, string_split(trim(whole, '/'), '/') AS parts FROM w),
+a AS (SELECT page_id, unnest(list_concat([whole], list_transform(segments, lambda x: '/' || x || '/'), list_transform(range(1, len(parts)), lambda i: '/' || array_to_string(parts[1:i], '/') || '/'))) AS pattern FROM b)
+SELECT DISTINCT page_id, pattern FROM a WHERE pattern NOT IN ('', '/')"""
+
+
+@query("g11_path_patterns", _G11)
 def g11(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.explode(urls.path_patterns(c("url"))).alias("pattern"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,20 +16,27 @@ from gridsmith.streaming import limits
 c = F.col
 
 
-def stream(t: Tables, files: int = 4) -> DataFrame:
-    """The events as a stream of files in order of time."""
-    path = folder(t)
+def spans(t: Tables, n: int = 4) -> list[DataFrame]:
+    """The events in n parts in order of time, rows without a time in the first."""
     events = t.events.withColumn("ts", c("ts").cast("timestamp"))  # event times need a zone
-    events.repartitionByRange(files, "ts").sortWithinPartitions("ts", "event_id").write.parquet(path)
-    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def drained(t: Tables, df: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows that a stream gives until its input ends, as a table."""
-    path, marks = folder(t), folder(t)
-    q = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", marks).trigger(availableNow=True).queryName("q" + uuid.uuid4().hex).start()
-    q.awaitTermination()
-    return t.spark.read.schema(df.schema).parquet(path)
+    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    if first is None:
+        return [events]
+    at = F.coalesce(F.floor((F.unix_micros("ts") - first) * n / (last - first + 1)), F.lit(0))
+    return [events.filter(at == i) for i in range(n)]
+
+
+def drained(t: Tables, shape: Callable[[DataFrame], DataFrame], parts: list[DataFrame], mode: str = "append") -> DataFrame:
+    """All rows that a stream gives whose input arrives part by part. Each part is written by
+    many tasks and taken as a whole by a run that goes on from the checkpoint of the last one."""
+    given, path, marks = folder(t), folder(t), folder(t)
+    out = None
+    for part in parts:
+        part.write.mode("append").parquet(given)
+        out = shape(t.spark.readStream.schema(part.schema).parquet(given))
+        q = out.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", marks).trigger(availableNow=True).queryName("q" + uuid.uuid4().hex).start()
+        q.awaitTermination()
+    return t.spark.read.schema(out.schema).parquet(path)
 
 
 _SESSIONS = "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k"
@@ -39,9 +47,13 @@ def r1(t: Tables) -> DataFrame:
     return limits.sessions(t.events, "2 hours", 5).select("user_id", "start", "n")
 
 
-@query("r1_session_limit_stream")
+#: A session ends with the stream only if the watermark, ten minutes behind, has passed its end.
+_CLOSED = _SESSIONS.replace("SELECT user_id, min(ts) AS start, count(*) AS n FROM s", 'SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n, count(*) > 5 AS limited FROM s') + " HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)"
+
+
+@query("r1_session_limit_stream", _CLOSED)
 def r1_stream(t: Tables) -> DataFrame:
-    return drained(t, limits.sessions(stream(t), "2 hours", 5))
+    return drained(t, lambda e: limits.sessions(e, "2 hours", 5), spans(t))
 
 
 _HEALTH = "WITH e AS (SELECT user_id, event_id, ts, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM events WHERE event_type IN ('error','purchase')) SELECT user_id, event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, k ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS failures FROM e"
@@ -49,8 +61,7 @@ _HEALTH = "WITH e AS (SELECT user_id, event_id, ts, event_type, sum(CASE WHEN ev
 
 @query("r2_health_state", _HEALTH)
 def r2(t: Tables) -> DataFrame:
-    # one file, so that a key's events come in one order
-    return drained(t, limits.health(stream(t, 1))).select("user_id", "event_id", c("failures").cast("long").alias("failures"))
+    return drained(t, limits.health, spans(t)).select("user_id", "event_id", c("failures").cast("long").alias("failures"))
 
 
 @query("r2_health_batch", _HEALTH)
@@ -63,14 +74,25 @@ def r2_batch(t: Tables) -> DataFrame:
 
 @query("r4_dedup_stream", "SELECT DISTINCT user_id, event_type FROM events")
 def r4(t: Tables) -> DataFrame:
-    return drained(t, limits.first_seen(stream(t), ["user_id", "event_type"], "60 days")).select("user_id", "event_type")
+    return drained(t, lambda e: limits.first_seen(e, ["user_id", "event_type"], "60 days"), spans(t)).select("user_id", "event_type")
 
 
-@query("r6_tail_sampling")
+@query("r6_tail_sampling", "SELECT event_id, event_type FROM events WHERE event_type = 'error' OR value > 2000 OR CAST('0x' || md5(CAST(event_id AS VARCHAR))[1:8] AS UBIGINT) % 10 = 0")
 def r6(t: Tables) -> DataFrame:
-    return drained(t, limits.sampled(stream(t))).select("event_id", "event_type")
+    return drained(t, limits.sampled, spans(t)).select("event_id", "event_type")
 
 
 @query("r7_cross_run_memory", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)")
 def r7(t: Tables) -> DataFrame:
-    return drained(t, limits.remembered(stream(t), t.supplier.select(c("s_suppkey").alias("user_id")), "user_id")).select("event_id")
+    return drained(t, lambda e: limits.remembered(e, t.supplier.select(c("s_suppkey").alias("user_id")), "user_id"), spans(t)).select("event_id")
+
+
+_R8 = """WITH e AS (SELECT *, date_trunc('hour', ts) AS start FROM events WHERE ts IS NOT NULL), m AS (SELECT date_trunc('milliseconds', max(ts) FILTER (WHERE event_id % 10 > 0)) - INTERVAL 1 DAY AS early, date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY AS last FROM e)
+SELECT start, count(*) AS n FROM e, m WHERE start + INTERVAL 1 HOUR <= last AND (event_id % 10 > 0 OR start + INTERVAL 1 HOUR > early) GROUP BY 1"""
+
+
+@query("r8_late_events", _R8)
+def r8(t: Tables) -> DataFrame:
+    """Every tenth event arrives after all others and counts only if its hour is still open."""
+    events, k = t.events.withColumn("ts", c("ts").cast("timestamp")), c("event_id") % 10
+    return drained(t, limits.hourly, [events.filter(k > 0), events.filter(k == 0)])

@@ -21,7 +21,8 @@ HEALTH = "user_id long, event_id long, failures int, until timestamp"
 
 
 def _health(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-    """R2: consecutive failures of a key; from the third on it rests an hour."""
+    """R2: consecutive failures of a key; from the third on it rests an hour. Events of one
+    batch are put in order of time; batches are taken in the order they arrive in."""
     failures = state.get[0] if state.exists else 0
     out = []
     for row in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
@@ -37,6 +38,14 @@ def health(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_id", "event_type", "ts").groupBy("user_id").applyInPandasWithState(_health, HEALTH, "failures int", "append", "NoTimeout")
 
 
+def hourly(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Events an hour. An hour is closed once the watermark, the latest time seen less
+    `late`, has passed its end; what arrives for it afterwards is dropped, what arrives
+    within `late` still counts."""
+    e = events.withWatermark("ts", late) if events.isStreaming else events
+    return e.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
+
+
 def first_seen(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:
     """The first event of each key within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
@@ -44,7 +53,8 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "10 minutes") ->
 
 def sampled(events: DataFrame, share: int = 10, slow_ms: int = 2000) -> DataFrame:
     """Errors and slow events always, of the others one in `share` by hash."""
-    keep = (F.col("event_type") == "error") | (F.col("value") > slow_ms) | (F.pmod(F.crc32(F.col("event_id").cast("string").cast("binary")), F.lit(share)) == 0)
+    hashed = F.conv(F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    keep = (F.col("event_type") == "error") | (F.col("value") > slow_ms) | (hashed % share == 0)
     return events.filter(keep)
 
 
