@@ -9,7 +9,6 @@ is made per word.  Hashes of 64 bits stand for words and shingles from there on.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -18,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridsmith.session import shared_folder
+
 #: Bytes of text handled at once; temporaries are about 30 times that.
 CHUNK = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -30,12 +31,12 @@ _OWN_DIR: list[str] = []
 
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; a temporary one only
-    where that is unset, as in local tests."""
+    where that is unset and the session is local, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="gridsmith-"))
+        _OWN_DIR.append(shared_folder(spark))
     return _OWN_DIR[0]
 
 
