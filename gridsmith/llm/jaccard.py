@@ -8,7 +8,7 @@ lower case).  Texts of equal words are one class, stood for by their smallest id
 2. Classes that share a band are joined in stars about the band's smallest id; the
    stars' components hold every candidate pair. Pairs are never listed.
 3. Inside a component members are dealt into blocks by hash, and each pair of blocks
-   is one unit of work of bounded size, whatever the component's.  There, MinHash
+   is one unit of work of bounded members and bytes, whatever the component's.  There, MinHash
    values are compared in steps, and a pair goes when the posterior probability that
    its similarity reaches the threshold (uniform prior) falls below TOLERANCE.
    What survives is joined into smaller components.
@@ -46,8 +46,9 @@ HASHES = ROWS * BANDS
 TOLERANCE = 1e-6
 #: MinHash values compared between two looks at the posterior.
 STEP = 24
-#: Members of a block, about.
+#: Members of a block, and bytes of their shingles, about.
 BLOCK = 384
+BLOCK_BYTES = 32 << 20
 
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -83,8 +84,8 @@ def _prints(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """doc_id, two prints, the low bytes of the MinHash values and the band keys of
-    every text that has words."""
+    """doc_id, two prints, the low bytes of the MinHash values, the band keys and the
+    number of shingles of every text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b, 512 << 10)):
@@ -103,11 +104,12 @@ def sketches(texts: DataFrame) -> DataFrame:
                     pa.array(q[some].view(np.int64)),
                     pa.array([row.tobytes() for row in values.astype(np.uint8)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(mix(keys).view(np.int64).ravel())),
+                    pa.array(np.diff(at)[some]),
                 ],
-                names=["doc_id", "p", "q", "low", "bands"],
+                names=["doc_id", "p", "q", "low", "bands", "size"],
             )
 
-    return texts.mapInArrow(run, "doc_id long, p long, q long, low binary, bands array<long>")
+    return texts.mapInArrow(run, "doc_id long, p long, q long, low binary, bands array<long>, size long")
 
 
 @lru_cache(maxsize=8)
@@ -195,10 +197,11 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _units(members: DataFrame) -> DataFrame:
-    """Each member once for each pair of blocks that its block is in: columns comp, x, y, side."""
-    sized = members.groupBy("comp").agg(F.count("*").alias("m")).filter("m > 1")
-    n = F.ceil(F.col("m") / BLOCK).cast("long")
+def _units(members: DataFrame, sized: DataFrame) -> DataFrame:
+    """Each member once for each pair of blocks that its block is in: columns comp, x, y, side.
+    sized has comp, m (members) and bytes of each component, and is a table, so that the
+    join is split where one component is large."""
+    n = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("long")
     return (
         members.join(sized, "comp")
         .withColumn("own", F.pmod(F.xxhash64("doc_id"), n))
@@ -269,12 +272,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     banded = one.select("doc_id", F.explode("bands").alias("band"))
     low = banded.groupBy("band").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1").select("band", "b")
     stars = banded.join(low, "band").select(F.col("doc_id").alias("a"), "b")
-    first = components(stars, "join-stars").withColumnsRenamed({"id": "doc_id"})
-    units = _units(one.select("doc_id", "low").join(first, "doc_id"))
+    first = materialize(components(stars, "join-stars").withColumnsRenamed({"id": "doc_id"}), "join-first")
+    sized = materialize(first.groupBy("comp").agg(F.count("*").alias("m"), F.lit(0).cast("long").alias("bytes")).filter("m > 1"), "join-sizes")
+    units = _units(one.select("doc_id", "low").join(first, "doc_id"), sized)
     near = _links(units, similarity, False).filter("kind = 1").select("a", "b")
     second = components(near, "join-near").withColumnsRenamed({"id": "doc_id"})
-    members = materialize(one.select("doc_id", "p", "q", "low").join(second, "doc_id"), "join-members")
-    links = materialize(_links(_units(_with_shingles(known, members)), similarity, True), "join-links")
+    members = materialize(one.select("doc_id", "p", "q", "low", "size").join(second, "doc_id"), "join-members")
+    sized = materialize(members.groupBy("comp").agg(F.count("*").alias("m"), (8 * F.sum("size")).alias("bytes")).filter("m > 1"), "join-sizes")
+    links = materialize(_links(_units(_with_shingles(known, members.drop("size")), sized), similarity, True), "join-links")
     # texts of one id are one document
     same = whose.select(F.col("doc_id").alias("a"), F.col("rep_id").alias("b")).groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).filter("b != c").select(F.col("b").alias("a"), F.col("c").alias("b"))
     groups = components(links.filter("kind = 1").select("a", "b").union(same), "join-groups").withColumnsRenamed({"id": "rep_id", "comp": "class_id"})

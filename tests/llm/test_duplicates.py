@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridsmith.llm import decontam, jaccard, substrings
+from gridsmith.llm.common import components
 
 
 def tokens(t):
@@ -71,6 +72,21 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def test_blocks_of_long_texts(spark, monkeypatch):
+    """Blocks bounded in bytes give the same links."""
+    rows = family(9, 30)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 2000)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_components_of_a_large_star(spark):
+    """One centre, a chain and a ring; the components are those of a search."""
+    edges = [(1, i) for i in range(2, 400)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000 + i, 2000 + (i + 1) % 7) for i in range(7)]
+    got = dict(components(spark.createDataFrame(edges, "a long, b long"), "test-star").collect())
+    assert got == {i: 1 for i in range(1, 400)} | {i: 1000 for i in range(1000, 1041)} | {i: 2000 for i in range(2000, 2007)}
+
+
 def test_verified_by_matrix():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(12)]
