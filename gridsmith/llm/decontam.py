@@ -3,18 +3,18 @@
 Every window of a text as long as an item (in words) is a candidate for it; a text
 shorter than the item is one window as a whole.  A
 window's fingerprint has 64 bits: the signs of the sum of its shingles'
-random vectors.  Windows that hold no shingle of any item have similarity zero to
-all of them, so only those that hold one are fingerprinted.  Fingerprints are
-matched with those of items of that length by multi-index hashing: the 64 bits are
-four blocks of 16, and two fingerprints within RADIUS bits differ by RADIUS // 4
-bits at most in one block, so a window none of whose blocks is that near to an
-item's is within the radius of none; the others are compared with the items.  Pairs
+random vectors, each distinct shingle counted once, as in the items.  Windows that hold no
+shingle of an item have similarity zero to it, so postings of the items' shingles name the
+windows and items to look at, however many items there are; only such windows are
+fingerprinted.  Their fingerprints are matched with those items' by multi-index hashing: the
+64 bits are four blocks of 16, and two fingerprints within RADIUS bits differ by RADIUS // 4
+bits at most in one block, so pairs without such a block are within the radius of none.  Pairs
 within it are then verified exactly: weighted Jaccard similarity of the two shingle sets.
 A shingle of the item weighs log(1 + documents / documents that hold it), counted over
 all documents; one that the item lacks weighs as much as the item's do on average.
 
-Items are taken in blocks of ITEMS, so that what each task holds is bounded; a
-benchmark of any size is a loop over its blocks.
+Items are dealt by row to blocks of ITEMS at most, so that what each task holds is bounded; a
+benchmark of any size is a loop over its blocks, each of which reads the documents.
 
 Nulls: null texts and null items are empty; items of fewer words than a shingle
 are one shingle; empty items match nothing. Null item ids are matched like others.
@@ -24,9 +24,8 @@ read whole. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ SIMILARITY = 0.8
 #: Bits by which fingerprints of a pair may differ.
 RADIUS = 23
 BLOCKS, BITS = 4, 16
-ITEMS = 5_000
+ITEMS = 50_000
 
 
 @dataclass
@@ -88,39 +87,38 @@ def _finish(items: Items, holders: dict[int, int], documents: int) -> Items:
     return items
 
 
-class Index:
-    """Multi-index over the fingerprints of the items of one length: for each block of bits
-    a table of all values within the block's radius of some item's."""
-
-    def __init__(self, prints: np.ndarray, radius: int = RADIUS) -> None:
-        self.prints, self.radius = prints, radius
-        self.near = np.zeros((BLOCKS, 1 << BITS), bool)
-        for b in range(BLOCKS):
-            near = self.near[b]
-            near[self.block(prints, b)] = True
-            for _ in range(radius // BLOCKS):
-                before = near.copy()
-                for k in range(BITS):  # the values that differ in bit k
-                    near |= before.reshape(-1, 2, 1 << k)[:, ::-1].reshape(-1)
-
-    @staticmethod
-    def block(prints: np.ndarray, b: int) -> np.ndarray:
-        return ((prints >> np.uint64(b * BITS)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
-
-    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (number of the fingerprint, number of the item) within the radius. A
-        fingerprint that has no block in its table has no item within it."""
-        asked = np.flatnonzero(np.any([self.near[b, self.block(prints, b)] for b in range(BLOCKS)], axis=0))
-        found = [np.zeros((2, 0), np.int64)]
-        step = max(1, (1 << 20) // max(len(self.prints), 1))
-        for a in range(0, len(asked), step):
-            mine = asked[a : a + step]
-            x, y = np.nonzero(np.bitwise_count(prints[mine][:, None] ^ self.prints[None]) <= self.radius)
-            found.append(np.stack([mine[x], y]))
-        return tuple(np.concatenate(found, axis=1))
-
-
-def _matches(h: np.ndarray, grams: np.ndarray, places: np.ndarray, shingle: np.ndarray, items: Items, by_length: Callable[[int], tuple[np.ndarray, Index]], at_least: float) -> list[tuple]:
+def pairs_within(prints: np.ndarray, window: np.ndarray, items: np.ndarray, item: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of the candidate pairs (window, item; numbers of fingerprints) those within the radius, and how many
+    passed the blocks. Two fingerprints within the radius are within radius // BLOCKS bits in some block."""
+    differ = prints[window] ^ items[item]
+    near = np.zeros(len(differ), bool)
+    for b in range(BLOCKS):
+        near |= np.bitwise_count((differ >> np.uint64(b * BITS)) & np.uint64((1 << BITS) - 1)) <= radius // BLOCKS
+    at = np.flatnonzero(near)
+    within = at[np.bitwise_count(differ[at]) <= radius]
+    return window[within], item[within], len(at)
+
+
+def window_prints(grams: np.ndarray, k: int) -> np.ndarray:
+    """Fingerprints of all runs of k shingles, each distinct one counted once in a run: an occurrence
+    doesn't count in the runs that hold the one before it."""
+    bits = _bits(grams)
+    sums = np.concatenate([np.zeros((1, 64), np.float32), np.cumsum(bits, 0, dtype=np.float32)])
+    sums = sums[k:] - sums[:-k]
+    order = np.argsort(grams, kind="stable")
+    before, after = order[:-1], order[1:]
+    again = (grams[before] == grams[after]) & (after - before < k)
+    if again.any():
+        before, after = before[again], after[again]
+        # runs that begin in [after - k + 1, before] hold both
+        change = np.zeros((len(sums) + 1, 64), np.float32)
+        np.add.at(change, np.maximum(after - k + 1, 0), bits[after])
+        np.subtract.at(change, np.minimum(before, len(sums) - 1) + 1, bits[after])
+        sums = sums - np.cumsum(change[:-1], 0)
+    return _sign_bits(sums)
+
+
+def _matches(h: np.ndarray, grams: np.ndarray, places: np.ndarray, shingle: np.ndarray, items: Items, at_least: float) -> list[tuple]:
     """Rows (item, first word, words, differing bits, similarity) for one text: the best
     window of each item. places: of its shingles that some item holds, whose numbers
     among the known are `shingle`."""
@@ -132,35 +130,47 @@ def _matches(h: np.ndarray, grams: np.ndarray, places: np.ndarray, shingle: np.n
     for length in np.unique(lengths).tolist():
         if min(length, n) < SHINGLE:
             continue
-        which, index = by_length(length)
-        hits = np.unique(at_place[lengths == length])
+        mine = lengths == length
         size = min(length, n)  # of the windows
         k = size - SHINGLE + 1
-        # windows that hold a hit: runs of starts
-        cover = np.zeros(n - size + 2, np.int64)
+        # the runs of starts whose windows hold a place, for each item that the place's shingle names
+        item, hits = of[mine], at_place[mine]
         lo, hi = np.maximum(hits - k + 1, 0), np.minimum(hits, n - size)
         ok = lo <= hi
-        np.add.at(cover, lo[ok], 1)
-        np.add.at(cover, hi[ok] + 1, -1)
-        starts = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-        if not len(starts):
-            continue
-        for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-            a, b = part[0], part[-1] + k
-            g = grams[a:b]
-            sums = np.concatenate([np.zeros((1, 64), np.float32), np.cumsum(_bits(g), 0, dtype=np.float32)])
-            prints = _sign_bits(sums[k:] - sums[:-k])
-            for x, j in zip(*index.within(prints), strict=True):
-                i, start = int(which[j]), int(part[x])
+        for a, b, who, begin, end in _stretches(item[ok], lo[ok], hi[ok]):
+            prints = window_prints(grams[a : b + k], k)
+            window = np.concatenate([np.arange(x, y + 1) for x, y in zip(begin, end, strict=True)]) - a
+            x, y, _ = pairs_within(prints, window, items.prints, np.repeat(who, end - begin + 1))
+            order = np.argsort(x, kind="stable")  # the first of equally similar windows
+            for start, i in zip((x[order] + a).tolist(), y[order].tolist(), strict=True):
                 theirs = items.weights[np.searchsorted(items.known, items.shingles[i])]
-                common = np.isin(items.shingles[i], grams[start : start + k], assume_unique=False)
-                others = len(np.unique(grams[start : start + k])) - int(common.sum())
+                held = np.unique(grams[start : start + k])
+                common = np.isin(items.shingles[i], held, assume_unique=True)
+                others = len(held) - int(common.sum())
                 similar = float(theirs[common].sum() / (theirs.sum() + others * theirs.mean()))
                 if similar >= at_least and similar > out.get(i, (0, 0, 0, 0, 0.0))[4] + 1e-6:
-                    out[i] = (i, start, size, int(np.bitwise_count(prints[x] ^ items.prints[i])), similar)
+                    out[i] = (i, start, size, int(np.bitwise_count(prints[start - a] ^ items.prints[i])), similar)
     return list(out.values())
 
 
+def _stretches(item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ranges [a, b] of starts that overlap, with the disjoint ranges (item, begin, end) of each item in them."""
+    if not len(item):
+        return
+    order = np.lexsort((lo, item))
+    item, lo, hi = item[order], lo[order], hi[order]
+    # ranges of one item are joined; those of the next lie beyond all before
+    shift = np.cumsum(np.diff(item, prepend=item[:1]) != 0) * (int(hi.max()) + 2)
+    reach = np.maximum.accumulate(hi + shift)
+    first = np.flatnonzero(np.concatenate([[True], (lo + shift)[1:] > reach[:-1]]))
+    who, begin, end = item[first], lo[first], np.maximum.reduceat(hi, first)
+    order = np.argsort(begin, kind="stable")
+    who, begin, end = who[order], begin[order], end[order]
+    reach = np.maximum.accumulate(end)
+    for part in np.split(np.arange(len(begin)), np.flatnonzero(begin[1:] > reach[:-1]) + 1):
+        yield int(begin[part[0]]), int(reach[part[-1]]), who[part], begin[part], end[part]
+
+
 def _short(h: np.ndarray, length: int) -> np.ndarray:
     return ngrams(h, length) ^ np.uint64(length)
 
@@ -207,8 +217,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     blocks = listed.count() // ITEMS + 1
     schema = "doc_id long, item_id long, first_word long, n_words long, bits int, similarity double"
     out = spark.createDataFrame([], schema)
+    if blocks > 1:  # dealt by row, so equal items don't meet; written, so every block sees the same deal
+        listed = materialize(listed.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))), "bench-items")
     for block in range(blocks):
-        rows = listed.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect() if blocks > 1 else listed.orderBy("item_id", "text").collect()
+        rows = (listed.filter(F.col("block") == block) if blocks > 1 else listed).orderBy("item_id", "text").collect()
         items = _items([r.item_id for r in rows], [r.text for r in rows])
         out = out.unionAll(_block(texts, items, similarity, schema))
     return out
@@ -242,18 +254,12 @@ def _block(texts: DataFrame, items: Items, similarity: float, schema: str) -> Da
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = ready.value
-
-        @cache
-        def by_length(n: int) -> tuple[np.ndarray, Index]:
-            which = np.flatnonzero(it.lengths == n)
-            return which, Index(it.prints[which])
-
         for batch in (s for b in batches for s in slices(b)):
             h, first = words(batch.column(1))
             rows, of = [], []
             ids = batch.column(0).to_pylist()
             for i, grams, at, number in _text_hits(h, first, it):
-                more = _matches(h[first[i] : first[i + 1]], grams, at, number, it, by_length, similarity)
+                more = _matches(h[first[i] : first[i + 1]], grams, at, number, it, similarity)
                 rows += more
                 of += [ids[i]] * len(more)
             for i in range(batch.num_rows) if short else ():

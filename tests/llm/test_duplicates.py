@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gridsmith.llm import decontam, jaccard, substrings
@@ -241,21 +242,58 @@ def test_items_cut_at_either_end(spark):
     assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {3, 4, 5}
 
 
-def test_index_finds_all_within_radius():
+def test_blocks_find_all_within_radius():
     rng = np.random.default_rng(1)
     for size in (20, 300):
         prints = rng.integers(0, 1 << 63, size).astype(np.uint64)
         asked = np.array([p ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 13), replace=False))) for p in prints[:20]])
-        x, y = decontam.Index(prints, 12).within(asked)
-        want = {(i, j) for i in range(20) for j in range(size) if bin(int(asked[i]) ^ int(prints[j])).count("1") <= 12}
-        assert decontam.Index(prints[:0], 12).within(asked)[0].size == 0
-        assert set(zip(x.tolist(), y.tolist(), strict=True)) == want
+        pairs = np.array([(i, j) for i in range(20) for j in range(size)])
+        x, y, passed = decontam.pairs_within(asked, pairs[:, 0], prints, pairs[:, 1], 12)
+        want = {(i, j) for i, j in pairs.tolist() if bin(int(asked[i]) ^ int(prints[j])).count("1") <= 12}
+        assert set(zip(x.tolist(), y.tolist(), strict=True)) == want and len(want) <= passed < 0.3 * len(pairs)
+
+
+def test_window_prints_count_distinct_shingles():
+    rng = np.random.default_rng(2)
+    for n, k, kinds in ((40, 7, 5), (60, 1, 3), (50, 50, 9), (80, 20, 1000)):
+        grams = rng.integers(0, kinds, n).astype(np.uint64)
+        want = [decontam._sign_bits(decontam._bits(np.unique(grams[i : i + k])).sum(0)) for i in range(n - k + 1)]
+        assert decontam.window_prints(grams, k).tolist() == [int(x) for x in want]
+
+
+def test_copies_of_items_with_refrains_are_found(spark):
+    """Verbatim copies of items that repeat a few words many times, between other words."""
+    r = random.Random(4)
+    word = lambda: f"c{r.randint(0, 10**6)}"
+    items = []
+    for fresh, size, times in ((30, 3, 12), (60, 3, 40), (60, 5, 40), (40, 1, 80), (80, 1, 120), (20, 2, 20), (60, 2, 60), (100, 4, 50)):
+        for _ in range(25):
+            items.append([word() for _ in range(fresh)] + [word() for _ in range(size)] * times)
+    rows = [(i, [word() for _ in range(r.randint(0, 40))] + t + [word() for _ in range(r.randint(0, 40))]) for i, t in enumerate(items)]
+    texts = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontam.matches(texts, bench).collect()}
+    assert got == {(i, i): 1.0 for i in range(len(items))}
+
+
+def test_items_that_share_no_shingle_are_not_compared(monkeypatch):
+    """5,000 items of one length: a text is compared with those that its shingles name."""
+    r = random.Random(6)
+    texts = [" ".join(f"d{r.randint(0, 10**6)}" for _ in range(50)) for _ in range(5_000)]
+    items = decontam._finish(decontam._items(list(range(len(texts))), texts), {}, 1)
+    asked = []
+    monkeypatch.setattr(decontam, "pairs_within", lambda p, w, q, i, f=decontam.pairs_within: (asked.append(set(i.tolist())), f(p, w, q, i))[1])
+    h, first = decontam.words(pa.array(["other words " * 30 + texts[17] + " more " + texts[4_000]]))
+    ((_, grams, at, number),) = decontam._text_hits(h, first, items)
+    assert {m[0] for m in decontam._matches(h, grams, at, number, items, 0.8)} == {17, 4_000}
+    assert set().union(*asked) == {17, 4_000}
 
 
 def test_unit_columns(spark):
     m = spark.createDataFrame([(i, 1 if i < 3 else 2) for i in range(4)], "doc_id long, comp long")
-    assert {r.comp for r in jaccard._units(m).select("comp").distinct().collect()} == {1}
-    assert jaccard._units(m).filter(F.col("x") != F.col("y")).count() == 0
+    sized = spark.createDataFrame([(1, 3, 24), (2, 1, 8)], "comp long, m long, bytes long").filter("m > 1")
+    assert {r.comp for r in jaccard._units(m, sized).select("comp").distinct().collect()} == {1}
+    assert jaccard._units(m, sized).filter(F.col("x") != F.col("y")).count() == 0
 
 
 def test_weighted_similarity_equals_brute_force(spark, docs, monkeypatch):
