@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.operators import crawl
+from gridsmith.operators import crawl, explorer
 from gridsmith.registry import query
 from gridsmith.session import Tables
 
@@ -29,39 +27,17 @@ def s18(t: Tables) -> DataFrame:
     return crawl.sitemaps(t.spark.range(1).select(F.lit(1).cast("long").alias("url")), index).select(c("url").alias("k"), c("depth").alias("d"))
 
 
-class RefusedError(ValueError):
-    """The text isn't one plain SELECT over the tables allowed."""
-
-
-def guarded(t: Tables, sql: str, tables: list[str], key: str | None = None, value: object = None, rows: int = 1000) -> DataFrame:
-    """One SELECT over views of the tables allowed, scoped by a key, of `rows` rows at
-    most. The parsed plan is looked at, not the text: commands, other relations and
-    functions that reach outside are refused. The views live in a session of their own."""
-    t = Tables(t.spark.newSession(), t.path)
-    for name in tables:
-        df = getattr(t, name)
-        (df.filter(c(key) == F.lit(value)) if key and key in df.columns else df).createOrReplaceTempView(f"g_{name}")
-    if ";" in sql.strip().rstrip(";") or not re.match(r"(?is)\s*(select|with)\b", sql):
-        raise RefusedError("one SELECT is wanted")
-    plan = t.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
-    names = {x.lower() for x in re.findall(r"UnresolvedRelation \[([^\]]+)\]", plan)}
-    ctes = {x.lower() for x in re.findall(r"CTE \[([^\]]*)\]", plan) for x in x.split(", ")}
-    if extra := names - {f"g_{n}" for n in tables} - ctes:
-        raise RefusedError(f"not allowed: {', '.join(sorted(extra))}")
-    if re.search(r"(?i)\b(java_method|reflect|read_files|input_file_name)\b|UnresolvedTableValuedFunction|InsertInto|CreateTable|Drop|Command", plan):
-        raise RefusedError("not allowed here")
-    return t.spark.sql(sql).limit(rows)
+@query("x13_guarded_sql", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_custkey = 5 GROUP BY 1")
+def x13(t: Tables) -> DataFrame:
+    return explorer.guarded(t, "SELECT o_orderpriority, count(*) AS n FROM g_orders GROUP BY 1", ["orders"], "o_custkey", 5)
 
 
-PRESETS = {
-    "levels": "SELECT o_orderpriority, count(*) AS n FROM g_orders GROUP BY 1",
-    "years": "SELECT year(o_orderdate) AS y, count(*) AS n FROM g_orders GROUP BY 1",
-    "top": "SELECT o_orderkey, o_totalprice FROM g_orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
-    "status": "SELECT o_orderstatus, count(*) AS n FROM g_orders GROUP BY 1",
-    "missing": "SELECT count(*) AS n FROM g_orders WHERE o_totalprice IS NULL",
-}
+@query("x13_preset_sources", "SELECT year(l_shipdate) AS year, l_returnflag AS kind, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey = 7 GROUP BY 1, 2")
+def x13_sources(t: Tables) -> DataFrame:
+    """Line items have no customer; they are narrowed through their orders."""
+    return explorer.preset(t, "sources", 7)
 
 
-@query("x13_guarded_sql", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_custkey = 5 GROUP BY 1")
-def x13(t: Tables) -> DataFrame:
-    return guarded(t, PRESETS["levels"], ["orders"], "o_custkey", 5)
+@query("x13_preset_trend", "SELECT o_orderpriority AS level, year(o_orderdate) AS year, round(avg(o_totalprice), 2) AS price FROM orders WHERE o_custkey = 7 AND year(o_orderdate) >= 1994 GROUP BY 1, 2")
+def x13_trend(t: Tables) -> DataFrame:
+    return explorer.preset(t, "trend", 7)

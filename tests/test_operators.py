@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from gridsmith.functions import html, urls
 from gridsmith.operators import crawl, discovery, extraction, search
+from gridsmith.operators.explorer import RefusedError, guarded
 from gridsmith.operators.joins import band
-from gridsmith.plans.crawling import RefusedError, guarded
 from gridsmith.plans.scoring import importance
 from gridsmith.plans.upserts import upsert
 from gridsmith.session import Tables
