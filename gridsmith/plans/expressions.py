@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.functions import levels, numbers, text, times, urls
+from gridsmith.functions import levels, numbers, replies, text, times, urls
 from gridsmith.registry import query
 from gridsmith.session import Tables
 
@@ -227,6 +227,26 @@ def m12(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object(bare, "$.k").alias("k"))
 
 
+_REPLY = """CASE event_id % 7 WHEN 0 THEN '{"data":[' || props || ',{"v":["e' || event_id || '",{"w":" ' || chr(92) || '"q' || chr(92) || '" "}]}],"_extraction_meta":{"model":["no",{"a":"no"}]},"z":"last"}'
+WHEN 1 THEN 'Here it is:' || chr(10) || '```json' || chr(10) || '{"z":"first","data":[{"n":1},' || props || ']}' || chr(10) || '```' || chr(10) || 'Done.' WHEN 2 THEN props WHEN 3 THEN '[' || props || ',"x"]' WHEN 4 THEN 'see ' || props WHEN 5 THEN '{"data":[' || props || ', ' || event_id || ']}' ELSE '{"data":"none","text":" t' || event_id || ' "}' END"""
+
+_FENCED = "trim(regexp_extract(reply, '(?s)```json(.*?)```', 1), chr(10))"
+_REPLIES = f"""WITH r AS (SELECT event_id, {_REPLY} AS reply FROM events),
+b AS (SELECT event_id, CASE WHEN json_valid(reply) THEN reply WHEN json_valid({_FENCED}) THEN {_FENCED} END AS body FROM r),
+v AS (SELECT *, CASE WHEN body IS NULL THEN 'not JSON' WHEN json_type(body) <> 'OBJECT' THEN 'not an object' WHEN json_type(body, '$.data') <> 'ARRAY' THEN 'data is no list'
+  WHEN len(list_filter(json_extract(body, '$.data[*]'), lambda x: json_type(x) <> 'OBJECT')) > 0 THEN 'no object' END AS wrong FROM b),
+l AS (SELECT event_id, string_agg(trim(j.atom ->> '$'), '|' ORDER BY j.id) AS texts FROM b, json_tree(b.body) j WHERE j.type = 'VARCHAR' AND NOT contains(j.fullkey, '_extraction_meta') AND trim(j.atom ->> '$') <> '' GROUP BY 1)
+SELECT event_id, wrong, CASE WHEN wrong IS NULL THEN len(json_extract(body, '$.data[*]')) END AS n, CASE WHEN body IS NOT NULL THEN coalesce(texts, '') END AS texts FROM v LEFT JOIN l USING (event_id)"""
+
+
+@query("m12_replies", _REPLIES)
+def m12_replies(t: Tables) -> DataFrame:
+    """Replies of seven kinds: whole, fenced, without records, lists, malformed, of wrong shapes."""
+    b = t.events.select("event_id", replies.body(F.expr(_REPLY)).alias("b"))
+    wrong = F.split_part(replies.verdict(c("b")), F.lit(":"), F.lit(1))
+    return b.select("event_id", wrong.alias("wrong"), F.when(wrong.isNull(), F.coalesce(F.size(replies.records(c("b"))), F.lit(0))).cast("long").alias("n"), F.array_join(replies.texts(c("b")), "|").alias("texts"))
+
+
 @query("f3_contains_escaped", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'an')")
 def f3(t: Tables) -> DataFrame:
     return t.part.filter(F.lower("p_name").contains("an")).select("p_partkey")

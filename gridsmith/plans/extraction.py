@@ -11,7 +11,7 @@ from gridsmith.functions import html
 from gridsmith.operators import extraction
 from gridsmith.registry import query
 from gridsmith.session import Tables, shared_folder
-from gridsmith.sources import files, registry_xml
+from gridsmith.sources import files, listing, registry_xml, sheets
 
 c = F.col
 
@@ -108,10 +108,31 @@ def s12(t: Tables) -> DataFrame:
     return files.stats_json(t.spark, path, "name: string")
 
 
-@query("s14_paged_listing", "SELECT c_custkey, c_custkey // 500 AS page FROM customer")
+def _pages(t: Tables, broken: int | None = None) -> str:
+    """Customers as a folder of pages of 500; the page `broken` says so."""
+    path, start = folder(t), F.floor(c("c_custkey") / 500) * 500
+    record = F.struct(c("c_custkey").alias("Id"), c("c_nationkey").alias("CompanyUId"), F.concat(F.lit("\t "), c("c_name")).alias("Company"))
+    total = t.customer.agg(F.max("c_custkey") + 1).first()[0]
+    pages = t.customer.groupBy(start.cast("long").alias("start")).agg(F.sort_array(F.collect_list(record)).alias("Records"))
+    said = F.struct(F.when(c("start") == (-1 if broken is None else broken), "ERROR").otherwise("OK").alias("Result"), "Records", F.lit(total).alias("TotalRecordCount"))
+    pages.select("start", F.to_json(said).alias("value")).write.partitionBy("start").text(path)
+    return path
+
+
+@query("s14_paged_listing", "SELECT c_custkey, c_custkey // 500 AS page, c_nationkey, c_name FROM customer")
 def s14(t: Tables) -> DataFrame:
-    """The paged listing of a remote table, 500 rows a page, as a table at hand."""
-    return t.customer.select("c_custkey", F.floor(c("c_custkey") / 500).cast("long").alias("page"))
+    got = listing.companies(t.spark, _pages(t), folder(t))
+    return got.select(c("id").alias("c_custkey"), "page", c("company_uid").alias("c_nationkey"), c("name").alias("c_name"))
+
+
+@query("s14_listing_ends_at_error", "SELECT c_custkey FROM customer WHERE c_custkey < 1000")
+def s14_error(t: Tables) -> DataFrame:
+    return listing.companies(t.spark, _pages(t, 1000), folder(t)).select(c("id").alias("c_custkey"))
+
+
+@query("s14_listing_from_page", "SELECT c_custkey FROM customer WHERE c_custkey >= 500")
+def s14_from(t: Tables) -> DataFrame:
+    return listing.companies(t.spark, _pages(t), folder(t), start=500).select(c("id").alias("c_custkey"))
 
 
 @query("s15_company_details", "WITH r AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 9 END, c_custkey) AS k FROM customer) SELECT c_nationkey, c_custkey FROM r WHERE k = 1")
@@ -168,6 +189,23 @@ def s22(t: Tables) -> DataFrame:
     return files.sheet_text(cells.filter("sheet >= 0")).select("path", F.size(F.split("text", "\n")).cast("long").alias("n"))
 
 
+_BOOKS = """WITH r AS (SELECT c_nationkey, c_custkey % 3 AS sheet, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 3 ORDER BY c_custkey) AS k, c_name || ' ' || c_mktsegment || ' ' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE CAST(c_custkey AS VARCHAR) END AS line FROM customer)
+SELECT CAST(c_nationkey AS VARCHAR) AS path, string_agg(line, '\n' ORDER BY sheet, k) AS text FROM r WHERE sheet < 2 AND k <= 50 GROUP BY 1"""
+
+
+@query("s22_workbooks", _BOOKS)
+def s22_books(t: Tables) -> DataFrame:
+    """A workbook for each nation with its customers on three sheets, written and scanned."""
+
+    def write(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            yield b.assign(content=[sheets.packed([[[r["name"], r["segment"], r["id"]] for r in rows if r["sheet"] == k] for k in range(3)]) for rows in b["rows"]])[["path", "content"]]
+
+    row = F.struct((c("c_custkey") % 3).alias("sheet"), "c_custkey", c("c_name").alias("name"), c("c_mktsegment").alias("segment"), F.when(c("c_custkey") % 5 != 0, c("c_custkey")).otherwise(0).alias("id"))
+    rows = t.customer.groupBy(c("c_nationkey").cast("string").alias("path")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return sheets.text(rows.mapInPandas(write, "path string, content binary"))
+
+
 @query("s23_export_date")
 def s23(t: Tables) -> DataFrame:
     return files.export_date(t.spark, f"{t.path}/nation.parquet")
