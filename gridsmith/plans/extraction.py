@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.functions import html
+from gridsmith.functions import html, page_tables
 from gridsmith.operators import extraction
 from gridsmith.registry import query
 from gridsmith.session import Tables, shared_folder
@@ -270,6 +270,34 @@ def m6_whole(t: Tables) -> DataFrame:
     return extraction.windows_from_cells(cells, "of").select("of.page_id", "of.no", "level", "season", "windows")
 
 
+def _hours_page() -> str:
+    """A page of one of eight kinds, before the page's own html. Every cell differs from page to page."""
+    head = "<h3>Stand 01.12.2024 <b>gültig</b> ab 01.01.{y}</h3>"
+    cell = lambda text: f"<td>{text}</td>"
+    row = lambda tag, *more: "<tr>" + cell(f"<b>{tag}</b>\n spannung' || page_id || '") + cell("' || page_id % 12 || ':00-12:00") + cell("") + cell("8:00<br/>9:0' || page_id % 7 || '<br>") + cell(" - ") + "".join(more) + "</tr>"
+    table = lambda *rows: "<table class=\"t\"><thead><tr><th>Ebene</th></tr></thead><tbody>" + "".join(rows) + "</tbody></table>"
+    kinds = [
+        head.format(y=2025) + "<p>Note</p><div class=\"wide table-wrapper\"><p>" + table(row("Hoch"), row("Mittel")) + "</p></div>" + table(row("Later")),
+        head.format(y=2024) + table(row("Old")) + head.format(y=2025) + "text" + table(row("Hoch")),
+        "<div>" + table(row("Hoch")) + "</div>" + table(row("Later")),
+        table(row("Hoch")) + head.format(y=2023) + table(row("Old")),
+        head.format(y=2025) + "<table><tr>" + cell("a") * 5 + "</tr></table>" + table(row("Later")),
+        head.format(y=2025) + table("<tr>" + cell("four") * 4 + "</tr>", row("Hoch", cell("six")), "<tr>" + cell("") + cell("x") * 4 + "</tr>"),
+        table(row("Hoch")) + head.format(y=2025).replace("h3", "h2") + table(row("Later")),
+        head.format(y=2025) + "<p>No table here</p>",
+    ]
+    return "CASE page_id % 8 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(kinds)) + " END || html"
+
+
+_HOURS_ROWS = """SELECT page_id, 2025 AS year, tag || ' spannung' || page_id AS voltage_level, page_id % 12 || ':00-12:00' AS fruehling, CAST(NULL AS VARCHAR) AS sommer, '8:00' || chr(10) || '9:0' || page_id % 7 AS herbst, '-' AS winter
+FROM pages, (VALUES (0, 'Hoch'), (0, 'Mittel'), (1, 'Hoch'), (2, 'Hoch'), (3, 'Hoch'), (5, 'Hoch'), (6, 'Hoch')) k(kind, tag) WHERE page_id % 8 = kind"""
+
+
+@query("m6_hours_of_a_year", _HOURS_ROWS)
+def m6_hours(t: Tables) -> DataFrame:
+    return page_tables.hours(t.pages, "page_id", F.expr(_hours_page()), F.lit(2025))
+
+
 @query("m13_clean_records", "SELECT event_id, CASE WHEN event_type = 'error' THEN '-' ELSE '07:30-15:30' END AS w, CASE WHEN event_type = 'view' THEN '-' ELSE '1,5' END AS p FROM events")
 def m13(t: Tables) -> DataFrame:
     from gridsmith.functions import numbers, times

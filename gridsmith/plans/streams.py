@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridsmith.plans.extraction import folder
 from gridsmith.registry import query
 from gridsmith.session import Tables
-from gridsmith.streaming import limits
+from gridsmith.streaming import limits, stateful
 
 c = F.col
 
@@ -72,6 +72,45 @@ def r2_batch(t: Tables) -> DataFrame:
     return e.select("user_id", "event_id", F.count_if(c("event_type") == "error").over(w2).alias("failures"))
 
 
+_REST = "(event_id % 9 + 1) * 3600000"
+
+#: A provider that rests is back when an event after that time or the watermark, ten minutes behind, says so.
+_PROVIDERS = f"""WITH w AS (SELECT (epoch_us(max(ts)) // 1000) - 600000 AS mark FROM events WHERE event_type IN ('purchase', 'error', 'signup')),
+e AS (SELECT user_id AS provider, event_id, (epoch_us(ts) // 1000) AS t, CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failure' ELSE 'limited' END AS kind, {_REST} AS rest FROM events WHERE event_type IN ('purchase', 'error', 'signup')),
+k AS (SELECT *, count(*) FILTER (WHERE kind = 'success') OVER o AS k, lead(t) OVER (PARTITION BY provider, kind <> 'failure' ORDER BY t, event_id) AS after, max(t) OVER (PARTITION BY provider) AS last FROM e WINDOW o AS (PARTITION BY provider ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, count(*) FILTER (WHERE kind = 'failure') OVER o AS failures, last_value(CASE WHEN kind = 'limited' THEN t + rest END IGNORE NULLS) OVER o AS until FROM k WINDOW o AS (PARTITION BY provider, k ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT provider, k, t + rest AS t, (SELECT count(*) FROM s f WHERE f.provider = s.provider AND f.k = s.k AND f.kind = 'failure' AND f.t < s.t + s.rest) AS failures FROM s, w WHERE kind = 'limited' AND (after IS NULL OR after >= t + rest) AND (last >= t + rest OR t + rest < mark)),
+a AS (SELECT provider, event_id, kind, t, failures, CASE WHEN t < until THEN until END AS until, k FROM s UNION ALL SELECT provider, NULL, 'rested', t, failures, NULL, k FROM r)
+SELECT provider, event_id, kind, make_timestamp(t * 1000) AS "at", CAST(failures AS INTEGER) AS failures, make_timestamp(until * 1000) AS until, CASE WHEN until IS NOT NULL THEN 'rate_limited' WHEN failures >= 3 THEN 'unhealthy' WHEN k > 0 THEN 'active' ELSE 'untested' END AS status FROM a"""
+
+
+@query("r2_provider_health", _PROVIDERS)
+def r2_providers(t: Tables) -> DataFrame:
+    """Purchases succeed, errors fail, signups meet a limit and rest one to nine hours."""
+    kind = F.when(c("event_type") == "purchase", "success").when(c("event_type") == "error", "failure").when(c("event_type") == "signup", "limited")
+    out = stateful.with_store(t.spark, lambda: drained(t, lambda e: stateful.health(e, "user_id", kind, F.expr(_REST)), spans(t)))
+    return out.select("provider", "event_id", "kind", c("at").cast("timestamp_ntz").alias("at"), "failures", c("until").cast("timestamp_ntz").alias("until"), "status")
+
+
+#: One event after another, for all caches at once.
+_CACHE = """WITH RECURSIVE e AS (SELECT user_id AS cache, event_id, (epoch_us(ts) // 1000) AS at, 'd' || (event_id * 7 % 30) AS name, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS n FROM events),
+w(cache, event_id, n, hit, held) AS (
+  SELECT DISTINCT cache, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), false, CAST([] AS STRUCT("at" BIGINT, event_id BIGINT, name VARCHAR)[]) FROM e
+  UNION ALL
+  SELECT cache, event_id, n, hit, CASE WHEN hit THEN held WHEN len(more) > 10 THEN list_sort(more)[3:] ELSE more END FROM (
+    SELECT e.cache, e.event_id, e.n, w.held, len(list_filter(w.held, lambda x: x.name = e.name AND e.at - x.at <= 345600000)) > 0 AS hit,
+      list_append(list_filter(w.held, lambda x: e.at - x.at <= 345600000 AND x.name <> e.name), {'at': e.at, 'event_id': e.event_id, 'name': e.name}) AS more
+    FROM w JOIN e ON e.cache = w.cache AND e.n = w.n + 1))
+SELECT cache, event_id, hit, CAST(len(held) AS INTEGER) AS size FROM w WHERE n > 0"""
+
+
+@query("r3_cache_stream", _CACHE)
+def r3_stream(t: Tables) -> DataFrame:
+    """A cache of ten entries and four days for each user, of which the two oldest go when it is full."""
+    name = F.concat(F.lit("d"), c("event_id") * 7 % 30)
+    return stateful.with_store(t.spark, lambda: drained(t, lambda e: stateful.cached(e, c("user_id"), name, 345_600_000, 10), spans(t))).drop("gone")
+
+
 @query("r4_dedup_stream", "SELECT DISTINCT user_id, event_type FROM events")
 def r4(t: Tables) -> DataFrame:
     return drained(t, lambda e: limits.first_seen(e, ["user_id", "event_type"], "60 days"), spans(t)).select("user_id", "event_type")
