@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a cell for each task that it is dealt to.
+HOT = 5_000
+#: Side of a cell in widths: a point reaches into 1.25 cells an axis on average.
+SIDE = 4
+
 
 def with_defaults(base: DataFrame, others: list[DataFrame], key: str, zero: list[str]) -> DataFrame:
     """base with each aggregate left-joined by key, nulls of the named columns as 0."""
@@ -19,13 +24,22 @@ def first_match(df: DataFrame, array: str, lookup: DataFrame, item: str, value:
     return spread.join(lookup.select(item, value), item).groupBy(key).agg(F.min_by(value, "_pos").alias(value))
 
 
-def band(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str, ry: str, width: float, order: list[Column] | None = None, key: str | None = None) -> DataFrame:
-    """Pairs within `width` on both axes. Cells of that width are joined by equality, one
-    side standing in its nine neighbours; with order and key, the first hit of each key."""
-    cell = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = right.withColumn("_d", F.explode(around)).withColumn("_cx", cell(rx) + F.col("_d.i")).withColumn("_cy", cell(ry) + F.col("_d.j")).drop("_d")
-    hits = left.withColumn("_cx", cell(lx)).withColumn("_cy", cell(ly)).join(spread, ["_cx", "_cy"]).filter((F.abs(F.col(lx) - F.col(rx)) < width) & (F.abs(F.col(ly) - F.col(ry)) < width)).drop("_cx", "_cy")
+def band(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str, ry: str, width: float, order: list[Column] | None = None, key: str | None = None, hot: int = HOT) -> DataFrame:
+    """Pairs within `width` on both axes; with order and key, the first hit of each key.
+
+    Cells of SIDE widths are joined by equality; a row of the right side stands in the cells that its
+    band reaches, mostly one, four at most. A cell with more than `hot` rows of the left is cut: those
+    rows are dealt to so many parts, and the right's rows of that cell alone are repeated for each."""
+    cell = lambda c: F.floor(c / F.lit(SIDE * width)).cast("long")
+    # a hair wider, so that rounding rules out no cell
+    reach = lambda c: F.sequence(cell(F.col(c) - width * (1 + 1e-9)), cell(F.col(c) + width * (1 + 1e-9)))
+    a = left.filter(F.col(lx).isNotNull() & F.col(ly).isNotNull()).withColumns({"_cx": cell(F.col(lx)), "_cy": cell(F.col(ly))})
+    b = right.filter(F.col(rx).isNotNull() & F.col(ry).isNotNull()).withColumn("_cx", F.explode(reach(rx))).withColumn("_cy", F.explode(reach(ry)))
+    crowded = a.groupBy("_cx", "_cy").agg(F.ceil(F.count("*") / hot).cast("int").alias("_k")).filter("_k > 1")
+    cut = lambda df, some: df.join(crowded, ["_cx", "_cy"], "left").withColumn("_p", some(F.coalesce("_k", F.lit(1)))).drop("_k")
+    a = cut(a, lambda k: F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), k).cast("int"))
+    b = cut(b, lambda k: F.explode(F.sequence(F.lit(0), k - 1)))
+    hits = a.join(b, ["_cx", "_cy", "_p"]).filter((F.abs(F.col(lx) - F.col(rx)) < width) & (F.abs(F.col(ly) - F.col(ry)) < width)).drop("_cx", "_cy", "_p")
     if order is None or key is None:
         return hits
     return hits.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")

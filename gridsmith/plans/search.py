@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.functions.text import address_key
-from gridsmith.operators import search
+from gridsmith.operators import names, search
 from gridsmith.operators.ranking import pick
 from gridsmith.registry import query
 from gridsmith.session import Tables
@@ -55,14 +55,60 @@ def j11(t: Tables) -> DataFrame:
 
 @query("j12_name_containment", "WITH r AS (SELECT r_regionkey, n_nationkey, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS k FROM region JOIN nation ON contains(lower(r_name), lower(substr(n_name, 2, 1))) OR contains(lower(n_name), lower(r_name))) SELECT r_regionkey, n_nationkey FROM r WHERE k = 1")
 def j12(t: Tables) -> DataFrame:
-    # the operators' catalogue is the small side; names are few
-    hits = t.region.join(F.broadcast(t.nation), F.lower("r_name").contains(F.lower(F.substring("n_name", 2, 1))) | F.lower("n_name").contains(F.lower("r_name")))
-    return pick(hits, ["r_regionkey"], [c("n_nationkey")]).select("r_regionkey", "n_nationkey")
+    r = t.region.select("r_regionkey", F.lower("r_name").alias("r"))
+    n = t.nation.select("n_nationkey", F.lower("n_name").alias("n"), F.lower(F.substring("n_name", 2, 1)).alias("l"))
+    hits = names.parts(n, r, "l", "r").join(n, "l").select("r", "n_nationkey").union(names.parts(r, n, "r", "n").join(n, "n").select("r", "n_nationkey"))
+    return hits.join(r, "r").groupBy("r_regionkey").agg(F.min("n_nationkey").alias("n_nationkey"))
+
+
+#: Names asked in six ways: spelt otherwise, a part, with a part more, with the words turned round, unknown, one word.
+_ASKED = """CASE s_suppkey % 6 WHEN 0 THEN ' ' || upper(p_name) || ', ' || p_brand || ' GmbH & Co KG' WHEN 1 THEN p_name || ' ' || p_brand WHEN 2 THEN 'neue ' || p_name || '-' || p_brand || ' gmbh&co.kg holding'
+WHEN 3 THEN substr(p_brand, 1, 5) || ' ' || substr(p_name, 1, 3) || ' ' || p_brand WHEN 4 THEN s_name ELSE p_brand || ' the' END"""
+_KNOWN = "p_name || ' ' || p_brand || ' GmbH & Co. KG'"
+
+
+def _normal(c_: str) -> str:
+    out = f"trim(lower({c_}))"
+    for x, y in names.SAME:
+        out = f"replace({out}, '{x}', '{y}')"
+    return f"trim({out})"
+
+
+_J12 = f"""WITH asked AS (SELECT s_suppkey, {_normal(_ASKED)} AS a FROM supplier JOIN part ON p_partkey = s_suppkey * 2),
+known AS (SELECT {_normal(_KNOWN)} AS b, min(p_partkey) AS k FROM part GROUP BY 1),
+w AS (SELECT *, list_filter(string_split_regex(a, '\s+'), lambda x: len(x) > 3)[1:3] AS ws FROM asked),
+h AS (SELECT s_suppkey, k, CASE WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN 2 WHEN len(ws) > 0 AND len(list_filter(ws, lambda x: len(list_filter(string_split_regex(b, '\s+'), lambda y: contains(x, y) OR contains(y, x))) = 0)) = 0 THEN 3 END AS step FROM w, known),
+f AS (SELECT s_suppkey, k, step, row_number() OVER (PARTITION BY s_suppkey ORDER BY step, k) AS n FROM h WHERE step IS NOT NULL)
+SELECT s_suppkey, k AS p_partkey, CASE step WHEN 1 THEN 'exact' WHEN 2 THEN 'part' ELSE 'words' END AS how FROM f WHERE n = 1"""
+
+
+def _asked(t: Tables) -> DataFrame:
+    return t.supplier.join(t.part, c("p_partkey") == c("s_suppkey") * 2).select("s_suppkey", F.expr(_ASKED).alias("name"), (c("p_partkey") % 5).alias("zip"))
+
+
+@query("j12_company_by_name", _J12)
+def j12_companies(t: Tables) -> DataFrame:
+    known = t.part.select("p_partkey", F.expr(_KNOWN).alias("known"))
+    return names.first_named(_asked(t), known, "s_suppkey", "name", "p_partkey", "known")
+
+
+_J13 = f"""WITH asked AS (SELECT s_suppkey, p_partkey % 5 AS z, {_normal(_ASKED)} AS a FROM supplier JOIN part ON p_partkey = s_suppkey * 2),
+known AS (SELECT p_partkey, p_partkey % 5 AS z, {_normal(_KNOWN)} AS b FROM part)
+SELECT s_suppkey, min(p_partkey) AS p_partkey FROM asked JOIN known USING (z) WHERE contains(a, b) OR contains(b, a) GROUP BY 1"""
+
+
+@query("j13_company_by_zip_and_name", _J13)
+def j13_companies(t: Tables) -> DataFrame:
+    known = t.part.select("p_partkey", F.expr(_KNOWN).alias("known"), (c("p_partkey") % 5).alias("z"))
+    return names.first_in_zip(_asked(t), known, "s_suppkey", "zip", "name", "p_partkey", "z", "known")
 
 
 @query("j13_zip_and_name", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND contains(c_name, right(s_name, 2))")
 def j13(t: Tables) -> DataFrame:
-    return t.supplier.join(t.customer, (c("s_nationkey") == c("c_nationkey")) & F.contains(c("c_name"), F.right(c("s_name"), F.lit(2)))).select("s_suppkey", "c_custkey")
+    """The digits looked for are the key, not the nation, of which there are few."""
+    s = t.supplier.select("s_suppkey", c("s_nationkey").alias("k"), F.right("s_name", F.lit(2)).alias("d"))
+    found = names.parts(s, t.customer.select("c_name"), "d", "c_name").join(t.customer.select("c_name", "c_custkey", c("c_nationkey").alias("k")), "c_name")
+    return s.join(found, ["d", "k"]).select("s_suppkey", "c_custkey")
 
 
 @query("j14_fuzzy_entities", "SELECT n_nationkey AS ask, n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'fuzzy' ELSE 'exact' END AS outcome FROM nation")
