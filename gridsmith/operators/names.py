@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridsmith.session import written
+
 #: Ordered replacements, fixed values: what is the same name.
 SAME = [("gmbh & co. kg", "gmbh co kg"), ("gmbh & co kg", "gmbh co kg"), ("gmbh&co.kg", "gmbh co kg"), (" & ", " "), (".", ""), (",", ""), ("-", " "), ("  ", " ")]
 RUN = 3
@@ -63,15 +65,16 @@ def first_named(asked: DataFrame, known: DataFrame, ask: str, name: str, order:
     are normalized; a known name that stands more than once is its first row."""
     asks = asked.select(ask, normalized(F.col(name)).alias("_a"))
     names = asks.filter("_a is not null").select("_a").distinct()
-    firsts = known.select(normalized(F.col(known_name)).alias("_b"), F.col(order)).filter("_b is not null").groupBy("_b").agg(F.min(order).alias(order))
+    firsts = written(known.select(normalized(F.col(known_name)).alias("_b"), F.col(order)).filter("_b is not null").groupBy("_b").agg(F.min(order).alias(order)))
     exact = names.join(firsts, F.col("_a") == F.col("_b")).select("_a", order, F.lit("exact").alias("how"))
-    rest = names.join(exact.select("_a"), "_a", "left_anti")
+    rest = written(names.join(exact.select("_a"), "_a", "left_anti"))
     inside = parts(rest, firsts, "_a", "_b").unionByName(parts(firsts, rest, "_b", "_a"))
     # an empty name is a part of every other
     empty = rest.filter("_a = ''").join(F.broadcast(firsts.agg(F.min(order).alias(order)))).select("_a", order)  # one row
     blank = rest.join(F.broadcast(firsts.filter("_b = ''").select(order))).select("_a", order)  # one row at most
     by_part = inside.join(firsts, "_b").select("_a", order).union(empty).union(blank).groupBy("_a").agg(F.min(order).alias(order)).filter(F.col(order).isNotNull())
-    left = rest.join(by_part.select("_a"), "_a", "left_anti")
+    by_part = written(by_part)
+    left = written(rest.join(by_part.select("_a"), "_a", "left_anti"))
     by_word = _by_words(left, firsts, order)
     found = exact.unionByName(by_part.withColumn("how", F.lit("part"))).unionByName(by_word.withColumn("how", F.lit("words")))
     return asks.join(found, "_a").select(ask, order, "how")
@@ -84,7 +87,7 @@ def _by_words(names: DataFrame, firsts: DataFrame, order: str) -> DataFrame:
     words = asked.select(F.explode("_w").alias("_x")).distinct()
     spread = firsts.select("_b", order, F.explode(F.array_distinct(split("_b"))).alias("_y"))
     theirs = spread.groupBy("_y").agg(F.count("*").alias("_n"))
-    meet = parts(words, theirs, "_x", "_y").unionByName(parts(theirs, words, "_y", "_x")).distinct().join(theirs, "_y")
+    meet = written(parts(words, theirs, "_x", "_y").unionByName(parts(theirs, words, "_y", "_x")).distinct().join(theirs, "_y"))
     weight = meet.groupBy("_x").agg(F.sum("_n").alias("_n"))
     pick = asked.select("_a", "_w", F.explode("_w").alias("_x")).join(weight, "_x", "left").groupBy("_a").agg(F.first("_w").alias("_w"), F.min_by(F.struct("_x", "_n"), F.struct(F.coalesce("_n", F.lit(0)), "_x")).alias("_k")).filter("_k._n > 0").select("_a", "_w", "_k._x")
     near = pick.join(meet.select("_x", "_y"), "_x").join(spread, "_y")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +35,11 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: what is read more than once is computed once, and a lost
+    executor doesn't bring back the work above it."""
+    path = f"{shared_folder(df.sparkSession)}/made/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
