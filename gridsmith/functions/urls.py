@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.catalogs import ADDRESS_POINTS, DOCUMENT_ENDINGS, NEGATIVE_WORDS, TOKEN_URLS, TRACKING, YEAR_PATTERNS
@@ -57,6 +57,17 @@ def allowed(url: Column, domains: list[str]) -> Column:
     return out
 
 
+def in_list(rows: DataFrame, url: str, domains: DataFrame, domain_col: str) -> DataFrame:
+    """F12 for a list of any size: the rows whose host is one of the domains or below one. Each distinct host is
+    looked up with its suffixes, by equality, so the list is never held by one task, nor rows shuffled for it."""
+    hosts = rows.select(host(F.col(url)).alias("_h")).filter("_h != ''").distinct()
+    labels = F.split("_h", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    known = domains.select(F.lower(F.trim(domain_col)).alias("_d")).filter("_d != ''").distinct()
+    good = hosts.select("_h", F.explode(ends).alias("_d")).join(known, "_d", "left_semi").select("_h").distinct()
+    return rows.withColumn("_h", host(F.col(url))).join(good, "_h", "left_semi").drop("_h")
+
+
 def file_type(url: Column) -> Column:
     """G8, by contents of the address."""
     u = F.lower(url)

@@ -282,6 +282,17 @@ def f12(t: Tables) -> DataFrame:
     return t.pages.filter(urls.allowed(c("url"), ["example.com"])).select("page_id")
 
 
+_HOST = "'www' || page_id % 50 || CASE page_id % 3 WHEN 0 THEN '.Site' ELSE '.site' END || page_id % 90 || CASE WHEN page_id % 7 = 0 THEN '.org' ELSE '.de' END"
+_LISTED = "CASE s_suppkey % 3 WHEN 0 THEN 'site' || s_suppkey % 90 || '.de' WHEN 1 THEN 'www' || s_suppkey % 50 || '.SITE' || s_suppkey % 90 || '.org' ELSE 'ite' || s_suppkey % 90 || '.de' END"
+
+
+@query("f12_domain_list", f"SELECT page_id FROM pages WHERE EXISTS (SELECT 1 FROM supplier WHERE lower({_HOST}) = lower({_LISTED}) OR ends_with(lower({_HOST}), '.' || lower({_LISTED})))")
+def f12_list(t: Tables) -> DataFrame:
+    """Pages whose host a list of suppliers' domains allows, itself or by a domain above it."""
+    pages = t.pages.select("page_id", F.expr(f"'https://' || {_HOST} || ':8080/a?b'").alias("url"))
+    return urls.in_list(pages, "url", t.supplier.select(F.expr(_LISTED).alias("domain")), "domain").select("page_id")
+
+
 @query("f18_bounds", "SELECT o_orderkey, year(o_orderdate) BETWEEN 1993 AND 1997 AND o_totalprice BETWEEN 0 AND 200000 AND o_orderpriority IN ('1-URGENT','2-HIGH') AS ok FROM orders")
 def f18(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", (F.year("o_orderdate").between(1993, 1997) & c("o_totalprice").between(0, 200000) & c("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("ok"))

@@ -1,5 +1,5 @@
-"""Sinks: upserts, review transitions, patches, exports. Parquet has no MERGE, so an upsert
-is a full join of the stored and the new rows whose result is written anew."""
+"""Sinks: upserts, review transitions, patches, exports. Parquet has no MERGE, so an upsert is a full
+join of the stored and the new rows; of a stored table only the buckets touched are written anew."""
 
 from __future__ import annotations
 
@@ -7,21 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.operators import discovery
+from gridsmith.operators.upserts import Facts, upsert
+from gridsmith.plans.extraction import folder
 from gridsmith.registry import query
 from gridsmith.session import Tables
 
 c = F.col
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], locked: str | None = None) -> DataFrame:
-    """Rows of both by key with an action; new values win unless the stored row is locked."""
-    o = old.select(*keys, *[c(v).alias(f"_o_{v}") for v in values], F.lit(True).alias("_old"), (F.expr(locked) if locked else F.lit(False)).alias("_lock"))
-    n = new.select(*keys, *[c(v).alias(f"_n_{v}") for v in values], F.lit(True).alias("_new"))
-    take = c("_new").isNotNull() & ~F.coalesce(c("_lock"), F.lit(False))
-    action = F.when(c("_new").isNull(), "kept").when(c("_old").isNull(), "inserted").when(c("_lock"), "skipped").otherwise("updated")
-    return o.join(n, keys, "full").select(*keys, *[F.when(take, c(f"_n_{v}")).otherwise(c(f"_o_{v}")).alias(v) for v in values], action.alias("action"))
-
-
 _K2 = "WITH o AS (SELECT o_orderkey AS k, o_totalprice AS price, o_orderstatus = 'F' AS lock FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT l_orderkey AS k, max(l_extendedprice) AS price FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1) SELECT coalesce(o.k, n.k) AS k, CASE WHEN n.k IS NOT NULL AND NOT coalesce(lock, false) THEN n.price ELSE o.price END AS price, CASE WHEN n.k IS NULL THEN 'kept' WHEN o.k IS NULL THEN 'inserted' WHEN lock THEN 'skipped' ELSE 'updated' END AS action FROM o FULL JOIN n ON o.k = n.k"
 
 
@@ -35,6 +28,30 @@ def k2(t: Tables) -> DataFrame:
     return upsert(*_sides(t), ["k"], ["price"], "o_orderstatus = 'F'")
 
 
+_FACTS = """WITH n AS (SELECT l_orderkey AS o_orderkey, max_by(l_extendedprice, (l_linenumber, l_extendedprice)) AS price FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT o_orderkey, {price} AS price, {status} AS verification_status FROM orders FULL JOIN n USING (o_orderkey)"""
+_LOCKED = "o_orderstatus = 'F' AND o_orderpriority < '3'"
+
+
+def _facts(t: Tables, force: bool) -> DataFrame:
+    """Stored prices of orders, some verified; returned lines bring new ones, the last line's counts."""
+    status = F.when(F.expr(_LOCKED), "verified").otherwise("pending")
+    facts = Facts(t.spark, folder(t), ["o_orderkey"], ["price", "verification_status"], 16).create(t.orders.select("o_orderkey", c("o_totalprice").alias("price"), status.alias("verification_status")))
+    new = t.lineitem.filter("l_returnflag = 'R'").select(c("l_orderkey").alias("o_orderkey"), c("l_extendedprice").alias("price"), F.lit("flagged").alias("verification_status"), "l_linenumber")
+    facts.upsert(new, F.struct("l_linenumber", "price"), force=force)
+    return facts.read()
+
+
+@query("k2_stored_facts", _FACTS.format(price=f"CASE WHEN n.price IS NULL OR ({_LOCKED}) THEN o_totalprice ELSE n.price END", status=f"CASE WHEN {_LOCKED} THEN 'verified' WHEN n.price IS NULL THEN 'pending' ELSE 'flagged' END"))
+def k2_stored(t: Tables) -> DataFrame:
+    return _facts(t, False)
+
+
+@query("k2_stored_facts_forced", _FACTS.format(price="coalesce(n.price, o_totalprice)", status=f"CASE WHEN n.price IS NOT NULL THEN 'flagged' WHEN {_LOCKED} THEN 'verified' ELSE 'pending' END"))
+def k2_forced(t: Tables) -> DataFrame:
+    return _facts(t, True)
+
+
 @query("k4_seed_actions", f"SELECT action, count(*) AS n FROM ({_K2}) GROUP BY 1")
 def k4(t: Tables) -> DataFrame:
     return upsert(*_sides(t), ["k"], ["price"], "o_orderstatus = 'F'").groupBy("action").agg(F.count("*").alias("n"))
