@@ -152,6 +152,12 @@ EMBEDDED_WORDS = {
     "netzentgelte": {"page": ["netzentgelt", "preisblatt", "entgelt", "tarif", "arbeitspreis", "leistungspreis"], "table": ["ct/kwh", "eur/kw", "niederspannung", "mittelspannung", "hochspannung", "netzebene"]},
 }
 
+#: How a page's text tells a year, by kind.
+EMBEDDED_YEARS = {
+    "hlzf": [r"gültig ab 01\.01\.(\d{4})", r"ab (\d{4})", r"(\d{4})"],
+    "netzentgelte": [r"gültig ab 01\.01\.(\d{4})", r"(\d{4})"],
+}
+
 #: Points of a page with data, of each word, and of the year asked for.
 EMBEDDED_POINTS = {"hlzf": {"table": 50, "word": 7, "year": 25}, "netzentgelte": {"table": 15, "word": 3, "year": 25}}
 
@@ -163,3 +169,22 @@ ADDRESS_POINTS = {
 
 #: Words of addresses that are about time windows for certain.
 WINDOW_ADDRESSES = ["hlzf", "hochlast", "zeitfenster"]
+
+#: What no text that is stored may hold.
+DANGEROUS = [r"<script", r"javascript:", r"vbscript:", r"on\w+\s*=", r"data:text/html", r"data:application/", r"expression\s*\(", r"url\s*\(\s*['\"]?javascript", r"\x00", r"&#"]
+
+#: Markers of pages that let no crawler in.
+PROTECTION_MARKERS = ["enable javascript", "javascript is required", "cf_chl_opt", "challenge-platform", "__cf_bm", "just a moment", "checking your browser", "ddos protection by"]
+
+#: Systems by a part of the generator's name.
+SYSTEMS = {"typo3": "TYPO3", "wordpress": "WordPress", "joomla": "Joomla", "drupal": "Drupal", "contao": "Contao", "wix": "Wix", "squarespace": "Squarespace"}
+
+#: Formats by first bytes, as hexadecimal digits.
+MAGIC = {"25504446": "pdf", "D0CF11E0": "xls"}
+
+#: Words of which a price sheet's first page has one.
+GLANCE_WORDS = ["netzentgelt", "leistungspreis", "arbeitspreis", "preisblatt"]
+
+#: Bounds of imported records.
+BOUNDS = {"year": (2000, 2100), "price": (0, 1_000_000), "records": 500, "ranges": 10}
+STATUSES = ["unverified", "verified", "flagged", "rejected"]

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridsmith.catalogs import EMBEDDED_POINTS, EMBEDDED_WORDS
+from gridsmith.catalogs import EMBEDDED_POINTS, EMBEDDED_WORDS, EMBEDDED_YEARS, PROTECTION_MARKERS, SYSTEMS
 
 _DROP = "script|style|nav|footer|header"
 
@@ -68,19 +68,36 @@ def robots(body: Column) -> Column:
     return F.struct(maps.alias("sitemaps"), F.aggregate(lines, first, step, lambda a: a["out"]).alias("disallow"))
 
 
-PROTECTION = ["cf-browser-verification", "checking your browser", "just a moment", "enable javascript", "ddos protection"]
+def protection(body: Column) -> Column:
+    """What keeps crawlers out of a page: cloudflare, javascript_required or javascript_challenge; null if nothing."""
+    low = F.lower(body)
+    marked = F.exists(F.array(*[F.lit(x) for x in PROTECTION_MARKERS]), lambda m: F.contains(low, m))
+    cloud = low.contains("cloudflare") | low.contains("cf_chl")
+    return F.when(marked & cloud, "cloudflare").when(marked, "javascript_required").when(low.contains('meta http-equiv="refresh"') & low.contains("challenge"), "javascript_challenge")
 
 
 def protected(body: Column) -> Column:
-    """M10."""
-    return F.exists(F.array(*[F.lit(x) for x in PROTECTION]), lambda m: F.contains(F.lower(body), m))
+    return F.coalesce(protection(body).isNotNull(), F.lit(False))
 
 
-def tech(html: Column) -> Column:
-    """What made a page, by its generator or its paths."""
-    low = F.lower(html)
-    made = F.regexp_extract(low, r"<meta[^>]*name=[\"']generator[\"'][^>]*content=[\"']([^\"']*)", 1)
-    return F.when(made.contains("typo3") | low.contains("typo3temp"), "typo3").when(made.contains("wordpress") | low.contains("wp-content"), "wordpress").when(made.contains("drupal"), "drupal").when(made.contains("joomla"), "joomla")
+def _tags(html: Column, name: str) -> Column:
+    """Opening tags of a name, comments left out."""
+    return F.regexp_extract_all(F.regexp_replace(html, "(?s)<!--.*?-->", ""), F.lit(rf"(?is)<{name}(?=[\s/>])[^>]*>"), F.lit(0))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value; empty if there is none."""
+    rx = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.concat(*[F.regexp_extract(tag, rx, i) for i in (1, 2, 3)])
+
+
+def tech_stack(html: Column, server: Column) -> Column:
+    """Struct of cms, server (the header's) and generator (of the first meta tag that names one)."""
+    made = F.nullif(_attribute(F.try_element_at(F.filter(_tags(html, "meta"), lambda m: _attribute(m, "name") == "generator"), F.lit(1)), "content"), F.lit(""))
+    by_name = F.coalesce(*[F.when(F.contains(F.lower(made), F.lit(part)), F.lit(cms)) for part, cms in SYSTEMS.items()])
+    has = lambda tag, attribute, part: F.exists(_tags(html, tag), lambda x: F.contains(_attribute(x, attribute), F.lit(part)))
+    by_path = F.when(has("link", "href", "typo3") | has("script", "src", "typo3"), "TYPO3").when(has("link", "href", "wp-content") | has("script", "src", "wp-includes"), "WordPress")
+    return F.struct(F.coalesce(by_name, by_path).alias("cms"), server.alias("server"), made.alias("generator"))
 
 
 def robots_verdict(status: Column, body: Column) -> Column:
@@ -223,8 +240,7 @@ def embedded(page: Column, kind: str, year: int | None = None) -> Column:
     found = held(low, "page")
     has = F.exists(page["tables"], lambda t: F.size(held(F.lower(cut(t["start"], t["end"])), "table")) >= 2)
     about = F.flatten(F.transform(page["tables"], lambda t: F.regexp_extract_all(cut(t["outer_start"], t["outer_end"]), F.lit("([0-9]{4})"), F.lit(1))))
-    firsts = [r"(?iu)gültig ab 01\.01\.([0-9]{4})", "([0-9]{4})", *(["(?i)ab ([0-9]{4})"] if kind == "hlzf" else [])]
-    told = F.flatten(F.transform(page["headings"], lambda h: F.array(*[F.regexp_extract(h, p, 1) for p in firsts])))
+    told = F.flatten(F.transform(page["headings"], lambda h: F.array(*[F.regexp_extract(h, f"(?iu){p}", 1) for p in EMBEDDED_YEARS[kind]])))
     some = F.size(page["tables"]) > 0
     years = F.when(some, F.array_sort(F.array_distinct(_plausible(F.concat(about, told))))).otherwise(F.array().cast("array<int>"))
     wanted = F.array_contains(years, F.lit(year)) if year else F.lit(False)

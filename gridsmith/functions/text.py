@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.catalogs import FILE_WORDS
+from gridsmith.catalogs import DANGEROUS, FILE_WORDS, GLANCE_WORDS
 from gridsmith.functions.times import six_digit_year
 
 
@@ -99,12 +99,37 @@ def client_ip(forwarded: Column, proxies: int = 1) -> Column:
     return F.element_at(parts, F.greatest(F.lit(1), F.size(parts) - proxies + 1))
 
 
-DANGEROUS = r"(?i)<script|javascript:|on(error|load|click)\s*=|data:text/html"
+def dangerous(c: Column) -> Column:
+    """the text holds what could run as code, control characters apart."""
+    return F.regexp_replace(c, r"[\x00-\x08\x0b-\x1f]", "").rlike("(?iu)" + "|".join(f"(?:{p})" for p in DANGEROUS))
 
 
-def dangerous(c: Column) -> Column:
-    """F19."""
-    return c.rlike(DANGEROUS)
+def sanitized(c: Column, most: int = 1000) -> Column:
+    """struct of value and error. Too long or dangerous texts have an error and no value; of others control
+    characters are dropped, but line ends and tabs, and the characters that HTML needs are escaped."""
+    plain = F.regexp_replace(c, r"[\x00-\x08\x0b-\x1f]", "")
+    error = F.when(F.length(c) > most, "too long").when(dangerous(c), "dangerous content")
+    return F.struct(F.when(error.isNull(), _swap(plain, [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")])).alias("value"), error.alias("error"))
+
+
+def sanitized_time(c: Column) -> Column:
+    """Struct of value and error: a window HH:MM-HH:MM, a dash or nothing."""
+    good = c.isin("", "-") | c.rlike(r"^[0-9]{1,2}:[0-9]{2}-[0-9]{1,2}:[0-9]{2}$")
+    return F.struct(F.when(good, c).alias("value"), F.when(~good, "no time window").alias("error"))
+
+
+def sanitized_rows(df: DataFrame, texts: list[str], times: list[str], most: int = 1000) -> DataFrame:
+    """The rows with these columns sanitized and `errors`, an array of `column: error`; a row with errors is to be
+    refused as a whole. Other columns stay as they are."""
+    found = {n: sanitized(F.col(n), most) for n in texts} | {n: sanitized_time(F.col(n)) for n in times}
+    errors = F.array_compact(F.array(*[F.concat(F.lit(f"{n}: "), v["error"]) for n, v in found.items()])).cast("array<string>")
+    return df.withColumns({**{n: v["value"] for n, v in found.items()}, "errors": errors})
+
+
+def glance(first_page: Column, year: Column) -> Column:
+    """a document's first page names the year and has a word of price sheets."""
+    low = F.lower(first_page)
+    return F.contains(first_page, year.cast("string")) & F.exists(F.array(*[F.lit(w) for w in GLANCE_WORDS]), lambda w: F.contains(low, w))
 
 
 def subsequence(c: Column, wanted: str) -> Column:

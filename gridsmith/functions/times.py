@@ -50,6 +50,20 @@ def time_ranges(c: Column) -> Column:
     return F.when(F.size(parts) > 0, F.transform(parts, one))
 
 
+def clock_pairs(c: Column) -> Column:
+    """Array of (start, end) of times of day that stand side by side in a text, a dash or blanks between. Times
+    and all other characters are read one after another; any other one parts two times."""
+    tokens = F.regexp_extract_all(F.translate(c, "-–—‐", "    "), F.lit(r"[0-9]{1,2}:[0-9]{2}|\S"), F.lit(0))
+    start = F.struct(F.lit(None).cast("string").alias("held"), F.array().cast("array<struct<start:string,end:string>>").alias("out"))
+
+    def step(a: Column, t: Column) -> Column:
+        time = F.length(t) > 1
+        pair = time & a["held"].isNotNull()
+        return F.struct(F.when(time & ~pair, t).alias("held"), F.when(pair, F.concat(a["out"], F.array(F.struct(a["held"].alias("start"), t.alias("end"))))).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(tokens, start, step, lambda a: a["out"])
+
+
 def ranges_text(c: Column) -> Column:
     """Ranges as `HH:MM-HH:MM` joined by commas."""
     return F.array_join(F.transform(c, lambda r: F.concat_ws("-", F.substring(r["start"], 1, 5), F.substring(r["end"], 1, 5))), ", ")

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsmith.functions import levels
-from gridsmith.functions.times import SEASONS
+from gridsmith.functions.times import SEASONS, clock_pairs
 
 PRICES = ["leistung_unter_2500h", "arbeit_unter_2500h", "leistung", "arbeit"]
+
+
 def _price(c: Column) -> Column:
     return F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
 
@@ -26,21 +28,44 @@ def tariff_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.filter("level is not null")
 
 
-def tariff_sections(df: DataFrame, key: str, text: str) -> DataFrame:
-    """C9, second form: sections up to and beyond 2,500 hours with units in the lines; both
-    joined by level, whichever has it."""
-    under = r"(?is)bis\s+(?:zu\s+)?2\.?500\s+Stunden[^\n]*\n(.*?)(?=über\s+2\.?500\s+Stunden|$)"
-    over = r"(?is)über\s+2\.?500\s+Stunden[^\n]*\n(.*?)(?=bis\s+(?:zu\s+)?2\.?500\s+Stunden|$)"
+def _names_hours(line: Column, word: str) -> Column:
+    """A line says `word` (zu) 2500 Stunden, the number with or without its dot."""
+    words = F.filter(F.split(F.lower(line), r"\s+"), lambda w: ~((w == "zu") if word == "bis" else F.lit(False)))
+    hours = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.when(F.endswith(a, F.lit(word)) & b.isin("2500", "2.500"), True))
+    then = F.slice(words, 3, F.greatest(F.size(words) - 2, F.lit(1)))
+    return F.exists(F.zip_with(hours, then, lambda h, s: h & F.startswith(s, F.lit("stunden"))), lambda x: F.coalesce(x, F.lit(False)))
 
-    def section(pattern: str, names: tuple[str, str]) -> DataFrame:
-        lines = df.select(key, F.posexplode(F.split(F.regexp_extract(text, pattern, 1), "\n")).alias("no", "line"))
-        kw = _price(F.nullif(F.regexp_extract("line", r"(?i)([\d,.]+)\s*(?:EUR|€)\s*/\s*kW(?!h)", 1), F.lit("")))
-        ct = _price(F.nullif(F.regexp_extract("line", r"(?i)([\d,.]+)\s*ct\s*/\s*kWh", 1), F.lit("")))
-        label = F.regexp_extract("line", r"(?i)^\s*((?:Mittel|Nieder|Hoch|Um)spannung[^\d]*)", 1)
-        got = lines.select(key, "no", levels.normalize(label).alias("level"), kw.alias("a"), ct.alias("b")).filter("level is not null and (a is not null or b is not null)")
-        return got.groupBy(key, "level").agg(F.max_by("a", "no").alias(names[0]), F.max_by("b", "no").alias(names[1]))
 
-    return section(under, (PRICES[0], PRICES[1])).join(section(over, (PRICES[2], PRICES[3])), [key, "level"], "full")
+def _with_unit(words: Column, *units: str) -> Column:
+    """The first number that a unit follows."""
+    after = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1)))
+    fits = lambda u: F.exists(F.array(*map(F.lit, units)), lambda x: (u == x) | (F.startswith(u, x) & ~F.startswith(F.substring(u, F.length(x) + 1, 1), F.lit("h"))))
+    found = F.zip_with(words, after, lambda w, u: F.when(w.rlike("^[0-9.,]+$") & F.coalesce(fits(u), F.lit(False)), w))
+    return _price(F.try_element_at(F.array_compact(found), F.lit(1)))
+
+
+def tariff_sections(df: DataFrame, key: str, text: str) -> DataFrame:
+    """C9, second form: sections up to and beyond 2,500 hours with units in the lines; both
+    joined by level, whichever has it. A section begins below the first line that names it and ends at the
+    next line that names the other."""
+    each = df.select(key, F.posexplode(F.split(text, "\n")).alias("no", "line"))
+    marked = each.withColumns({"under": _names_hours(F.col("line"), "bis"), "over": _names_hours(F.col("line"), "über")})
+    whole = Window.partitionBy(key)
+    begins = {n: F.min(F.when(F.col(n), F.col("no"))).over(whole) for n in ("under", "over")}
+    lines = marked.withColumns({f"{n}_at": v for n, v in begins.items()})
+    ends = {"under": F.min(F.when(F.col("over") & (F.col("no") > F.col("under_at")), F.col("no"))).over(whole), "over": F.min(F.when(F.col("under") & (F.col("no") > F.col("over_at")), F.col("no"))).over(whole)}
+    lines = lines.withColumns({f"{n}_end": v for n, v in ends.items()})
+    # a blank about units, none within
+    words = F.filter(F.split(F.regexp_replace(F.regexp_replace(F.lower("line"), r"\s*/\s*", "/"), "([0-9])(eur|€|ct)", "$1 $2"), r"\s+"), lambda w: w != "")
+    label = F.regexp_extract("line", r"(?i)^\s*((?:Mittel|Nieder|Hoch|Um)spannung[^\d]*)", 1)
+    read = lines.select(key, "no", *(f"{n}_{x}" for n in ("under", "over") for x in ("at", "end")), levels.normalize(label).alias("level"), _with_unit(words, "eur/kw", "€/kw").alias("a"), _with_unit(words, "ct/kwh").alias("b"))
+    read = read.filter("level is not null and (a is not null or b is not null)")
+
+    def section(n: str, names: tuple[str, str]) -> DataFrame:
+        own = read.filter((F.col("no") > F.col(f"{n}_at")) & (F.col("no") < F.coalesce(f"{n}_end", F.lit(2**31 - 1))))
+        return own.groupBy(key, "level").agg(F.max_by("a", "no").alias(names[0]), F.max_by("b", "no").alias(names[1]))
+
+    return section("under", (PRICES[0], PRICES[1])).join(section("over", (PRICES[2], PRICES[3])), [key, "level"], "full")
 
 
 def tariffs_from_text(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -77,7 +102,6 @@ def tariffs_from_cells(cells: DataFrame, key: str) -> DataFrame:
 
 
 _SEASON = {"winter": "winter", "fruehling": "fr[üu]h(?:ling|jahr)", "sommer": "sommer", "herbst": "herbst"}
-_SPAN = r"([0-9]{1,2}:[0-9]{2})\s*[-–—‐\s]\s*([0-9]{1,2}:[0-9]{2})"
 #: Longest first, so that a short label never claims part of a longer one.
 _LABEL = "(?i)(hochspannung mit umspannung auf mittelspannung|umspannung zur (?:mittel|nieder)spannung|umspannung (?:hs/ms|ms/ns)|umspannung [0-9]+/[0-9,]+ ?kv|(?:hoch|mittel|nieder)spannungsnetz|(?:hoch|mittel|nieder)spannung|(?<![a-zäöüß0-9])(?:hs/ms|ms/ns|110 ?kv|20 ?kv|10 ?kv|hs|ms|ns)(?![a-zäöüß0-9/]))"
 
@@ -101,8 +125,7 @@ def windows_from_text(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(key, year.alias("year"), order.alias("order"), F.posexplode(regions).alias("no", "r"))
     rows = rows.select(key, "year", "order", "no", levels.normalize(F.col("r.label")).alias("level"), F.col("r.region").alias("region"))
     first = rows.groupBy(key, "year", "level").agg(F.min_by(F.struct("order", "region"), "no").alias("f")).select(key, "year", "level", "f.order", "f.region")
-    starts, ends = (F.regexp_extract_all("region", F.lit(_SPAN), F.lit(i)) for i in (1, 2))
-    spans = first.select(key, "year", "level", "order", F.posexplode(F.arrays_zip(starts.alias("start"), ends.alias("end"))).alias("_kth", "w"))
+    spans = first.select(key, "year", "level", "order", F.posexplode(clock_pairs(F.col("region"))).alias("_kth", "w"))
     return spans.filter(F.col("_kth") < F.size("order")).select(key, "year", "level", F.element_at("order", F.col("_kth") + 1).alias("season"), "w.start", "w.end")
 
 
@@ -130,7 +153,7 @@ def windows_from_cells(cells: DataFrame, key: str) -> DataFrame:
     sides = kinds.filter("row > head").groupBy(key, "row").agg(F.min_by(F.when(F.col("inv"), F.col("season")).otherwise(F.col("level")), F.when(F.when(F.col("inv"), F.col("season")).otherwise(F.col("level")).isNotNull(), F.col("col"))).alias("own"))
     sides = sides.withColumn("side", F.last("own", ignorenulls=True).over(down))
     body = kinds.filter("row > head").join(across, [key, "col"]).join(sides.select(key, "row", "side"), [key, "row"])
-    found = body.select(key, "row", F.when(F.col("inv"), F.col("top")).otherwise(F.col("side")).alias("level"), F.when(F.col("inv"), F.col("side")).otherwise(F.col("top")).alias("season"), F.regexp_extract_all("cell", F.lit(f"({_SPAN})"), F.lit(1)).alias("w"))
+    found = body.select(key, "row", F.when(F.col("inv"), F.col("top")).otherwise(F.col("side")).alias("level"), F.when(F.col("inv"), F.col("side")).otherwise(F.col("top")).alias("season"), F.transform(clock_pairs(F.col("cell")), lambda r: F.concat(r["start"], F.lit("-"), r["end"])).alias("w"))
     got = found.filter("level is not null and season is not null and size(w) > 0").groupBy(key, "level", "season").agg(F.sort_array(F.collect_list(F.struct("row", "w"))).alias("l"))
     return got.select(key, "level", "season", F.array_distinct(F.flatten(F.transform("l", lambda x: x["w"]))).alias("windows"))
 
