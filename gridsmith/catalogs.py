@@ -188,3 +188,11 @@ GLANCE_WORDS = ["netzentgelt", "leistungspreis", "arbeitspreis", "preisblatt"]
 #: Bounds of imported records.
 BOUNDS = {"year": (2000, 2100), "price": (0, 1_000_000), "records": 500, "ranges": 10}
 STATUSES = ["unverified", "verified", "flagged", "rejected"]
+
+#: Documents whose address is known: company, kind, year, address.
+KNOWN_DOCUMENTS = [
+    ("netze bw", "netzentgelte", 2025, "https://assets.ctfassets.net/xytfb1vrn7of/7vhTdFhuKlhLpC8BNOgN3e/369f35dc195a3b8890873942bd7df432/netzentgelte-strom-2025.pdf"),
+    ("netze bw", "netzentgelte", 2024, "https://assets.ctfassets.net/xytfb1vrn7of/6Wb8sYU8x0Fw6benikLxGo/66537b6b8070d5503b1165d2aad21b02/netzentgelte-strom-2024.pdf"),
+    ("netze bw", "regelungen", 2025, "https://assets.ctfassets.net/xytfb1vrn7of/01bujLCqkK8CFb4NgKfbnu/12f56b562fab37f09d41cc6924994e3e/regelungen-fuer-die-nutzung-des-stromverteilnetzes-2025.pdf"),
+    ("netze bw", "regelungen", 2024, "https://assets.ctfassets.net/xytfb1vrn7of/2gDZwU8Xvjl80uIctHlNYe/738081518a3240d77968d024458e2f15/regelungen-fuer-die-nutzung-des-stromverteilnetzes-2024.pdf"),
+]

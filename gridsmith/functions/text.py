@@ -101,7 +101,7 @@ def client_ip(forwarded: Column, proxies: int = 1) -> Column:
 
 def dangerous(c: Column) -> Column:
     """the text holds what could run as code, control characters apart."""
-    return F.regexp_replace(c, r"[\x00-\x08\x0b-\x1f]", "").rlike("(?iu)" + "|".join(f"(?:{p})" for p in DANGEROUS))
+    return F.regexp_replace(c, r"[\x00-\x08\x0b-\x1f]", "").rlike("(?iU)" + "|".join(f"(?:{p})" for p in DANGEROUS))
 
 
 def sanitized(c: Column, most: int = 1000) -> Column:

@@ -1,13 +1,14 @@
 """From candidate addresses to classified files: the cascade of sources (X4), the fallback
 scan (X5), the deeper second pass (X12), relevant pages (C13), classes of files (C8), the
-choice among extractions (X6), and what a finished job leaves and teaches (X7)."""
+choice among extractions (X6), and what a finished job leaves and teaches (X7),
+known addresses (C14) and the jobs that classified files start (X14)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsmith.catalogs import PAGE_WORDS, WINDOW_ADDRESSES
+from gridsmith.catalogs import KNOWN_DOCUMENTS, PAGE_WORDS, WINDOW_ADDRESSES
 from gridsmith.functions import urls
 from gridsmith.operators.ranking import pick
 
@@ -115,3 +116,20 @@ def learned(done: DataFrame) -> DataFrame:
     good = done.filter("saved").select(F.explode(urls.path_patterns(c("url"))).alias("pattern"), F.lit(True).alias("ok"))
     bad = done.filter("not saved and via is not null").select(c("via").alias("pattern"), F.lit(False).alias("ok"))
     return good.unionByName(bad).groupBy("pattern").agg(F.count_if("ok").alias("success"), F.count_if(~c("ok")).alias("fail"))
+
+
+def known_documents(asked: DataFrame, name: str, kind: str, year: str) -> DataFrame:
+    """C14: the rows with the `address` of a company's document if it is known; null else."""
+    known = asked.sparkSession.createDataFrame(KNOWN_DOCUMENTS, "_n string, _k string, _y int, address string")  # a fixed list
+    on = (F.lower(F.trim(F.col(name))) == c("_n")) & (F.col(kind) == c("_k")) & (F.col(year) == c("_y"))
+    return asked.join(F.broadcast(known), on, "left").drop("_n", "_k", "_y")
+
+
+def extract_jobs(jobs: DataFrame) -> DataFrame:
+    """A job for each classified file of (job, operator, year, priority, context, files), where files maps a kind to
+    (path, format, source_url): parent, operator, year, priority, kind, step and context, in which the file is named too. Kinds
+    as kind:year are of other years: those files are kept and not extracted. A job has a few files."""
+    one = jobs.select("job", "operator", "year", "priority", "context", F.explode("files").alias("kind", "file")).filter(~c("kind").contains(":"))
+    more = F.create_map(F.lit("downloaded_file"), c("file.path"), F.lit("file_to_process"), c("file.path"), F.lit("file_format"), c("file.format"), F.lit("strategy"), F.lit("classified"), F.lit("source_url"), c("file.source_url"), F.lit("found_url"), c("file.source_url"))
+    own = F.map_filter(F.coalesce("context", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: ~F.array_contains(F.map_keys(more), k))
+    return one.select(c("job").alias("parent"), "operator", "year", "priority", "kind", F.lit("extract").alias("job_type"), F.lit("Queued for extraction").alias("step"), F.map_concat(own, more).alias("context"))

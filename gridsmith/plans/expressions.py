@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.functions import levels, numbers, replies, text, times, urls
+from gridsmith.functions import levels, numbers, replies, text, times, urls, validation
 from gridsmith.registry import query
 from gridsmith.session import Tables
+from gridsmith.sources import files
 
 c = F.col
 _GERMAN = "CASE p_size % 5 WHEN 0 THEN '1.' || CAST(p_size AS VARCHAR) || ',56' WHEN 1 THEN CAST(p_size AS VARCHAR) || ',5' WHEN 2 THEN CAST(p_size AS VARCHAR) || '.25' WHEN 3 THEN 'k.A.' ELSE p_name END"
@@ -166,6 +167,19 @@ def g9(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.when(starts("A"), "pdf").when(starts("E"), "zip").otherwise("other").alias("k"))
 
 
+_BYTES = "CASE doc_id % 9 WHEN 0 THEN '%PDF-1.7' WHEN 1 THEN 'PK' || chr(3) || chr(4) || '..xl/workbook.xml' WHEN 2 THEN 'PK' || chr(3) || chr(4) || 'word/document.xml' WHEN 3 THEN 'PK' || chr(3) || chr(4) WHEN 4 THEN '' ELSE ' %PDF' END || text"
+_TYPE = "CASE doc_id % 7 WHEN 0 THEN 'Application/PDF' WHEN 1 THEN 'application/vnd.ms-excel' WHEN 2 THEN 'application/x-zip' WHEN 3 THEN 'TEXT/HTML; charset=x' ELSE 'application/octet-stream' END"
+_NAME = "'https://x.de/d' || doc_id || CASE doc_id % 8 WHEN 0 THEN '.PDF?x=.zip' WHEN 1 THEN '.xlsx' WHEN 2 THEN '.xls' WHEN 3 THEN '.docx' WHEN 4 THEN '.zip?v=1' WHEN 5 THEN '.htm' ELSE '' END"
+_BY_NAME = "CASE WHEN bare LIKE '%.pdf' THEN 'pdf' WHEN bare LIKE '%.xlsx' THEN 'xlsx' WHEN bare LIKE '%.xls' THEN 'xls' WHEN bare LIKE '%.docx' THEN 'docx' WHEN bare LIKE '%.zip' THEN 'zip' ELSE 'html' END"
+_FORMAT = f"""CASE WHEN starts_with(x, '%PDF') THEN 'pdf' WHEN starts_with(x, 'PK' || chr(3) || chr(4)) THEN CASE WHEN contains(left(x, 2500), 'workbook.xml') THEN 'xlsx' WHEN contains(left(x, 2500), 'word/') THEN 'docx' WHEN bare LIKE '%.zip' THEN 'zip' ELSE 'xlsx' END
+WHEN lower(kind) LIKE '%pdf%' THEN 'pdf' WHEN lower(kind) LIKE '%excel%' THEN 'xlsx' WHEN lower(kind) LIKE '%zip%' THEN 'zip' WHEN lower(kind) LIKE '%text/html%' THEN 'html' ELSE {_BY_NAME} END"""
+
+
+@query("g9_file_formats", f"SELECT doc_id, {_FORMAT} AS format FROM (SELECT doc_id, coalesce({_BYTES}, '') AS x, {_TYPE} AS kind, lower(split_part({_NAME}, '?', 1)) AS bare FROM documents)")
+def g9_formats(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", files.file_format(F.coalesce(F.expr(_BYTES), F.lit("")).cast("binary"), F.expr(_TYPE), F.expr(_NAME)).alias("format"))
+
+
 @query("g10_year_template", "SELECT o_orderkey, '/d/{year}/a.pdf' AS u FROM orders")
 def g10(t: Tables) -> DataFrame:
     y = F.year("o_orderdate")
@@ -298,11 +312,47 @@ def f18(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", (F.year("o_orderdate").between(1993, 1997) & c("o_totalprice").between(0, 200000) & c("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("ok"))
 
 
-@query("f19_dangerous", "SELECT page_id FROM pages WHERE regexp_matches(html, '(?i)<script|javascript:|on(error|load|click)\\s*=|data:text/html')")
+_RECORD = """o_custkey AS request, o_orderkey, 1998 + o_orderkey % 107 AS year, CASE o_orderkey % 9 WHEN 0 THEN 'HöS' WHEN 1 THEN 'HöS/HS' WHEN 2 THEN 'HS' WHEN 3 THEN 'HS/MS' WHEN 4 THEN 'MS' WHEN 5 THEN 'MS/NS' WHEN 6 THEN 'NS' WHEN 7 THEN 'ms' END AS voltage_level,
+CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice * 3 END AS leistung, o_totalprice - 2000 AS arbeit, CASE o_orderkey % 6 WHEN 0 THEN 'verified' WHEN 1 THEN 'flagged' WHEN 2 THEN 'done' END AS verification_status"""
+_LIMITS = f"""WITH r AS (SELECT {_RECORD} FROM orders), e AS (SELECT *, list_filter([CASE WHEN year NOT BETWEEN 2000 AND 2100 THEN 'year' END, CASE WHEN voltage_level IS NULL OR voltage_level = 'ms' THEN 'voltage_level' END, CASE WHEN verification_status = 'done' THEN 'verification_status' END,
+CASE WHEN leistung NOT BETWEEN 0 AND 1000000 THEN 'leistung' END, CASE WHEN arbeit NOT BETWEEN 0 AND 1000000 THEN 'arbeit' END], lambda x: x IS NOT NULL) AS errors FROM r)
+SELECT o_orderkey, array_to_string(CASE WHEN count(*) OVER w > 500 THEN list_append(errors, 'records') WHEN bool_or(len(errors) > 0) OVER w AND len(errors) = 0 THEN ['request'] ELSE errors END, ',') AS errors FROM e WINDOW w AS (PARTITION BY request)"""
+
+
+@query("f18_import_bounds", _LIMITS)
+def f18_bounds(t: Tables) -> DataFrame:
+    """Orders as imported prices, a request for each customer."""
+    none = "CAST(NULL AS DOUBLE)"
+    rows = t.spark.sql(f"SELECT {_RECORD}, {none} AS leistung_unter_2500h, {none} AS arbeit_unter_2500h FROM {{orders}}", orders=t.orders)
+    return validation.checked(rows, validation.price_errors(), "request").select("o_orderkey", F.array_join("errors", ",").alias("errors"))
+
+
+_BAD = ["<ScRipt>", "JavaScript:x", "vbscript:x", "<a onMouseOver = x>", "data:text/HTML,x", "data:application/x", "width:expression (1)", "url( javascript", "&#60;", "plain text", "on = off", "a & b < c > d"]
+_TAINTED = "CASE event_id % 12 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_BAD)) + " END || chr(1) || event_id || chr(9) || event_type"
+#: The patterns that this input can hold, in SQL's own words.
+_HARM = " OR ".join(["contains(y, '<script')", "contains(y, 'javascript:')", "contains(y, 'vbscript:')", "regexp_matches(y, 'on[a-z0-9_]+[ ]*=')", "contains(y, 'data:text/html')", "contains(y, 'data:application/')", "regexp_matches(y, 'expression[ ]*[(]')", "regexp_matches(y, 'url[ ]*[(][ ]*javascript')", "contains(y, '&#')"])
+
+
+@query("f19_dangerous", f"SELECT event_id, CASE WHEN length(x) > 30 THEN 'too long' WHEN {_HARM} THEN 'dangerous content' END AS error, CASE WHEN length(x) <= 30 AND NOT ({_HARM}) THEN replace(replace(replace(replace(x, chr(1), ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END AS value FROM (SELECT event_id, {_TAINTED} AS x, lower(replace({_TAINTED}, chr(1), '')) AS y FROM events)")
 def f19(t: Tables) -> DataFrame:
+    return t.events.select("event_id", text.sanitized(F.expr(_TAINTED), 30).alias("s")).select("event_id", "s.error", "s.value")
+
+
+@query("f19_dangerous_pages", "SELECT page_id FROM pages WHERE regexp_matches(html, '(?i)<script|javascript:|vbscript:|on\\w+\\s*=|data:text/html|data:application/|expression\\s*\\(|&#')")
+def f19_pages(t: Tables) -> DataFrame:
     return t.pages.filter(text.dangerous(c("html"))).select("page_id")
 
 
+_ROW = ["CASE event_id % 4 WHEN 0 THEN '<script>' ELSE event_type END AS name", "CASE event_id % 5 WHEN 0 THEN '-' WHEN 1 THEN '' WHEN 2 THEN '7:30-15:' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') WHEN 3 THEN '7:3x' END AS winter"]
+_ROW_ERRORS = "array_to_string(list_filter([CASE WHEN event_id % 4 = 0 THEN 'name: dangerous content' END, CASE WHEN event_id % 5 = 3 THEN 'winter: no time window' END], lambda x: x IS NOT NULL), ', ')"
+
+
+@query("g18_sanitized_rows", f"SELECT event_id, CASE WHEN event_id % 4 > 0 THEN name END AS name, CASE WHEN event_id % 5 <> 3 THEN winter END AS winter, {_ROW_ERRORS} AS errors FROM (SELECT event_id, {', '.join(_ROW)} FROM events)")
+def g18_rows(t: Tables) -> DataFrame:
+    rows = t.events.selectExpr("event_id", *[x.replace("VARCHAR", "STRING") for x in _ROW])
+    return text.sanitized_rows(rows, ["name"], ["winter"]).withColumn("errors", F.array_join("errors", ", "))
+
+
 @query("f20_title_area", "SELECT doc_id FROM documents WHERE contains(lower(substr(text, 1, 500)), 'tion') OR contains(lower(substr(text, 1, 500)), 'ung')")
 def f20(t: Tables) -> DataFrame:
     head = F.lower(F.substring("text", 1, 500))
@@ -320,6 +370,14 @@ def f25(t: Tables) -> DataFrame:
     return t.documents.filter(c("text").contains("555") & F.exists(F.array(F.lit("th"), F.lit("ei")), lambda k: F.contains(low, k))).select("doc_id")
 
 
+_FIRST = "CASE doc_id % 5 WHEN 0 THEN 'Preisblatt ' WHEN 1 THEN 'NETZENTGELTE ' WHEN 2 THEN 'Arbeitspreis ' ELSE 'Preise ' END || (2020 + doc_id % 7) || coalesce(text, '')"
+
+
+@query("f25_glance", f"SELECT doc_id, contains(x, '2025') AND (contains(lower(x), 'netzentgelt') OR contains(lower(x), 'leistungspreis') OR contains(lower(x), 'arbeitspreis') OR contains(lower(x), 'preisblatt')) AS ok FROM (SELECT doc_id, {_FIRST} AS x FROM documents)")
+def f25_glance(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.glance(F.expr(_FIRST), F.lit(2025)).alias("ok"))
+
+
 @query("f27_subsequence", "SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), 'r.*d.*g.*t')")
 def f27(t: Tables) -> DataFrame:
     return t.part.filter(text.subsequence(c("p_name"), "rdgt")).select("p_partkey")

@@ -176,6 +176,59 @@ def s20(t: Tables) -> DataFrame:
     return files.unzip(made).select("path", "name", F.length("content").alias("n"))
 
 
+def _archives(t: Tables) -> DataFrame:
+    """A job for each nation; a third of its files are archives: of several members, of none that counts, or broken."""
+    import io
+    import zipfile
+
+    def pack(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            out = []
+            for k, format_ in zip(b["c_custkey"], b["format"], strict=True):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    for name, text in [("only.txt", "x")] if k % 5 == 1 else [("dir/", ""), ("dir/Preis Blatt.PDF", f"%PDF {k}"), ("empty.pdf", ""), ("b.exe", "x"), ("c.html", f"<p class='x'>{k}</p><script>1</script>")]:
+                        z.writestr(name, text)
+                out.append(f"file {k}".encode() if format_ != "zip" else b"no zip" if k % 5 == 0 else held.getvalue())
+            yield b.assign(content=out)
+
+    rows = t.customer.select("c_nationkey", c("c_name").alias("slug"), "c_custkey", F.when(c("c_custkey") % 3 == 0, "zip").otherwise("pdf").alias("format"))
+    kinds = "c_nationkey long, slug string, c_custkey long, format string, content binary"
+    return rows.mapInPandas(pack, kinds).select(c("c_nationkey").alias("job"), F.concat(F.lit("n"), "c_nationkey").alias("slug"), c("c_custkey").alias("k"), F.concat(F.lit("f"), "c_custkey").alias("path"), "format", F.concat(F.lit("u"), "c_custkey").alias("url"), "content")
+
+
+_MEMBERS = """WITH f AS (SELECT c_nationkey AS job, c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'zip' ELSE 'pdf' END AS format FROM customer),
+m AS (SELECT job, k, no, name, row_number() OVER (PARTITION BY job ORDER BY k, no) - 1 AS n FROM f, (VALUES (1, 'Preis_Blatt.PDF'), (4, 'c.html')) AS x(no, name) WHERE format = 'zip' AND k % 5 > 1)
+SELECT job, k, 'f' || k AS path, format, 'u' || k AS url, CAST(NULL AS VARCHAR) AS text FROM f WHERE format = 'pdf' OR k % 5 = 0 OR job NOT IN (SELECT job FROM m)
+UNION ALL SELECT job, k, 'n' || job || '_zip_' || CASE WHEN n < 10 THEN '0' ELSE '' END || n || '_' || name, CASE no WHEN 1 THEN 'pdf' ELSE 'html' END, 'u' || k, CASE no WHEN 1 THEN '%PDF ' || k ELSE '<p>' || k || '</p>' END FROM m"""
+
+
+@query("s20_expanded_archives", _MEMBERS)
+def s20_expanded(t: Tables) -> DataFrame:
+    out = files.expanded(_archives(t), "job", "slug")
+    return out.select("job", "k", "path", "format", "url", F.when(c("member").isNotNull(), F.decode("content", "UTF-8")).alias("text"))
+
+
+_FILES = "SELECT doc_id % 200 AS job, doc_id, 'https://x.de/' || doc_id || '.pdf' AS url, CASE WHEN doc_id % 3 = 0 THEN '%PDF' ELSE '' END || coalesce(text, '') AS content FROM {documents}"
+
+
+@query("s19_kept_downloads", f"""WITH f AS ({_FILES.format(documents="documents")}), k AS (SELECT *, strlen(content) AS size, sha256(content) AS h, row_number() OVER (PARTITION BY job ORDER BY doc_id) AS n FROM f),
+d AS (SELECT *, row_number() OVER (PARTITION BY job, h ORDER BY n) AS again FROM k WHERE n <= 20 AND size <= 8000), s AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY job ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM d WHERE again = 1)
+SELECT job, url, size, h AS file_hash, 'pdf' AS format FROM s WHERE upto < 15000""")
+def s19_kept(t: Tables) -> DataFrame:
+    """Files of 200 jobs: twenty candidates, 8,000 bytes a file, 15,000 a job."""
+    rows = t.spark.sql(_FILES, documents=t.documents)
+    own = rows.select("job", "doc_id", "url", c("content").cast("binary").alias("content"), F.lit("application/octet-stream").alias("content_type"))
+    return files.kept_downloads(own, "job", c("doc_id"), 8_000, 15_000, 20).select("job", "url", c("size").cast("long").alias("size"), "file_hash", "format")
+
+
+@query("s24_checked_pdfs", f"SELECT doc_id, 'stadtwerke-' || doc_id % 7 || '--gmbh/netzentgelte-' || 2020 + doc_id % 6 || '.pdf' AS path FROM ({_FILES.format(documents='documents')}) WHERE starts_with(content, '%PDF')")
+def s24_pdfs(t: Tables) -> DataFrame:
+    rows = t.spark.sql(_FILES, documents=t.documents)
+    named = rows.select("doc_id", F.concat(F.lit("Stadtwerke "), c("doc_id") % 7, F.lit(", GmbH")).alias("name"), F.lit("netzentgelte").alias("kind"), (2020 + c("doc_id") % 6).alias("year"), c("content").cast("binary").alias("content"))
+    return files.checked_pdfs(named).select("doc_id", "path")
+
+
 @query("s21_page_text", "SELECT conv_id AS file, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS n FROM conversations GROUP BY 1")
 def s21(t: Tables) -> DataFrame:
     """Texts of the pages of a file, in order; PDFs enter as such rows."""

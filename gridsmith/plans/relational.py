@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridsmith.operators import discovery
 from gridsmith.operators.joins import band, first_match
 from gridsmith.registry import query
 from gridsmith.session import Tables
@@ -372,3 +373,16 @@ def p1(t: Tables) -> DataFrame:
 def x14(t: Tables) -> DataFrame:
     best = t.lineitem.groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n")).groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "n"))).alias("m"))
     return best.select("l_orderkey", F.explode("m").alias("kind", "n")).filter("kind != 'N'")
+
+
+@query("x14_extract_jobs", """WITH k AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'N' THEN 'hlzf:2023' WHEN l_returnflag = 'A' THEN 'netzentgelte' ELSE 'hlzf' END AS kind, min(l_linenumber) AS n FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey AS parent, kind, 1990 + l_orderkey % 9 AS year, 'f' || n || '.pdf' AS file, 'slug' || l_orderkey AS slug, 'classified' AS strategy, 'u' || n AS found, 'Queued for extraction' AS step FROM k WHERE kind NOT LIKE '%:%'""")
+def x14_jobs(t: Tables) -> DataFrame:
+    """Orders as crawl jobs, the flags of their lines as kinds of files, one kind of another year."""
+    kind = F.when(F.col("l_returnflag") == "N", "hlzf:2023").when(F.col("l_returnflag") == "A", "netzentgelte").otherwise("hlzf")
+    n = t.lineitem.groupBy("l_orderkey", kind.alias("kind")).agg(F.min("l_linenumber").alias("n"))
+    file = F.struct(F.concat(F.lit("f"), "n", F.lit(".pdf")).alias("path"), F.lit("pdf").alias("format"), F.concat(F.lit("u"), "n").alias("source_url"))
+    files = n.groupBy(F.col("l_orderkey").alias("job")).agg(F.map_from_entries(F.collect_list(F.struct("kind", file.alias("file")))).alias("files"))
+    jobs = files.select("job", F.lit("op").alias("operator"), (1990 + F.col("job") % 9).alias("year"), F.lit(5).alias("priority"), F.create_map(F.lit("slug"), F.concat(F.lit("slug"), "job"), F.lit("strategy"), F.lit("crawl")).alias("context"), "files")
+    out = discovery.extract_jobs(jobs)
+    return out.select("parent", "kind", "year", F.col("context")["file_to_process"].alias("file"), F.col("context")["slug"].alias("slug"), F.col("context")["strategy"].alias("strategy"), F.col("context")["found_url"].alias("found"), "step")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.catalogs import ADDRESS_POINTS, DATA_PATTERNS, EMBEDDED_POINTS, EMBEDDED_WORDS, IMPORTANCE_FALLBACK, IMPORTANCE_P90, IMPORTANCE_WEIGHTS, PAGE_WORDS, WORDS_AGAINST, WORDS_FOR, WORDS_NEEDED
+from gridsmith.catalogs import ADDRESS_POINTS, DATA_PATTERNS, EMBEDDED_POINTS, EMBEDDED_WORDS, IMPORTANCE_FALLBACK, IMPORTANCE_P90, IMPORTANCE_WEIGHTS, KNOWN_DOCUMENTS, PAGE_WORDS, PROTECTION_MARKERS, WORDS_AGAINST, WORDS_FOR, WORDS_NEEDED
 from gridsmith.functions import html, levels, urls, verification
 from gridsmith.functions.numbers import log_share
 from gridsmith.operators import discovery
@@ -205,6 +205,16 @@ def c14(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "source").join(F.broadcast(known), "source").select("doc_id", "known_year")
 
 
+_COMPANY = "CASE event_id % 3 WHEN 0 THEN ' Netze BW ' WHEN 1 THEN 'netze bw' ELSE 'Netze Nord' END"
+_KIND = "CASE WHEN user_id % 2 = 0 THEN 'netzentgelte' ELSE 'regelungen' END"
+
+
+@query("c14_known_addresses", f"WITH k(n, kind, y, address) AS (VALUES {', '.join(map(str, KNOWN_DOCUMENTS))}) SELECT event_id, address FROM (SELECT event_id, lower(trim({_COMPANY})) AS n, {_KIND} AS kind, 2023 + event_id % 4 AS y FROM events) LEFT JOIN k USING (n, kind, y)")
+def c14_addresses(t: Tables) -> DataFrame:
+    asked = t.events.select("event_id", F.expr(_COMPANY).alias("n"), F.expr(_KIND).alias("kind"), (2023 + c("event_id") % 4).alias("y"))
+    return discovery.known_documents(asked, "n", "kind", "y").select("event_id", "address")
+
+
 @query("m1_html_text", "SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?is)<nav\\b.*?</nav\\s*>', ' ', 'g'), '(?is)<footer\\b.*?</footer\\s*>', ' ', 'g'), '(?is)<header\\b.*?</header\\s*>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS n FROM pages")
 def m1(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.length(html.text_of(c("html"))).cast("long").alias("n"))
@@ -257,14 +267,31 @@ def m7(t: Tables) -> DataFrame:
     return e.select("page_id", "kind", F.size("words").alias("words"), "tables", c("has_data").alias("has"), F.array_join(c("years").cast("array<string>"), ",").alias("years"), "confidence", "points")
 
 
-@query("m10_protection", "SELECT page_id, contains(lower(html), 'just a moment') OR contains(lower(html), 'enable javascript') OR contains(lower(html), 'cf-browser-verification') OR contains(lower(html), 'checking your browser') OR contains(lower(html), 'ddos protection') AS p FROM pages")
+_MARKED = """CASE page_id % 11 WHEN 0 THEN 'Please Enable JavaScript' WHEN 1 THEN '<p>JavaScript is REQUIRED</p>' WHEN 2 THEN '<script>window._cf_chl_opt={}</script>' WHEN 3 THEN '/cdn-cgi/Challenge-Platform/' WHEN 4 THEN 'set __cf_bm' WHEN 5 THEN 'Just a moment... Cloudflare'
+WHEN 6 THEN 'Checking your browser' WHEN 7 THEN 'DDoS protection by x' WHEN 8 THEN '<meta http-equiv="refresh" content="0;/challenge">' WHEN 9 THEN '<meta http-equiv="refresh" content="0;/x">' ELSE '' END || html"""
+_MARKERS = " OR ".join(f"contains(x, '{m}')" for m in PROTECTION_MARKERS)
+
+
+@query("m10_protection", f"""SELECT page_id, CASE WHEN {_MARKERS} THEN CASE WHEN contains(x, 'cloudflare') OR contains(x, 'cf_chl') THEN 'cloudflare' ELSE 'javascript_required' END
+WHEN contains(x, 'meta http-equiv="refresh"') AND contains(x, 'challenge') THEN 'javascript_challenge' END AS p FROM (SELECT page_id, lower({_MARKED}) AS x FROM pages)""")
 def m10(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", html.protected(c("html")).alias("p"))
+    return t.pages.select("page_id", html.protection(F.expr(_MARKED)).alias("p"))
+
+
+#: Heads of pages, the system and generator that each tells.
+_HEADS = [
+    ('<meta name="generator" content="TYPO3 CMS {k}">', "TYPO3", "TYPO3 CMS {k}"), ("<META CONTENT='WordPress 6.{k}' NAME='generator' />", "WordPress", "WordPress 6.{k}"), ('<meta name="viewport" content="drupal"><meta name=generator content="Joomla! {k}">', "Joomla", "Joomla! {k}"),
+    ('<meta data-x name="generator" content="Drupal {k}">', "Drupal", "Drupal {k}"), ('<meta name="generator" content="Contao {k}"><link href="/typo3temp/a.css">', "Contao", "Contao {k}"), ('<meta name="generator" content="Wix.com {k}">', "Wix", "Wix.com {k}"), ('<meta name="generator" content="Squarespace {k}">', "Squarespace", "Squarespace {k}"),
+    ('<meta name="generator" content="Hugo {k}"><script src="/typo3conf/{k}.js"></script>', "TYPO3", "Hugo {k}"), ('<link rel="x" href="/wp-content/{k}.css">', "WordPress", None), ('<script async src="/wp-includes/{k}.js">', "WordPress", None), ('<a href="/typo3/{k}"></a><meta name="x-generator" content="TYPO3">', None, None), ('<!-- <meta name="generator" content="TYPO3"> -->', None, None), ("", None, None),
+]
+_text = lambda v: "CAST(NULL AS VARCHAR)" if v is None else "'" + v.replace("'", "''").replace("{k}", "' || page_id || '") + "'"
+_head = lambda i: f"CASE page_id % {len(_HEADS)} " + " ".join(f"WHEN {k} THEN {_text(h[i])}" for k, h in enumerate(_HEADS)) + " END"
 
 
-@query("m11_tech_stack", "SELECT page_id, CASE WHEN contains(lower(html), 'typo3temp') THEN 'typo3' WHEN contains(lower(html), 'wp-content') THEN 'wordpress' END AS cms FROM pages")
+@query("m11_tech_stack", f"SELECT page_id, {_head(1)} AS cms, 'nginx/' || page_id % 5 AS server, {_head(2)} AS generator FROM pages")
 def m11(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", html.tech(c("html")).alias("cms"))
+    head = F.coalesce(*[F.when(c("page_id") % len(_HEADS) == k, F.replace(F.lit(h), F.lit("{k}"), c("page_id").cast("string"))) for k, (h, _, _) in enumerate(_HEADS)])
+    return t.pages.select("page_id", html.tech_stack(F.concat(head, c("html")), F.expr("'nginx/' || page_id % 5")).alias("t")).select("page_id", "t.*")
 
 
 @query("a26_page_counters", "SELECT page_id, CAST((length(html) - length(replace(html, '<a ', ''))) / 3 AS INTEGER) AS links, CAST((length(lower(html)) - length(replace(lower(html), '<table', ''))) / 6 AS INTEGER) AS tables FROM pages")

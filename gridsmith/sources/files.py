@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
+from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridsmith.catalogs import MAGIC
+from gridsmith.functions import html
+from gridsmith.session import written
+
 
 def semicolon_csv(spark: SparkSession, path: str, key: str, name: str) -> DataFrame:
     """A CSV with semicolons, a mark at its start and rows without a key; by name."""
@@ -53,12 +60,46 @@ def export_date(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).agg(F.max("modificationTime").alias("exported_at"))
 
 
+def format_by_name(path: Column) -> Column:
+    """By the ending of a path or address without its query; pages have none."""
+    bare = F.split(F.lower(F.coalesce(path, F.lit(""))), r"\?")[0]
+    kinds = [(".pdf", "pdf"), (".xlsx", "xlsx"), (".xls", "xls"), (".docx", "docx"), (".zip", "zip")]
+    return F.coalesce(*[F.when(F.endswith(bare, F.lit(e)), F.lit(k)) for e, k in kinds], F.lit("html"))
+
+
+def file_format(content: Column, content_type: Column, url: Column) -> Column:
+    """By first bytes, then by content type, then by address. An archive is what its first members tell,
+    and a workbook unless its address says zip."""
+    head, kind = F.hex(F.substring(content, 1, 16)), F.lower(F.coalesce(content_type, F.lit("")))
+    holds = lambda word: F.contains(F.substring(content, 1, 10_000), F.lit(word).cast("binary"))
+    archive = F.when(holds("workbook.xml"), "xlsx").when(holds("word/"), "docx").when(format_by_name(url) == "zip", "zip").otherwise("xlsx")
+    said = F.when(kind.contains("pdf"), "pdf").when(kind.contains("spreadsheet") | kind.contains("excel"), "xlsx").when(kind.contains("zip"), "zip").when(kind.contains("text/html") | kind.contains("application/xhtml"), "html")
+    magic = [F.when(F.startswith(head, F.lit(m)), F.lit(k)) for m, k in MAGIC.items()]
+    return F.coalesce(*magic, F.when(F.startswith(head, F.lit("504B0304")), archive), said, format_by_name(url))
+
+
+def kept_downloads(files: DataFrame, job: str, order: Column, most: int = 50 << 20, total: int = 300 << 20, count: int = 50) -> DataFrame:
+    """Of (job, url, content, content_type) the files that a job keeps, with format, size and SHA-256. Its first
+    `count` candidates are looked at, in order; those above a size, and repeated contents, are left out; once `total` bytes
+    are kept no more is. A job has few candidates, so its windows are small; contents aren't in them."""
+    seen = files.select(job, "url", order.alias("_o"), F.length("content").alias("size"), F.sha2("content", 256).alias("file_hash"), file_format(F.col("content"), F.col("content_type"), F.col("url")).alias("format"))
+    w = Window.partitionBy(job).orderBy("_o", "url")
+    near = seen.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= count).filter(F.col("size") <= most)
+    first = near.withColumn("_again", F.row_number().over(Window.partitionBy(job, "file_hash").orderBy("_k"))).filter("_again = 1")
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(job).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return first.withColumn("_sum", before).filter(F.col("_sum") < total).drop("_k", "_again", "_sum", "_o")
+
+
+def checked_pdfs(files: DataFrame) -> DataFrame:
+    """Of (name, kind, year, content) those that are PDFs, with the path under which each is kept."""
+    path = F.concat(F.regexp_replace(F.lower("name"), "[^a-zA-Z0-9]", "-"), F.lit("/"), F.col("kind"), F.lit("-"), F.col("year"), F.lit(".pdf"))
+    return files.filter(F.startswith("content", F.lit("%PDF").cast("binary"))).withColumn("path", path)
+
+
 def documents(spark: SparkSession, path: str, most: int = 50 << 20) -> DataFrame:
-    """Files with their format by first bytes and SHA-256; the first path of equal contents."""
+    """Files with their format and SHA-256; the first path of equal contents."""
     df = spark.read.format("binaryFile").load(path).filter(F.col("length") <= most)
-    head = F.hex(F.substring("content", 1, 4))
-    kind = F.when(head == "25504446", "pdf").when(F.startswith(head, F.lit("504B0304")), F.when(F.lower("path").endswith(".xlsx"), "xlsx").otherwise("zip")).when(F.startswith(head, F.lit("D0CF11E0")), "xls").when(F.lower(F.decode(F.substring("content", 1, 64), "ISO-8859-1")).rlike("<!doctype html|<html"), "html").otherwise("unknown")
-    found = df.select("path", "length", kind.alias("format"), F.sha2("content", 256).alias("file_hash"))
+    found = df.select("path", "length", file_format(F.col("content"), F.lit(""), F.col("path")).alias("format"), F.sha2("content", 256).alias("file_hash"))
     return found.groupBy("file_hash").agg(F.min_by(F.struct("path", "length", "format"), "path").alias("f")).select("f.*", "file_hash")
 
 
@@ -79,6 +120,61 @@ def unzip(df: DataFrame, allowed: tuple[str, ...] = (".pdf", ".xlsx", ".xls", ".
     return df.select("path", "content").mapInPandas(run, "path string, name string, content binary")
 
 
+#: Endings of members of an archive that are taken.
+MEMBERS = (".pdf", ".xlsx", ".xls", ".html", ".htm", ".csv")
+
+
+def members(archives: DataFrame, keys: list[str], allowed: tuple[str, ...] = MEMBERS, most: int = 50 << 20) -> DataFrame:
+    """(keys, no, member, content) of the members with an allowed ending, below a size and not empty; a row without a
+    member for an archive that can't be opened. A member is unpacked and sent on at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+
+                def out(no: int | None, name: str | None, data: bytes | None, row: pa.RecordBatch = row) -> pa.RecordBatch:
+                    return pa.RecordBatch.from_arrays([*row.columns[:-1], pa.array([no], pa.int32()), pa.array([name], pa.string()), pa.array([data], pa.binary())], names=[*keys, "no", "member", "content"])
+
+                try:
+                    with zipfile.ZipFile(io.BytesIO(row.column(len(keys))[0].as_py() or b"")) as z:
+                        infos = z.infolist()
+                        for no, info in enumerate(infos):
+                            if not info.is_dir() and PurePosixPath(info.filename).suffix.lower() in allowed and info.file_size < most:
+                                try:
+                                    data = z.read(info)
+                                except (zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error, EOFError):
+                                    continue  # this member alone
+                                if data:
+                                    yield out(no, info.filename, data)
+                except zipfile.BadZipFile:
+                    yield out(None, None, None)
+
+    kinds = ", ".join(f"{k} {archives.schema[k].dataType.simpleString()}" for k in keys)
+    return archives.select(*keys, F.col("content").cast("binary")).mapInArrow(run, f"{kinds}, no int, member string, content binary")
+
+
+def expanded(files: DataFrame, job: str, slug: str) -> DataFrame:
+    """A job's files (job, slug, k, path, format, url, content), k their order, with each archive (format zip) replaced by its
+    members: path {slug}_zip_{count}_{name}, format by name, the archive's url, member, SHA-256; pages among them cleaned for
+    storage. Archives that can't be opened stay, as do all files of a job from whose archives nothing came."""
+    key = [job, slug, "k", "url"]
+    found = written(members(files.filter("format = 'zip'"), key))
+    got = found.filter("member is not null")
+    name = F.replace(F.element_at(F.split("member", "/"), -1), F.lit(" "), F.lit("_"))
+    count = F.row_number().over(Window.partitionBy(job).orderBy("k", "no")) - 1
+    page = format_by_name(F.col("member")) == "html"
+    clean = F.when(page, F.encode(html.cleaned(F.when(page, html.decoded(F.col("content")))), "UTF-8")).otherwise(F.col("content"))
+    numbered = got.select(*key, "no", "member", count.alias("n"))
+    rows = numbered.join(got.select(job, "k", "no", clean.alias("content"), format_by_name(F.col("member")).alias("format")), [job, "k", "no"])
+    out = rows.select(job, slug, "k", F.concat(slug, F.lit("_zip_"), F.when(F.length(F.col("n").cast("string")) < 2, F.lpad(F.col("n").cast("string"), 2, "0")).otherwise(F.col("n").cast("string")), F.lit("_"), name).alias("path"), "format", "url", "content", "member", F.sha2("content", 256).alias("file_hash"))
+    some = got.select(job).distinct().withColumn("_some", F.lit(True))
+    bad = found.filter("member is null").select(job, "k").withColumn("_bad", F.lit(True))
+    marked = files.join(some, job, "left").join(bad, [job, "k"], "left")
+    stay = marked.filter(F.col("_some").isNull() | (F.col("format") != "zip") | F.col("_bad").isNotNull())
+    return stay.select(job, slug, "k", "path", "format", "url", "content", F.lit(None).cast("string").alias("member"), F.lit(None).cast("string").alias("file_hash")).unionByName(out)
+
+
 def sheet_text(df: DataFrame, sheets: int = 2, rows: int = 50) -> DataFrame:
     """(path, text) of the first rows of the first sheets of (path, sheet, row, cells) rows."""
     near = df.filter((F.col("sheet") < sheets) & (F.col("row") < rows))
