@@ -192,18 +192,16 @@ def waterfall(asked: DataFrame, locations: DataFrame, answers: DataFrame, width:
     return found.select("ask", F.coalesce("operator", "near", "told").alias("operator"), outcome.alias("outcome"))
 
 
-def response(operators: DataFrame, prices: DataFrame, hours: DataFrame) -> DataFrame:
+def response(operators: DataFrame, facts: DataFrame) -> DataFrame:
     """For each of (id, name, points) its facts as arrays (year, level, value), their
     completeness against the levels its connection points let one expect, and a message where
-    there is none. Facts are (id, year, level, value), one for a year and level, so that an
-    operator's arrays are small."""
-
-    def nested(facts: DataFrame, name: str) -> DataFrame:
-        return facts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("year", "level", "value"))).alias(name))
-
+    there is none. Facts are (id, year, level, value, kind), of kind prices or hours, one for a year and level, so
+    that an operator's arrays are small. They are read once and meet the operators in one join."""
     kind = "array<struct<year:int,level:string,value:double>>"
+    of_kind = lambda k: F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("year", "level", "value"))))
+    nested = facts.groupBy("id").agg(of_kind("prices").alias("prices"), of_kind("hours").alias("hours"))
     some = lambda n: F.coalesce(F.col(n).cast(kind), F.array().cast(kind))
-    both = operators.join(nested(prices, "prices"), "id", "left").join(nested(hours, "hours"), "id", "left").withColumn("prices", some("prices")).withColumn("hours", some("hours"))
+    both = operators.join(nested, "id", "left").withColumn("prices", some("prices")).withColumn("hours", some("hours"))
     of = lambda n: F.array_distinct(F.transform(n, lambda f: f["level"]))
     has = (F.size("prices") > 0) | (F.size("hours") > 0)
     note = F.when(~has, F.concat(F.col("name"), F.lit(" is registered; no data yet.")))

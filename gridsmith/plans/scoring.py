@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.catalogs import ADDRESS_POINTS, DATA_PATTERNS, EMBEDDED_POINTS, EMBEDDED_WORDS, IMPORTANCE_FALLBACK, IMPORTANCE_P90, IMPORTANCE_WEIGHTS, KNOWN_DOCUMENTS, PAGE_WORDS, PROTECTION_MARKERS, WORDS_AGAINST, WORDS_FOR, WORDS_NEEDED
+from gridsmith.catalogs import ADDRESS_POINTS, DATA_PATTERNS, EMBEDDED_POINTS, EMBEDDED_WORDS, IMPORTANCE_FALLBACK, IMPORTANCE_P90, IMPORTANCE_WEIGHTS, KNOWN_DOCUMENTS, PAGE_WORDS, PROTECTION_MARKERS, WORDS_AGAINST, WORDS_FOR, WORDS_NEEDED, YEAR_PATTERNS
 from gridsmith.functions import html, levels, urls, verification
 from gridsmith.functions.numbers import log_share
 from gridsmith.operators import discovery
@@ -87,10 +87,14 @@ def a22(t: Tables) -> DataFrame:
 WORDS, OFF = ["the", "and", "page"], ["/fr/", "/login"]
 
 
-@query("c1_crawl_score", "SELECT page_id, CAST(CASE WHEN contains(lower(url), 'the') THEN 15 ELSE 0 END + CASE WHEN contains(lower(url), 'and') THEN 15 ELSE 0 END + CASE WHEN contains(lower(url), 'page') THEN 15 ELSE 0 END - 2 * (page_id % 4) - CASE WHEN contains(lower(url), '/fr/') OR contains(lower(url), '/login') THEN 50 ELSE 0 END - CASE WHEN contains(lower(url), 'gas') THEN 100 ELSE 0 END AS DOUBLE) AS score FROM pages WHERE NOT regexp_matches(url, '[0-9]{4}')")
+_DATED = "url || CASE page_id % 3 WHEN 0 THEN '/x-' || (2010 + page_id % 18) || '.x' WHEN 1 THEN '/' || (2010 + page_id % 18) || '-' || (2012 + page_id % 18) || '.x' ELSE '' END"
+_YEARS = "list_distinct(list_transform(flatten([" + ", ".join(f"regexp_extract_all(lower(u), '{p}', 1)" for p in YEAR_PATTERNS) + "]), lambda x: CAST(x AS INTEGER)))"
+_BONUS = f"coalesce(list_sum(list_transform({_YEARS}, lambda y: CASE WHEN y = 2024 THEN 50 WHEN y < 2015 THEN -30 WHEN y BETWEEN 2019 AND 2026 THEN 10 ELSE 3 END)), 0)"
+
+
+@query("c1_crawl_score", f"SELECT page_id, CAST(CASE WHEN contains(lower(u), 'the') THEN 15 ELSE 0 END + CASE WHEN contains(lower(u), 'and') THEN 15 ELSE 0 END + CASE WHEN contains(lower(u), 'page') THEN 15 ELSE 0 END - 2 * (page_id % 4) - CASE WHEN contains(lower(u), '/fr/') OR contains(lower(u), '/login') THEN 50 ELSE 0 END - CASE WHEN contains(lower(u), 'gas') THEN 100 ELSE 0 END + {_BONUS} AS DOUBLE) AS score FROM (SELECT page_id, {_DATED} AS u FROM pages)")
 def c1(t: Tables) -> DataFrame:
-    rows = t.pages.filter(~c("url").rlike("[0-9]{4}"))
-    return rows.select("page_id", urls.crawl_score(c("url"), c("page_id") % 4, F.lit(""), WORDS, 2024, 2025, OFF).alias("score"))
+    return t.pages.select("page_id", urls.crawl_score(F.expr(_DATED), c("page_id") % 4, F.lit(""), WORDS, 2024, 2025, OFF).alias("score"))
 
 
 @query("c2_year_bonus", "SELECT o_orderkey, CASE WHEN y = 1996 THEN 50 WHEN y < 1989 THEN -30 WHEN y BETWEEN 1993 AND 2000 THEN 10 ELSE 3 END AS bonus FROM (SELECT o_orderkey, year(o_orderdate) AS y FROM orders)")

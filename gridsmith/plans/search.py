@@ -147,10 +147,11 @@ SELECT c_custkey, k IS NOT NULL AS has_data, coalesce(prices, '') AS prices, CAS
 @query("x9_search_response", _X9)
 def x9(t: Tables) -> DataFrame:
     level = F.element_at(F.array(*[F.lit(x) for x in ("NS", "MS/NS", "MS", "HS", "HS/MS")]), F.substring("o_orderpriority", 1, 1).cast("int"))
-    facts = t.orders.groupBy(c("o_custkey").alias("id"), F.year("o_orderdate").alias("year"), level.alias("level"), (c("o_orderstatus") == "F").alias("price")).agg(F.max("o_totalprice").alias("value"))
+    kind = F.when(c("o_orderstatus") == "F", "prices").otherwise("hours")
+    facts = t.orders.groupBy(c("o_custkey").alias("id"), F.year("o_orderdate").alias("year"), level.alias("level"), kind.alias("kind")).agg(F.max("o_totalprice").alias("value"))
     k = c("c_custkey")
     points = F.when(k % 11 != 0, F.create_map(F.lit("ns"), F.lit(5), F.lit("ms"), F.when(k % 2 == 0, 3).otherwise(0)))
-    out = search.response(t.customer.select(k.alias("id"), c("c_name").alias("name"), points.alias("points")), facts.filter("price"), facts.filter("not price"))
+    out = search.response(t.customer.select(k.alias("id"), c("c_name").alias("name"), points.alias("points")), facts)
     said = F.array_join(F.transform("prices", lambda f: F.concat(f["year"], F.lit(":"), f["level"])), ",")
     return out.select(c("id").alias("c_custkey"), "has_data", said.alias("prices"), F.size("hours").alias("n_hours"), c("completeness.score").alias("score"), "message")
 
