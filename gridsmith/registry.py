@@ -11,7 +11,7 @@ from gridsmith.session import Tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ["registry", "relational", "ranking", "expressions", "search", "upserts", "scoring", "extraction", "crawling", "streams"]
+MODULES = ["registry", "relational", "ranking", "expressions", "search", "upserts", "scoring", "extraction", "crawling", "streams", "records"]
 
 
 def query(name: str, sql: str | None = None) -> Callable:
