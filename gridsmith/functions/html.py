@@ -249,11 +249,15 @@ def embedded(page: Column, kind: str, year: int | None = None) -> Column:
     return F.struct(found.alias("words"), F.size(page["tables"]).alias("tables"), has.alias("has_data"), years.alias("years"), F.when(some, F.round(sure, 9)).otherwise(0.0).alias("confidence"), rank.cast("double").alias("points"))
 
 
+#: Elements that aren't stored; those without an end.
+UNWANTED = {"script", "style", "nav", "footer", "header", "iframe", "form", "noscript", "svg", "button", "input", "object", "embed", "link", "meta"}
+UNWANTED_VOID = {"input", "embed", "link", "meta"}
+
+
 class _Cleaner(HTMLParser):
     """Tags and text without the unwanted, attributes but safe links dropped."""
 
-    UNWANTED = {"script", "style", "nav", "footer", "header", "iframe", "form", "noscript", "svg", "button", "input", "object", "embed", "link", "meta"}
-    VOID = {"input", "embed", "link", "meta"}
+    UNWANTED, VOID = UNWANTED, UNWANTED_VOID
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=False)

@@ -12,7 +12,24 @@ from gridsmith.session import Tables
 c = F.col
 
 
-@query("x3_best_first_crawl")
+def _crawl_sql(budget: int, width: int, depth: int) -> str:
+    """Round after round, as many as the budget could need; those beyond the end are empty."""
+    ctes = [
+        "e AS (SELECT 'p' || c_custkey AS url, 'p' || unnest([(c_custkey * 7 + 1) % 150, (c_custkey + 3) % 150]) AS too FROM customer)",
+        "s AS (SELECT 'p' || c_custkey AS url, c_acctbal AS score FROM customer)",
+        "f0 AS (SELECT 'p0' AS url, 0 AS depth, coalesce((SELECT score FROM s WHERE url = 'p0'), 0) AS score)",
+        "v0 AS (SELECT url, depth, score, 0 AS visit FROM f0 WHERE false)",
+    ]
+    for i in range(budget):
+        ctes += [
+            f"b{i} AS MATERIALIZED (SELECT url, depth, score, {i} AS visit FROM (SELECT *, row_number() OVER (ORDER BY score DESC, depth, url) AS n FROM f{i}) WHERE n <= least({width}, {budget} - (SELECT count(*) FROM v{i})))",
+            f"v{i + 1} AS MATERIALIZED (SELECT * FROM v{i} UNION ALL SELECT * FROM b{i})",
+            f"f{i + 1} AS MATERIALIZED (SELECT url, min(depth) AS depth, max(score) AS score FROM (SELECT * FROM f{i} UNION ALL SELECT url, depth, coalesce(score, 0) FROM (SELECT too AS url, min(depth) + 1 AS depth FROM b{i} JOIN e USING (url) WHERE depth < {depth} GROUP BY 1) LEFT JOIN s USING (url)) WHERE url NOT IN (SELECT url FROM v{i + 1}) GROUP BY 1)",
+        ]
+    return f"WITH {', '.join(ctes)} SELECT url, depth, score, visit FROM v{budget}"
+
+
+@query("x3_best_first_crawl", _crawl_sql(30, 10, 4))
 def x3(t: Tables) -> DataFrame:
     """Customers as pages: order of a customer links to that of number 7 k + 1 and k + 3."""
     n = t.customer.select(c("c_custkey").alias("k"), c("c_acctbal").alias("s"))
