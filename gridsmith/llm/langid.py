@@ -213,6 +213,7 @@ def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_c
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(PER_LABEL))
     chosen = named.groupBy("y", bucket.alias("k")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(1)), "doc_id")).alias("d")).select("y", F.col("d.doc_id").alias("doc_id"))
     rows = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # PER_LABEL rows of each label
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")  # of rows that repeat an id, one
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

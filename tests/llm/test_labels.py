@@ -243,3 +243,12 @@ def test_keep_and_redact_of_nothing(odd, nothing, model):
     assert pii.redact(nothing, model).count() == 0
     kept = quality.keep(odd, [])
     assert kept.schema == odd.schema and sorted(r.doc_id or -1 for r in kept.collect()) == sorted(r.doc_id or -1 for r in quality.judge(odd, []).filter("kept").collect())
+
+
+def test_rows_that_repeat_an_id_count_once_in_the_fit(spark, monkeypatch):
+    """However many rows bear an id, the fit gathers the windows of one of them for each label."""
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda windows, names: seen.append((windows, names)))
+    rows = [(1, f"text number {i:05d} of one id " * 20, "en") for i in range(400)] + [(2, "ein Text " * 50, "de"), (1, "texte " * 50, "fr")]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(seen[0][0]) <= 3 * langid.WINDOWS and set(seen[0][1]) == {"en", "de", "fr"}
