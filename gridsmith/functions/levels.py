@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,23 +54,28 @@ def normalize(c: Column) -> Column:
     return F.when(F.length(s) > 0, F.coalesce(got[0], two))
 
 
+def _wanted(points: Column) -> dict[str, Column]:
+    """For each level, highest first, whether a map of connection points lets one expect it."""
+    has = {k: F.coalesce(F.try_element_at(points, F.lit(k)), F.lit(0)) > 0 for k in BUCKET_LEVELS}
+    return {x: reduce(or_, [has[k] for k, v in BUCKET_LEVELS.items() if x in v], F.lit(False)) for x in LEVELS}
+
+
 def expected(points: Column) -> Column:
     """Levels that a map of connection points lets one expect, highest first."""
-    has = lambda k: F.coalesce(F.try_element_at(points, F.lit(k)), F.lit(0)) > 0
-    none = F.array().cast("array<string>")
-    any_ = F.concat(*(F.when(has(k), F.array(*[F.lit(x) for x in v])).otherwise(none) for k, v in BUCKET_LEVELS.items()))
-    return F.filter(F.array(*[F.lit(x) for x in LEVELS]), lambda x: F.array_contains(any_, x))
+    return F.array_compact(F.array(*[F.when(w, F.lit(x)) for x, w in _wanted(points).items()])).cast("array<string>")
 
 
 def completeness(points: Column, tariff: Column, windows: Column) -> Column:
-    """Struct of score, expected and covered counts and whether there were expectations."""
-    want = expected(points)
-    covered = F.size(F.array_intersect(want, tariff))
-    has = points.isNotNull() & (F.size(want) > 0)
+    """Struct of score, expected and covered counts and whether there were expectations. Levels are counted one
+    by one, with no array made of them."""
+    wanted = _wanted(points)
+    want = sum((w.cast("int") for w in wanted.values()), F.lit(0))
+    covered = F.when(tariff.isNotNull(), sum(((w & F.coalesce(F.array_contains(tariff, F.lit(x)), F.lit(False))).cast("int") for x, w in wanted.items()), F.lit(0)))
+    has = points.isNotNull() & (want > 0)
     any_ = (F.size(tariff) > 0) | (F.size(windows) > 0)
     return F.struct(
-        F.when(has, F.bround(covered * 100.0 / F.size(want))).otherwise(F.when(any_, 100.0).otherwise(0.0)).cast("int").alias("score"),
-        F.when(has, F.size(want)).otherwise(0).alias("expected"),
+        F.when(has, F.bround(covered * 100.0 / want)).otherwise(F.when(any_, 100.0).otherwise(0.0)).cast("int").alias("score"),
+        F.when(has, want).otherwise(0).alias("expected"),
         F.when(has, covered).otherwise(0).alias("covered"),
         F.coalesce(has, F.lit(False)).alias("has_expectations"),
     )

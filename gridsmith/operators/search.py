@@ -203,6 +203,7 @@ def response(operators: DataFrame, facts: DataFrame) -> DataFrame:
     some = lambda n: F.coalesce(F.col(n).cast(kind), F.array().cast(kind))
     both = operators.join(nested, "id", "left").withColumn("prices", some("prices")).withColumn("hours", some("hours"))
     of = lambda n: F.array_distinct(F.transform(n, lambda f: f["level"]))
+    both = both.withColumns({"_prices": of("prices"), "_hours": of("hours")})
     has = (F.size("prices") > 0) | (F.size("hours") > 0)
     note = F.when(~has, F.concat(F.col("name"), F.lit(" is registered; no data yet.")))
-    return both.select("id", has.alias("has_data"), "prices", "hours", levels.completeness(F.col("points"), of("prices"), of("hours")).alias("completeness"), note.alias("message"))
+    return both.select("id", has.alias("has_data"), "prices", "hours", levels.completeness(F.col("points"), F.col("_prices"), F.col("_hours")).alias("completeness"), note.alias("message"))
