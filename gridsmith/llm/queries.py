@@ -14,16 +14,19 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded; null texts are empty."""
     import public_tokenizers
 
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: its class, its number of links to other texts, and its copies."""
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
 def op3_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text by the labels of four fifths of the documents."""
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     labels = table(spark, sf_dir, "labels").filter(part != 0)
     out = toxicity.fit_score(table(spark, sf_dir, "documents"), labels)
@@ -31,15 +34,18 @@ def op3_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of licence phrases, base labels and the method's in every whole text."""
     docs = table(spark, sf_dir, "documents")
     return licenses.scan(docs, licenses.fit(docs))
 
 
 def op5_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of fifty words or more that stand in an earlier text too."""
     return substrings.passages(table(spark, sf_dir, "documents"))
 
 
 def op6_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from three quarters of the documents."""
     docs = table(spark, sf_dir, "documents")
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     out = langid.predict(docs, langid.fit(docs.filter(part != 2)))
@@ -47,21 +53,25 @@ def op6_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and all spans of personal data in every whole text."""
     return pii.find(table(spark, sf_dir, "documents"), pii.train(spark))
 
 
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of eight contiguous shards of near-equal bytes."""
     out = sharding.assign(table(spark, sf_dir, "documents"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every whole text and what the learned list makes of it."""
     docs = table(spark, sf_dir, "documents")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, rules)
 
 
 def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document and benchmark item the best window of a similarity of 0.8 or more."""
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
