@@ -145,7 +145,7 @@ def s15(t: Tables) -> DataFrame:
 def s16(t: Tables) -> DataFrame:
     """Remote lookups as a join with a table of their answers."""
     known = t.nation.filter("n_nationkey < 20").select(c("n_nationkey").alias("s_nationkey"), "n_name")
-    return t.supplier.join(F.broadcast(known), "s_nationkey", "left").select("s_suppkey", "n_name")
+    return t.supplier.join(known, "s_nationkey", "left").select("s_suppkey", "n_name")
 
 
 @query("s19_downloads", "WITH d AS (SELECT sha256(text) AS h, min(doc_id) AS doc_id FROM documents WHERE n_chars < 50000 GROUP BY 1) SELECT doc_id, h FROM d")

@@ -52,7 +52,7 @@ def registry_stats(t: Tables, quick: bool = False) -> DataFrame:
     if not quick:
         parts.append(capacity(chained_units(t, "l_linestatus = 'O'"), count=True))
         zero = [*names, "cap_solar", "cap_wind", "cap_storage", "cap_total", "n_units"]
-    base = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    base = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     out = with_defaults(base, parts, "n_nationkey", zero)
     return out if quick else out.withColumn("has_full_data", (F.col("cp_total") > 0) & (F.col("n_units") > 0))
 

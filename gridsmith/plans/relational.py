@@ -75,7 +75,7 @@ def j2(t: Tables) -> DataFrame:
 
 @query("j3_inner_grouping", "SELECT n_regionkey, count(*) AS n, max(s_acctbal) AS top FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def j3(t: Tables) -> DataFrame:
-    return t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.count("*").alias("n"), F.max("s_acctbal").alias("top"))
+    return t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.count("*").alias("n"), F.max("s_acctbal").alias("top"))
 
 
 @query("j5_flagged_facts", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'")
@@ -333,7 +333,7 @@ def p5(t: Tables) -> DataFrame:
 
 @query("p6_address", "SELECT s_suppkey, concat_ws(', ', s_name, nullif(n_name, 'FRANCE'), CAST(s_nationkey AS VARCHAR)) AS address FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def p6(t: Tables) -> DataFrame:
-    return t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat_ws(", ", "s_name", F.nullif(F.col("n_name"), F.lit("FRANCE")), F.col("s_nationkey").cast("string")).alias("address"))
+    return t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat_ws(", ", "s_name", F.nullif(F.col("n_name"), F.lit("FRANCE")), F.col("s_nationkey").cast("string")).alias("address"))
 
 
 @query("p7_live_status", "SELECT user_id, CASE WHEN bool_or(event_type = 'purchase' AND event_id % 16 = 0) THEN 'running' WHEN bool_or(event_type = 'click' AND event_id % 16 = 1) THEN 'pending' WHEN bool_or(event_type = 'error' AND event_id % 16 = 2) THEN 'protected' WHEN count(*) > 60 THEN 'crawled' ELSE 'uncrawled' END AS status FROM events GROUP BY 1")

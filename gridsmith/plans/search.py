@@ -158,7 +158,7 @@ def x9(t: Tables) -> DataFrame:
 
 @query("x16_bulk_enqueue", "SELECT CASE WHEN k % 5 = 0 THEN 'missing' ELSE 'exact' END AS outcome, count(*) AS n FROM (SELECT DISTINCT s_nationkey AS k FROM supplier) GROUP BY 1")
 def x16(t: Tables) -> DataFrame:
-    names = t.supplier.select(c("s_nationkey").alias("k")).distinct().join(F.broadcast(t.nation), c("k") == c("n_nationkey")).select("k", F.when(c("k") % 5 == 0, F.lit("Stadtwerke Nirgendwo")).otherwise(c("n_name")).alias("name"))
+    names = t.supplier.select(c("s_nationkey").alias("k")).distinct().join(t.nation, c("k") == c("n_nationkey")).select("k", F.when(c("k") % 5 == 0, F.lit("Stadtwerke Nirgendwo")).otherwise(c("n_name")).alias("name"))
     done = search.resolve(names, t.nation.select("n_nationkey", "n_name"), "k", "name", "n_nationkey", "n_name")
     return done.groupBy("outcome").agg(F.count("*").alias("n"))
 

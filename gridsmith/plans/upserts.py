@@ -131,7 +131,7 @@ def k16(t: Tables) -> DataFrame:
 
 @query("k17_fill_if_empty", "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN s_name WHEN s_nationkey % 2 = 0 THEN coalesce(n_name, s_name) ELSE s_name END AS address FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
 def k17(t: Tables) -> DataFrame:
-    j = t.supplier.join(F.broadcast(t.nation), c("n_nationkey") == c("s_nationkey"), "left")
+    j = t.supplier.join(t.nation, c("n_nationkey") == c("s_nationkey"), "left")
     return j.select("s_suppkey", F.when((c("s_acctbal") >= 0) & (c("s_nationkey") % 2 == 0), F.coalesce("n_name", "s_name")).otherwise(c("s_name")).alias("address"))
 
 

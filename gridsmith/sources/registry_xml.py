@@ -49,7 +49,7 @@ def operators(spark: SparkSession, folder: str) -> DataFrame:
     roles = scan(spark, f"{folder}/MarktakteureUndRollen.xml", "MarktakteurUndRolle", FIELDS["MarktakteurUndRolle"])
     kept = roles.filter(F.col("Marktrolle").isin(*ROLES) & (F.length("MarktakteurMastrNummer") > 0)).groupBy(F.col("MarktakteurMastrNummer").alias("id"), "Marktrolle").agg(F.min("_ord").alias("o"))
     ids = kept.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "Marktrolle"))), lambda x: x["Marktrolle"]).alias("roles"))
-    actors = scan(spark, f"{folder}/Marktakteure_*.xml", "Marktakteur", FIELDS["Marktakteur"]).withColumnRenamed("MastrNummer", "id").join(F.broadcast(ids.select("id")), "id", "left_semi")
+    actors = scan(spark, f"{folder}/Marktakteure_*.xml", "Marktakteur", FIELDS["Marktakteur"]).withColumnRenamed("MastrNummer", "id").join(ids.select("id"), "id", "left_semi")
     text = ["Firmenname", "Strasse", "Hausnummer", "Postleitzahl", "Ort", "Email", "Telefon", "AcerCode"]
     dates = ["RegistrierungsdatumMarktakteur", "Taetigkeitsbeginn", "Taetigkeitsende"]
     told = last_value(actors, ["id"], "_ord", text).join(last_value(actors, ["id"], "_ord", dates, skip_empty=False), "id")
