@@ -196,3 +196,10 @@ KNOWN_DOCUMENTS = [
     ("netze bw", "regelungen", 2025, "https://assets.ctfassets.net/xytfb1vrn7of/01bujLCqkK8CFb4NgKfbnu/12f56b562fab37f09d41cc6924994e3e/regelungen-fuer-die-nutzung-des-stromverteilnetzes-2025.pdf"),
     ("netze bw", "regelungen", 2024, "https://assets.ctfassets.net/xytfb1vrn7of/2gDZwU8Xvjl80uIctHlNYe/738081518a3240d77968d024458e2f15/regelungen-fuer-die-nutzung-des-stromverteilnetzes-2024.pdf"),
 ]
+
+#: What counts as no data in an extracted field, and usual ranges of its prices.
+NO_DATA = ["-", "n/a", "null", "none", "", "entfällt", "keine"]
+USUAL = {"arbeit": (0.01, 20), "leistung": (0, 500)}
+
+#: Functions of a company in the code register, the first the most wanted.
+WANTED_FUNCTIONS = ["Netzbetreiber", "Verteilnetzbetreiber", "Übertragungsnetzbetreiber"]

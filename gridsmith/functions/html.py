@@ -300,6 +300,15 @@ def cleaned(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out, dtype=object)
 
 
+def without_styles(html: Column) -> Column:
+    """M4: struct of html without style elements, style attributes and style sheets, and how many of each went."""
+    rx_tag, rx_link = r"(?is)<style(?=[\s>]).*?</style\s*>", r"(?is)<link(?=[\s/>])(?=[^>]*\srel\s*=\s*[\"']?[^\"'>]*\bstylesheet\b)[^>]*>"
+    rx_attribute = r"(?is)(<[a-z][^<>]*?)\sstyle\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+    bare = F.regexp_replace(html, rx_tag, "")
+    plain = F.regexp_replace(bare, rx_link, "")
+    return F.struct(F.regexp_replace(plain, rx_attribute, "$1").alias("html"), F.regexp_count(html, F.lit(rx_tag)).alias("tags"), F.regexp_count(bare, F.lit(rx_attribute)).alias("attributes"), F.regexp_count(bare, F.lit(rx_link)).alias("sheets"))
+
+
 def decoded(data: Column) -> Column:
     """Bytes as text by their mark, the page's own word, or UTF-8, else Latin-1."""
     head = F.lower(F.decode(F.substring(data, 1, 1024), "ISO-8859-1"))

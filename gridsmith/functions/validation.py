@@ -1,11 +1,14 @@
-"""bounds of records that are imported."""
+"""Bounds of records that are imported (F18), and what is unusual or too little in those extracted."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.catalogs import BOUNDS, LEVELS, STATUSES
+from gridsmith.catalogs import BOUNDS, LEVELS, NO_DATA, STATUSES, USUAL
 from gridsmith.functions.times import SEASONS
 
 PRICES = ["leistung", "arbeit", "leistung_unter_2500h", "arbeit_unter_2500h"]
@@ -50,3 +53,28 @@ def checked(records: DataFrame, errors: Column, request: str) -> DataFrame:
     joined = own.join(sums, F.col(request).eqNullSafe(F.col("_r"))).drop("_r")
     more = F.when(F.col("_n") > BOUNDS["records"], F.array(F.lit("records"))).when(F.col("_bad") & (F.size("errors") == 0), F.array(F.lit("request"))).otherwise(F.array().cast("array<string>"))
     return joined.withColumn("errors", F.concat("errors", more)).drop("_n", "_bad")
+
+
+def has_data(x: Column) -> Column:
+    """A field of an extracted record, as text, that says something."""
+    return F.coalesce(~F.lower(F.trim(x)).isin(NO_DATA), F.lit(False))
+
+
+def price_warnings(arbeit: Column, leistung: Column) -> Column:
+    """F8: array of `arbeit: not a number`, `arbeit: unusual` and so on, for prices as texts with a comma or a dot; fields without
+    data aren't looked at."""
+    out = []
+    for name, x in (("arbeit", arbeit), ("leistung", leistung)):
+        value = F.replace(F.trim(x), F.lit(","), F.lit(".")).try_cast("double")
+        wrong = F.when(value.isNull(), f"{name}: not a number").when(~value.between(*USUAL[name]) | F.isnan(value), f"{name}: unusual")
+        out.append(F.when(has_data(x), wrong))
+    return _named(out)
+
+
+def sane_files(records: DataFrame, file: str, kind: str) -> DataFrame:
+    """(file, n, verdict) of the extracted records of each file: of prices two records at least that hold a price, of time windows two
+    records. Counts are added up before they are shuffled."""
+    priced = F.count_if(reduce(or_, [has_data(F.col(p).cast("string")) for p in PRICES]))
+    n = F.count("*")
+    verdict = F.when(n < 2, "too few records").when((F.first(kind) == "netzentgelte") & (priced < 2), "too few prices").otherwise("ok")
+    return records.groupBy(file, kind).agg(n.alias("n"), verdict.alias("verdict"))

@@ -1,14 +1,16 @@
-"""Records of operators (P1 to P11) over customers, suppliers, orders and nations."""
+"""Records of operators (P1 to P11), their extracted prices (F8, F9), files (K8), pages (M4) and register entries."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridsmith.functions import html, validation
 from gridsmith.functions.text import UMLAUTS
 from gridsmith.operators import names, records
 from gridsmith.registry import query
 from gridsmith.session import Tables
+from gridsmith.sources import files, listing
 
 c = F.col
 
@@ -157,3 +159,52 @@ def _normal(x: str) -> str:
 @query("g4_normalized_names", f"SELECT p_partkey, {_normal(_SPELT)} AS name FROM part")
 def g4(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", names.normalized(F.expr(_SPELT)).alias("name"))
+
+
+_PRICE = "CASE l_linenumber % 5 WHEN 0 THEN '-' WHEN 1 THEN ' Keine ' WHEN 2 THEN replace(CAST(l_quantity AS VARCHAR), '.', ',') WHEN 3 THEN 'k.A.' ELSE CAST(l_quantity * 20 AS VARCHAR) END"
+_WARN = "CASE l_linenumber % 5 WHEN 2 THEN CASE WHEN l_quantity NOT BETWEEN {a} AND {b} THEN '{n}: unusual' END WHEN 3 THEN '{n}: not a number' WHEN 4 THEN CASE WHEN l_quantity * 20 NOT BETWEEN {a} AND {b} THEN '{n}: unusual' END END"
+
+
+@query("f8_price_warnings", f"SELECT l_orderkey, l_linenumber, l_quantity, concat_ws(',', {_WARN.format(n='arbeit', a=0.01, b=20)}, {_WARN.format(n='leistung', a=0, b=500)}) AS warnings FROM lineitem")
+def f8(t: Tables) -> DataFrame:
+    x = F.expr(_PRICE.replace("VARCHAR", "STRING"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", F.array_join(validation.price_warnings(x, x), ",").alias("warnings"))
+
+
+@query("f9_sane_files", "WITH r AS (SELECT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN 'hlzf' ELSE 'netzentgelte' END AS kind, l_returnflag <> 'N' OR l_linenumber % 3 = 0 AS priced FROM lineitem) SELECT l_orderkey, kind, count(*) AS n, CASE WHEN count(*) < 2 THEN 'too few records' WHEN kind = 'netzentgelte' AND count(*) FILTER (WHERE priced) < 2 THEN 'too few prices' ELSE 'ok' END AS verdict FROM r GROUP BY 1, 2")
+def f9(t: Tables) -> DataFrame:
+    kind = F.when(c("l_orderkey") % 3 == 0, "hlzf").otherwise("netzentgelte")
+    rows = t.lineitem.select("l_orderkey", kind.alias("kind"), F.when(c("l_returnflag") != "N", c("l_extendedprice")).alias("leistung"), F.lit(" N/A ").alias("arbeit"), F.lit(None).cast("string").alias("leistung_unter_2500h"), F.when(c("l_linenumber") % 3 == 0, "5,5").otherwise("entfällt").alias("arbeit_unter_2500h"))
+    return validation.sane_files(rows, "l_orderkey", "kind")
+
+
+@query("k8_classified_names", "SELECT o_orderkey, 'c' || o_custkey || '-' || CASE WHEN o_orderkey % 3 = 0 THEN 'hlzf-2023' ELSE 'netzentgelte-' || CASE WHEN o_orderkey % 4 = 0 THEN 2025 ELSE year(o_orderdate) END END || CASE WHEN o_orderkey % 5 = 0 THEN '.xlsx' ELSE '.pdf' END AS file FROM orders")
+def k8(t: Tables) -> DataFrame:
+    k = c("o_orderkey")
+    path = F.when(k % 5 == 0, F.concat(F.lit("/d.x/f"), k)).otherwise(F.concat(F.lit("/d/f"), k, F.lit(".pdf")))
+    name = files.canonical_name(F.concat(F.lit("c"), "o_custkey"), F.when(k % 3 == 0, "hlzf:2023").otherwise("netzentgelte"), F.when(k % 4 != 0, F.year("o_orderdate")), F.lit(2025), path, F.when(k % 5 == 0, "xlsx").otherwise("html"))
+    return t.orders.select("o_orderkey", name.alias("file"))
+
+
+_STYLED = "CASE page_id % 4 WHEN 0 THEN '<p class=\"a\" style=\"x:y\">' WHEN 1 THEN '<div STYLE=x><link rel=\"alternate StyleSheet\" href=\"a\"><link rel=\"icon\">' WHEN 2 THEN '<style>p</style><style media=x>q</style><i data-style=\"k\">' ELSE '<b>' END || html"
+
+
+@query("m4_without_styles", "SELECT page_id, CASE page_id % 4 WHEN 2 THEN 2 ELSE 0 END + 1 AS tags, CASE WHEN page_id % 4 < 2 THEN 1 ELSE 0 END AS attributes, CASE WHEN page_id % 4 = 1 THEN 1 ELSE 0 END AS sheets, CASE page_id % 4 WHEN 0 THEN '<p class=\"a\">' WHEN 1 THEN '<div><link rel=\"icon\">' WHEN 2 THEN '<i data-style=\"k\">' ELSE '<b>' END || regexp_replace(html, '(?is)<style>.*?</style>', '', 'g') AS html FROM pages")
+def m4(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", html.without_styles(F.expr(_STYLED)).alias("s")).select("page_id", "s.tags", "s.attributes", "s.sheets", "s.html")
+
+
+_DETAILS = """WITH r AS (SELECT o_custkey, o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Verteilnetzbetreiber' WHEN 1 THEN 'Netzbetreiber' ELSE 'Lieferant' END AS f FROM orders WHERE o_custkey % 7 > 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE f WHEN 'Netzbetreiber' THEN 1 WHEN 'Verteilnetzbetreiber' THEN 2 ELSE 3 END, o_orderkey) AS n FROM r)
+SELECT o_custkey AS id, 'B' || o_orderkey AS bdew_code, f AS market_function FROM b WHERE n = 1 AND o_orderkey % 11 > 0"""
+
+
+@query("s15_detail_answers", _DETAILS)
+def s15(t: Tables) -> DataFrame:
+    """An answer for each customer with its orders as records; some answers are pages or errors, some codes empty."""
+    k, f = c("o_orderkey"), F.when(c("o_orderkey") % 5 == 0, "Verteilnetzbetreiber").when(c("o_orderkey") % 5 == 1, "Netzbetreiber").otherwise("Lieferant")
+    record = F.struct(k.alias("o"), F.when(k % 11 > 0, F.concat(F.lit("B"), k)).otherwise("").alias("BdewCode"), f.alias("MarketFunctionName"))
+    id_ = c("o_custkey")
+    answers = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(record)).alias("Records")).select(id_, F.to_json(F.struct(F.when(id_ % 7 == 1, "ERROR").otherwise("OK").alias("Result"), "Records")).alias("body"))
+    rows = answers.select(id_.alias("id"), id_.alias("company_uid"), F.lit("c").alias("company_name"), F.when(id_ % 7 == 0, "text/html").otherwise("Application/JSON; charset=utf-8").alias("content_type"), "body")
+    return listing.details(rows).select("id", "bdew_code", "market_function")

@@ -76,8 +76,8 @@ def _normal(c_: str) -> str:
 
 _J12 = f"""WITH asked AS (SELECT s_suppkey, {_normal(_ASKED)} AS a FROM supplier JOIN part ON p_partkey = s_suppkey * 2),
 known AS (SELECT {_normal(_KNOWN)} AS b, min(p_partkey) AS k FROM part GROUP BY 1),
-w AS (SELECT *, list_filter(string_split_regex(a, '\s+'), lambda x: len(x) > 3)[1:3] AS ws FROM asked),
-h AS (SELECT s_suppkey, k, CASE WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN 2 WHEN len(ws) > 0 AND len(list_filter(ws, lambda x: len(list_filter(string_split_regex(b, '\s+'), lambda y: contains(x, y) OR contains(y, x))) = 0)) = 0 THEN 3 END AS step FROM w, known),
+w AS (SELECT *, list_filter(string_split_regex(a, '\\s+'), lambda x: len(x) > 3)[1:3] AS ws FROM asked),
+h AS (SELECT s_suppkey, k, CASE WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN 2 WHEN len(ws) > 0 AND len(list_filter(ws, lambda x: len(list_filter(string_split_regex(b, '\\s+'), lambda y: contains(x, y) OR contains(y, x))) = 0)) = 0 THEN 3 END AS step FROM w, known),
 f AS (SELECT s_suppkey, k, step, row_number() OVER (PARTITION BY s_suppkey ORDER BY step, k) AS n FROM h WHERE step IS NOT NULL)
 SELECT s_suppkey, k AS p_partkey, CASE step WHEN 1 THEN 'exact' WHEN 2 THEN 'part' ELSE 'words' END AS how FROM f WHERE n = 1"""
 

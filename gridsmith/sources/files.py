@@ -186,6 +186,15 @@ def write_by_name(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("slug", "kind", "year").parquet(path)
 
 
+def canonical_name(slug: Column, key: Column, detected: Column, year: Column, path: Column, format_: Column) -> Column:
+    """K8: `{slug}-{kind}-{year}{ending}` of a file that won a kind; key is the kind, or kind:year of another year. The ending is
+    the path's own, or else the format."""
+    parts = F.split(key, ":", 2)
+    when = F.coalesce(F.try_element_at(parts, F.lit(2)).try_cast("int"), detected, year)
+    ending = F.nullif(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1), F.lit(""))
+    return F.concat(slug, F.lit("-"), parts[0], F.lit("-"), when, F.coalesce(ending, F.concat(F.lit("."), format_)))
+
+
 def write_html_years(df: DataFrame, path: str) -> None:
     """K9: (slug, year, html) rows as text files in folders by slug and year."""
     df.select("slug", "year", F.col("html").alias("value")).write.mode("overwrite").partitionBy("slug", "year").text(path)

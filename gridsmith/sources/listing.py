@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from gridsmith.catalogs import WANTED_FUNCTIONS
+
 SIZE = 500
 
 
@@ -130,3 +132,14 @@ def companies(spark: SparkSession, path: str, to: str, size: int = SIZE, start:
 def stream(spark: SparkSession, path: str, size: int = SIZE, start: int = 0) -> DataFrame:
     spark.dataSource.register(PagedListing)
     return spark.readStream.format("paged_listing").options(path=path, size=size, start=start).load()
+
+
+def details(answers: DataFrame) -> DataFrame:
+    """(id, company_uid, company_name, bdew_code, market_function, contact_name) of the answers (id, company_uid, company_name,
+    content_type, body): of each company's records that of the most wanted function, the first of it, else the
+    first record. Answers that aren't JSON, aren't OK or are empty, and codes that are empty, give none."""
+    kind = "Result string, Records array<struct<BdewCode:string,MarketFunctionName:string,ContactName:string>>"
+    said = answers.filter(F.contains(F.lower("content_type"), F.lit("json"))).withColumn("a", F.from_json("body", kind)).filter("a.Result = 'OK' and size(a.Records) > 0")
+    of = lambda name: F.try_element_at(F.filter("a.Records", lambda r: r["MarketFunctionName"] == name), F.lit(1))
+    best = said.withColumn("b", F.coalesce(*map(of, WANTED_FUNCTIONS), F.col("a.Records")[0]))
+    return best.select("id", "company_uid", "company_name", F.col("b.BdewCode").alias("bdew_code"), F.col("b.MarketFunctionName").alias("market_function"), F.col("b.ContactName").alias("contact_name")).filter("bdew_code != ''")

@@ -147,3 +147,38 @@ def test_tariff_sections(spark):
     got = extraction.tariff_sections(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string"), "k", "t").collect()
     rows = {(r.k, r.level): (r.leistung_unter_2500h, r.arbeit_unter_2500h, r.leistung, r.arbeit) for r in got}
     assert rows == {(0, "MS"): (10.5, 1.1, 20.5, None), (0, "NS"): (7.0, None, None, None), (0, "HS"): (None, None, None, 3.3), (1, "MS"): (2.0, None, 1.0, None), (3, "MS"): (3.0, None, None, None)}
+
+
+def test_price_warnings_and_sane_files(spark):
+    rows = [("0,005", "500"), ("20", "500,01"), (" - ", "x"), (None, "Entfällt"), ("1.000,5", "-1"), ("k.A.", "0")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string")
+    got = [r.w for r in df.select("i", validation.price_warnings(F.col("a"), F.col("b")).alias("w")).orderBy("i").collect()]
+    assert got == [["arbeit: unusual"], ["leistung: unusual"], ["leistung: not a number"], [], ["arbeit: not a number", "leistung: unusual"], ["arbeit: not a number"]]
+    records = [("a", "netzentgelte", "1", None), ("b", "netzentgelte", "1", None), ("b", "netzentgelte", "-", " keine "), ("c", "netzentgelte", "1", None), ("c", "netzentgelte", None, "2"), ("d", "hlzf", None, None), ("d", "hlzf", None, None), ("e", "hlzf", None, None)]
+    df = spark.createDataFrame([(*r, None, None) for r in records], "f string, kind string, leistung string, arbeit string, leistung_unter_2500h double, arbeit_unter_2500h double")
+    assert {r.f: r.verdict for r in validation.sane_files(df, "f", "kind").collect()} == {"a": "too few records", "b": "too few prices", "c": "ok", "d": "ok", "e": "too few records"}
+
+
+def test_canonical_names(spark):
+    rows = [("s", "hlzf:2024", 2022, 2025, "/d/a.b.PDF", "pdf"), ("s", "netzentgelte", None, 2025, "/d.x/file", "xlsx"), ("s", "hlzf", 2023, 2025, ".pdf", "html"), ("s", "hlzf:x", None, 2025, "a.xls", "xls")]
+    df = spark.createDataFrame(rows, "s string, k string, d int, y int, p string, f string")
+    assert [r[0] for r in df.select(files.canonical_name(*(F.col(x) for x in "skdypf"))).collect()] == ["s-hlzf-2024.PDF", "s-netzentgelte-2025.xlsx", "s-hlzf-2023.html", "s-hlzf-2025.xls"]
+
+
+def test_without_styles(spark):
+    page = '<STYLE>a</STYLE><p Style="x > y" id=1>style="kept"</p><i style=\'z\' style=w><link href=a rel=stylesheet/><link rel="icon"><style-x>b</style-x><a data-style="k">'
+    r = spark.createDataFrame([(page,)], "h string").select(html.without_styles(F.col("h")).alias("s")).first().s
+    assert (r.tags, r.sheets) == (1, 1) and 'style="kept"' in r.html and "<style-x>" in r.html and 'data-style="k"' in r.html and "x > y" not in r.html and "stylesheet" not in r.html
+
+
+def test_details_of_companies(spark):
+    from gridsmith.sources import listing
+
+    json = "application/json"
+    rows = [
+        (1, json, '{"Result":"OK","Records":[{"BdewCode":"1","MarketFunctionName":"Lieferant"},{"BdewCode":"2","MarketFunctionName":"Verteilnetzbetreiber"},{"BdewCode":"3","MarketFunctionName":"Netzbetreiber","ContactName":"c"},{"BdewCode":"4","MarketFunctionName":"Netzbetreiber"}]}'),
+        (2, "application/JSON; x", '{"Result":"OK","Records":[{"BdewCode":"5"},{"BdewCode":"6","MarketFunctionName":"Lieferant"}]}'),
+        (3, "text/html", '{"Result":"OK","Records":[{"BdewCode":"7"}]}'), (4, json, '{"Result":"ERROR","Records":[{"BdewCode":"8"}]}'), (5, json, '{"Result":"OK","Records":[]}'), (6, json, "no JSON"), (7, json, '{"Result":"OK","Records":[{"BdewCode":"","MarketFunctionName":"Netzbetreiber"},{"BdewCode":"9"}]}'), (8, None, None),
+    ]
+    df = spark.createDataFrame([(i, i, "n", k, b) for i, k, b in rows], "id long, company_uid long, company_name string, content_type string, body string")
+    assert {(r.id, r.bdew_code, r.market_function, r.contact_name) for r in listing.details(df).collect()} == {(1, "3", "Netzbetreiber", "c"), (2, "5", None, None)}
