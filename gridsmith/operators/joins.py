@@ -35,11 +35,20 @@ def band(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str, ry: str,
     reach = lambda c: F.sequence(cell(F.col(c) - width * (1 + 1e-9)), cell(F.col(c) + width * (1 + 1e-9)))
     a = left.filter(F.col(lx).isNotNull() & F.col(ly).isNotNull()).withColumns({"_cx": cell(F.col(lx)), "_cy": cell(F.col(ly))})
     b = right.filter(F.col(rx).isNotNull() & F.col(ry).isNotNull()).withColumn("_cx", F.explode(reach(rx))).withColumn("_cy", F.explode(reach(ry)))
-    crowded = a.groupBy("_cx", "_cy").agg(F.ceil(F.count("*") / hot).cast("int").alias("_k")).filter("_k > 1")
-    cut = lambda df, some: df.join(crowded, ["_cx", "_cy"], "left").withColumn("_p", some(F.coalesce("_k", F.lit(1)))).drop("_k")
-    a = cut(a, lambda k: F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), k).cast("int"))
-    b = cut(b, lambda k: F.explode(F.sequence(F.lit(0), k - 1)))
-    hits = a.join(b, ["_cx", "_cy", "_p"]).filter((F.abs(F.col(lx) - F.col(rx)) < width) & (F.abs(F.col(ly) - F.col(ry)) < width)).drop("_cx", "_cy", "_p")
+    near = (F.abs(F.col(lx) - F.col(rx)) < width) & (F.abs(F.col(ly) - F.col(ry)) < width)
+    if left.limit(hot + 1).count() <= hot:  # so no cell is crowded
+        hits = a.join(b, ["_cx", "_cy"]).filter(near).drop("_cx", "_cy")
+    else:
+        hits = _cut(a, b, left.columns, hot).filter(near).drop("_cx", "_cy", "_p")
     if order is None or key is None:
         return hits
     return hits.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def _cut(a: DataFrame, b: DataFrame, columns: list[str], hot: int) -> DataFrame:
+    """Rows of equal cells, those of crowded ones in parts."""
+    crowded = a.groupBy("_cx", "_cy").agg(F.ceil(F.count("*") / hot).cast("int").alias("_k")).filter("_k > 1")
+    cut = lambda df, some: df.join(crowded, ["_cx", "_cy"], "left").withColumn("_p", some(F.coalesce("_k", F.lit(1)))).drop("_k")
+    a = cut(a, lambda k: F.pmod(F.xxhash64(*[F.col(c) for c in columns]), k).cast("int"))
+    b = cut(b, lambda k: F.explode(F.sequence(F.lit(0), k - 1)))
+    return a.join(b, ["_cx", "_cy", "_p"])
