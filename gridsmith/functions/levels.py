@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from gridsmith.catalogs import BUCKET_LEVELS, KV_LEVELS, LEVEL_ALIASES, LEVELS
 
 
+#: What every alias and every voltage has somewhere in its cleaned text.
+_MAY = "[hmnö]s|spannung|v"
+
+
 def _lookup(m: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), key)
 
@@ -40,18 +44,21 @@ def _part(s: Column) -> Column:
         plain = alias.replace(" -", "-").replace(" /", "/")
         word = "(?<![0-9a-zäöüß_])" + plain + "(?![0-9a-zäöüß_])"
         contained.append(F.when(s.rlike(word) if len(plain) <= 4 else s.contains(plain), F.lit(LEVEL_ALIASES[alias])))
-    return F.coalesce(_lookup(exact, s), pair(_kv(g(full, 1), no), _kv(g(full, 2), g(full, 3) == "v")), pair(_kv(g(tail, 1), no), _kv(g(tail, 2), no)), _kv(g(one, 1), g(one, 2) == "v"), *contained)
+    volts = F.coalesce(pair(_kv(g(full, 1), no), _kv(g(full, 2), g(full, 3) == "v")), pair(_kv(g(tail, 1), no), _kv(g(tail, 2), no)), _kv(g(one, 1), g(one, 2) == "v"))
+    return F.coalesce(_lookup(exact, s), F.when(s.contains("v"), volts), *contained)
 
 
 def normalize(c: Column) -> Column:
     """The level a text names, or null."""
-    s = _clean(c)
-    sides = F.split(s, "/")
-    # one copy of the rules for the whole and both sides
-    got = F.transform(F.array(s, F.get(sides, F.lit(0)), F.get(sides, F.lit(1))), lambda x: _part(x))
-    left, right = got[1], got[2]
-    two = F.when((F.size(sides) == 2) & (F.length(left) <= 3) & (F.length(right) <= 3), F.concat_ws("/", left, right))
-    return F.when(F.length(s) > 0, F.coalesce(got[0], two))
+    # one text at a time, so that each step is computed once, and one copy of the rules for the whole and both sides
+    sides = F.transform(F.array(_clean(c)), lambda s: F.when(s.rlike(_MAY), F.when(F.regexp_count(s, F.lit("/")) == 1, F.array(s, F.substring_index(s, "/", 1), F.substring_index(s, "/", -1))).otherwise(F.array(s))))
+
+    def told(got: Column) -> Column:
+        left, right = F.get(got, F.lit(1)), F.get(got, F.lit(2))
+        return F.coalesce(F.get(got, F.lit(0)), F.when((F.length(left) <= 3) & (F.length(right) <= 3), F.concat_ws("/", left, right)))
+
+    # what has neither of these letters is read no further: most cells of tables are numbers and times
+    return F.when(F.lower(c).rlike("[sv]"), F.transform(F.transform(sides, lambda x: F.transform(x, _part)), told)[0])
 
 
 def _wanted(points: Column) -> dict[str, Column]:
