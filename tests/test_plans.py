@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from gridsmith.operators import extraction
+from gridsmith.plans.extraction import _export
+from gridsmith.session import Tables
 
 
 def _plan(df):
@@ -22,3 +26,9 @@ def test_texts_are_read_where_they_stand(spark):
     for got in (extraction.tariffs_from_text(df, "k", "t"), extraction.windows_from_text(df, "k", "t")):
         assert "Exchange" not in _plan(got)
         assert got.count() == 1
+
+
+def test_an_export_holds_what_its_query_reads(spark):
+    made = Path(_export(Tables(spark, "/root/testdata/sf0.001"), "points", "locations"))
+    assert {p.name for p in made.iterdir()} == {"Netzanschlusspunkte_1.xml", "Lokationen_1.xml"}
+    assert all(p.suffix == ".gz" for p in made.glob("*/part-*"))
