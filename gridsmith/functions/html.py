@@ -105,6 +105,17 @@ def robots_verdict(status: Column, body: Column) -> Column:
     return F.when(status == 200, F.when(protected(body), "protected").otherwise("ok")).when(status.isin(401, 403, 429), "protected").when(status == 404, "open").when(status >= 500, "error").otherwise("unknown")
 
 
+#: Pages whose results a worker holds at a time.
+AT_ONCE = 64
+
+
+def _few(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Batches in parts of AT_ONCE pages: what is made of a page is many times its size."""
+    for batch in batches:
+        for i in range(0, len(batch), AT_ONCE):
+            yield batch.iloc[i : i + AT_ONCE]
+
+
 #: Type objects, since workers that import this module have no session to parse names with.
 _TABLES = T.ArrayType(T.StructType([T.StructField("header", T.StringType()), T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType())))]))
 
@@ -150,7 +161,7 @@ class _Tables(HTMLParser):
 @F.pandas_udf(_TABLES)
 def tables(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """M3, M6: every table with the heading before it."""
-    for batch in html:
+    for batch in _few(html):
         out = []
         for h in batch:
             p = _Tables()
@@ -221,7 +232,7 @@ class _Places(HTMLParser):
 @F.pandas_udf(_PLACED)
 def placed(html: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """A page's text, the places of its tables in it, and its lesser headings."""
-    for batch in html:
+    for batch in _few(html):
         yield pd.DataFrame([_Places().placed(h or "") for h in batch], columns=["text", "tables", "headings"])
 
 
@@ -291,7 +302,7 @@ class _Cleaner(HTMLParser):
 @F.pandas_udf(T.StringType())
 def cleaned(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """M2, M4: HTML fit for storage."""
-    for batch in html:
+    for batch in _few(html):
         out = []
         for h in batch:
             p = _Cleaner()

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pandas as pd
+
+from gridsmith.functions import html
 from gridsmith.operators import extraction
 from gridsmith.plans.extraction import _export
 from gridsmith.session import Tables
@@ -32,3 +35,10 @@ def test_an_export_holds_what_its_query_reads(spark):
     made = Path(_export(Tables(spark, "/root/testdata/sf0.001"), "points", "locations"))
     assert {p.name for p in made.iterdir()} == {"Netzanschlusspunkte_1.xml", "Lokationen_1.xml"}
     assert all(p.suffix == ".gz" for p in made.glob("*/part-*"))
+
+
+def test_pages_are_parsed_few_at_a_time():
+    page = "<h2>2025</h2><table><tr><td>a</td></tr></table>"
+    for parse in (html.tables, html.placed, html.cleaned):
+        sizes = [len(x) for x in parse.func(iter([pd.Series([page] * 200)]))]
+        assert sum(sizes) == 200 and max(sizes) <= html.AT_ONCE
