@@ -123,32 +123,43 @@ def unzip(df: DataFrame, allowed: tuple[str, ...] = (".pdf", ".xlsx", ".xls", ".
 #: Endings of members of an archive that are taken.
 MEMBERS = (".pdf", ".xlsx", ".xls", ".html", ".htm", ".csv")
 
+#: Bytes of unpacked members that a task holds.
+HELD = 8 << 20
+
 
 def members(archives: DataFrame, keys: list[str], allowed: tuple[str, ...] = MEMBERS, most: int = 50 << 20) -> DataFrame:
     """(keys, no, member, content) of the members with an allowed ending, below a size and not empty; a row without a
-    member for an archive that can't be opened. A member is unpacked and sent on at a time."""
+    member for an archive that can't be opened. Members are sent on as soon as they hold HELD bytes together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
+            found: list[tuple[int, int | None, str | None, bytes | None]] = []  # of a row of the batch
+            size = 0
 
-                def out(no: int | None, name: str | None, data: bytes | None, row: pa.RecordBatch = row) -> pa.RecordBatch:
-                    return pa.RecordBatch.from_arrays([*row.columns[:-1], pa.array([no], pa.int32()), pa.array([name], pa.string()), pa.array([data], pa.binary())], names=[*keys, "no", "member", "content"])
+            def out(found: list[tuple], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                of, no, name, data = zip(*found, strict=True)
+                kept = batch.select(keys).take(pa.array(of))
+                return pa.RecordBatch.from_arrays([*kept.columns, pa.array(no, pa.int32()), pa.array(name, pa.string()), pa.array(data, pa.binary())], names=[*keys, "no", "member", "content"])
 
+            for i in range(batch.num_rows):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(row.column(len(keys))[0].as_py() or b"")) as z:
-                        infos = z.infolist()
-                        for no, info in enumerate(infos):
+                    with zipfile.ZipFile(io.BytesIO(batch.column(len(keys))[i].as_py() or b"")) as z:
+                        for no, info in enumerate(z.infolist()):
                             if not info.is_dir() and PurePosixPath(info.filename).suffix.lower() in allowed and info.file_size < most:
                                 try:
                                     data = z.read(info)
                                 except (zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error, EOFError):
                                     continue  # this member alone
                                 if data:
-                                    yield out(no, info.filename, data)
+                                    found.append((i, no, info.filename, data))
+                                    size += len(data)
+                                    if size >= HELD:
+                                        yield out(found)
+                                        found, size = [], 0
                 except zipfile.BadZipFile:
-                    yield out(None, None, None)
+                    found.append((i, None, None, None))
+            if found:
+                yield out(found)
 
     kinds = ", ".join(f"{k} {archives.schema[k].dataType.simpleString()}" for k in keys)
     return archives.select(*keys, F.col("content").cast("binary")).mapInArrow(run, f"{kinds}, no int, member string, content binary")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from pathlib import Path
 
 import pandas as pd
@@ -10,6 +12,7 @@ from gridsmith.functions import html
 from gridsmith.operators import extraction
 from gridsmith.plans.extraction import _export
 from gridsmith.session import Tables
+from gridsmith.sources import files
 
 
 def _plan(df):
@@ -42,3 +45,14 @@ def test_pages_are_parsed_few_at_a_time():
     for parse in (html.tables, html.placed, html.cleaned):
         sizes = [len(x) for x in parse.func(iter([pd.Series([page] * 200)]))]
         assert sum(sizes) == 200 and max(sizes) <= html.AT_ONCE
+
+
+def test_members_keep_their_rows(spark):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for n in ("a.pdf", "b.html", "c.exe"):
+            z.writestr(n, n * 3)
+    rows = spark.createDataFrame([(k, bytearray(held.getvalue() if k % 10 else b"no")) for k in range(100)], "k int, content binary").coalesce(1)
+    got = files.members(rows, ["k"]).collect()
+    assert len(got) == 190 and {(r.no, r.member, bytes(r.content)) for r in got if r.k % 10} == {(0, "a.pdf", b"a.pdf" * 3), (1, "b.html", b"b.html" * 3)}
+    assert [r.member for r in got if r.k % 10 == 0] == [None] * 10
