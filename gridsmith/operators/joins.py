@@ -34,7 +34,9 @@ def band(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str, ry: str,
     # a hair wider, so that rounding rules out no cell
     reach = lambda c: F.sequence(cell(F.col(c) - width * (1 + 1e-9)), cell(F.col(c) + width * (1 + 1e-9)))
     a = left.filter(F.col(lx).isNotNull() & F.col(ly).isNotNull()).withColumns({"_cx": cell(F.col(lx)), "_cy": cell(F.col(ly))})
-    b = right.filter(F.col(rx).isNotNull() & F.col(ry).isNotNull()).withColumn("_cx", F.explode(reach(rx))).withColumn("_cy", F.explode(reach(ry)))
+    # over all cores: a row meets many, and a table of few splits may stay where the other side is sent to it
+    spread = right.filter(F.col(rx).isNotNull() & F.col(ry).isNotNull()).repartition(4 * right.sparkSession.sparkContext.defaultParallelism, *right.columns)
+    b = spread.withColumn("_cx", F.explode(reach(rx))).withColumn("_cy", F.explode(reach(ry)))
     near = (F.abs(F.col(lx) - F.col(rx)) < width) & (F.abs(F.col(ly) - F.col(ry)) < width)
     if left.limit(hot + 1).count() <= hot:  # so no cell is crowded
         hits = a.join(b, ["_cx", "_cy"]).filter(near).drop("_cx", "_cy")

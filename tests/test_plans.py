@@ -11,6 +11,7 @@ import pandas as pd
 from gridsmith.functions import html
 from gridsmith.operators import extraction
 from gridsmith.plans.extraction import _export
+from gridsmith.registry import load
 from gridsmith.session import Tables
 from gridsmith.sources import files
 
@@ -56,3 +57,8 @@ def test_members_keep_their_rows(spark):
     got = files.members(rows, ["k"]).collect()
     assert len(got) == 190 and {(r.no, r.member, bytes(r.content)) for r in got if r.k % 10} == {(0, "a.pdf", b"a.pdf" * 3), (1, "b.html", b"b.html" * 3)}
     assert [r.member for r in got if r.k % 10 == 0] == [None] * 10
+
+
+def test_first_of_a_band_is_no_sort_of_pairs(spark):
+    got = load()[0]["j10_band_join"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in _plan(got) and "SortAggregate" not in _plan(got)
