@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridsmith.streaming.stateful import ordered
+
 
 def sessions(events: DataFrame, gap: str = "60 seconds", limit: int = 5, late: str = "10 minutes") -> DataFrame:
     """A counter whose expiry each hit renews is a session with that gap; those above the limit."""
@@ -17,6 +19,7 @@ def sessions(events: DataFrame, gap: str = "60 seconds", limit: int = 5, late: s
     return s.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", (F.col("n") > limit).alias("limited"))
 
 
+REST = pd.Timedelta(hours=1)
 HEALTH = "user_id long, event_id long, failures int, until timestamp"
 
 
@@ -25,17 +28,16 @@ def _health(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.D
     batch are put in order of time; batches are taken in the order they arrive in."""
     failures = state.get[0] if state.exists else 0
     out = []
-    for row in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-        failures = failures + 1 if row.event_type == "error" else 0 if row.event_type == "purchase" else failures
-        if row.event_type in ("error", "purchase"):
-            out.append((key[0], row.event_id, failures, row.ts + pd.Timedelta(hours=1) if failures >= 3 else pd.NaT))
+    for ts, event, kind in ordered(batches, ["event_type"], "ts"):
+        failures = failures + 1 if kind == "error" else 0
+        out.append((key[0], event, failures, ts + REST if failures >= 3 else pd.NaT))
     state.update((failures,))
     yield pd.DataFrame(out, columns=["user_id", "event_id", "failures", "until"])
 
 
 def health(events: DataFrame) -> DataFrame:
     """R2 as a stateful operator."""
-    return events.select("user_id", "event_id", "event_type", "ts").groupBy("user_id").applyInPandasWithState(_health, HEALTH, "failures int", "append", "NoTimeout")
+    return events.filter(F.col("event_type").isin("error", "purchase")).select("user_id", "event_id", "event_type", "ts").groupBy("user_id").applyInPandasWithState(_health, HEALTH, "failures int", "append", "NoTimeout")
 
 
 def hourly(events: DataFrame, late: str = "1 day") -> DataFrame:

@@ -14,6 +14,7 @@ from gridsmith.plans.extraction import _export
 from gridsmith.registry import load
 from gridsmith.session import Tables
 from gridsmith.sources import files
+from gridsmith.streaming import stateful
 
 
 def _plan(df):
@@ -62,3 +63,31 @@ def test_members_keep_their_rows(spark):
 def test_first_of_a_band_is_no_sort_of_pairs(spark):
     got = load()[0]["j10_band_join"](spark, "/root/testdata/sf0.001")
     assert "Window" not in _plan(got) and "SortAggregate" not in _plan(got)
+
+
+class _Handle:
+    """Counts the calls that a processor makes."""
+
+    def __init__(self):
+        self.calls, self.value = 0, None
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+
+
+def test_a_cache_is_one_value():
+    handle, cache = _Handle(), stateful.Cache(1000, 500)
+    cache.init(handle)
+    rows = pd.DataFrame({"at": range(100), "event_id": range(100), "name": [f"d{i}" for i in range(100)]})
+    (got,) = cache.handleInputRows((1,), iter([rows]), None)
+    assert handle.calls == 3 and got["size"].tolist() == list(range(1, 101))
