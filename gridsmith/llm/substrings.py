@@ -23,10 +23,17 @@ are linked to it whole.
    CUT words, each wanted block of a text once, however many chains want it.
 
 5. Again: chains are aligned widest first, and of those that lie within wider ones of their
-   text only such as lie in no passage found by then. Likewise, where SOME or LEAST words that
+   text only such as lie in no passage found by then. Likewise, where SOME words that
    begin with a shared seed lie in no passage (at none of their places, if the text repeats
-   them), these whole runs are linked to their first holder. So texts that hold parts of a passage, which its short seeds are linked to,
-   hide no text that holds it whole.
+   them), these whole runs are linked to their first holder.
+6. Rest: what still lies in no passage is linked to more than the first holder, so that texts that
+   hold parts of a passage hide no text that holds it whole. Each LEAST words that hold a shared
+   run of SOME are linked to their first holder. A seed that FEW texts hold at most is linked to
+   all of them. More frequent seeds are joined by twos, HULL words or more from the first to the
+   last, as a chain has to be; two seeds are linked to one text of each kind of neighbourhood (the
+   shared seeds within LEAST words), for texts of one kind share the same seeds. Chains that lie in a
+   passage are dropped, the others aligned widest first as before, and of passages that lie in
+   one another the widest is kept.
 
 Rows: doc_id, start_word, end_word (exclusive), source_id, source_start, source_end,
 n_words and similarity.
@@ -46,7 +53,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.llm.common import grouped, id_text, materialize, mix, ngrams, partitions, slices, whole_groups, words
@@ -58,10 +65,16 @@ LEAST, IDENTITY, PENALTY = 50, 0.8, 4.0
 REACH, GAP = 60, 0.25
 #: Of LEAST words that two texts share, SOME that begin with a seed are shared at least.
 SOME = LEAST - WINDOW + 1
+#: Texts that hold a seed, up to which all are linked; beyond, seeds are joined by twos.
+FEW = 16
+#: Words about a seed that lie in the same passage, where it needs no more links.
+SIDE = LEAST // 2
 #: Words from a chain's first to its last that are looked into, and words fetched on either side.
 HULL, MARGIN = K + WINDOW, 32
 CUT = 64
-SEED = "h bigint, doc_id bigint, at int, many int, some bigint, all bigint"
+SEED = "h bigint, doc_id bigint, at int, many int, some bigint"
+LOOSE = "h long, doc_id long, at long, many long, kind long, lead boolean, open boolean, wanted boolean"
+TWO = "h long, kind long, doc_id long, at long, many long, at2 long, many2 long"
 PASSAGE = "doc_id long, start_word long, end_word long, source_id long, source_start long, source_end long, n_words long, similarity double"
 
 
@@ -98,22 +111,18 @@ def seeds_of(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _seeds(texts: DataFrame) -> DataFrame:
-    """(h, doc_id, at, many, some, all): seeds, and the hashes of the SOME and of the LEAST
-    words that begin there, null where the text ends before."""
+    """(h, doc_id, at, many, some): seeds, and the hash of the SOME words that begin there,
+    null where the text ends before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b)):
             h, first = words(batch.column(1))
             key, doc, at, many = seeds_of(h, first)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            left = first[doc + 1] - first[doc] - at
-            runs = []
-            for n in (SOME, LEAST):
-                fits = left >= n
-                value = np.zeros(len(key), np.int64)
-                value[fits] = long_runs(h, n)[(first[doc] + at)[fits]].view(np.int64)
-                runs.append(pa.array(value, mask=~fits))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc].astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32)), *runs], names=["h", "doc_id", "at", "many", "some", "all"])
+            fits = first[doc + 1] - first[doc] - at >= SOME
+            some = np.zeros(len(key), np.int64)
+            some[fits] = long_runs(h, SOME)[(first[doc] + at)[fits]].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc].astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(some, mask=~fits)], names=["h", "doc_id", "at", "many", "some"])
 
     return texts.mapInArrow(run, SEED)
 
@@ -196,6 +205,137 @@ def _pairs(linked: DataFrame) -> DataFrame:
     return linked.filter("doc_id != source_id").select("doc_id", "source_id", "at", "source_at", F.least("many", "source_many").alias("many"))
 
 
+def _windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, doc_id, at): the LEAST words about each place of wanted (doc_id, places) at which a
+    seed is the first of its window, or one of the WINDOW - 1 after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in slices(b)):
+            h, first = words(batch.column(1))
+            runs = long_runs(h, LEAST)
+            for i, (key, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                at = np.unique(np.subtract.outer(np.array(places, np.int64), np.arange(WINDOW)))
+                at = at[(at >= 0) & (at + LEAST <= first[i + 1] - first[i])]
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(runs[first[i] + at].view(np.int64)), pa.array(np.full(len(at), key, np.int64)), pa.array(at.astype(np.int32))], names=["h", "doc_id", "at"])
+
+    return texts.join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "h long, doc_id long, at int")
+
+
+def _by_doc(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+
+
+def _loose(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """(h, doc_id, at, many, kind, lead, open, wanted): shared seeds of which REACH words bring
+    together HULL or more. kind: hash of the seeds within LEAST words; lead: the first of its
+    text with this h and kind; open: no passage of known (doc_id, start_word, end_word) holds it
+    and the SIDE words about it, as far as passages that meet reach; wanted: one near it is open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["doc_id"]):
+            t = t.combine_chunks()
+            h, doc, at, many = (t[c].to_numpy() for c in ("h", "doc_id", "at", "many"))
+            new = np.ones(len(doc), bool)
+            new[1:] = doc[1:] != doc[:-1]
+            place = (np.cumsum(new) << 32) + at  # so that no two texts are near
+            spans = t["passage"].to_numpy()
+            order = np.argsort(place[spans], kind="stable")
+            begins, ends = place[spans][order], np.maximum.accumulate((place + many)[spans][order])
+            rows = np.flatnonzero(~spans)
+            rows = rows[np.lexsort((h[rows], place[rows]))]
+            if not len(rows):
+                continue
+            h, doc, at, many, p = h[rows], doc[rows], at[rows], many[rows], place[rows]
+            e = p + many - 1 + K
+            new = np.ones(len(p), bool)
+            new[1:] = p[1:] - np.maximum.accumulate(e)[:-1] > REACH
+            first, group = np.flatnonzero(new), np.cumsum(new) - 1
+            low, high = p[first], np.maximum.reduceat(e, first)
+            open_ = ~_inside(begins, ends, p, e)
+            if len(begins):  # passages that meet or nearly so
+                meet = np.append(True, begins[1:] > ends[:-1] + HULL)
+                part = (np.cumsum(meet) - 1)[np.maximum(np.searchsorted(begins, p, "right") - 1, 0)]
+                left, right = np.maximum(p - SIDE, begins[meet][part]), np.minimum(e + SIDE, np.maximum.reduceat(ends, np.flatnonzero(meet))[part])
+                open_ |= ~_inside(begins, ends, left, right)
+            wanted = np.logical_or.reduceat(open_, first)[group]
+            seed = h.view(np.uint64)
+            kind = mix(seed + many.astype(np.uint64))
+            for i, j in _near(p, 0, LEAST):
+                step = mix((p[j] - p[i]).view(np.uint64) + np.uint64(1))
+                kind[i] += mix(seed[j] ^ step)
+                kind[j] += mix(seed[i] ^ ~step)
+            lead = np.zeros(len(p), bool)
+            lead[np.unique(mix(mix(kind ^ seed) + doc.view(np.uint64)), return_index=True)[1]] = True
+            ok = (high - low >= HULL)[group]
+            yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in (h, doc, at, many, kind.view(np.int64), lead, open_, wanted)], names=["h", "doc_id", "at", "many", "kind", "lead", "open", "wanted"])
+
+    seeds = shared.select("h", "doc_id", F.col("at").cast("long"), F.col("many").cast("long"), F.lit(False).alias("passage"))
+    spans = known.select(F.lit(0).cast("long").alias("h"), "doc_id", F.col("start_word").alias("at"), (F.col("end_word") - F.col("start_word")).alias("many"), F.lit(True).alias("passage"))
+    return _by_doc(seeds.union(spans)).mapInArrow(run, LOOSE)
+
+
+def _inside(begins: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether one of the spans holds a to b; spans by begin, ends the farthest so far."""
+    k = np.searchsorted(begins, a, "right")
+    return (k > 0) & (np.append(ends, 0)[k - 1] >= b)
+
+
+def _near(place: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers (i, j), i < j, of the places, which are in order, that lie low to high words apart."""
+    i = np.arange(len(place))
+    for step in range(1, len(place)):
+        i = i[: np.searchsorted(i, len(place) - step)]
+        apart = place[i + step] - place[i]
+        i, apart = i[apart <= high], apart[apart <= high]
+        if not len(i):
+            return
+        if (apart >= low).any():
+            yield i[apart >= low], i[apart >= low] + step
+
+
+def _twos(held: DataFrame) -> DataFrame:
+    """(h, kind, doc_id, at, many, at2, many2, wanted): each two seeds of held that lie near and
+    of which one is frequent; wanted, if one is frequent and open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["doc_id"]):
+            t = t.combine_chunks()
+            h, doc, at, many, kind, open_, often = (t[c].to_numpy(zero_copy_only=False) for c in ("h", "doc_id", "at", "many", "kind", "open", "often"))
+            new = np.ones(len(doc), bool)
+            new[1:] = doc[1:] != doc[:-1]
+            place = (np.cumsum(new) << 32) + at
+            order = np.lexsort((h, place))
+            h, doc, at, many, kind, open_, often, place = (c[order] for c in (h, doc, at, many, kind, open_, often, place))
+            seed, kind = h.view(np.uint64), kind.view(np.uint64)
+            for i, j in _near(place, 1, REACH + HULL):
+                ok = (often[i] | often[j]) & (h[i] != h[j]) & (at[j] + many[j] - 1 + K - at[i] >= HULL)
+                i, j = i[ok], j[ok]
+                key, of = mix(seed[i] * np.uint64(0xD6E8FEB86659FD93) + seed[j]), mix(mix(kind[i]) + kind[j])
+                one = np.sort(np.unique(mix(mix(key ^ of) + doc[i].view(np.uint64)), return_index=True)[1])  # the first of its text
+                i, j = i[one], j[one]
+                if len(i):
+                    cols = [key[one].view(np.int64), of[one].view(np.int64), doc[i], at[i], many[i], at[j], many[j], (often & open_)[i] | (often & open_)[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "kind", "doc_id", "at", "many", "at2", "many2", "wanted"])
+
+    return _by_doc(held).mapInArrow(run, TWO + ", wanted boolean")
+
+
+def _scattered(loose: DataFrame) -> DataFrame:
+    """(doc_id, source_id, at, source_at, many): links of loose seeds to all earlier holders, to
+    frequent ones by twos."""
+    texts = loose.groupBy("h").agg(F.count_distinct("doc_id").alias("texts"), F.max("wanted").alias("any")).filter("texts > 1 and any").select("h", (F.col("texts") > FEW).alias("often"))
+    held = materialize(loose.join(texts, "h"), "passage-held")
+    few = held.filter("lead and not often")
+    source = few.select("h", F.col("doc_id").alias("source_id"), F.col("at").alias("source_at"), F.col("many").alias("source_many"))
+    links = few.filter("wanted").join(source, "h").filter("source_id < doc_id").select("doc_id", "source_id", "at", "source_at", F.least("many", "source_many").alias("many"))
+    twos = materialize(_twos(held), "passage-twos")
+    first = twos.groupBy("h", "kind").agg(F.min(F.struct("doc_id", "at", "many", "at2", "many2")).alias("s")).select("h", "s")
+    both = twos.filter("wanted").join(first, "h").filter("s.doc_id < doc_id")
+    ends = F.array(F.struct("at", F.col("s.at").alias("source_at"), F.least("many", "s.many").alias("many")), F.struct(F.col("at2").alias("at"), F.col("s.at2").alias("source_at"), F.least("many2", "s.many2").alias("many")))
+    return links.union(both.select("doc_id", F.col("s.doc_id").alias("source_id"), F.explode(ends).alias("x")).select("doc_id", "source_id", "x.at", "x.source_at", "x.many")).distinct()
+
+
 class Fenwick:
     """Largest (score, number) over a range of places 1 to n, of those put since a time.
     Each node keeps those of its places that no later and larger one hides."""
@@ -487,6 +627,43 @@ def _printed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, p long, q long, n long")
 
 
+def _adding(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Of the passages rows, widest first, those that lie in no earlier one and in none of known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["doc_id"]):
+            begin, end, source, old = (t[c].to_numpy(zero_copy_only=False) for c in ("start_word", "end_word", "source_id", "old"))
+            order = np.lexsort((t["source_start"].to_numpy(), source, begin - end, ~old))
+            begins, ends, keep = end[:0], end[:0], []
+            for i in order.tolist():
+                if old[i] or not ((begins <= begin[i]) & (ends >= end[i])).any():
+                    begins, ends = np.append(begins, begin[i]), np.append(ends, end[i])
+                    if not old[i]:
+                        keep.append(i)
+            if keep:
+                yield from t.take(pa.array(keep)).select([f.split()[0] for f in PASSAGE.split(", ")]).combine_chunks().to_batches()
+
+    both = rows.withColumn("old", F.lit(False)).unionByName(known.withColumn("old", F.lit(True)), allowMissingColumns=True)
+    return _by_doc(both.select(*rows.columns, "old")).mapInArrow(run, PASSAGE)
+
+
+def _known(found: DataFrame) -> DataFrame:
+    """(doc_id, known): a text's own passages."""
+    return found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("known"))
+
+
+def _lies_open(a: Column, b: Column) -> Column:
+    """Whether no one passage of the column known holds the words a to b."""
+    return ~F.exists(F.coalesce("known", F.array().cast("array<struct<start_word:bigint,end_word:bigint>>")), lambda x: (x["start_word"] <= a) & (x["end_word"] >= b))
+
+
+def _longer(runs: DataFrame, n: int) -> DataFrame:
+    """Links of runs of n words (h, doc_id, at, open) to their first holder, from the first place that is open."""
+    at = F.coalesce(F.min(F.when(F.col("open"), F.col("at"))), F.min("at"))
+    once = runs.groupBy("h", "doc_id").agg(at.alias("at"), F.lit(n - K + 1).alias("many"), F.bool_or("open").alias("open"))  # a run that its text repeats, once
+    return _pairs(_linked(materialize(once, "passage-runs"), "passage-longer").filter("open"))
+
+
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The passages of LEAST words or more that texts share with their first holders,
     and for each copy of a text of LEAST words or more the whole text."""
@@ -500,15 +677,29 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = texts.join(gone, "doc_id", "left_anti")
     shared = _linked(materialize(_seeds(own), "passage-seeds"), "passage-shared")
     found = materialize(_widest(_chained(_pairs(shared))), "passage-chains")
-    near = materialize(_aligned(found.filter("widest"), texts), "passage-near")
-    known = near.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("known"))  # a text's own passages
-    lies_open = lambda a, b: ~F.exists(F.coalesce("known", F.array().cast("array<struct<start_word:bigint,end_word:bigint>>")), lambda x: (x["start_word"] <= a) & (x["end_word"] >= b))
-    rest = found.filter("not widest").join(known, "doc_id", "left").filter(lies_open(F.element_at("runs", 1), F.element_at("runs", F.size("runs") - 2)))
-    longer = F.array(*(F.struct(F.when(F.col(c).isNotNull(), F.xxhash64(c, F.lit(n))).alias("h"), F.lit(n - K + 1).alias("many"), lies_open(F.col("at"), F.col("at") + n).alias("open")) for c, n in (("some", SOME), ("all", LEAST))))
-    longer = shared.join(known, "doc_id", "left").select("doc_id", "at", F.explode(longer).alias("x")).filter("x.h is not null")
-    longer = longer.groupBy("x.h", "doc_id").agg(F.min("at").alias("at"), F.min("x.many").alias("many"), F.bool_and("x.open").alias("open"))  # a run that its text repeats, once
-    more = _chained(_pairs(_linked(materialize(longer, "passage-runs"), "passage-longer").filter("open")))
     columns = ["doc_id", "source_id", "no", "runs"]
-    far = _aligned(materialize(rest.select(columns).union(more.withColumn("no", -1 - F.col("no")).select(columns)), "passage-chains"), texts)
+    begin, end = F.element_at("runs", 1), F.element_at("runs", F.size("runs") - 2)
+    near = materialize(_aligned(found.filter("widest"), texts), "passage-near")
+    known = _known(near)
+    rest = found.filter("not widest").join(known, "doc_id", "left").filter(_lies_open(begin, end))
+    longer = shared.filter("some is not null").join(known, "doc_id", "left").select(F.xxhash64("some", F.lit(SOME)).alias("h"), "doc_id", "at", _lies_open(F.col("at"), F.col("at") + SOME).alias("open"))
+    more = _chained(_longer(longer, SOME))
+    far = materialize(_aligned(materialize(rest.select(columns).union(more.withColumn("no", -1 - F.col("no")).select(columns)), "passage-chains"), texts), "passage-far")
+    # what lies in no passage yet
+    spans = near.union(far).select("doc_id", "start_word", "end_word")
+    known = materialize(_known(spans), "passage-known")
+    runs = shared.filter("some is not null").join(known, "doc_id", "left").select("some", "doc_id", "at", _lies_open(F.greatest(F.lit(0), F.col("at") - WINDOW + 1), F.col("at") + LEAST).alias("open"))
+    runs = materialize(runs, "passage-runs")
+    held = runs.groupBy("some").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("open").alias("open")).filter("open and a < b").select("some")
+    wanted = materialize(runs.join(held, "some").groupBy("doc_id").agg(F.collect_set("at").alias("places")), "passage-places")  # a text's own places
+    exact = _windows(own, wanted).join(known, "doc_id", "left").select("h", "doc_id", "at", _lies_open(F.col("at"), F.col("at") + LEAST).alias("open"))
+    exact = _chained(_longer(exact, LEAST)).withColumn("no", -1 - F.col("no"))
+    two = shared.filter("doc_id != source_id").select("h").distinct()  # groups at the ends of ranges may have one text
+    loose = materialize(_loose(shared.join(two, "h", "left_semi"), spans), "passage-loose")
+    late = exact.select(columns).union(_chained(_scattered(loose)).select(columns)).join(known, "doc_id", "left").filter(_lies_open(begin, end)).select(columns)
+    late = materialize(_widest(late), "passage-chains")
+    third = materialize(_adding(_aligned(late.filter("widest"), texts), spans), "passage-third")
+    rest = late.filter("not widest").join(_known(third), "doc_id", "left").filter(_lies_open(begin, end)).select(columns)
+    last = _adding(_aligned(materialize(rest, "passage-chains"), texts), spans.union(third.select(spans.columns)))
     whole = copies.filter(F.col("n") >= LEAST).select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), "source_id", F.lit(0).cast("long").alias("source_start"), F.col("n").alias("source_end"), F.col("n").alias("n_words"), F.lit(1.0).alias("similarity"))
-    return near.union(far).union(whole).distinct()
+    return near.union(far).union(third).union(last).union(whole).distinct()

@@ -149,6 +149,38 @@ def test_passages_whose_parts_stand_elsewhere(spark):
     assert sorted((x.doc_id, x.source_id, x.start_word, x.end_word) for x in got) == want
 
 
+def scattered(n, changed, part, copies, cases, seed):
+    """(rows, pairs): pairs of texts with n words in common but for the changed ones, whose first and
+    last words, part of them, stand in texts before and between them, copies of each."""
+    r = random.Random(seed)
+    word = lambda: f"v{r.randint(0, 10**7)}"
+    some = lambda n: [word() for _ in range(n)]
+    rows, pairs = [], []
+    for case in range(cases):
+        p, at = some(n), 1000 * case
+        other = list(p)
+        for k in r.sample(range(4, n - 4), changed):
+            other[k] = word()
+        for k in range(copies):
+            rows += [(at + 2 * k + m + shift, some(30) + x + some(30)) for m, x in enumerate((p[:part], p[-part:])) for shift in (0, 400)]
+        rows += [(at + 300, some(20) + p + some(25)), (at + 700, some(35) + other + some(15))]
+        pairs.append((at + 700, at + 300, 35, 35 + n))
+    return [(i, " ".join(w)) for i, w in rows], pairs
+
+
+def test_inexact_passages_whose_parts_stand_elsewhere(spark):
+    """Parts in few texts or in many; exact passages of 50 to 56 words whose first 43 and more stand elsewhere."""
+    for n, changed, part, copies, least in ((60, 3, 34, 1, 0.9), (80, 5, 44, 1, 0.9), (54, 0, 48, 1, 1), (50, 0, 46, 1, 1), (56, 0, 49, 9, 1), (80, 5, 44, 30, 0.9)):
+        rows, pairs = scattered(n, changed, part, copies, 40 if copies == 1 else 10, n + copies)
+        found = {}
+        for x in substrings.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+            found.setdefault((x.doc_id, x.source_id), []).append((x.start_word, x.end_word))
+        got = sum(any(a < end - 40 and b > start + 40 for a, b in found.get((i, j), ())) for i, j, start, end in pairs)
+        assert got >= least * len(pairs), (n, changed, part, copies, got)
+        if not changed:
+            assert found == {(i, j): [(start, end)] for i, j, start, end in pairs}
+
+
 def test_source_does_not_depend_on_partitions(spark):
     """Holders of one passage dealt over many ranges or few: the same links."""
     r = random.Random(4)
