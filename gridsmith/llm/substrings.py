@@ -31,7 +31,9 @@ are linked to it whole.
    run of SOME are linked to their first holder. A seed that FEW texts hold at most is linked to
    all of them. More frequent seeds are joined by twos, HULL words or more from the first to the
    last, as a chain has to be; two seeds are linked to one text of each kind of neighbourhood (the
-   shared seeds within LEAST words), for texts of one kind share the same seeds. Chains that lie in a
+   shared seeds within LEAST words), for texts of one kind share the same seeds. Of more than FEW
+   kinds only the first holder is linked, and items that overlap are joined to longer ones, which are
+   linked likewise, where no first holder holds them joined. Chains that lie in a
    passage are dropped, the others aligned widest first as before, and of passages that lie in
    one another the widest is kept.
 
@@ -74,7 +76,7 @@ HULL, MARGIN = K + WINDOW, 32
 CUT = 64
 SEED = "h bigint, doc_id bigint, at int, many int, some bigint"
 LOOSE = "h long, doc_id long, at long, many long, kind long, lead boolean, open boolean, wanted boolean"
-TWO = "h long, kind long, doc_id long, at long, many long, at2 long, many2 long"
+ITEM = "h long, kind long, doc_id long, at long, many long, at2 long, many2 long, head long, tail long, wanted boolean"
 PASSAGE = "doc_id long, start_word long, end_word long, source_id long, source_start long, source_end long, n_words long, similarity double"
 
 
@@ -190,14 +192,19 @@ def _linked(rows: DataFrame, name: str) -> DataFrame:
     dealt = rows.repartitionByRange(n, "h", "doc_id", "at", "many").sortWithinPartitions("h", "doc_id", "at", "many")
     found = materialize(dealt.mapInArrow(run, schema), name)
     carried, before = [], None  # the last group's h and first place
-    for part, x in sorted((r.part, r.told) for r in found.filter("told is not null").select("part", "told").collect()):  # a row a partition
+    told = sorted((r.part, r.told) for r in found.filter("told is not null").select("part", "told").collect())  # a row a partition
+    for part, x in told:
         if before is not None and before[0] == x[0]:
             carried.append((part, *before[1:]))
         if before is None or not before[0] == x[0] == x[1]:
             before = x[1:]
     carry = rows.sparkSession.createDataFrame(carried, "part int, _id long, _at long, _many long")
     out = found.filter("told is null").join(F.broadcast(carry.withColumn("lead", F.lit(True))), ["part", "lead"], "left")  # a row a partition
-    return out.select(*kept, *(F.coalesce(F.col(a).cast(t), b).alias(b) for a, b, t in (("_id", "source_id", "bigint"), ("_at", "source_at", "int"), ("_many", "source_many", "int"))))
+    out = out.select(*kept, *(F.coalesce(F.col(a).cast(t), b).alias(b) for a, b, t in (("_id", "source_id", "bigint"), ("_at", "source_at", "int"), ("_many", "source_many", "int"))))
+    # groups at the ends of ranges may have one text
+    ends = rows.sparkSession.createDataFrame(sorted({(h,) for _, x in told for h in x[:2]}), "h bigint")  # two rows a partition
+    single = out.join(F.broadcast(ends), "h", "left_semi").groupBy("h").agg(F.max(F.col("doc_id") != F.col("source_id")).alias("shared")).filter("not shared").select("h")
+    return out.join(F.broadcast(materialize(single, "passage-single")), "h", "left_anti")
 
 
 def _pairs(linked: DataFrame) -> DataFrame:
@@ -294,9 +301,15 @@ def _near(place: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray,
             yield i[apart >= low], i[apart >= low] + step
 
 
+def _items(key: np.ndarray, kind: np.ndarray, doc: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
+    """Rows of ITEM, of each key and kind the first of its text."""
+    one = np.sort(np.unique(mix(mix(key ^ kind) + doc.view(np.uint64)), return_index=True)[1])
+    return pa.RecordBatch.from_arrays([pa.array(c[one]) for c in (key.view(np.int64), kind.view(np.int64), doc, *cols)], names=[f.split()[0] for f in ITEM.split(", ")])
+
+
 def _twos(held: DataFrame) -> DataFrame:
-    """(h, kind, doc_id, at, many, at2, many2, wanted): each two seeds of held that lie near and
-    of which one is frequent; wanted, if one is frequent and open."""
+    """Rows of ITEM: each two seeds of held that lie near and of which one is frequent; wanted, if one
+    is frequent and open. head and tail: what the next longer items overlap in, here the places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["doc_id"]):
@@ -311,29 +324,68 @@ def _twos(held: DataFrame) -> DataFrame:
             for i, j in _near(place, 1, REACH + HULL):
                 ok = (often[i] | often[j]) & (h[i] != h[j]) & (at[j] + many[j] - 1 + K - at[i] >= HULL)
                 i, j = i[ok], j[ok]
-                key, of = mix(seed[i] * np.uint64(0xD6E8FEB86659FD93) + seed[j]), mix(mix(kind[i]) + kind[j])
-                one = np.sort(np.unique(mix(mix(key ^ of) + doc[i].view(np.uint64)), return_index=True)[1])  # the first of its text
-                i, j = i[one], j[one]
                 if len(i):
-                    cols = [key[one].view(np.int64), of[one].view(np.int64), doc[i], at[i], many[i], at[j], many[j], (often & open_)[i] | (often & open_)[j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "kind", "doc_id", "at", "many", "at2", "many2", "wanted"])
+                    key, of = mix(seed[i] * np.uint64(0xD6E8FEB86659FD93) + seed[j]), mix(mix(kind[i]) + kind[j])
+                    yield _items(key, of, doc[i], at[i], many[i], at[j], many[j], at[i], at[j], (often & open_)[i] | (often & open_)[j])
+
+    return _by_doc(held).mapInArrow(run, ITEM)
+
+
+def _joined(crowded: DataFrame) -> DataFrame:
+    """Rows of ITEM: each two items of a text that overlap in all but their ends, joined, but for
+    those that the first holder of the one (first_id, first_head, first_tail) holds joined too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["doc_id"]):
+            t = t.combine_chunks()
+            doc, at, many, at2, many2, wanted, asked, first_id, first_head, first_tail = (t[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "at", "many", "at2", "many2", "wanted", "asked", "first_id", "first_head", "first_tail"))
+            key, kind, head, tail = (t[c].to_numpy().view(np.uint64) for c in ("h", "kind", "head", "tail"))
+            text = mix(doc.view(np.uint64))
+            begin, end, whole = mix(head + text), mix(tail + text), mix(mix(head) + tail).view(np.int64)
+            order = np.argsort(begin, kind="stable")
+            low = np.searchsorted(begin[order], end)
+            count = np.searchsorted(begin[order], end, "right") - low
+            total = np.cumsum(count)
+            a = 0
+            while a < len(count):  # of about a million pairs at once
+                b = max(a + 1, int(np.searchsorted(total, total[a] - count[a] + (1 << 20), "right")))
+                n = count[a:b]
+                i = np.repeat(np.arange(a, b), n)
+                j = order[np.repeat(low[a:b] - np.cumsum(n) + n, n) + np.arange(len(i))]
+                ok = (asked[i] | asked[j]) & ((first_id[i] != first_id[j]) | (first_tail[i] != first_head[j]))
+                i, j, a = i[ok], j[ok], b
+                if len(i):
+                    yield _items(mix(mix(key[i]) + key[j]), mix(mix(kind[i]) + kind[j]), doc[i], at[i], many[i], at2[j], many2[j], whole[i], whole[j], wanted[i] | wanted[j])
 
-    return _by_doc(held).mapInArrow(run, TWO + ", wanted boolean")
+    return _by_doc(crowded).mapInArrow(run, ITEM)
 
 
 def _scattered(loose: DataFrame) -> DataFrame:
     """(doc_id, source_id, at, source_at, many): links of loose seeds to all earlier holders, to
-    frequent ones by twos."""
+    frequent ones by twos, and where these are crowded by longer items."""
     texts = loose.groupBy("h").agg(F.count_distinct("doc_id").alias("texts"), F.max("wanted").alias("any")).filter("texts > 1 and any").select("h", (F.col("texts") > FEW).alias("often"))
     held = materialize(loose.join(texts, "h"), "passage-held")
     few = held.filter("lead and not often")
     source = few.select("h", F.col("doc_id").alias("source_id"), F.col("at").alias("source_at"), F.col("many").alias("source_many"))
     links = few.filter("wanted").join(source, "h").filter("source_id < doc_id").select("doc_id", "source_id", "at", "source_at", F.least("many", "source_many").alias("many"))
-    twos = materialize(_twos(held), "passage-twos")
-    first = twos.groupBy("h", "kind").agg(F.min(F.struct("doc_id", "at", "many", "at2", "many2")).alias("s")).select("h", "s")
-    both = twos.filter("wanted").join(first, "h").filter("s.doc_id < doc_id")
     ends = F.array(F.struct("at", F.col("s.at").alias("source_at"), F.least("many", "s.many").alias("many")), F.struct(F.col("at2").alias("at"), F.col("s.at2").alias("source_at"), F.least("many2", "s.many2").alias("many")))
-    return links.union(both.select("doc_id", F.col("s.doc_id").alias("source_id"), F.explode(ends).alias("x")).select("doc_id", "source_id", "x.at", "x.source_at", "x.many")).distinct()
+    items = materialize(_twos(held), "passage-items")
+    while True:
+        kinds = items.groupBy("h", "kind").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("wanted").alias("asked"))
+        groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("first").alias("first_id"), F.max("last").alias("last"), F.max("asked").alias("asked")).filter("first_id < last")
+        groups = groups.select("h", (F.col("kinds") > FEW).alias("crowd"), "first_id", "asked").filter("crowd or asked")
+        grouped_ = materialize(items.join(groups, "h"), "passage-grouped")
+        sparse = grouped_.filter("not crowd")
+        each = sparse.groupBy("h", "kind").agg(F.min(F.struct("doc_id", "at", "many", "at2", "many2")).alias("s")).select("h", "s")
+        both = sparse.filter("wanted").join(each, "h")
+        crowd = grouped_.filter("crowd").drop("crowd")
+        lead = crowd.filter("doc_id = first_id").groupBy("h").agg(F.min(F.struct("at", "many", "at2", "many2", "head", "tail")).alias("s"))
+        crowd = crowd.join(lead, "h")
+        both = both.drop("crowd", "first_id", "asked").unionByName(crowd.filter("wanted").select(*items.columns, F.struct(F.col("first_id").alias("doc_id"), "s.at", "s.many", "s.at2", "s.many2").alias("s")))
+        links = links.union(both.filter("s.doc_id < doc_id").select("doc_id", F.col("s.doc_id").alias("source_id"), F.explode(ends).alias("x")).select("doc_id", "source_id", "x.at", "x.source_at", "x.many"))
+        items = materialize(_joined(crowd.withColumn("first_head", F.col("s.head")).withColumn("first_tail", F.col("s.tail")).drop("s")), "passage-items")
+        if items.isEmpty():
+            return links.distinct()
 
 
 class Fenwick:
@@ -694,8 +746,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wanted = materialize(runs.join(held, "some").groupBy("doc_id").agg(F.collect_set("at").alias("places")), "passage-places")  # a text's own places
     exact = _windows(own, wanted).join(known, "doc_id", "left").select("h", "doc_id", "at", _lies_open(F.col("at"), F.col("at") + LEAST).alias("open"))
     exact = _chained(_longer(exact, LEAST)).withColumn("no", -1 - F.col("no"))
-    two = shared.filter("doc_id != source_id").select("h").distinct()  # groups at the ends of ranges may have one text
-    loose = materialize(_loose(shared.join(two, "h", "left_semi"), spans), "passage-loose")
+    loose = materialize(_loose(shared, spans), "passage-loose")
     late = exact.select(columns).union(_chained(_scattered(loose)).select(columns)).join(known, "doc_id", "left").filter(_lies_open(begin, end)).select(columns)
     late = materialize(_widest(late), "passage-chains")
     third = materialize(_adding(_aligned(late.filter("widest"), texts), spans), "passage-third")

@@ -181,6 +181,13 @@ def test_inexact_passages_whose_parts_stand_elsewhere(spark):
             assert found == {(i, j): [(start, end)] for i, j, start, end in pairs}
 
 
+def test_links_of_crowded_seeds_grow_as_the_texts(spark):
+    """Two seeds that a hundred texts hold, each among others: a link a text and seed, not one a pair."""
+    rows = [(h, i, at, 1, 1000 * i + h, True, True, True) for i in range(100) for h, at in ((1, 0), (2, 20))]
+    got = sorted(map(tuple, substrings._scattered(spark.createDataFrame(rows, substrings.LOOSE)).collect()))
+    assert got == sorted((i, 0, at, at, 1) for i in range(1, 100) for at in (0, 20))
+
+
 def test_source_does_not_depend_on_partitions(spark):
     """Holders of one passage dealt over many ranges or few: the same links."""
     r = random.Random(4)
